@@ -3,16 +3,63 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, simple8b
+from . import common, decontam, langid, packing, simhash, simple8b
 
+table = common.table
 
-def op1_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _vocabulary(name: str) -> str:
     import public_tokenizers
 
-    return simple8b.digest(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return public_tokenizers.path(name)
+
+
+def op1_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op6_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), " ~ ")
+
+
+def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simple8b_tokens,)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simple8b_tokens, op6_cutting_stock_packing, op7_simhash_components, op8_ppm_language, op9_suffix_automaton_decontamination)
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_suffix_automaton_decontamination": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+g AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS k, array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS gram
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM b WHERE len(ws) > 0)),
+p AS (
+  SELECT doc_id, k, i, array_to_string(ws[i : i + k - 1], ' ') AS gram
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT DISTINCT k FROM g) WHERE len(ws) >= k)),
+hit AS (SELECT p.doc_id, p.i, g.k, g.item_id FROM p JOIN g USING (gram, k)),
+n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT doc_id, i, k FROM hit)) GROUP BY 1),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+}

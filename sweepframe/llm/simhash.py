@@ -248,7 +248,7 @@ def links(nodes: DataFrame, distance: int = 3, parts: int = 4, limit: int = 2048
         for v in np.flatnonzero(ball > limit).tolist():
             hot.append((i, _signed(sum(1 << b for k, b in enumerate(cut[i]) if v >> k & 1))))
         own = F.col("fp").bitwiseAND(F.lit(_signed(m)))
-        values = F.transform(F.array(*[F.lit(_signed(f)) for f in _flips(cut[i], t[i])]), lambda f, own=own: own.bitwiseXOR(f))
+        values = F.array(*[own.bitwiseXOR(F.lit(_signed(f))) for f in _flips(cut[i], t[i])])
         keyed.append(nodes.select("fp", F.lit(i).alias("part"), F.explode(values).alias("value")))
     rows = keyed[0]
     for more in keyed[1:]:

@@ -139,10 +139,10 @@ def predict(docs: DataFrame, model: Model, evidence: int = 200) -> DataFrame:
     return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, evidence).drop("text")
 
 
-def annotate(docs: DataFrame, model: Model, evidence: int = 200) -> DataFrame:
-    """docs with the columns lang_pred and score added (columns of these names are replaced)."""
+def annotate(docs: DataFrame, model: Model, evidence: int = 200, pred_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
+    """docs with the two columns of predict() added under the given names (columns of these names are replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.drop("lang_pred", "score")
+    base = docs.drop(pred_as, score_as)
     names = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +161,9 @@ def annotate(docs: DataFrame, model: Model, evidence: int = 200) -> DataFrame:
                 letter[:] = False
             pred = [m.languages[best[k]] if letter[k] else UNKNOWN for k in range(len(b))]
             score = np.where(letter, score, 0.0) if m.languages else np.zeros(len(b))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, pred_as, score_as])
 
-    schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*base.schema.fields, T.StructField(pred_as, T.StringType()), T.StructField(score_as, T.DoubleType())])
     return base.mapInArrow(run, schema)
 
 

@@ -79,9 +79,19 @@ def _hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key, F.lit(1)), F.xxhash64(key, F.lit(2)).bitwiseOR(F.lit(1))
 
 
-def _build(rows: DataFrame, n: int, rate: float) -> Level:
-    """The Bloom filter of rows(h1, h2)."""
-    bits = max(64, int(np.ceil(-n * np.log(rate) / np.log(2) ** 2)))
+def _prime(least: int, taken: set[int]) -> int:
+    """The first prime from `least` on that is not taken."""
+    n = least | 1
+    while n in taken or any(n % d == 0 for d in range(3, int(n**0.5) + 1, 2)):
+        n += 2
+    return n
+
+
+def _build(rows: DataFrame, n: int, rate: float, taken: set[int]) -> Level:
+    """The Bloom filter of rows(h1, h2).
+
+    Its number of bits is a prime that no other level has, so keys that collide on one level don't on all."""
+    bits = _prime(max(67, int(np.ceil(-n * np.log(rate) / np.log(2) ** 2))), taken)
     hashes = max(1, round(-np.log2(rate)))
     at = rows.select(F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))).alias("i"), "h1", "h2")
     at = at.withColumn("sum", F.expr("cast(h1 as decimal(38,0)) + case when h1 < 0 then 18446744073709551616 else 0 end + i * (cast(h2 as decimal(38,0)) + case when h2 < 0 then 18446744073709551616 else 0 end)"))
@@ -114,7 +124,7 @@ def cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     encode, test = inside, outside
     while n:
         rate = 0.5 if out.levels else min(0.5, max(1e-6, n * 0.7 / max(other, 1)))
-        level = _build(encode, n, rate)
+        level = _build(encode, n, rate, {x.bits for x in out.levels})
         out.levels.append(level)
         wrong = common.written(_tested(test, level), "wrong")
         encode, test, n = wrong, encode, wrong.count()

@@ -50,21 +50,54 @@ def _knapsack(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np
     return float(best[room]), count
 
 
-def column_generation(size: np.ndarray, need: np.ndarray, room: int, gap: float = 1e-3, most: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns as columns, how often each is used) of the relaxed cutting-stock problem.
+def _first_fit(size: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
+    """One pattern: the largest class first, as many as fit and are left."""
+    count, free, k = np.zeros(len(size), left.dtype), room, len(size)
+    while free and k:
+        k = min(k, int(np.searchsorted(size, free, "right"))) - 1
+        if k < 0:
+            break
+        take = min(left[k], free // int(size[k]))
+        count[k] = take
+        free -= int(take) * int(size[k])
+    return count
+
 
-    Ends when no column prices out, when the bound `best price` shows the value within `gap` of the
-    optimum, or after `most` pivots; what it has then is feasible in any case."""
+def _start(size: np.ndarray, need: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """A feasible basis: first-fit patterns, each used until a class runs out, which becomes its row.
+
+    A pattern has no class that ran out before, so the matrix is triangular in that order."""
     m = len(size)
-    basis = np.diag(np.floor(room / size))
-    inverse, x = np.diag(1 / np.diag(basis)), need / np.diag(basis)
+    basis, x, left = np.zeros((m, m)), np.zeros(m), need.astype(float)
+    open_ = left > 1e-9
+    while open_.any():
+        c = _first_fit(size, np.where(open_, np.ceil(left), 0).astype(np.int64), room).astype(float)
+        ratio = np.where(c > 0, left / np.maximum(c, 1), np.inf)
+        r = int(np.argmin(ratio))
+        basis[:, r], x[r] = c, ratio[r]
+        left = left - ratio[r] * c
+        gone = open_ & ((left <= 1e-9) | (np.arange(m) == r))
+        for k in np.flatnonzero(gone):
+            left[k] = 0
+            if k != r:
+                basis[k, k] = room // size[k]
+        open_ &= ~gone
+    return basis, x
+
+
+def column_generation(size: np.ndarray, need: np.ndarray, room: int, gap: float = 2e-3, most: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns as columns, how often each is used) of the relaxed cutting-stock problem.
+
+    Ends when no column prices out, when the bound `value / best price` or the tokens themselves show
+    the value within `gap` of the optimum, or after `most` pivots; what it has then is feasible."""
+    basis, x = _start(size, need, room)
+    inverse = np.linalg.inv(basis)
     floor = float(size @ need) / room
     for _ in range(most):
         if x.sum() <= floor * (1 + gap):
             break
-        price = inverse.sum(0)
-        value, column = _knapsack(price, size, room)
-        if value <= 1 + gap:  # x.sum() / value bounds the optimum from below
+        value, column = _knapsack(inverse.sum(0), size, room)
+        if value <= 1 + gap:
             break
         step = inverse @ column
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
@@ -79,11 +112,19 @@ def column_generation(size: np.ndarray, need: np.ndarray, room: int, gap: float
     return basis, x
 
 
-def plan(histogram: dict[int, int], room: int) -> list[Pattern]:
-    """Patterns that take every rest of the histogram {class: count} exactly once."""
+#: A sequence of cut rests: (rest, from, units), rests numbered in the order of the list of their classes.
+Bin = list[tuple[int, int, int]]
+
+
+def plan(histogram: dict[int, int], room: int, fill: float = 0.995) -> tuple[list[Pattern], list[int], list[Bin]]:
+    """Patterns, classes of rests that are cut, and the sequences of their parts; every rest is taken once.
+
+    The program's patterns are used as often as its solution says, rounded down, then once more
+    where the histogram still covers them. Of what is left, first-fit patterns that are full to
+    `fill` are used; the few remaining rests are cut where a sequence ends."""
     size = np.array(sorted(k for k, n in histogram.items() if n), np.int64)
     if not len(size):
-        return []
+        return [], [], []
     left = np.array([histogram[int(s)] for s in size], np.int64)
     basis, x = column_generation(size, left.astype(float), room)
     used: dict[tuple, int] = {}
@@ -95,27 +136,33 @@ def plan(histogram: dict[int, int], room: int) -> list[Pattern]:
         used[key] = used.get(key, 0) + times
 
     columns = np.rint(basis).astype(np.int64)
-    for j in np.argsort(-(x - np.floor(x)), kind="stable"):  # the most fractional are topped up first
+    order = np.argsort(-(x - np.floor(x)), kind="stable")
+    for j in order:
         c = columns[:, j]
         if times := min(int(np.floor(x[j] + 1e-9)), int((left[c > 0] // c[c > 0]).min())):
             use(c, times)
-    for j in np.argsort(-(x - np.floor(x)), kind="stable"):
+    for j in order:  # the most fractional first
         c = columns[:, j]
-        if (left[c > 0] >= c[c > 0]).all():
+        if c @ size >= fill * room and (left[c > 0] >= c[c > 0]).all():
             use(c, 1)
     while left.any():
-        count, free = np.zeros_like(left), room
-        while free:
-            k = int(np.searchsorted(size, free, "right")) - 1
-            while k >= 0 and left[k] <= count[k]:
-                k -= 1
-            if k < 0:
-                break
-            take = min(int(left[k] - count[k]), free // int(size[k]))
-            count[k] += take
-            free -= take * int(size[k])
-        use(count, max(1, int((left[count > 0] // count[count > 0]).min())))
-    return [(n, list(key)) for key, n in used.items()]
+        c = _first_fit(size, left, room)
+        if c @ size < fill * room:
+            break
+        use(c, int((left[c > 0] // c[c > 0]).min()))
+    rests = [int(s) for s, n in zip(size[::-1], left[::-1]) for _ in range(n)]
+    bins: list[Bin] = []
+    free = 0
+    for i, units in enumerate(rests):
+        at = 0
+        while at < units:
+            if not free:
+                bins.append([])
+                free = room
+            take = min(free, units - at)
+            bins[-1].append((i, at, take))
+            at, free = at + take, free - take
+    return [(n, list(key)) for key, n in used.items()], rests, bins
 
 
 # -- pieces -----------------------------------------------------------------------------------
@@ -164,41 +211,56 @@ def pieces(docs: DataFrame, vocabulary: str, separator: str, end_id: int, capaci
 def layout(cut: DataFrame, capacity: int = 2048, grain: int = 4) -> DataFrame:
     """sequence_id and offset of every piece of pieces(), beside its columns but ids, cls and rank.
 
-    The table of patterns is broadcast. It has at most capacity / grain patterns from the basis
-    and as many from what rounding leaves, of capacity / grain classes each, whatever the input."""
+    A rest that the plan cuts further gives several rows; skip says how many of the piece's tokens
+    come before. The table of patterns is broadcast. It has at most capacity / grain patterns from the basis
+    and about as many from what rounding leaves, of capacity / grain classes each, whatever the input."""
     spark, room = cut.sparkSession, capacity // grain
     counts = cut.groupBy("shard", "cls").agg(F.count("*").alias("n"))
     run = Window.partitionBy("cls").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "cls", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
     histogram = {r["cls"]: r["n"] for r in counts.groupBy("cls").agg(F.sum("n").alias("n")).collect()}
     full = histogram.pop(0, 0)
-    patterns = plan(histogram, room)
+    patterns, rests, bins = plan(histogram, room)
     taken: dict[int, int] = {}
-    entries, sequence = [], full
+    entries, sequence = [(0, 0, full, 0, 1, 0, 0, room)], full  # class, ranks, first sequence, how many in each, slot, part
+
+    def claim(cls: int, n: int) -> int:
+        taken[cls] = taken.get(cls, 0) + n
+        return taken[cls] - n
+
     for times, items in patterns:
         slot = 0
         for cls, count in sorted(items, reverse=True):
-            lo = taken.get(cls, 0)
-            taken[cls] = lo + times * count
-            entries.append((cls, lo, lo + times * count, sequence, count, slot))
+            lo = claim(cls, times * count)
+            entries.append((cls, lo, lo + times * count, sequence, count, slot, 0, cls))
             slot += count
         sequence += times
-    entries.append((0, 0, full, 0, 1, 0))
-    table = F.broadcast(spark.createDataFrame(entries, "cls int, lo bigint, hi bigint, first bigint, per bigint, slot bigint"))
-    at = F.col("rank") + F.col("before")
-    meta = cut.drop("ids").join(base, ["shard", "cls"]).withColumn("at", at)
+    ranks = [claim(cls, 1) for cls in rests]
+    for own in bins:
+        for slot, (i, at, units) in enumerate(own):
+            entries.append((rests[i], ranks[i], ranks[i] + 1, sequence, 1, slot, at, units))
+        sequence += 1
+    table = F.broadcast(spark.createDataFrame(entries, "cls int, lo bigint, hi bigint, first bigint, per bigint, slot bigint, part int, units int"))
+    meta = cut.drop("ids").join(base, ["shard", "cls"]).withColumn("at", F.col("rank") + F.col("before"))
+    skip = F.col("part") * grain
     placed = meta.join(table, (meta["cls"] == table["cls"]) & (meta["at"] >= table["lo"]) & (meta["at"] < table["hi"])).select(
-        *[meta[c] for c in cut.columns if c not in ("ids", "cls", "rank")],
+        *[meta[c] for c in cut.columns if c not in ("ids", "cls", "rank", "start", "length")],
+        (F.col("start") + skip).alias("start"), F.least(F.col("length") - skip, F.col("units") * grain).cast("int").alias("length"),
+        skip.alias("skip"), (F.col("units") < meta["cls"]).alias("is_part"),
         (F.col("first") + F.floor((F.col("at") - F.col("lo")) / F.col("per"))).alias("sequence_id"),
         (F.col("slot") + (F.col("at") - F.col("lo")) % F.col("per")).alias("slot"))
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("slot")
 
 
+def _part(ids: str):
+    return F.substring(F.col(ids), F.col("skip") * 4 + 1, F.col("length") * 4)
+
+
 def sequences(cut: DataFrame, placed: DataFrame) -> DataFrame:
     """The packed sequences: sequence_id, ids (little-endian unsigned 32-bit), docs (doc_id, start, length, offset)."""
-    part = F.struct("offset", "doc_id", "start", "length", "ids")
     rows = placed.join(cut.select("shard", "row", "piece", "ids"), ["shard", "row", "piece"])
+    part = F.struct("offset", "doc_id", "start", "length", _part("ids").alias("ids"))
     packed = rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
     return packed.select("sequence_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"), F.transform("p", lambda x: x.dropFields("ids")).alias("docs"))
 
@@ -206,6 +268,12 @@ def sequences(cut: DataFrame, placed: DataFrame) -> DataFrame:
 def digest(docs: DataFrame, vocabulary: str, separator: str, end_id: int = 1, capacity: int = 2048) -> DataFrame:
     """Pieces with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    The checksums are taken from the ids in the written pieces."""
-    cut = pieces(docs, vocabulary, separator, end_id, capacity).withColumn("ids_crc32", F.crc32("ids"))
-    return layout(cut, capacity).select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    The checksums are taken from the ids in the written pieces. Those of parts need their piece's
+    ids once more; the plan cuts so few rests (its bound does not grow) that they are broadcast to them."""
+    cut = pieces(docs, vocabulary, separator, end_id, capacity)
+    placed = common.written(layout(cut.withColumn("ids_crc32", F.crc32("ids")), capacity), "layout")
+    keys = ["shard", "row", "piece"]
+    parts = placed.filter("is_part")
+    again = cut.filter("cls > 0").select(*keys, "ids").join(F.broadcast(parts), keys).withColumn("ids_crc32", F.crc32(_part("ids"))).select(*placed.columns)
+    out = placed.filter("not is_part").unionByName(again)
+    return out.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")

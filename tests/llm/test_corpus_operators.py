@@ -149,16 +149,32 @@ def test_op6_edges(awkward, empty):
 def test_packing_plan_is_tight():
     rng = np.random.default_rng(1)
     histogram = {int(c): int(n) for c, n in zip(range(1, 513), rng.integers(0, 400, 512))}
-    patterns = packing.plan(histogram, 512)
+    assert covers(histogram, 512) <= 1.02
+    assert packing.plan({}, 512) == ([], [], []) and packing.plan({512: 3}, 512) == ([(3, [(512, 1)])], [], [])
+    for n in (3, 40, 800):
+        few = {int(c): int(k) for c, k in zip(*np.unique(rng.integers(1, 513, n), return_counts=True))}
+        assert covers(few, 512) * sum(c * k for c, k in few.items()) / 512 <= sum(c * k for c, k in few.items()) / 512 * 1.03 + 1
+
+
+def covers(histogram, room):
+    """Checks that a plan takes each rest once and whole; its sequences over what the tokens need."""
+    patterns, rests, bins = packing.plan(histogram, room)
     left = dict(histogram)
     for times, items in patterns:
-        assert sum(c * k for c, k in items) <= 512
+        assert sum(c * k for c, k in items) <= room
         for c, k in items:
             left[c] -= times * k
+    at = [0] * len(rests)
+    for own in bins:
+        assert sum(u for _, _, u in own) <= room
+        for i, start, units in own:
+            assert start == at[i] and units > 0
+            at[i] += units
+    assert at == rests
+    for c in rests:
+        left[c] -= 1
     assert not any(left.values())
-    used, need = sum(t for t, _ in patterns), sum(c * n for c, n in histogram.items()) / 512
-    assert used <= 1.02 * need
-    assert packing.plan({}, 512) == [] and packing.plan({512: 3}, 512) == [(3, [(512, 1)])]
+    return (sum(t for t, _ in patterns) + len(bins)) / (sum(c * n for c, n in histogram.items()) / room)
 
 
 def test_op7_edges(awkward, empty):

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sweepframe.plans import catalog
+from sweepframe.plans import catalog, streams  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 

@@ -115,15 +115,14 @@ register("turntable_command_encode", "event_id BIGINT, cmd VARCHAR, frame_hex VA
 
 
 def _angle(name: str, kind: str, column, sql: str) -> None:
-    register(name, f"device_id BIGINT, seq BIGINT, result {kind}", lambda v: v("angle_feedback").withColumn("result", column), f"SELECT device_id, seq, {sql} AS result FROM angle_feedback")
+    register(name, f"device_id BIGINT, seq BIGINT, result {kind}", lambda v: v("angle_feedback").withColumn("result", column(F.col("angle_deg"))), f"SELECT device_id, seq, {sql} AS result FROM angle_feedback")
 
 
-_A = F.col("angle_deg")
-_angle("normalize_angle", "DOUBLE", angles.normalize_angle(_A * 3 - 500), "(((angle_deg * 3 - 500) % 360) + 360) % 360")
-_angle("relative_angle", "DOUBLE", angles.relative_angle(_A, F.when(F.col("device_id") < 5, F.lit(77.5))), "CASE WHEN device_id >= 5 THEN angle_deg WHEN angle_deg < 77.5 THEN ((angle_deg - 77.5) % 360 + 360) % 360 ELSE angle_deg - 77.5 END")
-_angle("circular_distance", "DOUBLE", angles.circular_distance(_A, F.lit(300.0)), "CASE WHEN abs(angle_deg - 300) > 180 THEN 360 - abs(angle_deg - 300) ELSE abs(angle_deg - 300) END")
-_angle("angle_to_tile", "BIGINT", angles.angle_to_tile(_A), "greatest(0, least(31, CAST(floor(angle_deg / 360 * 32) AS INT)))")
-_angle("half_turn_shift", "BIGINT", angles.half_turn_shift(angles.angle_to_tile(_A)), "(greatest(0, least(31, CAST(floor(angle_deg / 360 * 32) AS INT))) + 16) % 32")
+_angle("normalize_angle", "DOUBLE", lambda a: angles.normalize_angle(a * 3 - 500), "(((angle_deg * 3 - 500) % 360) + 360) % 360")
+_angle("relative_angle", "DOUBLE", lambda a: angles.relative_angle(a, F.when(F.col("device_id") < 5, F.lit(77.5))), "CASE WHEN device_id >= 5 THEN angle_deg WHEN angle_deg < 77.5 THEN ((angle_deg - 77.5) % 360 + 360) % 360 ELSE angle_deg - 77.5 END")
+_angle("circular_distance", "DOUBLE", lambda a: angles.circular_distance(a, F.lit(300.0)), "CASE WHEN abs(angle_deg - 300) > 180 THEN 360 - abs(angle_deg - 300) ELSE abs(angle_deg - 300) END")
+_angle("angle_to_tile", "BIGINT", lambda a: angles.angle_to_tile(a), "greatest(0, least(31, CAST(floor(angle_deg / 360 * 32) AS INT)))")
+_angle("half_turn_shift", "BIGINT", lambda a: angles.half_turn_shift(angles.angle_to_tile(a)), "(greatest(0, least(31, CAST(floor(angle_deg / 360 * 32) AS INT))) + 16) % 32")
 register("frame_to_tile", "device_id BIGINT, channel VARCHAR, frame_no BIGINT, tile_index BIGINT, angle_deg DOUBLE, lap BIGINT, pos BIGINT, start_x BIGINT",
     lambda v: frames.frame_to_tile(v("frames")),
     "SELECT device_id, channel, frame_no, frame_no % 32 AS tile_index, (frame_no % 32) * 360 / 32.0::DOUBLE AS angle_deg, frame_no // 32 + 1 AS lap, frame_no % 32 + 1 AS pos, frame_no % 32 * 2048 AS start_x FROM frames")

@@ -283,3 +283,13 @@ def test_op10_edges(spark, awkward, empty):
     assert len(got) == 212 and all(0 <= r.score <= 1 for r in got)
     held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id >= 20]
     assert np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.95
+
+
+def test_pipeline_edges(spark, awkward, empty):
+    import corpus_pipeline as cp
+
+    assert cp.near_duplicates(spark, empty, "").count() == 0 and cp.language(spark, empty, "").count() == 0
+    got = sorted((r.doc_id, r.text) for r in cp.near_duplicates(spark, awkward, "").collect())
+    assert [d for d, _ in got] == sorted({d for d, _ in got}) and got[0] == (1, "")
+    assert (2, "a") in got and (7, LONG) in got and cp.near_duplicates(spark, awkward, "").columns == awkward.columns
+    assert cp.language(spark, awkward, "").count() == 0  # no language is known there

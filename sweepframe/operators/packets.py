@@ -144,8 +144,8 @@ def frame_reassembly(packets: DataFrame, keys: list[str]) -> DataFrame:
     """Frames from packets in arrival order, block numbers ignored: one row per generation.
 
     A frame is complete once its bytes reach the total size of its first packet; later packets of
-    the same index begin the next generation. The fold runs along a frame's packets (their sizes
-    only); payloads are put together afterwards, by aggregation."""
+    the same index begin the next generation. The fold streams a frame's packets with three numbers
+    of state; payloads ride along, so that one shuffle by frame serves it and the aggregation behind it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         who, generation, got, total = None, 0, 0, None

@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from sweepframe.plans import catalog, streams  # noqa: F401
@@ -17,7 +18,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v:
+    if pd.isna(v):
         return None
     return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 

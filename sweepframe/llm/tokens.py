@@ -96,13 +96,13 @@ class Encoder:
         self.entries += len(k1)
 
     def _shrink(self) -> None:
-        keep = np.flatnonzero(self.again)
+        """Forget all pieces but those met again, and of these all beyond half of `most`."""
+        keep = np.flatnonzero(self.again)[: self.most // 2]
         k1, k2, cnt = self.k1[keep], self.k2[keep], self.cnt[keep]
         ids = self.pool[_ragged(self.off[keep], cnt)]
         self._clear()
-        if 2 * len(keep) <= self.most:
-            self._grow(ids)
-            self._put(k1, k2, np.cumsum(cnt) - cnt, cnt)
+        self._grow(ids)
+        self._put(k1, k2, np.cumsum(cnt) - cnt, cnt)
 
     def _grow(self, ids: np.ndarray) -> None:
         while self.filled + len(ids) > len(self.pool):
@@ -114,8 +114,6 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> None:
-        if self.entries + len(k1) > self.most:
-            self._shrink()
         pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())]
         plain = np.array([self.mark not in p and not p[-1:].isspace() for p in pieces], bool)
         cnt, parts = np.zeros(len(pieces), np.int64), [np.empty(0, np.uint32)]
@@ -144,13 +142,17 @@ class Encoder:
         k1 = self.one.stretches(part, start - a, end - a) | np.uint64(1)
         k2 = self.two.stretches(part, start - a, end - a)
         slot = self._find(k1, k2)
-        if len(new := np.flatnonzero(slot < 0)):
+        self.again[slot[slot >= 0]] = True
+        shrunk = False
+        while len(new := np.flatnonzero(slot < 0)):
             _, first = np.unique(k1[new] ^ (k2[new] << np.uint64(1)), return_index=True)
             new = new[first]
-            self._learn(part.tobytes(), start[new] - a, end[new] - a, k1[new], k2[new])
+            if not shrunk and self.entries + len(new) > self.most:
+                self._shrink()  # takes known pieces of this block, too, so look again
+                shrunk = True
+            else:
+                self._learn(part.tobytes(), start[new] - a, end[new] - a, k1[new], k2[new])
             slot = self._find(k1, k2)
-        else:
-            self.again[slot] = True
         cnt = self.cnt[slot]
         return self.pool[_ragged(self.off[slot], cnt)], cnt
 
@@ -176,6 +178,7 @@ class Encoder:
                 j = int(np.searchsorted(edges, offsets[d + 1]))
             else:
                 j = max(i + 1, int(np.searchsorted(edges, edges[i] + _BLOCK, "right")) - 1)
+                j = min(j, i + self.most)  # a block's pieces fit the table beside those kept
                 if odd and (k := np.flatnonzero(np.isin(doc[i:j], list(odd)))).size:
                     j = i + int(k[0])
                 ids, cnt = self._pieces(data, edges[i:j], edges[i + 1 : j + 1])

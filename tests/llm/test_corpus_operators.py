@@ -53,6 +53,21 @@ def test_token_encoder():
             assert all(ids[at[i] : at[i + 1]].tolist() == w.ids for i, w in enumerate(want))
 
 
+@pytest.mark.parametrize("most", [500, 5000])
+def test_token_encoder_forgets_without_loss(most):
+    """Blocks of 1 MB with known and new pieces, far more of them than are remembered."""
+    rng = random.Random(3)
+    common_words, texts = [f"w{i}" for i in range(300)], []
+    for i in range(40):
+        new = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(1500)]
+        texts.append(" ".join(rng.choice(common_words) if rng.random() < 0.5 else rng.choice(new) for _ in range(8000)))
+    enc = tokens.Encoder(P.path("word_bpe_49k.json"), " ~ ", most=most)
+    want = enc.model.encode_batch(texts, add_special_tokens=False)
+    for lo in range(0, 40, 20):
+        ids, at = enc.encode(*tokens.utf8(pa.array(texts[lo : lo + 20])))
+        assert all(ids[at[i] : at[i + 1]].tolist() == w.ids for i, w in enumerate(want[lo : lo + 20]))
+
+
 def test_op1_edges(awkward, empty):
     got = simple8b.digest(awkward, P.path("byte_bpe_50k.json")).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, None, 1, 2, 2, 2, 5, 7, 8, 9, 10, 11]

@@ -2,8 +2,8 @@
 
 A k-mer of code points is an anchor if the least hash among its inner s-mers is its first or its
 last one. Whether it is depends on the k-mer alone, so a shared passage gives the same anchors
-wherever it stands. A fingerprint holds the anchors with the least hashes, each with its first
-position; two fingerprints are alike by the anchors they share on one diagonal."""
+wherever it stands. A fingerprint holds all anchors of a text with their positions; two
+fingerprints are alike by the runs of anchors, equal in hashes and gaps, that they share anywhere."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K, S, KEEP = 24, 8, 128
+K, S, RUN = 24, 8, 3
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -54,34 +54,53 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     return (_mixed(whole) >> np.uint64(32)).astype(np.uint32), at.astype(np.uint32)
 
 
-def sketch(text: str, keep: int = KEEP) -> np.ndarray:
-    """Rows (hash, first position), the `keep` least distinct hashes, ascending."""
-    h, at = anchors(text)
-    u, first = np.unique(h, return_index=True)  # anchors come in ascending position, so the first is the least
-    return np.stack([u[:keep], at[first[:keep]]], 1) if len(u) else np.empty((0, 2), np.uint32)
+def sketch(text: str) -> np.ndarray:
+    """Rows (hash, position) of all anchors, by position."""
+    return np.stack(anchors(text), 1)
 
 
 def to_hex(rows: np.ndarray) -> str:
     return rows.astype(">u4").tobytes().hex()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, keep: int = KEEP, k: int = K) -> float:
-    """0 to 1: the share of anchors in common, of those on the best diagonal, as 2 common / (all of a + all of b).
+def _grams(rows: np.ndarray, run: int) -> np.ndarray:
+    """One hash for each `run` consecutive anchors: their hashes and the gaps between them."""
+    h, at = rows[:, 0].astype(np.uint64), rows[:, 1].astype(np.uint64)
+    n = len(rows) - run + 1
+    out = _mixed((h[:n] + _C) * _A)
+    for j in range(1, run):
+        out = _mixed((out ^ h[j : j + n]) * _A + (at[j : j + n] - at[j - 1 : j - 1 + n] + _C) * _B)
+    return out
 
-    Both sketches are compared below the hash to which both are complete. Empty texts are alike."""
+
+def _covered(place: np.ndarray, limit: np.ndarray, run: int) -> int:
+    """How many anchors lie in the first limit[p] grams of every place p."""
+    order = np.argsort(place, kind="stable")
+    own = place[order]
+    nth = np.empty(len(own), np.int64)
+    nth[order] = np.arange(len(own)) - np.searchsorted(own, own)
+    hit = nth < limit[place]
+    cover = np.zeros(len(place) + run - 1, bool)
+    for j in range(run):
+        cover[j : j + len(place)] |= hit
+    return int(cover.sum())
+
+
+def likeness(a: np.ndarray, b: np.ndarray, run: int = RUN) -> float:
+    """0 to 1: the share of anchors of both in common runs of at least `run` anchors, on any diagonal.
+
+    A run that one side repeats counts there as often as the other side has it. A side with fewer
+    anchors than `run` is looked for as a whole. Empty texts are alike."""
     if not len(a) and not len(b):
         return 1.0
     if not len(a) or not len(b):
         return 0.0
-    top = min([int(x[-1, 0]) for x in (a, b) if len(x) >= keep], default=1 << 32)
-    a, b = a[a[:, 0] <= top], b[b[:, 0] <= top]
-    _, i, j = np.intersect1d(a[:, 0], b[:, 0], assume_unique=True, return_indices=True)
-    if not len(i):
-        return 0.0
-    off = np.floor((a[i, 1].astype(np.int64) - b[j, 1].astype(np.int64)) / k).astype(np.int64)
-    values, count = np.unique(off, return_counts=True)
-    best = values[int(np.argmax(count))]
-    return float(2 * int(count[np.abs(values - best) <= 1].sum()) / (len(a) + len(b)))
+    run = min(run, len(a), len(b))
+    x, y = _grams(a, run), _grams(b, run)
+    values, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = place[: len(x)], place[len(x) :]
+    limit = np.minimum(np.bincount(x, minlength=len(values)), np.bincount(y, minlength=len(values)))
+    return (_covered(x, limit, run) + _covered(y, limit, run)) / (len(a) + len(b))
 
 
 def with_next(docs: DataFrame, shards: int | None = None) -> tuple[DataFrame, int]:
@@ -105,6 +124,8 @@ def with_next(docs: DataFrame, shards: int | None = None) -> tuple[DataFrame, in
     return dealt.repartitionById(n, F.col("target")).sortWithinPartitions("target", "peek", "key", "text"), n
 
 
+#: Bytes of fingerprints in a batch, which are a few times as long as their texts.
+_OUT = 1 << 22
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -113,9 +134,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     held, done = None, True  # (doc_id, text, sketch) that waits for the next text
 
+    def flush() -> pa.RecordBatch:
+        nonlocal out, size
+        ready = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+        out, size = [[] for _ in names], 0
+        return ready
+
+    out: list[list] = [[] for _ in names]
+    size = 0  # bytes of fingerprints in out
     for batch in batches:
-        out: list[list] = [[] for _ in names]
-        size = 0
         for doc, text, peek in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("peek").to_pylist()):
             if peek and done:  # a further row of the same doc_id
                 continue
@@ -128,14 +155,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row = (held[0], n, hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), to_hex(held[2]), to_hex(changed), likeness(held[2], changed), likeness(held[2], own))
                 for column, v in zip(out, row):
                     column.append(v)
-                size += 1
+                size += len(row[3]) + len(row[4])
+                if size >= _OUT:
+                    yield flush()
             held, done = (None, True) if peek else ((doc, text, own), False)
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+        if out[0]:
+            yield flush()
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
-    """Fingerprints of docs(doc_id, text) and of their edited texts, and how alike they are.
+    """Whole fingerprints of docs(doc_id, text) and of their edited texts, and how alike they are.
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many (or all) from
     the start of the next document by doc_id; the last document's next is the first. Null texts are

@@ -138,6 +138,26 @@ def test_syncmers_are_context_free():
     assert 0.35 < syncmers.likeness(syncmers.sketch(a), syncmers.sketch(a[:3000] + make(3000))) < 0.65
 
 
+def test_fingerprints_hold_every_passage():
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    for size in (20_000, 120_000):
+        passage, other = make(500), make(size)
+        a, b = make(size // 2) + passage + make(size // 2), other[: size // 3] + passage + other[size // 3 :]
+        x, y = syncmers.sketch(a), syncmers.sketch(b)
+        h, at = syncmers.anchors(a)
+        assert np.array_equal(x, np.stack([h, at], 1))  # all anchors, all positions
+        want = len(syncmers.sketch(passage))
+        assert 0.9 * want <= syncmers.likeness(x, y) * (len(x) + len(y)) / 2 <= 1.2 * want
+        moved = other[: size // 2] + make(300) + other[size // 2 :]  # anchors behind an insertion count
+        assert syncmers.likeness(syncmers.sketch(other), syncmers.sketch(moved)) > 0.95
+    once = syncmers.sketch(make(1) + passage)
+    twice = syncmers.sketch(make(1) + passage + passage)
+    assert 0.6 < syncmers.likeness(once, twice) < 0.75
+    assert syncmers.likeness(syncmers.sketch("a"), syncmers.sketch("a")) == 1.0 and syncmers.likeness(syncmers.sketch("a"), syncmers.sketch("b")) == 0.0
+    assert syncmers.likeness(syncmers.sketch(LONG), syncmers.sketch(LONG)) == 1.0
+
+
 def test_op5_edges(spark):
     rows = [(1, 0, "user", "hi <|im_end|>"), (1, 1, "assistant", "<|im_end|><|im_start|>assistant ok <\\|x"), (1, 2, "user", None), (1, 2, "user", None), (2, 0, "assistant", ""), (None, None, None, "x"), (3, 0, "a\\n\n|", LONG), (4, 1, "assistant", "b"), (4, 0, "assistant", "a")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")

@@ -3,9 +3,11 @@
 A document is cut into full pieces of `capacity` tokens, each a sequence of its own, and one rest.
 The rests' lengths, rounded up to `grain` tokens, form a histogram of at most capacity / grain
 classes. Over it a linear program chooses how often each pattern (a multiset of classes that fits
-a sequence) is used; a knapsack by dynamic programming prices new patterns until none helps. The
-solution is rounded down, topped up with the patterns the histogram still covers, and the few rests
-left are packed best fit. Patterns then take documents by their rank within a class.
+a sequence) is used; a knapsack by dynamic programming prices new patterns until none helps. Its
+nearly full patterns are used, rounded down and topped up while the histogram covers them. All
+other rests are laid end to end, the longest first, and cut where a sequence ends, so only the last
+sequence has room left. Patterns take documents by their rank within a class; where a rest lies in
+the line follows from its class and rank, too.
 
 Only the histogram reaches the driver. Ranks come from counts per (task, class) and a running sum
 over tasks, so no task sees all documents of a class."""
@@ -116,15 +118,14 @@ def column_generation(size: np.ndarray, need: np.ndarray, room: int, gap: float
 Bin = list[tuple[int, int, int]]
 
 
-def plan(histogram: dict[int, int], room: int, fill: float = 0.995) -> tuple[list[Pattern], list[int], list[Bin]]:
-    """Patterns, classes of rests that are cut, and the sequences of their parts; every rest is taken once.
+def full_patterns(histogram: dict[int, int], room: int, fill: float = 0.995) -> tuple[list[Pattern], list[tuple[int, int]]]:
+    """Patterns that are full to `fill`, and (class, how many) of all other rests, the longest first.
 
     The program's patterns are used as often as its solution says, rounded down, then once more
-    where the histogram still covers them. Of what is left, first-fit patterns that are full to
-    `fill` are used; the few remaining rests are cut where a sequence ends."""
+    where the histogram still covers them, then first-fit patterns of what is left."""
     size = np.array(sorted(k for k, n in histogram.items() if n), np.int64)
     if not len(size):
-        return [], [], []
+        return [], []
     left = np.array([histogram[int(s)] for s in size], np.int64)
     basis, x = column_generation(size, left.astype(float), room)
     used: dict[tuple, int] = {}
@@ -139,6 +140,8 @@ def plan(histogram: dict[int, int], room: int, fill: float = 0.995) -> tuple[lis
     order = np.argsort(-(x - np.floor(x)), kind="stable")
     for j in order:
         c = columns[:, j]
+        if c @ size < fill * room:
+            continue
         if times := min(int(np.floor(x[j] + 1e-9)), int((left[c > 0] // c[c > 0]).min())):
             use(c, times)
     for j in order:  # the most fractional first
@@ -150,7 +153,15 @@ def plan(histogram: dict[int, int], room: int, fill: float = 0.995) -> tuple[lis
         if c @ size < fill * room:
             break
         use(c, int((left[c > 0] // c[c > 0]).min()))
-    rests = [int(s) for s, n in zip(size[::-1], left[::-1]) for _ in range(n)]
+    return [(n, list(key)) for key, n in used.items()], [(int(s), int(n)) for s, n in zip(size[::-1], left[::-1]) if n]
+
+
+def plan(histogram: dict[int, int], room: int, fill: float = 0.995) -> tuple[list[Pattern], list[int], list[Bin]]:
+    """Patterns, classes of rests that are cut, and the sequences of their parts; every rest is taken once.
+
+    It lists each cut rest, so it is for small tables; layout() has the same by arithmetic on ranks."""
+    patterns, line = full_patterns(histogram, room, fill)
+    rests = [cls for cls, n in line for _ in range(n)]
     bins: list[Bin] = []
     free = 0
     for i, units in enumerate(rests):
@@ -162,7 +173,7 @@ def plan(histogram: dict[int, int], room: int, fill: float = 0.995) -> tuple[lis
             take = min(free, units - at)
             bins[-1].append((i, at, take))
             at, free = at + take, free - take
-    return [(n, list(key)) for key, n in used.items()], rests, bins
+    return patterns, rests, bins
 
 
 # -- pieces -----------------------------------------------------------------------------------
@@ -211,18 +222,19 @@ def pieces(docs: DataFrame, vocabulary: str, separator: str, end_id: int, capaci
 def layout(cut: DataFrame, capacity: int = 2048, grain: int = 4) -> DataFrame:
     """sequence_id and offset of every piece of pieces(), beside its columns but ids, cls and rank.
 
-    A rest that the plan cuts further gives several rows; skip says how many of the piece's tokens
-    come before. The table of patterns is broadcast. It has at most capacity / grain patterns from the basis
-    and about as many from what rounding leaves, of capacity / grain classes each, whatever the input."""
+    A rest that is cut further gives two rows; skip says how many of the piece's tokens come before.
+    The table of patterns is broadcast. It has at most capacity / grain patterns from the basis and about
+    as many from what rounding leaves, of capacity / grain classes each, and a row for each class of
+    the rests laid end to end, whatever the input."""
     spark, room = cut.sparkSession, capacity // grain
     counts = cut.groupBy("shard", "cls").agg(F.count("*").alias("n"))
     run = Window.partitionBy("cls").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "cls", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
     histogram = {r["cls"]: r["n"] for r in counts.groupBy("cls").agg(F.sum("n").alias("n")).collect()}
     full = histogram.pop(0, 0)
-    patterns, rests, bins = plan(histogram, room)
+    patterns, line = full_patterns(histogram, room)
     taken: dict[int, int] = {}
-    entries, sequence = [(0, 0, full, 0, 1, 0, 0, room)], full  # class, ranks, first sequence, how many in each, slot, part
+    entries, sequence = [(0, 0, full, 0, 1, 0, None)], full  # class, ranks, first sequence, how many in each, slot, units before it in the line
 
     def claim(cls: int, n: int) -> int:
         taken[cls] = taken.get(cls, 0) + n
@@ -232,29 +244,39 @@ def layout(cut: DataFrame, capacity: int = 2048, grain: int = 4) -> DataFrame:
         slot = 0
         for cls, count in sorted(items, reverse=True):
             lo = claim(cls, times * count)
-            entries.append((cls, lo, lo + times * count, sequence, count, slot, 0, cls))
+            entries.append((cls, lo, lo + times * count, sequence, count, slot, None))
             slot += count
         sequence += times
-    ranks = [claim(cls, 1) for cls in rests]
-    for own in bins:
-        for slot, (i, at, units) in enumerate(own):
-            entries.append((rests[i], ranks[i], ranks[i] + 1, sequence, 1, slot, at, units))
-        sequence += 1
-    table = F.broadcast(spark.createDataFrame(entries, "cls int, lo bigint, hi bigint, first bigint, per bigint, slot bigint, part int, units int"))
+    units = 0
+    for cls, n in line:
+        lo = claim(cls, n)
+        entries.append((cls, lo, lo + n, sequence, 1, 0, units))
+        units += cls * n
+    table = F.broadcast(spark.createDataFrame(entries, "cls int, lo bigint, hi bigint, first bigint, per bigint, slot bigint, origin bigint"))
     meta = cut.drop("ids").join(base, ["shard", "cls"]).withColumn("at", F.col("rank") + F.col("before"))
-    skip = F.col("part") * grain
+    nth, whole = F.col("at") - F.col("lo"), F.when(meta["cls"] == 0, room).otherwise(meta["cls"]).cast("long")
+    start = F.col("origin") + nth * meta["cls"]  # of a rest in the line, in units
+    own = F.least(whole, room - start % room)
+    sequence_id = (F.col("first") + F.floor(start / room)).cast("long")
+
+    def part(skip, units, sequence_id, slot):
+        return F.struct(*[c.cast("long").alias(name) for c, name in ((skip, "skip"), (units, "units"), (sequence_id, "sequence_id"), (slot, "slot"))])
+
+    uncut = F.array(part(F.lit(0), whole, F.col("first") + F.floor(nth / F.col("per")), F.col("slot") + nth % F.col("per")))
+    two = F.array(part(F.lit(0), own, sequence_id, start % room), part(own, whole - own, sequence_id + 1, F.lit(0)))
+    parts = F.when(F.col("origin").isNull(), uncut).otherwise(F.filter(two, lambda x: x["units"] > 0))
+    skip = F.col("p.skip") * grain
+    names = [c for c in cut.columns if c not in ("ids", "cls", "rank", "start", "length")]
     placed = meta.join(table, (meta["cls"] == table["cls"]) & (meta["at"] >= table["lo"]) & (meta["at"] < table["hi"])).select(
-        *[meta[c] for c in cut.columns if c not in ("ids", "cls", "rank", "start", "length")],
-        (F.col("start") + skip).alias("start"), F.least(F.col("length") - skip, F.col("units") * grain).cast("int").alias("length"),
-        skip.alias("skip"), (F.col("units") < meta["cls"]).alias("is_part"),
-        (F.col("first") + F.floor((F.col("at") - F.col("lo")) / F.col("per"))).alias("sequence_id"),
-        (F.col("slot") + (F.col("at") - F.col("lo")) % F.col("per")).alias("slot"))
+        *[meta[c] for c in names], meta["start"], meta["length"], whole.alias("whole"), F.explode(parts).alias("p")).select(
+        *names, (F.col("start") + skip).alias("start"), F.least(F.col("length") - skip, F.col("p.units") * grain).cast("int").alias("length"),
+        skip.alias("skip"), (F.col("p.units") < F.col("whole")).alias("is_part"), "p.sequence_id", "p.slot")
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("slot")
 
 
 def _part(ids: str):
-    return F.substring(F.col(ids), F.col("skip") * 4 + 1, F.col("length") * 4)
+    return F.substring(F.col(ids), (F.col("skip") * 4 + 1).cast("int"), F.col("length") * 4)
 
 
 def sequences(cut: DataFrame, placed: DataFrame) -> DataFrame:
@@ -265,15 +287,16 @@ def sequences(cut: DataFrame, placed: DataFrame) -> DataFrame:
     return packed.select("sequence_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"), F.transform("p", lambda x: x.dropFields("ids")).alias("docs"))
 
 
-def digest(docs: DataFrame, vocabulary: str, separator: str, end_id: int = 1, capacity: int = 2048) -> DataFrame:
+def digest(docs: DataFrame, vocabulary: str, separator: str, end_id: int = 1, capacity: int = 2048, few: int = 200_000) -> DataFrame:
     """Pieces with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     The checksums are taken from the ids in the written pieces. Those of parts need their piece's
-    ids once more; the plan cuts so few rests (its bound does not grow) that they are broadcast to them."""
+    ids once more: up to `few` parts are broadcast to them, more are joined by merge."""
     cut = pieces(docs, vocabulary, separator, end_id, capacity)
     placed = common.written(layout(cut.withColumn("ids_crc32", F.crc32("ids")), capacity), "layout")
     keys = ["shard", "row", "piece"]
-    parts = placed.filter("is_part")
-    again = cut.filter("cls > 0").select(*keys, "ids").join(F.broadcast(parts), keys).withColumn("ids_crc32", F.crc32(_part("ids"))).select(*placed.columns)
+    parts = placed.filter("is_part").drop("ids_crc32")
+    parts = F.broadcast(parts) if parts.count() <= few else parts.hint("merge")
+    again = cut.filter("cls > 0").select(*keys, "ids").join(parts, keys).withColumn("ids_crc32", F.crc32(_part("ids"))).select(*placed.columns)
     out = placed.filter("not is_part").unionByName(again)
     return out.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")

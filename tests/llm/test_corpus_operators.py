@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -191,6 +192,36 @@ def test_packing_plan_is_tight():
         assert covers(few, 512) * sum(c * k for c, k in few.items()) / 512 <= sum(c * k for c, k in few.items()) / 512 * 1.03 + 1
 
 
+def test_rests_over_half_a_sequence_are_cut(spark):
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1025, 1401, 3000).tolist()
+    seen, rows = {}, []
+    for i, n in enumerate(lengths):
+        key = (i % 3, -(-n // 4))
+        rows.append((i % 3, i, 0, i, 0, n, n, key[1], seen.get(key, 0)))
+        seen[key] = seen.get(key, 0) + 1
+    cut = spark.createDataFrame(rows, packing.PIECES.replace(", ids binary", ""))
+    got = packing.layout(cut).toPandas()
+    for _, own in got.sort_values("start").groupby("doc_id"):
+        assert (own.length.cumsum() - own.length == own.start).all() and own.length.sum() == lengths[own.doc_id.iloc[0]] and (own.length > 0).all()
+    for _, own in got.sort_values("offset").groupby("sequence_id"):
+        assert (own.length.cumsum() - own.length == own.offset).all() and own.length.sum() <= 2048
+    assert got.sequence_id.nunique() * 2048 <= 1.01 * sum(lengths)
+    assert covers({k: 10 for k in range(257, 351)}, 512) <= 1.01
+
+
+def test_checksums_of_many_parts(spark):
+    docs = table(spark, [(i, f"a{i} b " * 400) for i in range(40)])
+    cut = [packing.digest(docs, P.path("word_bpe_49k.json"), " ~ ", few=few).toPandas() for few in (0, 200_000)]
+    keys = ["doc_id", "start"]
+    assert cut[0].sort_values(keys).reset_index(drop=True).equals(cut[1].sort_values(keys).reset_index(drop=True))
+    raw = {r.doc_id: bytes(r.ids) for r in packing.pieces(docs, P.path("word_bpe_49k.json"), " ~ ", 1).filter("start = 0").collect()}
+    assert len(cut[0]) > 40
+    for r in cut[0].itertuples():
+        if r.start + r.length <= 2048:
+            assert r.ids_crc32 == zlib.crc32(raw[r.doc_id][4 * r.start : 4 * (r.start + r.length)])
+
+
 def covers(histogram, room):
     """Checks that a plan takes each rest once and whole; its sequences over what the tokens need."""
     patterns, rests, bins = packing.plan(histogram, room)

@@ -65,12 +65,14 @@ def _first_fit(size: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
     return count
 
 
-def _start(size: np.ndarray, need: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """A feasible basis: first-fit patterns, each used until a class runs out, which becomes its row.
+def _start(size: np.ndarray, need: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A feasible basis, its use and its inverse: first-fit patterns, each used until a class runs out, which becomes its row.
 
-    A pattern has no class that ran out before, so the matrix is triangular in that order."""
+    A pattern has no class that ran out before, so the matrix is triangular in that order and its
+    inverse follows row by row. Nothing here calls LAPACK or threaded BLAS: after a session has
+    started, those can hang in the driver's process."""
     m = len(size)
-    basis, x, left = np.zeros((m, m)), np.zeros(m), need.astype(float)
+    basis, x, left, order = np.zeros((m, m)), np.zeros(m), need.astype(float), []
     open_ = left > 1e-9
     while open_.any():
         c = _first_fit(size, np.where(open_, np.ceil(left), 0).astype(np.int64), room).astype(float)
@@ -83,8 +85,16 @@ def _start(size: np.ndarray, need: np.ndarray, room: int) -> tuple[np.ndarray, n
             left[k] = 0
             if k != r:
                 basis[k, k] = room // size[k]
+        order += [r, *(k for k in np.flatnonzero(gone).tolist() if k != r)]
         open_ &= ~gone
-    return basis, x
+    inverse = np.zeros((m, m))
+    for i, r in enumerate(order):
+        before = np.array(order[:i], np.int64)
+        before = before[basis[r, before] != 0]
+        inverse[r] = -(basis[r, before][:, None] * inverse[before]).sum(0)
+        inverse[r, r] += 1
+        inverse[r] /= basis[r, r]
+    return basis, x, inverse
 
 
 def column_generation(size: np.ndarray, need: np.ndarray, room: int, gap: float = 2e-3, most: int = 600) -> tuple[np.ndarray, np.ndarray]:
@@ -92,16 +102,15 @@ def column_generation(size: np.ndarray, need: np.ndarray, room: int, gap: float
 
     Ends when no column prices out, when the bound `value / best price` or the tokens themselves show
     the value within `gap` of the optimum, or after `most` pivots; what it has then is feasible."""
-    basis, x = _start(size, need, room)
-    inverse = np.linalg.inv(basis)
-    floor = float(size @ need) / room
+    basis, x, inverse = _start(size, need, room)
+    floor = float((size * need).sum()) / room
     for _ in range(most):
         if x.sum() <= floor * (1 + gap):
             break
         value, column = _knapsack(inverse.sum(0), size, room)
         if value <= 1 + gap:
             break
-        step = inverse @ column
+        step = (inverse * column).sum(1)
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         r = int(np.argmin(ratio))
         theta = ratio[r]
@@ -140,17 +149,17 @@ def full_patterns(histogram: dict[int, int], room: int, fill: float = 0.995) ->
     order = np.argsort(-(x - np.floor(x)), kind="stable")
     for j in order:
         c = columns[:, j]
-        if c @ size < fill * room:
+        if int((c * size).sum()) < fill * room:
             continue
         if times := min(int(np.floor(x[j] + 1e-9)), int((left[c > 0] // c[c > 0]).min())):
             use(c, times)
     for j in order:  # the most fractional first
         c = columns[:, j]
-        if c @ size >= fill * room and (left[c > 0] >= c[c > 0]).all():
+        if int((c * size).sum()) >= fill * room and (left[c > 0] >= c[c > 0]).all():
             use(c, 1)
     while left.any():
         c = _first_fit(size, left, room)
-        if c @ size < fill * room:
+        if int((c * size).sum()) < fill * room:
             break
         use(c, int((left[c > 0] // c[c > 0]).min()))
     return [(n, list(key)) for key, n in used.items()], [(int(s), int(n)) for s, n in zip(size[::-1], left[::-1]) if n]

@@ -3,9 +3,10 @@
 The vocabularies used here split a text before white space, and between a letter and a
 punctuation mark, before they do anything else. So the ids of a text are the ids of its pieces
 in order. A piece is encoded by the library when a worker first meets it; later it is found by
-two 64-bit hashes, computed for all pieces of a batch at once. Texts with white space outside
+two 64-bit hashes, computed for all pieces of a batch at once, and its bytes are compared with
+those remembered, so pieces of equal hashes are told apart. Texts with white space outside
 ASCII, or with characters whose normal form depends on what stands before, go through the
-library as a whole."""
+library as a whole. So does every text of a vocabulary that fails a trial of the cuts."""
 
 from __future__ import annotations
 
@@ -24,6 +25,25 @@ _KIND[[0, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xCE, 0xE1, 0xE2, 0xE3]] = _LEAD
 #: First bytes of UTF-8 sequences that make a text take the whole way (after _LEAD).
 _ODD = (b"\x00", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xce\xa3", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _BLOCK = 1 << 20
+#: What the cuts are tried on: every kind of cut beside every kind of sign.
+_TRIAL = "".join(f"{a}{b}{c}x" for a in ("word", "Z", "9", "é", "²", "'s", "\n", " ", "..") for b in (" ", "  ", "\t", "\r\n", ",", ".", "!", "?", ";", ":", "|", "$", "%", "&", "*", "(", ")") for c in ("a", "7", "ß", "-", "", " b"))
+
+
+class _Pool:
+    """A growing array; stretches of it are added and taken."""
+
+    def __init__(self, kind: type):
+        self.data, self.filled = np.zeros(1 << 20, kind), 0
+
+    def add(self, values: np.ndarray) -> int:
+        while self.filled + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        base, self.filled = self.filled, self.filled + len(values)
+        self.data[base : self.filled] = values
+        return base
+
+    def take(self, off: np.ndarray, cnt: np.ndarray) -> np.ndarray:
+        return self.data[_ragged(off, cnt)]
 
 
 class _Hashes:
@@ -52,7 +72,8 @@ class _Hashes:
 
 class Encoder:
     """separator: a text that the vocabulary always encodes as the one id separator_id when it
-    stands between two pieces. most: pieces remembered; beyond it those not met again go."""
+    stands between two pieces. most: pieces remembered, of 32 bytes on average; beyond it those
+    not met again go."""
 
     def __init__(self, path: str, separator: str, most: int = 1 << 20):
         from tokenizers import Tokenizer
@@ -63,14 +84,18 @@ class Encoder:
         (self.separator_id,) = self.model.encode(separator, add_special_tokens=False).ids
         self.one, self.two = _Hashes(1), _Hashes(2)
         self._clear()
+        self.cuts = True
+        raw = np.frombuffer(_TRIAL.encode(), np.uint8)
+        self.cuts = np.array_equal(self.encode(raw, np.array([0, len(raw)]))[0], self.whole([_TRIAL])[0])
 
     def _clear(self) -> None:
         size = 1 << (2 * self.most - 1).bit_length()
         self.shift, self.mask = np.uint64(65 - size.bit_length()), size - 1
         self.k1, self.k2 = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-        self.off, self.cnt = np.zeros(size, np.int64), np.zeros(size, np.int32)
+        self.off, self.cnt = np.zeros(size, np.int64), np.zeros(size, np.int32)  # of its ids
+        self.at, self.length = np.zeros(size, np.int64), np.zeros(size, np.int32)  # of its bytes
         self.again = np.zeros(size, bool)
-        self.pool, self.filled, self.entries = np.zeros(1 << 20, np.uint32), 0, 0
+        self.ids, self.raw, self.entries = _Pool(np.uint32), _Pool(np.uint8), 0
 
     def _find(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 for unknown ones."""
@@ -84,40 +109,40 @@ class Encoder:
             at, slot = at[on], (slot[on] + 1) & self.mask
         return found
 
-    def _put(self, k1: np.ndarray, k2: np.ndarray, off: np.ndarray, cnt: np.ndarray) -> None:
-        """Add distinct keys that are not there yet."""
+    def _put(self, k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, cnt: np.ndarray, raw: np.ndarray, length: np.ndarray) -> None:
+        """Add distinct keys that are not there yet, with their ids and bytes one behind the other."""
+        off, place = self.ids.add(ids) + np.cumsum(cnt) - cnt, self.raw.add(raw) + np.cumsum(length) - length
         at, slot = np.arange(len(k1)), (k1 >> self.shift).astype(np.int64)
         while len(at):
             free = self.k1[slot] == 0
             self.k1[slot[free]], self.k2[slot[free]] = k1[at[free]], k2[at[free]]
             mine = free & (self.k1[slot] == k1[at]) & (self.k2[slot] == k2[at])
-            self.off[slot[mine]], self.cnt[slot[mine]] = off[at[mine]], cnt[at[mine]]
+            to, of = slot[mine], at[mine]
+            self.off[to], self.cnt[to], self.at[to], self.length[to] = off[of], cnt[of], place[of], length[of]
             at, slot = at[~mine], (slot[~mine] + 1) & self.mask
         self.entries += len(k1)
 
+    def _full(self, more: int, more_bytes: int) -> bool:
+        return self.entries + more > self.most or self.raw.filled + more_bytes > 32 * self.most
+
     def _shrink(self) -> None:
         """Forget all pieces but those met again, and of these all beyond half of `most`."""
         keep = np.flatnonzero(self.again)[: self.most // 2]
-        k1, k2, cnt = self.k1[keep], self.k2[keep], self.cnt[keep]
-        ids = self.pool[_ragged(self.off[keep], cnt)]
+        keep = keep[np.cumsum(self.length[keep]) <= 16 * self.most]
+        k1, k2, cnt, length = self.k1[keep], self.k2[keep], self.cnt[keep], self.length[keep]
+        ids, raw = self.ids.take(self.off[keep], cnt), self.raw.take(self.at[keep], length)
         self._clear()
-        self._grow(ids)
-        self._put(k1, k2, np.cumsum(cnt) - cnt, cnt)
-
-    def _grow(self, ids: np.ndarray) -> None:
-        while self.filled + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.filled : self.filled + len(ids)] = ids
-        self.filled += len(ids)
+        self._put(k1, k2, ids, cnt, raw, length)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> None:
+    def _by_library(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of pieces, and how many each has, from the library: plain pieces in one text, the others alone."""
+        raw = data.tobytes()
         pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())]
         plain = np.array([self.mark not in p and not p[-1:].isspace() for p in pieces], bool)
         cnt, parts = np.zeros(len(pieces), np.int64), [np.empty(0, np.uint32)]
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
         if plain.any():
             joined = self.whole([self.separator.join([p for p, ok in zip(pieces, plain) if ok])])[0]
             cuts = np.flatnonzero(joined == self.separator_id)
@@ -125,36 +150,52 @@ class Encoder:
                 cnt[plain] = np.diff(np.concatenate([[-1], cuts, [len(joined)]])) - 1
                 parts.append(joined[joined != self.separator_id])
             else:
-                plain[:], order = False, np.arange(len(pieces))
+                plain[:] = False
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
         if not plain.all():
             alone = self.whole([p for p, ok in zip(pieces, plain) if not ok])
             cnt[~plain] = [len(x) for x in alone]
             parts += alone
-        ids, cnt, k1, k2 = np.concatenate(parts), cnt[order], k1[order], k2[order]
-        base = self.filled
-        self._grow(ids)
-        self._put(k1, k2, base + np.cumsum(cnt) - cnt, cnt)
+        off = np.empty(len(pieces), np.int64)
+        off[order] = np.cumsum(cnt[order]) - cnt[order]
+        return np.concatenate(parts)[_ragged(off, cnt)], cnt
 
     def _pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of consecutive pieces, and how many each has."""
         a, n = int(start[0]), int(end[-1])
-        part = data[a:n]
-        k1 = self.one.stretches(part, start - a, end - a) | np.uint64(1)
-        k2 = self.two.stretches(part, start - a, end - a)
+        part, start, end = data[a:n], start - a, end - a
+        k1 = self.one.stretches(part, start, end) | np.uint64(1)
+        k2 = self.two.stretches(part, start, end)
         slot = self._find(k1, k2)
         self.again[slot[slot >= 0]] = True
         shrunk = False
         while len(new := np.flatnonzero(slot < 0)):
-            _, first = np.unique(k1[new] ^ (k2[new] << np.uint64(1)), return_index=True)
+            _, first = np.unique(k1[new] ^ (k2[new] << np.uint64(1)), return_index=True)  # pieces this merges come in a later round
             new = new[first]
-            if not shrunk and self.entries + len(new) > self.most:
+            size = end[new] - start[new]
+            if not shrunk and self._full(len(new), int(size.sum())):
                 self._shrink()  # takes known pieces of this block, too, so look again
                 shrunk = True
             else:
-                self._learn(part.tobytes(), start[new] - a, end[new] - a, k1[new], k2[new])
+                self._put(k1[new], k2[new], *self._by_library(part, start[new], end[new]), part[_ragged(start[new], size)], size)
             slot = self._find(k1, k2)
-        cnt = self.cnt[slot]
-        return self.pool[_ragged(self.off[slot], cnt)], cnt
+        size, cnt = end - start, self.cnt[slot].astype(np.int64)
+        other = self.length[slot] != size
+        if not other.any():
+            wrong = self.raw.take(self.at[slot], size) != part
+            if not wrong.any():
+                return self.ids.take(self.off[slot], cnt), cnt
+            other[np.searchsorted(start, np.flatnonzero(wrong), "right") - 1] = True
+        else:
+            other = np.array([not np.array_equal(self.raw.data[x : x + m], part[b:e]) for x, m, b, e in zip(self.at[slot].tolist(), self.length[slot].tolist(), start.tolist(), end.tolist())], bool)
+        odd = np.flatnonzero(other)  # pieces whose hashes are another piece's
+        cnt[odd] = 0
+        known = np.split(self.ids.take(self.off[slot], cnt), np.cumsum(cnt)[:-1])
+        ids, of = self._by_library(part, start[odd], end[odd])
+        for i, own in zip(odd.tolist(), np.split(ids, np.cumsum(of)[:-1])):
+            known[i] = own
+        cnt[odd] = of
+        return np.concatenate(known), cnt
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of the texts data[offsets[i]:offsets[i + 1]] (UTF-8), one behind the other, and the ids' own offsets."""
@@ -162,7 +203,7 @@ class Encoder:
         data, offsets = data[lo : int(offsets[-1])], np.asarray(offsets, np.int64) - lo
         lengths = np.zeros(n_docs, np.int64)
         kind = _KIND[data]
-        odd = self._odd(data, kind, offsets)
+        odd = self._odd(data, kind, offsets) if self.cuts else set(range(n_docs))
         cut = np.zeros(len(data) + 1, bool)
         if len(data):
             cut[1:-1] = ((kind[1:] == _WHITE) & (kind[:-1] != _WHITE)) | ((kind[1:] == _MARK) & (kind[:-1] == _LETTER))

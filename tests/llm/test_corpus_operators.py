@@ -69,6 +69,18 @@ def test_token_encoder_forgets_without_loss(most):
         assert all(ids[at[i] : at[i + 1]].tolist() == w.ids for i, w in enumerate(want[lo : lo + 20]))
 
 
+def test_pieces_of_equal_hashes_are_told_apart():
+    """Thue-Morse words and their complements collide under any polynomial hash modulo 2**64."""
+    morse = lambda x, y: "".join(x if i.bit_count() % 2 == 0 else y for i in range(2048))
+    texts = [morse("a", "b"), morse("b", "a"), f"x {morse('a', 'b')} y", f"q {morse('b', 'a')} z, {morse('a', 'b')}"]
+    for file, separator in (("byte_bpe_50k.json", "\n"), ("word_bpe_49k.json", " ~ ")):
+        enc = tokens.Encoder(P.path(file), separator)
+        want = [w.ids for w in enc.model.encode_batch(texts, add_special_tokens=False)]
+        for _ in range(2):
+            ids, at = enc.encode(*tokens.utf8(pa.array(texts)))
+            assert enc.cuts and [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == want
+
+
 def test_op1_edges(awkward, empty):
     got = simple8b.digest(awkward, P.path("byte_bpe_50k.json")).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, None, 1, 2, 2, 2, 5, 7, 8, 9, 10, 11]
@@ -182,7 +194,10 @@ def test_op6_edges(awkward, empty):
     assert sum(len(r.ids) // 4 for r in packed) == got.length.sum()
 
 
-def test_packing_plan_is_tight():
+def test_packing_plan_is_tight(spark):
+    assert spark.range(10).mapInPandas(lambda it: it, "id long").count() == 10  # the plan must work beside a session
+    basis, x, inverse = packing._start(np.arange(1, 513), np.arange(512, 0, -1).astype(float), 512)
+    assert np.allclose(np.einsum("ij,jk->ik", basis, inverse), np.eye(512)) and np.allclose((basis * x).sum(1), np.arange(512, 0, -1))
     rng = np.random.default_rng(1)
     histogram = {int(c): int(n) for c, n in zip(range(1, 513), rng.integers(0, 400, 512))}
     assert covers(histogram, 512) <= 1.02

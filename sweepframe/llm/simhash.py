@@ -7,12 +7,20 @@ probed). Which part gets which threshold is settled by dynamic programming on ca
 taken from exact histograms of all fingerprints. Rows that share a probe key meet in a bucket,
 and every candidate is verified on all 64 bits there.
 
+A row is dealt to all values within ceil(t / 2) bits of its part: of two rows that differ in t bits
+of a part, one meets the other half way.
+
 Exact copies share a fingerprint, so the search runs on distinct fingerprints. A bucket gives a
 forest of links, not all its pairs; buckets beyond a limit are cut by the same principle on
-the bits left, and, if one still is too large, compared block by block over many tasks."""
+the bits left (or, where rows have sizes, by classes of size) and, if one still is too large,
+compared block by block over many tasks.
+
+components() links by fingerprints alone. near_copies() takes a wider distance for its candidates
+and verifies every link by the similarity of the texts' word shingles."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -122,6 +130,11 @@ def _mask(bits: list[int]) -> int:
     return sum(1 << b for b in bits)
 
 
+def _radius(t: int) -> int:
+    """How far a row is dealt so that rows which differ in t bits meet half way."""
+    return (t + 1) // 2
+
+
 def _flips(bits: list[int], t: int) -> list[int]:
     return [_mask(list(c)) for k in range(t + 1) for c in combinations(bits, k)]
 
@@ -130,15 +143,16 @@ def thresholds_of(sizes: list[np.ndarray], distance: int, row_cost: float = 100.
     """Thresholds with sum(t + 1) = distance + 1 and the least estimated work.
 
     sizes[i] has the rows of every value of part i (bits packed). With threshold t each row is
-    dealt to all values within t bits; the work is the comparisons within buckets and the rows
-    moved."""
+    dealt to all values within ceil(t / 2) bits; the work is the comparisons within buckets and
+    the rows moved. Radii beyond two bits are too dear to be considered."""
     cost = []
     for cnt in sizes:
         width, own, ball = int(len(cnt)).bit_length() - 1, [0.0], cnt.astype(np.float64)
-        for t in range(distance + 1):
-            if t:
-                ball = ball + sum(cnt[np.arange(len(cnt)) ^ f] for f in _flips(list(range(width)), t)[sum(comb(width, k) for k in range(t)) :])
-            own.append(float((ball * ball).sum()) / 2 + row_cost * float(ball.sum()))
+        for r in range(min(2, _radius(distance)) + 1):
+            if r:
+                ball = ball + sum(cnt[np.arange(len(cnt)) ^ f] for f in _flips(list(range(width)), r)[sum(comb(width, k) for k in range(r)) :])
+            own += [float((ball * ball).sum()) / 2 + row_cost * float(ball.sum())] * (2 if r else 1)
+        own += [float("inf")] * (distance + 2 - len(own))
         cost.append(own)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for own in cost:
@@ -193,34 +207,98 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray, distance: int, small: int = 1
     return np.concatenate(a or [fp[:0]]), np.concatenate(b or [fp[:0]])
 
 
-def _links(rows: DataFrame, distance: int) -> DataFrame:
-    """a, b: links of rows(key, fp), bucket by bucket. A task keeps one bucket and one batch in memory."""
+def _near_rows(key: np.ndarray, fp: np.ndarray, ids: np.ndarray, size: np.ndarray, distance: int, ratio: float, most: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of ids in buckets of rows sorted by key and size.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-        def out(k, f):
-            a, b = _bucket_links(k, f, distance)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    A pair counts if its bits differ in at most `distance` places and the lesser size is `ratio` of
+    the other or more. A bucket with more than `most` pairs a row gives each row's two nearest
+    neighbours and a forest that connects what all the pairs connect; ties go to the lesser id, so
+    a group that meets in many buckets gives much the same pairs in each."""
+    edge = np.flatnonzero(np.diff(key)) + 1
+    start = np.concatenate([[0], edge])
+    rows = np.diff(np.concatenate([start, [len(key)]]))
+    bucket, pairs = np.repeat(np.arange(len(start)), rows), np.zeros(len(start), np.int64)
+    a, b, at, d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(key)), 0
+    while len(at):
+        d += 1
+        at = at[at + d < len(key)]
+        at = at[(bucket[at] == bucket[at + d]) & (size[at] >= ratio * size[at + d])]  # sizes ascend, so a pair that fails stays out
+        hit = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= distance]
+        pairs += np.bincount(bucket[hit], minlength=len(start))
+        at = at[pairs[bucket[at]] <= most * rows[bucket[at]]]
+        a.append(hit)
+        b.append(hit + d)
+    x, y = np.concatenate(a), np.concatenate(b)
+    dense = pairs > most * rows
+    keep = ~dense[bucket[x]]
+    a, b = [ids[x[keep]]], [ids[y[keep]]]
+    for k in np.flatnonzero(dense).tolist():
+        lo, hi = int(start[k]), int(start[k] + rows[k])
+        order = lo + np.argsort(ids[lo:hi], kind="stable")
+        for i, j in _dense_pairs(fp[order], size[order].astype(np.float32), distance, ratio):
+            a.append(ids[order[i]])
+            b.append(ids[order[j]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _dense_pairs(fp: np.ndarray, size: np.ndarray, distance: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A forest over the rows of one bucket, and the two nearest neighbours of each, by row numbers."""
+    n = len(fp)
+    free, queue = np.arange(n), []
+    while len(free):
+        if not queue:
+            queue, free = [int(free[0])], free[1:]
+        i = queue.pop(0)
+        near = (np.bitwise_count(fp[free] ^ fp[i]) <= distance) & (np.minimum(size[free], size[i]) >= ratio * np.maximum(size[free], size[i]))
+        got, free = free[near], free[~near]
+        queue.extend(got.tolist())
+        yield np.full(len(got), i), got
+    for lo in range(0, n, 256):
+        far = np.bitwise_count(fp[lo : lo + 256, None] ^ fp)
+        w = size[lo : lo + 256, None]
+        far[(np.minimum(w, size) < ratio * np.maximum(w, size))] = 99
+        mine = np.arange(len(far))
+        far[mine, lo + mine] = 99
+        for _ in range(2):
+            nearest = far.argmin(1)
+            ok = np.flatnonzero(far[mine, nearest] <= distance)
+            yield lo + ok, nearest[ok]
+            far[mine, nearest] = 99
+
+
+def _links(rows: DataFrame, distance: int, ratio: float) -> DataFrame:
+    """a, b: links of rows(key, fp) or candidate pairs of rows(key, fp, id, size), bucket by bucket.
+
+    A task keeps one bucket and one batch in memory."""
+    names = [c for c in ("key", "fp", "id", "size") if c in rows.columns]
+
+    def out(key, fp, *more):
+        if more:
+            a, b = _near_rows(key, fp.view(np.uint64), *more, distance, ratio)
+        else:
+            a, b = (v.view(np.int64) for v in _bucket_links(key, fp.view(np.uint64), distance))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64) for _ in names]
         for batch in batches:
-            key = np.concatenate([key, batch.column("key").to_numpy()])
-            fp = np.concatenate([fp, batch.column("fp").to_numpy().view(np.uint64)])
-            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names)]
+            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if last:
-                yield out(key[:last], fp[:last])
-                key, fp = key[last:], fp[last:]
-        if len(key):
-            yield out(key, fp)
+                yield out(*[h[:last] for h in held])
+                held = [h[last:] for h in held]
+        if len(held[0]):
+            yield out(*held)
 
     n = common.partitions(rows.sparkSession)
-    return rows.select("key", "fp").repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(run, "a bigint, b bigint")
+    return rows.select(*names).repartition(n, "key").sortWithinPartitions("key", names[-1]).mapInArrow(run, "a bigint, b bigint")
 
 
-def links(nodes: DataFrame, distance: int = 3, parts: int = 4, limit: int = 2048) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 3, parts: int = 4, limit: int = 2048, ratio: float = 0.0) -> DataFrame:
     """Links a, b between distinct fingerprints nodes(fp) that connect whatever `distance` bits connect.
 
-    limit: rows of a bucket that one task compares; larger buckets are cut on the bits left and
+    Of nodes(fp, id, size) it gives candidate pairs of ids, some of them more than once, that
+    connect what `distance` bits and sizes within `ratio` of each other connect. limit: rows of a bucket that one task compares; larger buckets are cut on the bits left and
     then compared block by block, so no case is dropped. The histograms on the driver have at most
     parts * 2**(64 / parts) entries, whatever the input."""
     if 64 % parts or 64 // parts > 16:
@@ -228,6 +306,7 @@ def links(nodes: DataFrame, distance: int = 3, parts: int = 4, limit: int = 2048
     both, n = _pair_counts(nodes)
     cut = parts_of(both, n, parts)
     masks = [_mask(p) for p in cut]
+    more = [c for c in ("id", "size") if c in nodes.columns]
     probes = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks)])
     hist = nodes.select(F.explode(probes).alias("p")).groupBy("p.part", "p.value").count().collect()
     sizes = [np.zeros(1 << len(p), np.int64) for p in cut]
@@ -243,39 +322,44 @@ def links(nodes: DataFrame, distance: int = 3, parts: int = 4, limit: int = 2048
         if t[i] < 0:
             continue
         width, ball = len(cut[i]), np.zeros_like(sizes[i])
-        for f in _flips(list(range(width)), t[i]):
+        for f in _flips(list(range(width)), _radius(t[i])):
             ball += sizes[i][np.arange(1 << width) ^ f]
         for v in np.flatnonzero(ball > limit).tolist():
             hot.append((i, _signed(sum(1 << b for k, b in enumerate(cut[i]) if v >> k & 1))))
         own = F.col("fp").bitwiseAND(F.lit(_signed(m)))
-        values = F.array(*[own.bitwiseXOR(F.lit(_signed(f))) for f in _flips(cut[i], t[i])])
-        keyed.append(nodes.select("fp", F.lit(i).alias("part"), F.explode(values).alias("value")))
+        values = F.array(*[own.bitwiseXOR(F.lit(_signed(f))) for f in _flips(cut[i], _radius(t[i]))])
+        keyed.append(nodes.select("fp", *more, F.lit(i).alias("part"), F.explode(values).alias("value")))
     rows = keyed[0]
-    for more in keyed[1:]:
-        rows = rows.unionByName(more)
+    for own in keyed[1:]:
+        rows = rows.unionByName(own)
     key = F.xxhash64("part", "value")
     if not hot:
-        return _links(rows.select("fp", key.alias("key")), distance)
+        return _links(rows.select("fp", *more, key.alias("key")), distance, ratio)
     spark = nodes.sparkSession
     listed = F.broadcast(spark.createDataFrame(hot, "part int, value bigint"))  # at most parts * 2**16 rows
-    cool = rows.join(listed, ["part", "value"], "left_anti").select("fp", key.alias("key"))
-    warm = rows.join(listed, ["part", "value"], "left_semi")
-    subs = []
-    for i, m in enumerate(masks):
-        rest = [b for b in range(64) if not m >> b & 1]
-        subs.append(F.array(*[F.struct(F.lit(s).alias("sub"), F.col("fp").bitwiseAND(F.lit(_signed(_mask(rest[s :: distance + 1])))).alias("rest")) for s in range(distance + 1)]))
-    which = F.when(F.col("part") == 0, subs[0])
-    for i in range(1, parts):
-        which = which.when(F.col("part") == i, subs[i])
-    cutter = common.written(warm.select("fp", key.alias("k1"), F.explode(which).alias("s")).select("fp", F.xxhash64("k1", "s.sub", "s.rest").alias("key")), "simhash-second")
+    cool = rows.join(listed, ["part", "value"], "left_anti").select("fp", *more, key.alias("key"))
+    warm = rows.join(listed, ["part", "value"], "left_semi").withColumn("k0", key)
+    if more:  # sizes apart by more than `ratio` don't meet: rows go to their own class of sizes and the one below
+        step = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / -math.log(ratio)).cast("int")
+        second = warm.select("fp", *more, "k0", F.explode(F.array(step, step - 1)).alias("class")).select("fp", *more, F.xxhash64("k0", "class").alias("key"))
+    else:
+        subs = []
+        for m in masks:
+            rest = [b for b in range(64) if not m >> b & 1]
+            subs.append(F.array(*[F.struct(F.lit(s).alias("sub"), F.col("fp").bitwiseAND(F.lit(_signed(_mask(rest[s :: distance + 1])))).alias("rest")) for s in range(distance + 1)]))
+        which = F.when(F.col("part") == 0, subs[0])
+        for i in range(1, parts):
+            which = which.when(F.col("part") == i, subs[i])
+        second = warm.select("fp", "k0", F.explode(which).alias("s")).select("fp", F.xxhash64("k0", "s.sub", "s.rest").alias("key"))
+    cutter = common.written(second, "simhash-second")
     large = cutter.groupBy("key").count().filter(F.col("count") > limit)
-    cool = cool.unionByName(cutter.join(large, "key", "left_anti").select("fp", "key"))
+    cool = cool.unionByName(cutter.join(large, "key", "left_anti").select("fp", *more, "key"))
     blocks = F.ceil(F.col("count") / F.lit(limit)).cast("int")
-    own_block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own_block = F.pmod(F.xxhash64("fp", *more), F.col("blocks")).cast("int")
     dealt = cutter.join(large, "key").withColumn("blocks", blocks).withColumn("mine", own_block)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("fp", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
-    return _links(cool.unionByName(dealt), distance)
+    dealt = dealt.select("fp", *more, F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
+    return _links(cool.unionByName(dealt), distance, ratio)
 
 
 # -- components -------------------------------------------------------------------------------
@@ -315,3 +399,113 @@ def components(docs: DataFrame, distance: int = 3, shingle: int = 3, seed: int =
     alone = nodes.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("rep").alias("component_id"))
     of = common.written(linked.unionByName(alone), "components-of")
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+# -- near copies ------------------------------------------------------------------------------
+
+
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The distinct XXH64 hashes, sorted, of a text's word shingles; the whole text if it has fewer words, none without words."""
+    import xxhash
+
+    line = b" ".join(text.lower().split())
+    if not line:
+        return np.empty(0, np.int64)
+    ends = [*np.flatnonzero(np.frombuffer(line, np.uint8) == 32).tolist(), len(line)]
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    k = min(words, len(ends))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b]) for a, b in zip(starts, ends[k - 1 :])), np.uint64, len(ends) - k + 1).view(np.int64))
+
+
+def _distinct(words: list[bytes], k: int) -> int:
+    """How many different shingles of k words there are, by hashes that hold within one process."""
+    k = min(k, len(words))
+    if not k:
+        return 0
+    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    n, out = len(h) - k + 1, np.zeros(len(h) - k + 1, np.uint64)
+    for j in range(k):
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+    return len(np.unique(out))
+
+
+def _prints(docs: DataFrame, words: int, shingle: int) -> DataFrame:
+    """doc_id, row (a hash of doc_id and text), node (a hash of the text's words), fp and size of every row."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = utf8(b.column("text"))
+            raw, node, fps, size = memoryview(data), [], [], []
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                text = bytes(raw[i:j])
+                own = text.lower().split()
+                node.append(xxhash.xxh3_64_intdigest(b" ".join(own)))
+                fps.append(fingerprint(text, shingle))
+                size.append(_distinct(own, words))
+            columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fps)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *columns, pa.array(size, pa.int64())], ["doc_id", "row", "node", "fp", "size"])
+
+    return _keyed(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, row bigint, node bigint, fp bigint, size bigint")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Those of pairs(a, b) whose texts' shingle sets have a Jaccard similarity of `similarity` or more.
+
+    rows(node, doc_id, row) names one row of docs for each node. Only texts in some pair are moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = utf8(b.column("text"))
+            sets = [shingles(bytes(data[i:j]), words) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+            values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), values], ["node", "shingles"])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = rows.join(ends, "node").select("node", F.col("doc_id").alias("__id"), "row")
+    texts = _keyed(docs.select("doc_id", "text")).join(named.hint("merge"), "row").filter(F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
+    sets = common.written(texts.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "shingles")
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+    both = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 11, shingle: int = 2, limit: int = 2048) -> DataFrame:
+    """doc_id, row, copies: the one row of docs(doc_id, text) that stays of each group of near copies.
+
+    Two texts are linked if their sets of `words`-word shingles (A-Z lower-cased, words between ASCII
+    white space) are alike to `similarity` or more, among the candidates whose SimHashes of
+    `shingle`-word shingles differ in at most `distance` bits; links add up to groups. Texts of equal
+    words are one text. Of a group the row with the least doc_id stays, null ids last, then by a hash
+    of the text; `copies` says how many rows of docs are just like it (doc_id and text). `row` is
+    xxhash64(doc_id, text). Null, empty and wordless texts are alike. An empty table gives no rows."""
+    prints = common.written(_prints(docs, words, shingle), "prints")
+    rows = prints.groupBy("node", "doc_id", "row").agg(F.count("*").alias("copies"), F.min("fp").alias("fp"), F.min("size").alias("size"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "copies")).alias("best")
+    nodes = common.written(rows.groupBy("node").agg(best, F.min("fp").alias("fp"), F.min("size").alias("size")), "texts")
+    found = links(nodes.select("fp", F.col("node").alias("id"), "size"), distance, limit=limit, ratio=similarity)
+    pairs = common.written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    sure = common.written(_verified(pairs, docs, nodes.select("node", "best.doc_id", "best.row"), similarity, words), "near")
+    roots = connected(sure)
+    grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    return grouped.select("best.doc_id", "best.row", "best.copies")
+
+
+def deduplicate(docs: DataFrame, **options) -> DataFrame:
+    """docs, all columns kept, without the rows that near_copies() leaves out; of rows alike in doc_id and text one stays."""
+    names = docs.columns
+    keep = common.written(near_copies(docs, **options), "kept-rows")
+    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    # A merge join at every size: the kept rows grow with the corpus, so they are never broadcast.
+    kept = keyed.join(keep.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("copies").alias("__copies")).hint("merge"), "__row").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    if not keep.filter("copies > 1").isEmpty():
+        whole = F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("__best")
+        again = kept.filter("__copies > 1").groupBy("__row", "__id").agg(whole).select("__best.*")
+        kept = kept.filter("__copies = 1").select(*[F.col(f"`{c}`") for c in names]).unionByName(again)
+    return kept.select(*[F.col(f"`{c}`") for c in names])

@@ -285,6 +285,41 @@ def test_links_connect_what_is_near(spark, limit):
     assert [found.get(s, s) for s in signed] == components(signed, fps, 3)
 
 
+@pytest.mark.parametrize("limit", [2048, 6])
+def test_near_copies_against_brute_force(spark, limit):
+    """Groups of near variants, of exact copies and clean texts; limit 6 makes hot buckets."""
+    rng = random.Random(limit)
+    make = lambda n: [f"w{rng.randint(0, 400)}" for _ in range(n)]
+    texts = [make(rng.randint(1, 200)) for _ in range(40)]
+    for size, most in ((30, 3), (60, 2), (3, 8)):
+        base = make(150)
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rng.randint(0, most)):
+                own[rng.randrange(len(own))] = f"n{rng.randint(0, 10**6)}"
+            texts.append(own)
+    texts += [texts[0]] * 3 + [["One"], ["one"], ["two"], []]
+    rows = [(i, " ".join(t), None) for i, t in enumerate(texts)] + [(None, " ".join(texts[50]), "x"), (None, "only here", "x"), (7, " ".join(texts[7]), "a"), (7, "another text of the id seven", "a"), (None, None, "x")]
+    docs = spark.createDataFrame([(d, t, x, "c") for d, t, x in rows], "doc_id bigint, text string, source string, copies string")
+    got = [(r.doc_id, r.text) for r in simhash.deduplicate(docs, limit=limit).collect()]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t, _ in rows)]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(sets[i], sets[j]) and root[i] != root[j]:
+                old = root[i]
+                root = [root[j] if r == old else r for r in root]
+    group = {}
+    for (d, t, _), r in zip(rows, root):
+        group.setdefault((d, t), r)
+    kept = [group[k] for k in got]
+    assert set(kept) == set(root) and len(got) == len(set(got))  # every group keeps a document
+    assert len(kept) - len(set(root)) <= 2  # and hardly one keeps two
+    best = {r: min((d is None, d or 0) for (d, _), g in group.items() if g == r) for r in set(root)}
+    assert all(best[group[k]] in {(d is None, d or 0) for d, t in got if group[d, t] == group[k]} for k in got)
+
+
 def test_thresholds_are_uneven_where_that_pays():
     even = [np.full(1 << 8, 100), np.full(1 << 8, 100)]
     assert sum(t + 1 for t in simhash.thresholds_of(even, 3)) == 4

@@ -336,8 +336,58 @@ def test_op8_edges(spark, awkward, empty):
     model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     got = {(r.doc_id, r.lang_pred) for r in langid.predict(table(spark, AWKWARD + [(50, "IPSUM dolor"), (51, "gdzie jest")]), model).collect()}
     assert {(50, "aa"), (51, "bb"), (5, "und"), (1, "und"), (8, "und"), (9, "und")} <= got
-    p = 2.0 ** -langid._code_lengths(np.random.default_rng(0).integers(0, 3, (5, 5, 5, 5)).astype(float), 3)
-    assert np.allclose(p.sum(1), 1, atol=1e-6) or (p.sum(1) <= 1 + 1e-6).all()
+    assert all(0 < x < 9 for x in model.limits)
+    rates = {r.text[:3]: r.rate for r in langid.annotate(table(spark, [(1, "lorem ipsum dolor sit amet ipsum"), (2, "qxw zzkj vvqq jjxx wqzx kkvv")]), model, rate_as="rate").collect()}
+    assert rates["lor"] < 1.1 and rates["qxw"] > 2
+
+
+def ppm_bits(grams, order, before, symbol):
+    """-log2 of PPM's probability by its definition: method C, with exclusion; grams[k] counts (context, symbol)."""
+
+    def p(k, s):
+        if k < 0:
+            return 1 / langid.SYMBOLS
+        context = before[len(before) - k :]
+        own = {x: n for (c, x), n in grams[k].items() if c == context}
+        if not own:
+            return p(k - 1, s)
+        total = sum(own.values()) + len(own)
+        if s in own:
+            return own[s] / total
+        return len(own) / total * p(k - 1, s) / (1 - sum(p(k - 1, x) for x in own))
+
+    return -np.log2(p(order, symbol))
+
+
+@pytest.mark.parametrize("order", [1, 3])
+def test_code_lengths_are_those_of_ppm(spark, order):
+    rng = random.Random(order)
+    say = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    rows = [(i, say("abcé ", 40), "aa") for i in range(6)] + [(9 + i, say("cdß, B", 50), "bb") for i in range(6)] + [(30, None, "bb"), (31, "x", None)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), order, apart=0.0)
+    fold = lambda t: langid._FOLD[np.frombuffer(t.encode(), np.uint8)].tobytes()
+    texts = ["abé Acab", "", "dd!cß", "zé q", say("abcdßé z", 30)]
+    want = np.zeros((len(texts), 2))
+    for j, lang in enumerate(("aa", "bb")):
+        grams = [{} for _ in range(order + 1)]
+        for _, t, own in rows:
+            if own == lang and t:
+                padded = b" " * order + fold(t)
+                for i in range(order, len(padded)):
+                    for k in range(order + 1):
+                        key = (padded[i - k : i], padded[i])
+                        grams[k][key] = grams[k].get(key, 0) + 1
+        grams = [{x: n for x, n in g.items() if k < 2 or n > 1} for k, g in enumerate(grams)]
+        for i, t in enumerate(texts):
+            padded = b" " * order + fold(t)
+            want[i, j] = sum(ppm_bits(grams, order, padded[:x], padded[x]) for x in range(order, len(padded)))
+    for stretch in (1 << 18, 7):
+        assert np.allclose(langid.code_lengths(model, *tokens.utf8(pa.array(texts)), stretch), want, rtol=1e-4)
+    apart = langid.Model(model.languages, order, [], model.limits)  # languages in look-ups of their own
+    t = model.trees[0]
+    for j, lang in enumerate(t.languages):
+        apart.trees.append(langid.Trees([lang], t.grams, [x[:, j : j + 1] for x in t.bits], t.contexts, [x[:, j : j + 1] for x in t.escape]))
+    assert np.allclose(langid.code_lengths(apart, *tokens.utf8(pa.array(texts))), want, rtol=1e-4)
 
 
 def brute_hits(text, items, window):

@@ -5,17 +5,21 @@ run through it and the longest match that ends at each word is tracked. A match
 or more covers its words; an item shorter than the window counts when it occurs whole.
 
 The automaton has at most two states per item word. Its size is bounded by `block_words`: a larger
-benchmark is cut into blocks of items, each with its own automaton and its own pass."""
+benchmark is cut into blocks of items, each with its own automaton and its own pass. One automaton
+at a time is built and broadcast; what the passes found is put together before anything is judged."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import common
 from .tokens import utf8
 
 #: Fixed values of the normal form: A-Z to a-z; of ASCII only a-z and 0-9 are word bytes.
@@ -149,8 +153,11 @@ def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Auto
     yield Automaton(held, window)
 
 
-def _pass(docs: DataFrame, automaton: Automaton) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+_SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
+def _pass(docs: DataFrame, shared) -> DataFrame:
+    """doc_id, text_hash, n_words, spans, items of every row of docs for one broadcast automaton."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,17 +174,42 @@ def _pass(docs: DataFrame, automaton: Automaton) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_words", "spans", "items"])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return kept.mapInArrow(run, "doc_id bigint, text_hash bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>")
+    return kept.mapInArrow(run, f"doc_id bigint, text_hash bigint, n_words bigint, spans {_SPANS}, items array<bigint>")
+
+
+def _joined(spans: Column) -> Column:
+    """Stretches in any order and overlapping, as the fewest ascending ones."""
+
+    def add(acc, s):
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when((F.size(acc) > 0) & (last["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.expr(f"cast(array() as {_SPANS})"), add)
 
 
-def _merged(spans: list) -> list:
-    out: list[dict] = []
-    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
-        if out and s["start"] <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], s["end"])
-        else:
-            out.append({"start": s["start"], "end": s["end"]})
-    return out
+def _matched(docs: DataFrame, first: Automaton, others: Iterator[Automaton]) -> tuple[DataFrame, int]:
+    """One row for each (doc_id, text_hash) of docs with `rows`, and the shortest match there is: the automata of all blocks one after the other."""
+    sc, found, least = docs.sparkSession.sparkContext, None, first.least
+    for k, automaton in enumerate(chain([first], others)):
+        shared = sc.broadcast(automaton)
+        least = min(least, automaton.least)
+        rows = _pass(docs, shared)
+        own = common.written(rows.withColumn("block", F.lit(k)) if k == 0 else rows.filter(F.size("spans") > 0).withColumn("block", F.lit(k)), "matches")
+        shared.unpersist()
+        found = own if found is None else found.unionByName(own)
+    out = found.groupBy("doc_id", "text_hash").agg(
+        F.max("n_words").alias("n_words"), F.count_if(F.col("block") == 0).alias("rows"), _joined(F.flatten(F.collect_set("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return out, least
+
+
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[Automaton, Iterator[Automaton] | None]:
+    """The first automaton, and the others if there are any."""
+    made = blocks(benchmark, window, block_words)
+    first = next(made)
+    second = next(made, None)
+    return first, None if second is None else chain([second], made)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 100_000) -> DataFrame:
@@ -186,56 +218,49 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words
     Null and wordless texts have no words; null or wordless items and items without id are left
     out; an id that several items share stands once. With one block of items this is one pass
     without a shuffle; with more, the passes' rows are merged by document."""
-    parts = [_pass(docs, a) for a in blocks(benchmark, window, block_words)]
-    if len(parts) == 1:
-        return parts[0].drop("text_hash")
-    rows = parts[0].withColumn("b", F.lit(0))
-    for k, p in enumerate(parts[1:], 1):
-        rows = rows.unionByName(p.filter(F.size("spans") > 0).withColumn("b", F.lit(k)))
-    span = "array<struct<start:bigint,end:bigint>>"
-    out = rows.groupBy("doc_id", "text_hash").agg(
-        F.max("n_words").alias("n_words"), F.count_if(F.col("b") == 0).alias("rows"),
-        F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    join = F.aggregate(
-        F.array_sort("spans"), F.expr(f"cast(array() as {span})"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end")))))
-        .otherwise(F.concat(acc, F.array(s))))
-    out = out.withColumn("spans", join).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return out.select("doc_id", "n_words", "spans", "items")
+    first, others = _blocks(benchmark, window, block_words)
+    if others is None:
+        return _pass(docs, docs.sparkSession.sparkContext.broadcast(first)).drop("text_hash")
+    out, _ = _matched(docs, first, others)
+    return out.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).select("doc_id", "n_words", "spans", "items")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_words: int = 10, max_coverage: float = 0.5, block_words: int = 100_000) -> DataFrame:
     """docs without the benchmark passages, all columns kept.
 
-    Stretches of at least min_words covered words (or whole short items) are cut out of the text,
-    and n_chars, where there is one, is counted anew. A document of whose words more than
-    max_coverage are covered is dropped. Other rows, null texts too, stay as they are."""
-    schema = docs.schema
-    out = docs
-    for automaton in blocks(benchmark, window, block_words):
-        out = _cut(out, automaton, min_words, max_coverage)
-    return out.select(*[F.col(f"`{c}`") for c in schema.names])
+    Stretches of at least min_words covered words (of as many as the shortest item has, if that is
+    less) are cut out of the text, and n_chars, where there is one, is counted anew. A document of
+    whose words more than max_coverage are covered is dropped. Other rows, null texts too, stay as
+    they are. Stretches are judged once, over all blocks of items, so block_words changes no result."""
+    first, others = _blocks(benchmark, window, block_words)
+    names = docs.columns
+    if others is None:
+        return _cut(docs, names, docs.sparkSession.sparkContext.broadcast(first), min(min_words, first.least), max_coverage)
+    found, least = _matched(docs, first, others)
+    found = common.written(found.filter(F.size("spans") > 0), "spans").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    own = docs.join(found.hint("merge"), (F.xxhash64("text") == F.col("__hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
+    return _cut(own.select(*[F.col(f"`{c}`") for c in names], "__spans"), names, None, min(min_words, least), max_coverage)
 
 
 _WORD = rb"[0-9A-Za-z\x80-\xff]+"
 
 
-def _cut(docs: DataFrame, automaton: Automaton, min_words: int, max_coverage: float) -> DataFrame:
+def _cut(docs: DataFrame, names: list[str], shared, least: int, max_coverage: float) -> DataFrame:
+    """Cut and drop by the stretches that a broadcast automaton finds, or, without one, by the column __spans."""
     import re
 
-    shared, names = docs.sparkSession.sparkContext.broadcast(automaton), docs.columns
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = shared.value
         for b in batches:
             data, at = utf8(b.column("text"))
+            given = None if shared else b.column("__spans").to_pylist()
             raw, texts, keep = memoryview(data), {}, np.ones(len(b), bool)
             for k, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                if given is not None and not given[k]:
+                    continue
                 text = bytes(raw[i:j])
                 words = words_of(text)
-                spans, found = a.scan(words)
-                spans = [s for s in spans if s[1] - s[0] >= min(min_words, a.least)]
+                spans = [(s["start"], s["end"]) for s in given[k]] if given is not None else shared.value.scan(words)[0]
+                spans = [s for s in spans if s[1] - s[0] >= least]
                 if not spans:
                     continue
                 if sum(y - x for x, y in spans) > max_coverage * len(words):
@@ -247,18 +272,16 @@ def _cut(docs: DataFrame, automaton: Automaton, min_words: int, max_coverage: fl
                     left.append(text[end : where[x][0]])
                     end = where[y - 1][1]
                 texts[k] = b"".join([*left, text[end:]]).decode("utf-8", "replace")
-            if texts:
-                columns = {c: b.column(c) for c in names}
-                for c, of in (("text", lambda t: t), ("n_chars", len)):
-                    if c in columns:
-                        values = columns[c].to_pylist()
-                        for k, t in texts.items():
-                            values[k] = of(t)
-                        columns[c] = pa.array(values, columns[c].type)
-                b = pa.RecordBatch.from_arrays([columns[c] for c in names], names)
-            yield b.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+            columns = {c: b.column(c) for c in names}
+            for c, of in (("text", lambda t: t), ("n_chars", len)):
+                if texts and c in columns:
+                    values = columns[c].to_pylist()
+                    for k, t in texts.items():
+                        values[k] = of(t)
+                    columns[c] = pa.array(values, columns[c].type)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in names]))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -438,6 +438,21 @@ def test_removal(spark, awkward):
     assert decontam.remove(awkward, bench).count() == len(AWKWARD)
 
 
+def test_removal_is_the_same_in_every_number_of_blocks(spark, empty):
+    rng = random.Random(9)
+    make = lambda n, sign: " ".join(f"{sign}{rng.randint(0, 10**6)}" for _ in range(n))
+    items = [make(20, "p") for _ in range(6)] + [make(4, "s"), None, ""]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id bigint, text string")
+    half = f"{make(17, 'x')} {items[0]} {make(17, 'y')} {items[1]}"  # 40 of 74 words in two passages of different blocks
+    beside = f"{make(60, 'x')} {items[2]} {items[3]} {make(9, 'y')}, {items[6]}. {' '.join(items[4].split()[:12])} end"
+    rows = [(1, half), (2, beside), (2, beside), (3, make(30, "z")), (None, beside), (4, None), (5, ""), (5, items[5])]
+    got = [sorted(decontam.remove(table(spark, rows), bench, block_words=n).collect(), key=str) for n in (100_000, 45, 20)]
+    assert got[0] == got[1] == got[2] and sorted(map(str, (r.doc_id for r in got[0]))) == ["2", "2", "3", "4", "5", "None"]
+    text = next(r.text for r in got[0] if r.doc_id == 2)
+    assert not set(text.split()) & set(" ".join(t for t in items if t).split()) and text.endswith(",  end")
+    assert decontam.remove(empty, bench, block_words=20).count() == 0
+
+
 def test_op10_edges(spark, awkward, empty):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert {r.score for r in quality.digest(awkward, labels).collect()} == {0.5} and quality.digest(empty, labels).count() == 0

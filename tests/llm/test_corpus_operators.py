@@ -466,6 +466,52 @@ def test_op10_edges(spark, awkward, empty):
     assert np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.95
 
 
+def test_quality_vectors_and_scores_against_plain_sums(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice(["a", "bb", "Cc", "d9", "e!!", "x" * 70, f"r{rng.randint(0, 99)}"]) for _ in range(n))
+    rows = [(i, say(rng.randint(0, 40))) for i in range(60)] + [(None, None), (3, say(9))]
+    docs = table(spark, rows)
+    names = quality.vocabulary(docs, 9)
+    counts = {}
+    for _, t in rows:
+        for w in (t or "").encode().split():
+            for u in (quality.name(w), quality.shape(w)):
+                counts[u] = counts.get(u, 0) + 1
+    top = [sorted((u for u in counts if (u[:1] == b"\x02") == kind), key=lambda u: (-counts[u], u))[:9] for kind in (False, True)]
+    assert names == [quality.AGAIN, quality.SEEN, quality.OTHER, *top[0], *top[1]]
+    code = lambda w: names.index(quality.name(w)) if quality.name(w) in names else names.index(quality.shape(w)) if quality.shape(w) in names else 2
+    places, signs = quality.index_vectors(names)
+    index = np.zeros((len(names), quality.DIMENSIONS), np.int64)
+    for i in range(len(names)):
+        assert len(set(places[i].tolist())) == quality.NONZERO
+        index[i, places[i]] = signs[i]
+    sums = np.zeros_like(index)
+    for _, t in rows:
+        c = [code(w) for w in (t or "").encode().split()]
+        for i in range(len(c)):
+            for j in range(max(0, i - quality.REACH), min(len(c), i + quality.REACH + 1)):
+                if i != j:
+                    sums[c[i]] += index[c[j]]
+    assert np.array_equal(quality.neighbour_sums(docs.repartition(3), names), sums)
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    model = quality.fit(docs, labels, units=9)
+    assert list(model.units) == names
+    got = {(r.doc_id, r.score) for r in quality.score(docs, model).collect()}
+    for doc, t in rows:
+        w = (t or "").encode().split()
+        x = np.zeros(quality.DIMENSIONS + 3)
+        if w:
+            again = sum(a == b for a, b in zip(w, w[1:])) / max(1, len(w) - 1)
+            triples = list(zip(w, w[1:], w[2:]))
+            seen = 1 - len(set(triples)) / len(triples) if triples else 0.0
+            x[:-3] = sum(model.vectors[code(v)].astype(float) for v in w) / len(w) + again * model.vectors[0] + seen * model.vectors[1]
+            x[-3:] = np.log1p(len(w)), again, seen
+        w1, b1, w2, b2 = model.layers
+        hidden = np.tanh([float(((x - model.mean) / model.scale * w1[:, k]).sum() + b1[k]) for k in range(quality.HIDDEN)])
+        want = 1 / (1 + np.exp(-(float((hidden * w2).sum()) + b2[0]) / model.temperature))
+        assert any(d == doc and abs(p - want) < 1e-4 for d, p in got)
+
+
 def test_pipeline_edges(spark, awkward, empty):
     import corpus_pipeline as cp
 

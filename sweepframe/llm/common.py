@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares (spark.checkpoint.dir).
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is made and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    A cluster must name one. Only on a local master (tests, a laptop), where driver and executors are
+    one process, a temporary folder is made and set instead."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sweepframe-"))
         base = sc.getCheckpointDir()
-        if not base:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="sweepframe-"))
-            base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -48,7 +49,8 @@ def id_shards(rows: DataFrame, key: str, n: int):
     """Cut the ascending ids into n ranges of about equal row counts.
 
     Returns a Column with the range number (0 for null ids). Only the id column is read, and the
-    driver gets n - 1 split points, whatever the number of rows."""
+    driver gets n - 1 split points, whatever the number of rows. A row is compared with every
+    hundredth point and then with a hundred of them."""
     if n <= 1:
         return F.lit(0)
     at = [i / n for i in range(1, n)]
@@ -56,5 +58,13 @@ def id_shards(rows: DataFrame, key: str, n: int):
     cuts = sorted(set(found or []))
     if not cuts:
         return F.lit(0)
+    step = 100
+
+    def below(points):
+        return F.size(F.filter(points, lambda c: c < F.col(key)))
+
     splits = F.array(*[F.lit(c).cast("long") for c in cuts])
-    return F.coalesce(F.size(F.filter(splits, lambda c: c < F.col(key))), F.lit(0))
+    if len(cuts) <= step:
+        return F.coalesce(below(splits), F.lit(0))
+    coarse = below(F.array(*[F.lit(c).cast("long") for c in cuts[step - 1 :: step]])) * step
+    return F.coalesce(coarse + below(F.slice(splits, coarse + 1, step)), F.lit(0))

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from . import common
 
 K, S, RUN = 24, 8, 3
+#: Texts of fewer code points than the first number have shorter anchors: (below, k, s).
+SHORT = ((12, 4, 2), (48, 8, 4))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -26,11 +28,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+def anchors(text: str, k: int | None = None, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """(hash, position) of the closed syncmers of a text, whole; a text shorter than k is one anchor.
 
-    s must be a power of two and divide k."""
+    s must be a power of two and divide k. Without k, both follow from the text's length (SHORT, else
+    K and S), so that a changed short text still has anchors of its old part."""
     c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    if k is None:
+        k, s = next(((a, b) for below, a, b in SHORT if len(c) < below), (K, S))
     if not len(c):
         return np.empty(0, np.uint32), np.empty(0, np.uint32)
     if len(c) < k:
@@ -89,13 +94,13 @@ def _covered(place: np.ndarray, limit: np.ndarray, run: int) -> int:
 def likeness(a: np.ndarray, b: np.ndarray, run: int = RUN) -> float:
     """0 to 1: the share of anchors of both in common runs of at least `run` anchors, on any diagonal.
 
-    A run that one side repeats counts there as often as the other side has it. A side with fewer
-    anchors than `run` is looked for as a whole. Empty texts are alike."""
+    A run that one side repeats counts there as often as the other side has it. Where a side's last
+    anchor begins before SHORT's last bound, single anchors count. Empty texts are alike."""
     if not len(a) and not len(b):
         return 1.0
     if not len(a) or not len(b):
         return 0.0
-    run = min(run, len(a), len(b))
+    run = 1 if min(a[-1, 1], b[-1, 1]) < SHORT[-1][0] else min(run, len(a), len(b))
     x, y = _grams(a, run), _grams(b, run)
     values, place = np.unique(np.concatenate([x, y]), return_inverse=True)
     x, y = place[: len(x)], place[len(x) :]

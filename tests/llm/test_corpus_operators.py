@@ -12,6 +12,7 @@ import pyarrow as pa  # noqa: E402
 import public_tokenizers as P  # noqa: E402
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from sweepframe.llm import chat, decontam, langid, packing, quality, secret_scan, simhash, simple8b, syncmers, tokens, url_filter  # noqa: E402
 
@@ -151,6 +152,49 @@ def test_syncmers_are_context_free():
     assert 0.35 < syncmers.likeness(syncmers.sketch(a), syncmers.sketch(a[:3000] + make(3000))) < 0.65
 
 
+def test_anchors_and_likeness_by_their_definition():
+    """Anchors: k-mers whose least inner hash is at an edge. Likeness: anchors in common runs, counted one by one."""
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    for n in (0, 2, 3, 4, 9, 11, 12, 30, 47, 48, 49, 90, 400):
+        text = make(n)
+        k, s = next(((a, b) for below, a, b in syncmers.SHORT if n < below), (syncmers.K, syncmers.S))
+        h, at = syncmers.anchors(text)
+        if n < k:
+            assert len(h) == (n > 0)
+            continue
+        inner = {text[i : i + s]: None for i in range(n - s + 1)}
+        for piece in inner:  # the operator's own hash of one s-mer, from the least text that holds it alone
+            c = np.array([ord(x) for x in piece], np.uint64)
+            x, step, by = (c + syncmers._C) * syncmers._A, 1, int(syncmers._B)
+            while step < s:
+                x, step, by = x[:-step] * np.uint64(by) + x[step:], 2 * step, by * by % (1 << 64)
+            inner[piece] = int(syncmers._mixed(x)[0])
+        want = []
+        for i in range(n - k + 1):
+            own = [inner[text[i + j : i + j + s]] for j in range(k - s + 1)]
+            if min(own) in (own[0], own[-1]):
+                want.append(i)
+        assert at.tolist() == want and len({(text[i : i + k], int(x)) for i, x in zip(at, h)}) == len({text[i : i + k] for i in want})
+    for _ in range(30):
+        base = make(200)
+        a, b = syncmers.sketch(base), syncmers.sketch(base[: rng.randint(0, 200)] + make(rng.randint(60, 90)))
+        run = 1 if min(a[-1, 1], b[-1, 1]) < 48 else min(3, len(a), len(b))
+        grams = [[tuple(x[j, 0] for j in range(i, i + run)) + tuple(x[j, 1] - x[j - 1, 1] for j in range(i + 1, i + run)) for i in range(len(x) - run + 1)] for x in (a, b)]
+        total = 0
+        for own, other, rows in ((grams[0], grams[1], a), (grams[1], grams[0], b)):
+            used, cover = {}, set()
+            for i, g in enumerate(own):
+                used[g] = used.get(g, 0) + 1
+                if used[g] <= min(own.count(g), other.count(g)):
+                    cover |= set(range(i, i + run))
+            total += len(cover)
+        assert abs(syncmers.likeness(a, b) - total / (len(a) + len(b))) < 1e-9
+    for n in (8, 20, 60):  # half of a short text leaves something alike
+        texts = [(t, t[: n - n // 2] + make(n // 2)) for t in (make(n) for _ in range(40))]
+        assert np.mean([syncmers.likeness(syncmers.sketch(x), syncmers.sketch(y)) for x, y in texts]) > 0.1
+
+
 def test_fingerprints_hold_every_passage():
     rng = random.Random(4)
     make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
@@ -183,6 +227,13 @@ def test_op5_edges(spark):
     got = {r.conv_id: r for r in chat.digest(turns).collect()}
     assert (got[1].n_turns, got[1].loss_chars, got[2].loss_chars, got[4].loss_chars, got[3].loss_chars) == (4, len(rows[1][3]), 0, 2, 0)
     assert chat.digest(turns.limit(0)).count() == 0
+    odd = ["a\0b", "\\n", "\\s\n", "<\\|", "<|im_start|>", "\\\\nn\0"]
+    rows = [(i, 0, x, x) for i, x in enumerate(odd)] + [(None, 0, "user", "x")] * 3 + [(None, 1, "assistant", "yes")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    back = chat.expand(turns).select("conv_id", chat.parse(F.col("formatted")).alias("t")).collect()
+    assert sorted(((r.conv_id or 0, t.role, t.text) for r in back for t in r.t), key=str) == sorted(((r[0] or 0, r[2], r[3]) for r in rows), key=str)
+    alone = [r for r in chat.digest(turns).collect() if r.conv_id is None]  # rows without a conversation stand alone
+    assert [r.n_turns for r in alone] == [1] * 4 and sum(r.loss_chars for r in alone) == 3
 
 
 def test_op6_edges(awkward, empty):

@@ -3,7 +3,7 @@
 The vocabularies used here split a text before white space, and between a letter and a
 punctuation mark, before they do anything else. So the ids of a text are the ids of its pieces
 in order. A piece is encoded by the library when a worker first meets it; later it is found by
-two 64-bit hashes, computed for all pieces of a batch at once, and its bytes are compared with
+a 64-bit hash, computed for all pieces of a batch at once, and its bytes are compared with
 those remembered, so pieces of equal hashes are told apart. Texts with white space outside
 ASCII, or with characters whose normal form depends on what stands before, go through the
 library as a whole. So does every text of a vocabulary that fails a trial of the cuts."""
@@ -82,7 +82,7 @@ class Encoder:
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.separator, self.mark, self.most = separator, separator.strip(" "), most
         (self.separator_id,) = self.model.encode(separator, add_special_tokens=False).ids
-        self.one, self.two = _Hashes(1), _Hashes(2)
+        self.hashes = _Hashes(1)
         self._clear()
         self.cuts = True
         raw = np.frombuffer(_TRIAL.encode(), np.uint8)
@@ -91,36 +91,36 @@ class Encoder:
     def _clear(self) -> None:
         size = 1 << (2 * self.most - 1).bit_length()
         self.shift, self.mask = np.uint64(65 - size.bit_length()), size - 1
-        self.k1, self.k2 = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-        self.off, self.cnt = np.zeros(size, np.int64), np.zeros(size, np.int32)  # of its ids
-        self.at, self.length = np.zeros(size, np.int64), np.zeros(size, np.int32)  # of its bytes
+        self.key = np.zeros(size, np.uint64)
+        self.off, self.cnt = np.zeros(size, np.int32), np.zeros(size, np.int32)  # of its ids
+        self.at, self.length = np.zeros(size, np.int32), np.zeros(size, np.int32)  # of its bytes
         self.again = np.zeros(size, bool)
         self.ids, self.raw, self.entries = _Pool(np.uint32), _Pool(np.uint8), 0
 
-    def _find(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    def _find(self, key: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 for unknown ones."""
-        found, at = np.full(len(k1), -1, np.int64), np.arange(len(k1))
-        slot = (k1 >> self.shift).astype(np.int64)
+        found, at = np.full(len(key), -1, np.int64), np.arange(len(key))
+        slot = (key >> self.shift).astype(np.int64)
         while len(at):
-            here = self.k1[slot]
-            same = (here == k1[at]) & (self.k2[slot] == k2[at])
+            here = self.key[slot]
+            same = here == key[at]
             found[at[same]] = slot[same]
             on = (here != 0) & ~same
             at, slot = at[on], (slot[on] + 1) & self.mask
         return found
 
-    def _put(self, k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, cnt: np.ndarray, raw: np.ndarray, length: np.ndarray) -> None:
+    def _put(self, key: np.ndarray, ids: np.ndarray, cnt: np.ndarray, raw: np.ndarray, length: np.ndarray) -> None:
         """Add distinct keys that are not there yet, with their ids and bytes one behind the other."""
         off, place = self.ids.add(ids) + np.cumsum(cnt) - cnt, self.raw.add(raw) + np.cumsum(length) - length
-        at, slot = np.arange(len(k1)), (k1 >> self.shift).astype(np.int64)
+        at, slot = np.arange(len(key)), (key >> self.shift).astype(np.int64)
         while len(at):
-            free = self.k1[slot] == 0
-            self.k1[slot[free]], self.k2[slot[free]] = k1[at[free]], k2[at[free]]
-            mine = free & (self.k1[slot] == k1[at]) & (self.k2[slot] == k2[at])
+            free = self.key[slot] == 0
+            self.key[slot[free]] = key[at[free]]
+            mine = free & (self.key[slot] == key[at])
             to, of = slot[mine], at[mine]
             self.off[to], self.cnt[to], self.at[to], self.length[to] = off[of], cnt[of], place[of], length[of]
             at, slot = at[~mine], (slot[~mine] + 1) & self.mask
-        self.entries += len(k1)
+        self.entries += len(key)
 
     def _full(self, more: int, more_bytes: int) -> bool:
         return self.entries + more > self.most or self.raw.filled + more_bytes > 32 * self.most
@@ -129,10 +129,10 @@ class Encoder:
         """Forget all pieces but those met again, and of these all beyond half of `most`."""
         keep = np.flatnonzero(self.again)[: self.most // 2]
         keep = keep[np.cumsum(self.length[keep]) <= 16 * self.most]
-        k1, k2, cnt, length = self.k1[keep], self.k2[keep], self.cnt[keep], self.length[keep]
+        key, cnt, length = self.key[keep], self.cnt[keep], self.length[keep]
         ids, raw = self.ids.take(self.off[keep], cnt), self.raw.take(self.at[keep], length)
         self._clear()
-        self._put(k1, k2, ids, cnt, raw, length)
+        self._put(key, ids, cnt, raw, length)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -164,21 +164,19 @@ class Encoder:
         """ids of consecutive pieces, and how many each has."""
         a, n = int(start[0]), int(end[-1])
         part, start, end = data[a:n], start - a, end - a
-        k1 = self.one.stretches(part, start, end) | np.uint64(1)
-        k2 = self.two.stretches(part, start, end)
-        slot = self._find(k1, k2)
+        key = self.hashes.stretches(part, start, end) | np.uint64(1)
+        slot = self._find(key)
         self.again[slot[slot >= 0]] = True
         shrunk = False
         while len(new := np.flatnonzero(slot < 0)):
-            _, first = np.unique(k1[new] ^ (k2[new] << np.uint64(1)), return_index=True)  # pieces this merges come in a later round
-            new = new[first]
+            new = new[np.unique(key[new], return_index=True)[1]]
             size = end[new] - start[new]
             if not shrunk and self._full(len(new), int(size.sum())):
                 self._shrink()  # takes known pieces of this block, too, so look again
                 shrunk = True
             else:
-                self._put(k1[new], k2[new], *self._by_library(part, start[new], end[new]), part[_ragged(start[new], size)], size)
-            slot = self._find(k1, k2)
+                self._put(key[new], *self._by_library(part, start[new], end[new]), part[_ragged(start[new], size)], size)
+            slot = self._find(key)
         size, cnt = end - start, self.cnt[slot].astype(np.int64)
         other = self.length[slot] != size
         if not other.any():

@@ -454,7 +454,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, words: int) -> DataFrame:
+#: Named rows (16 bytes each) that are broadcast to the texts at most; more are joined by merge.
+FEW = 2_000_000
+
+
+def _sent(rows: DataFrame, n: int, few: int) -> DataFrame:
+    return F.broadcast(rows) if n <= few else rows.hint("merge")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, words: int, few: int) -> DataFrame:
     """Those of pairs(a, b) whose texts' shingle sets have a Jaccard similarity of `similarity` or more.
 
     rows(node, doc_id, row) names one row of docs for each node. Only texts in some pair are moved."""
@@ -468,44 +476,50 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: fl
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     named = rows.join(ends, "node").select("node", F.col("doc_id").alias("__id"), "row")
-    texts = _keyed(docs.select("doc_id", "text")).join(named.hint("merge"), "row").filter(F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
+    n = pairs.count()
+    texts = _keyed(docs.select("doc_id", "text")).join(_sent(named, 2 * n, few), "row").filter(F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
     sets = common.written(texts.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "shingles")
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(_sent(pairs, n, few), "a")
     both = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 11, shingle: int = 2, limit: int = 2048) -> DataFrame:
-    """doc_id, row, copies: the one row of docs(doc_id, text) that stays of each group of near copies.
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 11, shingle: int = 2, limit: int = 2048, few: int = FEW) -> DataFrame:
+    """doc_id, row, copies, stays: one row for each doc_id and text of docs(doc_id, text), and whether it is the one that stays of its group.
 
     Two texts are linked if their sets of `words`-word shingles (A-Z lower-cased, words between ASCII
     white space) are alike to `similarity` or more, among the candidates whose SimHashes of
     `shingle`-word shingles differ in at most `distance` bits; links add up to groups. Texts of equal
     words are one text. Of a group the row with the least doc_id stays, null ids last, then by a hash
-    of the text; `copies` says how many rows of docs are just like it (doc_id and text). `row` is
+    of the text. `copies` says how many rows of docs have this doc_id and text; `row` is
     xxhash64(doc_id, text). Null, empty and wordless texts are alike. An empty table gives no rows."""
     prints = common.written(_prints(docs, words, shingle), "prints")
-    rows = prints.groupBy("node", "doc_id", "row").agg(F.count("*").alias("copies"), F.min("fp").alias("fp"), F.min("size").alias("size"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "copies")).alias("best")
+    rows = common.written(prints.groupBy("node", "doc_id", "row").agg(F.count("*").alias("copies"), F.min("fp").alias("fp"), F.min("size").alias("size")), "rows")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     nodes = common.written(rows.groupBy("node").agg(best, F.min("fp").alias("fp"), F.min("size").alias("size")), "texts")
     found = links(nodes.select("fp", F.col("node").alias("id"), "size"), distance, limit=limit, ratio=similarity)
     pairs = common.written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    sure = common.written(_verified(pairs, docs, nodes.select("node", "best.doc_id", "best.row"), similarity, words), "near")
-    roots = connected(sure)
-    grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
-    return grouped.select("best.doc_id", "best.row", "best.copies")
+    sure = common.written(_verified(pairs, docs, nodes.select("node", "best.doc_id", "best.row"), similarity, words, few), "near")
+    rooted = common.written(nodes.select("node", "best").join(connected(sure), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    first = rooted.groupBy("root").agg(F.min("best").alias("first"))
+    mine = rooted.join(first, "root").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"))
+    stays = (F.col("row") == F.col("first_row")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    return rows.join(mine, "node").select("doc_id", "row", "copies", stays.alias("stays"))
+
 
+def deduplicate(docs: DataFrame, few: int = FEW, **options) -> DataFrame:
+    """docs, all columns kept, without the rows that near_copies() leaves out; of rows alike in doc_id and text one stays.
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns kept, without the rows that near_copies() leaves out; of rows alike in doc_id and text one stays."""
+    Up to `few` rows that go are broadcast to the texts, which then stay where they are; more are joined by merge."""
     names = docs.columns
-    keep = common.written(near_copies(docs, **options), "kept-rows")
-    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    # A merge join at every size: the kept rows grow with the corpus, so they are never broadcast.
-    kept = keyed.join(keep.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("copies").alias("__copies")).hint("merge"), "__row").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    if not keep.filter("copies > 1").isEmpty():
-        whole = F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("__best")
-        again = kept.filter("__copies > 1").groupBy("__row", "__id").agg(whole).select("__best.*")
-        kept = kept.filter("__copies = 1").select(*[F.col(f"`{c}`") for c in names]).unionByName(again)
-    return kept.select(*[F.col(f"`{c}`") for c in names])
+    other = near_copies(docs, few=few, **options).filter("not stays or copies > 1")
+    listed = common.written(other.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("stays").alias("__stays")), "listed-rows")
+    own = F.col("doc_id").cast("long")
+    judged = docs.join(_sent(listed, listed.count(), few), (F.xxhash64(own, F.col("text")) == F.col("__row")) & own.eqNullSafe(F.col("__id")), "left")
+    columns = [F.col(f"`{c}`") for c in names]
+    kept = judged.filter("__row is null").select(*columns)
+    if listed.filter("__stays").isEmpty():
+        return kept
+    again = judged.filter("__stays").groupBy("__row", "__id").agg(F.min(F.struct(*columns)).alias("__best"))
+    return kept.unionByName(again.select("__best.*"))

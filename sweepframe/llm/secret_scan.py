@@ -1,105 +1,212 @@
 """Secret scans: regular-expression candidates, false positives removed by a random forest.
 
-Candidates are runs of token characters with letters and digits, found by SQL functions in whole
-texts. A forest judges them by length, character classes and transitions, coverage by the corpus's
-own dictionary, path shape and the word before. It is trained on labelled findings. Everything here is DataFrame
-functions and Spark's own forest; no Python runs on the executors."""
+Candidates are token-like strings with a digit, values assigned to a credential's name, and keys of
+known forms, found by SQL functions in whole texts. A forest judges them by length, character
+classes and transitions, coverage by the corpus's own dictionary, path shape and the words on both
+sides. It is trained on labelled findings. Everything here is DataFrame functions and Spark's own
+forest; no Python runs on the executors."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: What a candidate looks like, with the word before it and how the two are joined.
-TOKEN = r"[A-Za-z0-9+/_.@\-]{12,}"
-FINDING = rf"(?:([A-Za-z_]{{2,24}})(?:[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?|\s{{1,2}}[\"']?))?(?=[A-Za-z+/_.@\-]{{0,80}}[0-9])({TOKEN})"
-NAMES = ("password", "passwd", "pwd", "token", "secret", "key", "apikey", "api_key", "auth", "bearer", "credential")
-FEATURES = ["length", "digits", "uppers", "lowers", "marks", "runs", "kinds", "hexes", "coverage", "path", "named", "assigned"]
+#: Names of credentials (as the end of a name), and names that announce other things.
+CREDENTIAL = "password|passwd|pwd|passphrase|secret|token|key|auth|bearer|credential|credentials"
+OTHERS = "sha|md5|hash|digest|checksum|commit|revision|etag|uuid|guid|id|version|release|build|isbn|phone|tel|fax|order|invoice|ticket|url|uri|path|file|host|mail|email|date|time|page"
+#: Token-like strings: 12 signs or more with a digit. The look-behind makes them start where a token starts, so a long run is read once.
+SIGN = r"A-Za-z0-9+/_.@\-"
+TOKEN = rf"(?<![{SIGN}])(?=[A-Za-z+/_.@\-]*+[0-9])[{SIGN}]{{12,}}"
+#: Values that a credential's name is given, keys of known forms (no digit needed), and private keys.
+VALUE = r"\"[^\"\n]{6,200}\"|'[^'\n]{6,200}'|[^\s\"'<>,;()\[\]{}]{6,}"
+ASSIGNED = rf"(?i:passw(?:or)?d|pwd|passphrase|secret|token|key|auth|bearer|credentials?)[\"']?\s{{0,2}}[:=]\s{{0,2}}({VALUE})"
+KNOWN = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,24}PRIVATE KEY-----|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
+FEATURES = [
+    "length", "digits", "uppers", "lowers", "marks", "runs", "switches", "cases", "kinds", "hexes", "likely", "coverage", "path", "dots", "named", "other", "assigned",
+    "nearby", "between",
+]
 
 
 def _share(column: str, letters: str) -> Column:
     return F.length(F.regexp_replace(column, f"[^{letters}]", "")) / F.length(column)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Findings of docs(doc_id, text): doc_id, row, nth, start, secret, before, assigned.
-
-    start counts code points from 0; repeated strings are findings of their own. Rows of equal
-    doc_id are kept apart by `row`. Null and empty texts have none."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike("[0-9]"))
-    found = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("text", F.lit(FINDING), F.lit(0)).alias("hits"), F.transform(F.split("text", FINDING, -1), lambda s: F.length(s)).alias("gaps"))
-    each = found.filter(F.size("hits") > 0).select("doc_id", "row", F.posexplode(F.arrays_zip("hits", "gaps")).alias("nth", "f"))
-    each = each.filter(F.col("f.hits").isNotNull()).select("doc_id", "row", "nth", F.col("f.hits").alias("hit"), F.col("f.gaps").alias("gap"))
-    secret = F.regexp_extract("hit", rf"({TOKEN})$", 1)
-    before = F.lower(F.regexp_extract("hit", FINDING, 1))
+def _hits(rows: DataFrame, pattern: str) -> DataFrame:
+    """row, key, doc_id, hit, end (code points), and the text on both sides, of every match of a pattern in rows(row, key, doc_id, text)."""
+    gaps = F.transform(F.split("text", pattern, -1), lambda s: F.struct(F.length(s).alias("n"), F.substring(s, 1, 40).alias("head"), F.substring(s, -60, 60).alias("tail")))
+    found = rows.select("row", "key", "doc_id", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hits"), gaps.alias("gaps")).filter(F.size("hits") > 0)
+    zipped = F.arrays_zip("hits", "gaps", F.slice("gaps", 2, F.size("hits")).alias("after"))
+    each = found.select("row", "key", "doc_id", F.posexplode(F.slice(zipped, 1, F.size("hits"))).alias("nth", "f"))
+    each = each.select("row", "key", "doc_id", "nth", F.col("f.hits").alias("hit"), F.col("f.gaps.n").alias("gap"), F.col("f.gaps.tail").alias("tail"), F.col("f.after.head").alias("head"))
     run = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.length("hit")).over(run)
-    placed = each.withColumn("end", end).withColumn("secret", secret).withColumn("before", before)
-    head = F.expr("substring(hit, 1, length(hit) - length(secret))")
-    return placed.filter(F.col("secret").rlike("[A-Za-z]") & F.col("secret").rlike("[0-9]")).select(
-        "doc_id", "row", "nth", (F.col("end") - F.length("secret")).cast("long").alias("start"), "secret", "before", head.rlike("[:=]").alias("assigned"))
-
-
-def dictionary(docs: DataFrame, least: int = 20) -> DataFrame:
-    """word: lower-case runs of four letters or more that stand at least `least` times in docs."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
-    return words.groupBy("word").count().filter(F.col("count") >= least).select("word")
+    return each.withColumn("end", F.sum(F.col("gap") + F.length("hit")).over(run))
 
 
-def features(found: DataFrame, words: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame) -> DataFrame:
+    """Findings of docs(doc_id, text): doc_id, row, key, nth, start, secret, before, assigned, earlier, after.
+
+    start counts code points from 0; repeated strings are findings of their own; one inside another
+    is left out. before is the word in front (a name, if assigned), earlier the one before that, after
+    the next one, all lower case. Rows of equal doc_id are kept apart by `row`; key is xxhash64(doc_id,
+    text). Null and empty texts have none."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.xxhash64("doc_id", "text"))
+    tokens = _hits(rows.filter(F.col("text").rlike("[0-9]")), TOKEN).filter(F.col("hit").rlike("[A-Za-z]")).withColumn("secret", F.col("hit")).withColumn("lead", F.col("tail"))
+    values = _hits(rows, f"{KNOWN}|{ASSIGNED}")
+    known = F.col("hit").rlike(f"^(?:{KNOWN})$")
+    value = F.regexp_extract("hit", f"^{ASSIGNED}$", 1)
+    quoted = value.rlike("^[\"']") & ~known
+    bare = F.when(known, F.col("hit")).when(quoted, value.substr(F.lit(2), F.length(value) - 2)).otherwise(value)
+    values = values.withColumn("secret", bare).withColumn("end", F.col("end") - quoted.cast("int"))
+    values = values.withColumn("lead", F.concat("tail", F.expr("substring(hit, 1, length(hit) - length(secret))")))
+    columns = ["row", "key", "doc_id", "secret", "end", "lead", "head"]
+    both = tokens.select(*columns).unionByName(values.select(*columns)).withColumn("start", (F.col("end") - F.length("secret")).cast("long"))
+    order = Window.partitionBy("row").orderBy("start", F.desc("end"))
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = both.withColumn("reach", F.coalesce(reach, F.lit(0))).filter(F.col("start") >= F.col("reach")).withColumn("nth", F.row_number().over(order) - 1)
+    lead = F.col("lead")
+    name = F.lower(F.regexp_extract(lead, r"([A-Za-z_][A-Za-z0-9_\-]*)[^A-Za-z0-9]{0,6}$", 1))
+    assigned = lead.rlike(r"[A-Za-z0-9_\-][\"']?\s{0,2}[:=]\s{0,2}[\"']?$")
+    earlier = F.lower(F.regexp_extract(lead, r"([A-Za-z_]+)[^A-Za-z_]+[A-Za-z_][A-Za-z0-9_\-]*[^A-Za-z0-9]{0,6}$", 1))
+    return apart.select("doc_id", "row", "key", "nth", "start", "secret", name.alias("before"), assigned.alias("assigned"), earlier.alias("earlier"), F.lower(F.regexp_extract("head", r"^[^A-Za-z]{0,4}([A-Za-z]+)", 1)).alias("after"))
+
+
+def dictionary(docs: DataFrame, share: float = 0.98) -> DataFrame:
+    """word, n: free-standing runs of four letters or more of docs, lower case; the most frequent ones that make up `share` of all such runs.
+
+    Letters inside a token don't count, so keys bring no words, and the bound follows the corpus's size."""
+    alone = rf"(?<![{SIGN}])[A-Za-z]{{4,}}(?![{SIGN}])"
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(alone), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = common.written(words.groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n")), "words")
+    sizes = words.groupBy(F.floor(F.log2("n") * 4).alias("size")).agg(F.sum("n").alias("n"), F.min("n").alias("least")).orderBy(F.desc("size")).collect()  # a few hundred rows
+    total, run, least = sum(r["n"] for r in sizes), 0, 1
+    for r in sizes:
+        least, run = r["least"], run + r["n"]
+        if run >= share * total:
+            break
+    return words.filter(F.col("n") >= least)
+
+
+def transitions(words: DataFrame) -> DataFrame:
+    """pair, bits: how many bits each letter takes after another one in words(word, n); 676 rows at most."""
+    pairs = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("pair"))
+    sums = pairs.groupBy("pair").agg(F.sum("n").cast("double").alias("n"))
+    of = Window.partitionBy(F.substring("pair", 1, 1))
+    return sums.select("pair", (-F.log2((F.col("n") + 0.5) / (F.sum("n").over(of) + 13))).alias("bits"))
+
+
+def features(found: DataFrame, words: DataFrame, pairs: dict[str, float]) -> DataFrame:
     """found with FEATURES, all doubles. The dictionary is joined with the distinct secrets' letter runs."""
     parts = found.select("secret").distinct().select("secret", F.explode(F.regexp_extract_all(F.lower("secret"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
-    known = parts.join(words, "word").groupBy("secret").agg(F.sum(F.length("word")).alias("covered"))
+    known = parts.join(words.select("word"), "word").groupBy("secret").agg(F.sum(F.length("word")).alias("covered"))
     out = found.join(known, "secret", "left")
+    table = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]) if pairs else F.expr("cast(map() as map<string, double>)")
+    low = F.lower("secret")
+    letters = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("secret") - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2))), lambda p: p.rlike("^[a-z]{2}$"))
+    bits = F.aggregate(letters, F.lit(0.0), lambda a, p: a + F.coalesce(F.try_element_at(table, p), F.lit(12.0)))
+    credential, other = rf"(?:{CREDENTIAL})s?$", rf"(?:^|[_\-])(?:{OTHERS})[0-9]*$"
+    per = F.length("secret")
     numbers = {
-        "length": F.length("secret"), "digits": _share("secret", "0-9"), "uppers": _share("secret", "A-Z"), "lowers": _share("secret", "a-z"),
+        "length": F.least(per, F.lit(200)), "digits": _share("secret", "0-9"), "uppers": _share("secret", "A-Z"), "lowers": _share("secret", "a-z"),
         "marks": 1 - _share("secret", "A-Za-z0-9"),
-        "runs": F.regexp_count("secret", F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")) / F.length("secret"),
-        "kinds": F.size(F.array_distinct(F.split("secret", ""))) / F.length("secret"),
-        "hexes": _share("secret", "0-9a-fA-F"), "coverage": F.coalesce(F.col("covered"), F.lit(0)) / F.length("secret"),
-        "path": F.length(F.regexp_replace("secret", r"[^/.@]", "")), "named": F.col("before").isin(*NAMES), "assigned": F.col("assigned"),
+        "runs": F.regexp_count("secret", F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")) / per,
+        "switches": F.regexp_count("secret", F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")) / per,
+        "cases": F.regexp_count("secret", F.lit("[a-z](?=[A-Z])|[A-Z](?=[a-z])")) / per,
+        "kinds": F.size(F.array_distinct(F.split("secret", ""))) / per,
+        "hexes": _share("secret", "0-9a-fA-F"), "likely": F.when(F.size(letters) > 0, bits / F.size(letters)).otherwise(6.0), "coverage": F.coalesce(F.col("covered"), F.lit(0)) / per,
+        "path": F.regexp_count("secret", F.lit("[A-Za-z0-9]/[A-Za-z0-9]")) / per, "dots": F.regexp_count("secret", F.lit(r"@|[A-Za-z0-9]\.[A-Za-z0-9]")) / per,
+        "named": F.col("before").rlike(credential), "other": F.col("before").rlike(other), "assigned": F.col("assigned"),
+        "nearby": F.col("earlier").rlike(credential) | F.col("after").rlike(credential), "between": (F.length("before") > 0) & (F.length("after") > 0) & ~F.col("assigned"),
     }
-    return out.withColumns({k: v.cast("double") for k, v in numbers.items()}).drop("covered")
-
-
-def label_by_rule(found: DataFrame) -> DataFrame:
-    """found with a label from review rules: 1.0 for a secret, 0.0 for a false positive, null if no rule speaks.
-
-    This stands in for reviewers' labels, which the given tables lack. Secrets are key ids of a known
-    form and values assigned to a credential's name; false positives are addresses, host names and
-    paths, and strings that the dictionary mostly covers."""
-    secret = F.col("secret").rlike("^AKIA[A-Z0-9]{16}$") | ((F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("hexes") > 0.9) & (F.col("length") >= 16))
-    other = F.col("secret").rlike(r"@|\.[a-z]{2,}$|^[\w.\-]*/[\w.\-]+/") | (F.col("coverage") > 0.6)
-    return found.withColumn("label", F.when(secret, 1.0).when(other, 0.0))
-
-
-def train(labelled: DataFrame, most: int = 20_000, trees: int = 24, depth: int = 6, seed: int = 7):
+    return out.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in numbers.items()}).drop("covered")
+
+
+# -- labelled findings ------------------------------------------------------------------------
+
+#: Words in made findings.
+WORDS = ("house", "water", "system", "light", "report", "little", "market", "number", "school", "window", "garden", "paper", "letter", "music", "river", "stone", "table", "summer", "winter", "forest")
+
+
+def made_findings(spark: SparkSession, n: int = 5000, seed: str = "train") -> DataFrame:
+    """n labelled findings with the columns of candidates(): half of them secrets of many forms, half what resembles them.
+
+    The label follows from how a string was made, not from any rule over its features. They stand in for
+    reviewers' findings where a user has none; every string comes from a hash of its number and the seed."""
+    a, b = F.sha2(F.concat(F.lit(seed), F.col("id").cast("string")), 256), F.sha2(F.concat(F.lit("b" + seed), F.col("id").cast("string")), 256)
+    base = spark.range(0, n, 1, 4).select("id", a.alias("a"), b.alias("b"))
+
+    def pick(items, k: int) -> Column:
+        return F.element_at(F.array(*map(F.lit, items)), (F.conv(F.substring("b", k, 4), 16, 10).cast("int") % len(items) + 1).cast("int"))
+
+    dice = lambda k: F.conv(F.substring("b", k, 4), 16, 10).cast("int") / 65536
+    number = lambda k, size: F.substring(F.conv(F.substring("a", k, 12), 16, 10), 1, size)
+    mixed = F.concat(*[F.base64(F.unhex(F.sha2(F.concat(c, F.lit(x)), 256))) for c, x in (("a", "1"), ("b", "2"))])
+    plain = F.regexp_replace(mixed, "[+/=]", "")
+    upper = F.translate(F.substring("a", 1, 40), "0123456789abcdef", "K7QZ2XWM5HTRJ3PV")
+    size = (dice(5) * 32).cast("int") + 16
+    word, word2, word3 = pick(WORDS, 9), pick(WORDS, 13), pick(WORDS, 17)
+    secrets = [
+        F.concat(pick(("AKIA", "ASIA"), 21), F.substring(upper, 1, 16)), F.concat("a", "b").substr(F.lit(1), size), F.concat("a", "b").substr(F.lit(1), size),
+        mixed.substr(F.lit(1), size + 4), plain.substr(F.lit(1), size), F.concat(pick(("ghp_", "glpat-", "xoxb-", "sk_live_", "hf_"), 21), plain.substr(F.lit(1), size + 8)),
+        F.concat(F.lit("eyJ"), plain.substr(F.lit(1), size), F.lit("."), plain.substr(F.lit(30), size), F.lit("."), plain.substr(F.lit(9), size)),
+        F.concat(plain.substr(F.lit(1), (dice(25) * 6).cast("int") + 5), pick(("!", "#", "$", "%", "&", "*"), 21), plain.substr(F.lit(20), (dice(29) * 6).cast("int") + 2)),
+        upper.substr(F.lit(1), size), F.concat(word, pick(("-", "_", "!", "."), 21), number(1, 4), plain.substr(F.lit(1), (dice(25) * 8).cast("int") + 8)),
+    ]
+    others = [
+        F.concat("a", "b").substr(F.lit(1), pick((32, 40, 64), 21)),
+        F.concat_ws("-", F.substring("a", 1, 8), F.substring("a", 9, 4), F.substring("a", 13, 4), F.substring("a", 17, 4), F.substring("a", 21, 12)),
+        F.concat(word, F.lit("."), number(1, 2), F.lit("@"), pick(("mail", "post", "web"), 21), number(3, 1), F.lit(".example."), pick(("com", "org", "net"), 25)),
+        F.concat(word, F.lit("/"), word2, number(1, 3), F.lit("/"), word3, pick((".html", ".txt", ".py", "/index.12"), 21)),
+        F.concat(F.lit("www."), word, number(1, 3), F.lit("."), word2, pick((".com", ".org/", ".net/a1"), 21)),
+        F.concat(F.lit("v"), number(1, 1), F.lit("."), number(2, 2), F.lit("."), number(4, 2), pick(("-beta.", "-rc.", "-alpha"), 21), number(7, 1)),
+        F.concat(F.lit("20"), number(1, 2), F.lit("-0"), number(3, 1), F.lit("-1"), number(5, 1), F.lit("T0"), number(7, 1)),
+        F.concat(word, F.lit("_"), word2, F.lit("_"), number(1, 3)), F.concat(F.initcap(word), F.initcap(word2), F.initcap(word3), number(1, 2)),
+        F.concat(word, pick(("", " ", "-"), 21), word2), F.concat(F.upper(F.substring(word, 1, 3)), F.lit("-"), number(1, 5), F.lit("-"), F.upper(F.substring(word2, 1, 2)), F.lit("-"), number(7, 2)),
+        F.concat(F.lit("+1-555-"), number(1, 3), F.lit("-"), number(5, 4), F.lit("x"), number(9, 2)),
+    ]
+    form = lambda forms: F.element_at(F.array(*forms), (F.floor(F.col("id") / 2) % len(forms) + 1).cast("int"))
+    label = (F.col("id") % 2).cast("double")
+    names = pick(("password", "db_password", "passwd", "api_key", "aws_secret_access_key", "client_secret", "token", "access_token", "secret", "auth", "bearer", "key", "credentials"), 33)
+    beside = pick(("sha256", "md5", "commit", "checksum", "id", "uuid", "request_id", "version", "url", "path", "file", "mail", "order", "date"), 33)
+    form_of_other = F.floor(F.col("id") / 2) % len(others)
+    named = F.when(label == 1, dice(37) < 0.75).otherwise(F.when(form_of_other == 9, True).when(form_of_other < 2, False).otherwise(dice(37) < 0.15))
+    about = F.when(label == 1, False).otherwise(dice(41) < F.when(form_of_other < 2, 0.9).otherwise(0.4))
+    assigned = F.when(named | about, dice(45) < 0.9).otherwise(dice(45) < 0.05)
+    # A key that nothing announces shows itself by its form only if it isn't a bare run of hex digits.
+    secret = F.when(label == 1, F.when(named, form(secrets)).otherwise(form([s for i, s in enumerate(secrets) if i not in (1, 2, 7)]))).otherwise(form(others))
+    return base.select(
+        F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("row"), F.col("id").alias("key"), F.lit(0).alias("nth"), F.lit(0).cast("long").alias("start"), secret.alias("secret"),
+        F.when(named, names).when(about, beside).otherwise(F.when(dice(49) < 0.85, word2).otherwise("")).alias("before"), assigned.alias("assigned"),
+        F.when(dice(53) < 0.8, word3).otherwise("").alias("earlier"), F.when(dice(57) < 0.7, word).otherwise("").alias("after"), label.alias("label"))
+
+
+def train(labelled: DataFrame, most: int = 20_000, trees: int = 40, depth: int = 9, seed: int = 7):
     """A forest over FEATURES from rows with a label; None if only one label (or none) is there.
 
     most: the bound of the training sample, about so many rows of each label, taken by a hash."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    known = labelled.filter(F.col("label").isNotNull())
+    known = common.written(labelled.filter(F.col("label").isNotNull()).select(*FEATURES, "label", "secret", "row", "nth"), "labels")
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(n) < 2:
         return None
     share = F.when(F.col("label") == 1, most / n[1.0]).otherwise(most / n[0.0])
-    sample = known.filter(F.pmod(F.xxhash64("secret", "doc_id", "nth"), F.lit(1 << 20)) < share * (1 << 20))
+    sample = known.filter(F.pmod(F.xxhash64("secret", "row", "nth"), F.lit(1 << 20)) < share * (1 << 20))
     weight = F.when(F.col("label") == 1, 0.5 / n[1.0]).otherwise(0.5 / n[0.0]) * sum(n.values())
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(sample.withColumn("weight", weight)).select("vector", "label", "weight")
+    taken = common.written(sample.select(*FEATURES, "label", weight.alias("weight")), "labelled")  # the forest reads it once a level
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(taken).select("vector", "label", "weight")
     return RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
 
 
 def score(found: DataFrame, model) -> DataFrame:
     """found with score (the forest's probability of a secret) and is_secret (score of a half or more).
 
-    Without a model, rows keep their label as the score, 0.5 where they have none."""
+    Without a model every row has the score 0.5."""
     if model is None:
-        base = F.coalesce(F.col("label"), F.lit(0.5)) if "label" in found.columns else F.lit(0.5)
-        return found.withColumn("score", base).withColumn("is_secret", F.col("score") >= 0.5)
+        return found.withColumn("score", F.lit(0.5)).withColumn("is_secret", F.lit(True))
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
@@ -111,20 +218,26 @@ def score(found: DataFrame, model) -> DataFrame:
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """All findings of docs with score and is_secret.
 
-    labelled: findings with FEATURES and a label; without it, label_by_rule() labels this corpus's own."""
-    found = common.written(features(common.written(candidates(docs), "findings"), dictionary(docs)), "features")
-    own = label_by_rule(found)
-    return score(own, train(own if labelled is None else labelled))
+    labelled: findings with the columns of candidates() and a label (1.0 for a secret); without it, made_findings()."""
+    spark = docs.sparkSession
+    words = common.written(dictionary(docs), "dictionary")
+    pairs = {r["pair"]: r["bits"] for r in transitions(words).collect()}
+    found = common.written(features(common.written(candidates(docs), "findings"), words, pairs), "features")
+    own = spark.createDataFrame([(w,) for w in WORDS], "word string")
+    known = made_findings(spark) if labelled is None else labelled
+    return score(found, train(features(known, words.select("word").union(own).distinct(), pairs)))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", labelled: DataFrame | None = None) -> DataFrame:
     """docs with every secret replaced by `mark`, all columns kept, n_chars (if there) counted anew.
 
-    Rows without secrets, null texts too, stay as they are. Secrets are joined by doc_id; rows that
-    share a doc_id lose each other's secrets too, which harms nothing."""
-    secrets = scan(docs, labelled).filter("is_secret").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct((-F.length("secret")).alias("n"), "secret"))).alias("__secrets"))
+    A string that is a secret in one place of a text goes everywhere in it. Rows without secrets,
+    null texts too, stay as they are; rows without doc_id are cleaned like others."""
+    found = scan(docs, labelled).filter("is_secret").groupBy(F.col("key").alias("__key"), F.col("doc_id").alias("__id"))
+    secrets = found.agg(F.array_sort(F.collect_set(F.struct((-F.length("secret")).alias("n"), "secret"))).alias("__secrets"))
     names = docs.columns
-    joined = docs.join(secrets.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"), "left")
+    own = F.col("doc_id").cast("long")
+    joined = docs.join(secrets, (F.xxhash64(own, F.col("text")) == F.col("__key")) & own.eqNullSafe(F.col("__id")), "left")
     clean = F.aggregate("__secrets", F.col("text"), lambda t, s: F.replace(t, s["secret"], F.lit(mark)))
     out = joined.withColumn("text", F.when(F.col("__secrets").isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in names:

@@ -9,9 +9,17 @@ DEFAULT_IP = "192.168.4.1"
 PORTS = {"paths": 8001, "bw": 8002, "rgb": 8003}
 
 
+#: Fixed value: what counts as white space around a field.
+WHITE = " \t\n\x0b\x0c\r"
+
+
+def trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE))
+
+
 def sender_ip(sender: Column) -> Column:
     """`ip:port` to ip, `[v6]:port` to v6, anything else as it is; null for an empty sender."""
-    s = F.trim(sender)
+    s = trimmed(sender)
     v6 = F.regexp_extract(s, r"^\[([^\]]+)\]", 1)
     host = F.regexp_extract(s, r"^(.+):[^:]*$", 1)
     return F.when(s == "", None).when(v6 != "", v6).when(host != "", host).otherwise(s)
@@ -27,13 +35,13 @@ def device_path_map(path: Column, ip: Column, default_ip: str = DEFAULT_IP) -> C
 def path_type(payload: Column, strict: bool = False) -> Column:
     """Upper-case type before the `;`, null for messages that are rejected."""
     parts = F.split(payload, ";", -1)
-    kind, path = F.upper(F.trim(parts[0])), F.trim(F.try_element_at(parts, F.lit(2)))
+    kind, path = F.upper(trimmed(parts[0])), trimmed(F.try_element_at(parts, F.lit(2)))
     ok = (F.size(parts) == 2 if strict else F.size(parts) >= 2) & (kind != "") & (path != "")
     return F.when(ok, kind)
 
 
 def path_of(payload: Column) -> Column:
-    return F.trim(F.try_element_at(F.split(payload, ";", -1), F.lit(2)))
+    return trimmed(F.try_element_at(F.split(payload, ";", -1), F.lit(2)))
 
 
 def channel_of(kind: Column) -> Column:
@@ -45,11 +53,17 @@ def ports_of(payload: Column, only_port: int | None = None) -> Column:
     """Ports that a replayed message goes to: always the paths' port, and its channel's own."""
     if only_port is not None:
         return F.array(F.lit(only_port))
-    head = F.lower(F.trim(F.split(payload, ";", 2)[0]))
+    head = F.lower(trimmed(F.split(payload, ";", 2)[0]))
     own = F.when(head == "bw", F.lit(PORTS["bw"])).when(head == "rgb", F.lit(PORTS["rgb"]))
     return F.array_compact(F.array(F.lit(PORTS["paths"]), own))
 
 
+def command_text(command: Column) -> Column:
+    """A command as replies repeat it: without white space around it and with one final `;` at least."""
+    c = trimmed(command)
+    return F.when(c.endswith(";"), c).otherwise(F.concat(c, F.lit(";")))
+
+
 def reply_command(reply: Column) -> Column:
     """The command a reply answers: what stands before its status, with the final `;`."""
     return F.regexp_extract(reply, r"^(.*;)\s*[^;]+;$", 1)

@@ -5,20 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import angles
+from .sliced import running
 
 TOLERANCE = 2.0
 
 
-def target_detect(frames: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, bucketed: bool = False) -> DataFrame:
+def target_detect(frames: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, bucketed: bool = True) -> DataFrame:
     """Frames strictly within `tolerance` of a target(angle): frames' columns, target, distance.
 
-    A small target table (its size is Spark's to judge) makes a broadcast theta join. bucketed cuts the circle
-    into at least three buckets no narrower than the tolerance, deals each target to its bucket and both neighbours
-    and joins by bucket, so any number of targets is an equi-join and no pair comes twice."""
+    The circle is cut into at least three buckets no narrower than the tolerance, each target is dealt to its
+    bucket and both neighbours and joined by bucket, so any number of targets is an equi-join and no pair
+    comes twice. Without buckets (and for a tolerance beyond 120) it is a theta join, for a few targets only."""
     t = targets.select(F.col("angle").alias("target"))
     d = angles.circular_distance(F.col("angle_deg"), F.col("target").cast("double"))
     if not bucketed or tolerance > 120:
@@ -32,11 +33,10 @@ def target_detect(frames: DataFrame, targets: DataFrame, tolerance: float = TOLE
 
 def lap_id(frames: DataFrame, keys: tuple[str, ...] = ("device_id", "channel"), high: float = 300.0, low: float = 60.0) -> DataFrame:
     """frames with lap_id: a lap ends with the frame at which the angle falls from above `high` to below `low`."""
-    w = Window.partitionBy(*keys).orderBy("frame_no")
-    turn = ((F.lag("angle_deg").over(w) > high) & (F.col("angle_deg") < low)).cast("int")
-    marked = frames.withColumn("__turn", F.coalesce(turn, F.lit(0)))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return marked.withColumn("lap_id", F.coalesce(F.sum("__turn").over(before), F.lit(0))).drop("__turn")
+    known = running(frames, list(keys), ["frame_no"], {"__prev": ("last", F.struct("angle_deg"), True)})
+    turn = ((F.col("__prev.angle_deg") > high) & (F.col("angle_deg") < low)).cast("long")
+    laps = running(known, list(keys), ["frame_no"], {"lap_id": ("sum", F.coalesce(turn, F.lit(0)), True)})
+    return laps.withColumn("lap_id", F.coalesce("lap_id", F.lit(0))).drop("__prev")
 
 
 def detect_once_per_lap(frames: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles
+from .sliced import running
 
 SEGMENTS, SLICE_WIDTH, PANORAMA_WIDTH = angles.SEGMENTS, angles.SLICE_WIDTH, angles.PANORAMA_WIDTH
 
@@ -59,10 +60,10 @@ def coverage_ready_edge(frames: DataFrame, segments: int = SEGMENTS, keys: tuple
 
 def clear_epoch(rows: DataFrame, clears: DataFrame, key: str = "device_id") -> DataFrame:
     """rows(ts, ..) with epoch: how many clear events of the key came before or at the same time."""
-    marks = clears.select(F.col(key), F.col("ts"), F.lit(1).alias("__clear"))
-    both = rows.withColumn("__clear", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("ts", F.desc("__clear")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("epoch", F.sum("__clear").over(w)).filter("__clear = 0").drop("__clear")
+    marks = clears.select(F.col(key), F.col("ts"), F.lit(0).alias("__row"))
+    both = rows.withColumn("__row", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    counted = running(both, [key], ["ts", "__row"], {"epoch": ("sum", (1 - F.col("__row")).cast("long"), False)})
+    return counted.filter("__row = 1").drop("__row")
 
 
 def roi_lookup(frames: DataFrame, requests: DataFrame, segments: int = SEGMENTS) -> DataFrame:
@@ -108,4 +109,5 @@ def snapshot_size(requests: DataFrame, spare_bytes: int = 64 << 20) -> DataFrame
 
 
 def channel_union(colour: DataFrame, grey: DataFrame) -> DataFrame:
+    """The rows of both channels' tables, matched by column name; repeated rows stay."""
     return colour.unionByName(grey)

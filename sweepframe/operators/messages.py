@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import messages as m
+from .sliced import running
 
 
 def path_message_parse(msgs: DataFrame, strict: bool = False, default_ip: str = m.DEFAULT_IP) -> DataFrame:
@@ -19,13 +20,14 @@ def path_message_parse(msgs: DataFrame, strict: bool = False, default_ip: str =
 
 
 def channel_route(parsed: DataFrame) -> DataFrame:
+    """Parsed messages of a known channel."""
     return parsed.filter(F.col("channel").isNotNull())
 
 
 def arrival_index(loaded: DataFrame, keys: tuple[str, ...] = ("device_id", "channel"), order: str = "arrival_seq") -> DataFrame:
     """0-based counter of successfully loaded frames per channel."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return loaded.filter(F.col("outcome") == "ok").withColumn("frame_no", F.row_number().over(w) - 1)
+    counted = running(loaded.filter(F.col("outcome") == "ok"), list(keys), [order], {"frame_no": ("sum", F.lit(1).cast("long"), False)})
+    return counted.withColumn("frame_no", F.col("frame_no") - 1)
 
 
 def file_stable(polls: DataFrame, max_wait_ms: int = 2000) -> DataFrame:
@@ -83,28 +85,32 @@ def running_totals(stats: DataFrame) -> DataFrame:
 
 
 def port_fanout(log: DataFrame, only_port: int | None = None) -> DataFrame:
+    """One row per port that a message of log(payload) is replayed to."""
     return log.withColumn("port", F.explode(m.ports_of(F.col("payload"), only_port)))
 
 
 def numbered(rows: DataFrame, order: str, session: str | None = None) -> DataFrame:
     """rows with n, their 1-based place in a session, or over all rows without one.
 
-    Over all rows, places are found in two steps: rows are dealt to ranges of `order`, counted and numbered
-    within a range, and the ranges' running total (a row per range) is added. No task sees all rows."""
+    order: a column of any sortable type (numbers, names, times); ties go by a hash of the whole row. Over all
+    rows, places are found in two steps: rows are dealt to ranges of `order`, whose bounds come from a random
+    sample of 10,000 values, counted and numbered within a range, and the ranges' running total (a row
+    per range) is added. No task sees all rows."""
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema if f.dataType.typeName() not in ("map", "variant")])
     if session is not None:
-        return rows.withColumn("n", F.row_number().over(Window.partitionBy(session).orderBy(order)).cast("long"))
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy(session).orderBy(order, tie)).cast("long"))
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    at = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(rows.agg(F.percentile_approx(order, F.array(*map(F.lit, at)), F.lit(10_000)).alias("q")).first()["q"] or [])) if at else []
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    seen = sorted(r[0] for r in rows.select(order).filter(F.col(order).isNotNull()).orderBy(F.rand(7)).limit(10_000).collect())
+    cuts = sorted({seen[i * len(seen) // parts] for i in range(1, parts)}) if seen else []
+    place = F.size(F.filter(F.array(*[F.lit(c).cast(rows.schema[order].dataType) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
     dealt = rows.withColumn("__part", F.coalesce(place, F.lit(0)))
     counts = {r["__part"]: r["count"] for r in dealt.groupBy("__part").count().collect()}  # a row per range
     before, run = [], 0
     for k in range(len(cuts) + 1):
         before.append(run)
         run += counts.get(k, 0)
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(order))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(order, tie))
     return dealt.withColumn("n", own + F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("__part") + 1)).drop("__part")
 
 
@@ -144,6 +150,7 @@ def round_robin_pair(split: DataFrame, ticks: DataFrame, file_id: str = "doc_id"
 
 
 def reply_parse(replies: DataFrame) -> DataFrame:
+    """replies(reply) with status and the command they answer."""
     return replies.withColumn("status", m.reply_status(F.col("reply"))).withColumn("cmd", m.reply_command(F.col("reply")))
 
 
@@ -153,25 +160,24 @@ def command_reply_match(commands: DataFrame, replies: DataFrame, limit_s: int =
     Equal on device and command and bucketed by limit_s (a reply looks in its own and the bucket before), so the
     range join is an equi-join whose groups stay small on a busy device."""
     bucket = lambda c: F.floor(F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01'"), c) / F.lit(limit_s))
-    answered = replies.select("device_id", m.reply_command(F.col("reply")).alias("cmd"), F.col("ts").alias("reply_ts"))
+    answered = replies.select("device_id", m.reply_command(F.col("reply")).alias("__cmd"), F.col("ts").alias("reply_ts"))
     answered = answered.withColumn("__b", F.explode(F.array(bucket(F.col("reply_ts")), bucket(F.col("reply_ts")) - 1)))
-    asked = commands.withColumn("__b", bucket(F.col("ts")))
+    asked = commands.withColumn("__b", bucket(F.col("ts"))).withColumn("__cmd", m.command_text(F.col("cmd")))
     late = F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("reply_ts"))
-    pairs = asked.join(answered, ["device_id", "cmd", "__b"]).filter((late >= 0) & (late <= limit_s * 1_000_000))
+    pairs = asked.join(answered, ["device_id", "__cmd", "__b"]).filter((late >= 0) & (late <= limit_s * 1_000_000))
     first = pairs.groupBy("cmd_id").agg(F.min("reply_ts").alias("reply_ts"))
     return commands.join(first, "cmd_id", "left").withColumn("latency_s", F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("reply_ts")) / F.lit(1e6))
 
 
 def unanswered_commands(commands: DataFrame, replies: DataFrame, limit_s: int = 5) -> DataFrame:
-    matched = command_reply_match(commands, replies, limit_s).filter("reply_ts is not null")
-    return commands.join(matched.select("cmd_id"), "cmd_id", "left_anti")
+    """Commands without a reply within limit_s."""
+    return command_reply_match(commands, replies, limit_s).filter("reply_ts is null").select(*commands.columns)
 
 
 def device_state(commands: DataFrame) -> DataFrame:
     """commands with is_open after each: opened and not closed since; false before any of the two."""
-    w = Window.partitionBy("device_id").orderBy("ts", "cmd_id").rowsBetween(Window.unboundedPreceding, 0)
     said = F.when(F.col("cmd") == "TG_OPEN_DEVICE;", True).when(F.col("cmd") == "TG_CLOSE_DEVICE;", False)
-    return commands.withColumn("is_open", F.coalesce(F.last(said, ignorenulls=True).over(w), F.lit(False)))
+    return running(commands, ["device_id"], ["ts", "cmd_id"], {"is_open": ("last", said, False)}).withColumn("is_open", F.coalesce("is_open", F.lit(False)))
 
 
 # -- logs -------------------------------------------------------------------------------------

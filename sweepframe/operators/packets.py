@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import wire
+from .sliced import running
 
 RESET_GAP, WINDOW, STALL_MS, HARD_MS, SWEEP, MAX_OPEN = 1000, 30, 1500, 5000, 64, 128
 
@@ -123,90 +125,127 @@ def counter_epoch(stream: DataFrame, key: str = "device_id", order: str = "seq",
 
 def seq_watermark(packets: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
     """packets with kept: whether the frame number was not yet more than `window` behind when it came."""
-    w = Window.partitionBy(*keys).orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)
-    return packets.withColumn("kept", F.col("image_index") >= F.max("image_index").over(w) - window)
+    seen = running(packets, keys, ["arrival_seq"], {"__top": ("max", F.col("image_index"), False)})
+    return seen.withColumn("kept", F.col("image_index") >= F.col("__top") - window).drop("__top")
 
 
-def stall_timeout(packets: DataFrame, channel: list[str], stall_ms: int = STALL_MS) -> DataFrame:
-    """packets with stalled: the frame had been idle too long when this packet came.
+def stall_timeout(packets: DataFrame, channel: list[str], stall_ms: int = STALL_MS, hard_ms: int = HARD_MS) -> DataFrame:
+    """packets with stalled and old: the frame had been idle, or open, too long when this packet came.
 
-    That is so if another packet of the channel came in between, more than stall_ms after the
-    frame's packet before (it is then that the sweep finds the frame idle)."""
+    It is stalled if another packet of the channel came in between, more than stall_ms after the frame's packet
+    before, and old if that was more than hard_ms after the frame's first packet (it is then that the
+    sweep finds the frame without new bytes)."""
     frame = Window.partitionBy(*channel, "image_index").orderBy("arrival_seq")
-    line = Window.partitionBy(*channel).orderBy("arrival_seq")
-    out = packets.withColumn("__last", F.lag("rx_ms").over(frame)).withColumn("__seq", F.lag("arrival_seq").over(frame))
-    out = out.withColumn("__near", F.lag("rx_ms").over(line)).withColumn("__near_seq", F.lag("arrival_seq").over(line))
-    idle = (F.col("__near_seq") > F.col("__seq")) & (F.col("__near") - F.col("__last") > stall_ms)
-    return out.withColumn("stalled", F.coalesce(idle, F.lit(False))).drop("__last", "__seq", "__near", "__near_seq")
+    out = running(packets, channel, ["arrival_seq"], {"__near": ("last", F.struct("rx_ms", "arrival_seq"), True)})
+    out = out.withColumn("__last", F.lag("rx_ms").over(frame)).withColumn("__seq", F.lag("arrival_seq").over(frame)).withColumn("__first", F.first("rx_ms").over(frame))
+    between = F.col("__near.arrival_seq") > F.col("__seq")
+    late = lambda since, limit: F.coalesce(between & (F.col("__near.rx_ms") - F.col(since) > limit), F.lit(False))
+    return out.withColumn("stalled", late("__last", stall_ms)).withColumn("old", late("__first", hard_ms)).drop("__last", "__seq", "__first", "__near")
 
 
-def frame_reassembly(packets: DataFrame, keys: list[str]) -> DataFrame:
-    """Frames from packets in arrival order, block numbers ignored: one row per generation.
+def size_of(payload) -> int:
+    """Bytes of a payload; text counts as UTF-8, null as nothing."""
+    return 0 if payload is None else len(payload.encode()) if isinstance(payload, str) else len(payload)
 
-    A frame is complete once its bytes reach the total size of its first packet; later packets of
-    the same index begin the next generation. The fold streams a frame's packets with three numbers
-    of state; payloads ride along, so that one shuffle by frame serves it and the aggregation behind it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, generation, got, total = None, 0, 0, None
-        for pdf in batches:
-            gens, done = [], []
-            for key, size, own in zip(pdf[[*keys, "image_index"]].itertuples(index=False, name=None), pdf["block_size"].tolist(), pdf["total_size"].tolist()):
-                if key != who:
-                    who, generation, got, total = key, 0, 0, None
-                if total is None:
-                    total = own
-                got += size
-                complete = total > 0 and got >= total
-                gens.append(generation)
-                done.append(complete)
-                if complete:
-                    generation, got, total = generation + 1, 0, None
-            yield pdf.assign(generation=pd.Series(gens, index=pdf.index, dtype="int64"), complete=pd.Series(done, index=pdf.index, dtype=bool))
-
-    rows = packets.select(*keys, "image_index", "arrival_seq", "total_size", "block_size", "payload")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", generation bigint, complete boolean"
-    dealt = rows.repartition(*keys, "image_index").sortWithinPartitions(*keys, "image_index", "arrival_seq").mapInPandas(run, schema)
-    return dealt.groupBy(*keys, "image_index", "generation").agg(
-        F.count("*").alias("packets"), F.sum("block_size").cast("long").alias("bytes"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("arrival_seq", "payload"))), lambda p: p["payload"]), "").alias("payload"),
-        F.max("complete").alias("complete"))
+def _type(rows: DataFrame, name: str) -> str:
+    return rows.schema[name].dataType.simpleString()
+
+
+def frame_reassembly(packets: DataFrame, keys: list[str]) -> DataFrame:
+    """Frames from packets(.., image_index, arrival_seq, total_size, payload) in arrival order, block numbers ignored: one row per generation.
+
+    The bytes received count, whatever the header says of its block. A frame's total size is the first one
+    above zero; it is complete once its bytes reach that, and later packets of the same index begin the next
+    generation. payload keeps its type, BINARY or STRING. One shuffle by frame; a task holds one open
+    generation and puts its payload together where the packets come by."""
+    own = ["image_index", "arrival_seq", "total_size", "payload"]
+    rows = packets.select(*keys, *own)
+    who = [*keys, "image_index"]
+    schema = ", ".join([*(f"`{c}` {_type(rows, c)}" for c in who), "generation bigint", "packets bigint", "bytes bigint", f"payload {_type(rows, 'payload')}", "complete boolean"])
+    text = _type(rows, "payload") == "string"
+    kinds = [*(rows.schema[c].dataType for c in who)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [*(to_arrow_type(k) for k in kinds), pa.int64(), pa.int64(), pa.int64(), pa.string() if text else pa.binary(), pa.bool_()]
+        names = [*who, "generation", "packets", "bytes", "payload", "complete"]
+        now, generation, got, total, parts, out, held = None, 0, 0, 0, [], [], 0
+
+        def close(complete: bool) -> None:
+            nonlocal held
+            out.append((*now, generation, len(parts), got, ("" if text else b"").join(p for p in parts if p is not None), complete))
+            held += got
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            ready = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+            out.clear()
+            held = 0
+            return ready
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*who, "total_size", "payload")]
+            for *key, size, payload in zip(*columns):
+                if key != now:
+                    if parts:
+                        close(False)
+                    now, generation, got, total, parts = key, 0, 0, 0, []
+                total = total or size or 0
+                got += size_of(payload)
+                parts.append(payload)
+                if total > 0 and got >= total:
+                    close(True)
+                    generation, got, total, parts = generation + 1, 0, 0, []
+                    if held >= 1 << 22:
+                        yield flush()
+        if parts:
+            close(False)
+        if out:
+            yield flush()
+
+    return rows.repartition(*who).sortWithinPartitions(*who, "arrival_seq").mapInArrow(run, schema)
 
 
 def frame_reassembly_ordered(packets: DataFrame, keys: list[str]) -> DataFrame:
-    """Frames from distinct blocks in block order; complete when they add up to the total size.
+    """Frames from distinct blocks in block order; complete when their bytes add up to the total size.
 
-    Of a block that came twice the first packet counts."""
-    first = packets.groupBy(*keys, "image_index", "block_index").agg(F.min_by(F.struct("total_size", "block_size", "payload"), "arrival_seq").alias("p"))
-    parts = F.array_sort(F.collect_list(F.struct("block_index", F.col("p.payload").alias("payload"))))
+    Of a block that came twice the first packet counts. payload keeps its type, BINARY or STRING."""
+    first = packets.groupBy(*keys, "image_index", "block_index").agg(F.min_by(F.struct("total_size", "payload"), "arrival_seq").alias("p"))
+    nothing = F.lit("").cast(_type(packets, "payload"))
     out = first.groupBy(*keys, "image_index").agg(
-        F.count("*").alias("blocks"), F.sum("p.block_size").cast("long").alias("bytes"), F.max("p.total_size").cast("long").alias("total_size"),
-        F.array_join(F.transform(parts, lambda p: p["payload"]), "").alias("payload"))
+        F.count("*").alias("blocks"), F.coalesce(F.sum(F.octet_length("p.payload")), F.lit(0)).cast("long").alias("bytes"), F.max("p.total_size").cast("long").alias("total_size"),
+        F.coalesce(F.expr("listagg(p.payload) within group (order by block_index)"), nothing).alias("payload"))
     return out.withColumn("complete", F.col("bytes") == F.col("total_size"))
 
 
 def payload_blocks(frames: DataFrame, payload: str = "payload", size: int = 8000) -> DataFrame:
-    """frames cut into blocks: block_index, block_size, offset, block; an empty payload has none."""
-    n = F.length(payload)
+    """frames cut into blocks of bytes: block_index, block_size, offset, total_size, block; an empty or null payload has none."""
+    data = F.col(payload).cast("binary")
+    n = F.length(data)
     keep = [c for c in frames.columns if c != payload]
     at = F.explode(F.sequence(F.lit(0), (F.ceil(n / F.lit(size)) - 1).cast("int")))
     out = frames.filter(n > 0).withColumn("block_index", at)
-    block = F.substring(F.col(payload), F.col("block_index") * size + 1, size)
-    return out.select(*keep, "block_index", F.length(block).alias("block_size"), (F.col("block_index") * size).cast("long").alias("offset"), F.length(payload).alias("total_size"), block.alias("block"))
+    block = F.substring(data, F.col("block_index") * size + 1, size)
+    return out.select(*keep, "block_index", F.length(block).alias("block_size"), (F.col("block_index") * size).cast("long").alias("offset"), n.alias("total_size"), block.alias("block"))
 
 
 class BufferPool:
-    """Open frames of one channel, with the eviction rules; used by the batch and the streaming form.
+    """Open frames of one device and channel, with the eviction rules; used by the batch and the streaming form.
 
     add() returns (complete frames, evicted (index, reason)). sweep: every so many packets, and when more
     than max_open frames are open, frames are evicted that are `window` behind the largest index, or had
-    no new bytes since the sweep before and are idle for stall_ms or old for hard_ms."""
+    no new bytes since the sweep before and are idle for stall_ms or old for hard_ms. A total size of zero
+    waits for the next one. A sweep also forgets the generations of frames behind the window, so
+    state is bounded. touched: the frames to write back."""
 
     def __init__(self, window: int = WINDOW, stall_ms: int = STALL_MS, hard_ms: int = HARD_MS, sweep: int = 1, max_open: int = MAX_OPEN, gap: int = RESET_GAP):
         self.window, self.stall, self.hard, self.sweep, self.most, self.gap = window, stall_ms, hard_ms, sweep, max_open, gap
         self.top, self.epoch, self.seen = 0, 0, 0
         self.open: dict[int, list] = {}  # index: [total, bytes, parts, created, updated, bytes at last sweep, generation]
         self.generation: dict[int, int] = {}
+        self.touched: set[int] = set()
 
     def add(self, index: int, total: int, payload, now: int) -> tuple[list[tuple], list[tuple[int, str]]]:
         evicted = []
@@ -218,8 +257,11 @@ class BufferPool:
         else:
             self.top = max(self.top, index)
         self.seen += 1
-        f = self.open.setdefault(index, [total, 0, [], now, now, 0, self.generation.get(index, 0)])
-        f[1] += len(payload)
+        f = self.open.setdefault(index, [0, 0, [], now, now, 0, self.generation.get(index, 0)])
+        self.touched.add(index)
+        if not f[0]:
+            f[0], f[3], f[5] = total, now, 0
+        f[1] += size_of(payload)
         f[2].append(payload)
         f[4] = now
         gone = False
@@ -233,10 +275,13 @@ class BufferPool:
                     reason = "stalled" if now - o[4] > self.stall else "old" if now - o[3] > self.hard else None
                 else:
                     o[5] = o[1]
+                    self.touched.add(i)
                 if reason:
                     evicted.append((i, reason))
                     gone = gone or i == index
                     del self.open[i]
+            for i in [i for i in self.generation if i < self.top - self.window]:
+                del self.generation[i]
         done = []
         if not gone and f[0] > 0 and f[1] >= f[0]:
             done.append((index, f[6], self.epoch, len(f[2]), f[1], f[2]))

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import angles, messages, wire
 from ..operators import detect, frames, laps, packets, rasters, rechunk
 from ..operators import messages as msg
-from ..sinks import capture_line
-from ..sources.captures import parse_capture_log
+from ..sinks import capture_log_sink
+from ..sources.captures import capture_log_scan, packet_scan, parse_capture_log
 from ..streaming.processors import reassembly_batch
-from .fixtures import Views, with_views
+from .fixtures import Views, shared_path, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,15 +38,29 @@ def register(name: str, columns: str, query: Callable[[Views], DataFrame], sql:
 
 # -- sources and sinks ------------------------------------------------------------------------
 
-register("capture_log_scan", "arrival_seq BIGINT, log_ts MS, sender_ip VARCHAR, sender_port BIGINT, payload VARCHAR",
-    lambda v: parse_capture_log(v("capture_log")),
-    r"""SELECT arrival_seq, try_cast(regexp_extract(value, '^\[([^\]]+)\]', 1) AS TIMESTAMP) AS log_ts,
+def _log_file(v: Views) -> DataFrame:
+    """The capture log written as text files, and scanned."""
+    path = shared_path(v.spark, "log")
+    v("capture_log").select("value").write.text(path)
+    return capture_log_scan(v.spark, path)
+
+
+def _sent_file(v: Views) -> DataFrame:
+    """Messages written by the capture log's sink, and read as lines."""
+    path = shared_path(v.spark, "sent")
+    capture_log_sink(v("path_msgs"), path)
+    return v.spark.read.text(path)
+
+
+#: White space around a field, for DuckDB.
+strip = lambda x: f"trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+register("capture_log_scan", "log_ts MS, sender_ip VARCHAR, sender_port BIGINT, payload VARCHAR", _log_file,
+    r"""SELECT try_cast(regexp_extract(value, '^\[([^\]]+)\]', 1) AS TIMESTAMP) AS log_ts,
         regexp_extract(value, '\(''([^'']*)''', 1) AS sender_ip, try_cast(regexp_extract(value, ''', (\d+)\)', 1) AS INT) AS sender_port,
         trim(regexp_extract(value, '^\[[^\]]+\][^:]*:\s*(.*)$', 1)) AS payload
         FROM capture_log WHERE regexp_matches(value, '^\[[^\]]+\][^:]*:\s*\S')""")
-register("capture_log_sink", "arrival_seq BIGINT, value VARCHAR",
-    lambda v: v("path_msgs").select("arrival_seq", capture_line(F.col("rx_ts"), F.col("sender"), F.col("payload")).alias("value")),
-    """SELECT arrival_seq, '[' || strftime(rx_ts, '%Y-%m-%d %H:%M:%S') || '] 来自 (''' || split_part(sender, ':', 1) || ''', ' || split_part(sender, ':', 2) || ') 的数据: ' || payload AS value FROM path_msgs""")
+register("capture_log_sink", "value VARCHAR", _sent_file,
+    f"""SELECT '[' || strftime(rx_ts, '%Y-%m-%d %H:%M:%S') || '] 来自 (''' || split_part(sender, ':', 1) || ''', ' || split_part(sender, ':', 2) || ') 的数据: ' || {strip("payload")} AS value FROM path_msgs""")
 
 
 def _landing(v: Views) -> DataFrame:
@@ -61,8 +75,17 @@ def _landing(v: Views) -> DataFrame:
 
 
 _KIND = "CASE WHEN arrival_seq % 37 = 0 THEN 'text' WHEN arrival_seq % 41 = 0 THEN 'reject' ELSE 'binary' END"
+
+
+def _landed(v: Views) -> DataFrame:
+    """The landing table written as files, and scanned."""
+    path = shared_path(v.spark, "landing")
+    _landing(v).select("device_id", F.lit("192.168.4.1:8002").alias("sender"), F.lit(8002).alias("port"), F.lit(None).cast("timestamp").alias("rx_ts"), "arrival_seq", "datagram").write.parquet(path)
+    return packet_scan(v.spark, path)
+
+
 register("packet_scan", "device_id VARCHAR, arrival_seq BIGINT, bytes BIGINT",
-    lambda v: _landing(v).select("device_id", "arrival_seq", F.length("datagram").alias("bytes")),
+    lambda v: _landed(v).select("device_id", "arrival_seq", F.length("datagram").alias("bytes")),
     "SELECT CAST(image_type AS VARCHAR) AS device_id, arrival_seq, CASE WHEN arrival_seq % 37 = 0 THEN 11 + length(CAST(arrival_seq AS VARCHAR)) ELSE 20 + strlen(payload) END AS bytes FROM packets")
 register("packet_classify", "device_id VARCHAR, arrival_seq BIGINT, kind VARCHAR",
     lambda v: packets.packet_classify(_landing(v)).select("device_id", "arrival_seq", "kind"),
@@ -74,11 +97,11 @@ register("packet_header_decode", "device_id VARCHAR, arrival_seq BIGINT, header_
 
 # -- scalar functions -------------------------------------------------------------------------
 
-_PATH_SQL = r"""
+_PATH_SQL = rf"""
 SELECT *, CASE WHEN type = 'RGB' THEN 'RGB' WHEN type IN ('BW', 'GRAY') THEN 'BW' END AS channel,
        CASE WHEN starts_with(p, '/data/') THEN '\\' || sender_ip || replace(p, '/', '\') ELSE p END AS share_path
-FROM (SELECT *, upper(trim(split_part(payload, ';', 1))) AS type, trim(split_part(payload, ';', 2)) AS path,
-             regexp_replace(trim(split_part(payload, ';', 2)), '^file://', '', 'i') AS p, regexp_extract(trim(sender), '^(.+):[^:]*$', 1) AS sender_ip
+FROM (SELECT *, upper({strip("split_part(payload, ';', 1)")}) AS type, {strip("split_part(payload, ';', 2)")} AS path,
+             regexp_replace({strip("split_part(payload, ';', 2)")}, '^file://', '', 'i') AS p, regexp_extract(trim(sender), '^(.+):[^:]*$', 1) AS sender_ip
       FROM path_msgs WHERE contains(payload, ';'))
 WHERE type <> '' AND path <> ''"""
 _PATH_COLUMNS = "device_id BIGINT, arrival_seq BIGINT, type VARCHAR, channel VARCHAR, path VARCHAR, sender_ip VARCHAR, share_path VARCHAR"
@@ -89,8 +112,8 @@ register("sender_ip", "arrival_seq BIGINT, ip VARCHAR",
     "SELECT arrival_seq, CASE arrival_seq % 3 WHEN 0 THEN 'fe80::' || arrival_seq WHEN 1 THEN split_part(sender, ':', 1) ELSE 'plain' END AS ip FROM path_msgs")
 register("device_path_map", "arrival_seq BIGINT, share_path VARCHAR",
     lambda v: v("path_msgs").select("arrival_seq", messages.device_path_map(messages.path_of(F.col("payload")), F.lit("")).alias("share_path")).filter("share_path is not null"),
-    r"""SELECT arrival_seq, CASE WHEN starts_with(p, '/data/') THEN '\\192.168.4.1' || replace(p, '/', '\') ELSE p END AS share_path
-        FROM (SELECT arrival_seq, regexp_replace(trim(split_part(payload, ';', 2)), '^file://', '', 'i') AS p FROM path_msgs WHERE contains(payload, ';'))""")
+    rf"""SELECT arrival_seq, CASE WHEN starts_with(p, '/data/') THEN '\\192.168.4.1' || replace(p, '/', '\') ELSE p END AS share_path
+        FROM (SELECT arrival_seq, regexp_replace({strip("split_part(payload, ';', 2)")}, '^file://', '', 'i') AS p FROM path_msgs WHERE contains(payload, ';'))""")
 
 
 def _serial(v: Views) -> DataFrame:
@@ -104,13 +127,23 @@ def _serial(v: Views) -> DataFrame:
 
 _ANGLES = "SELECT device_id, seq, 89 AS cmd2, round(angle_deg * 100) / 100.0::DOUBLE AS angle_deg FROM angle_feedback WHERE seq % 13 <> 0 AND seq % 17 <> 0"
 register("turntable_frame_decode", "device_id BIGINT, seq BIGINT, cmd2 BIGINT, angle_deg DOUBLE", lambda v: packets.turntable_frame_decode(_serial(v)), _ANGLES)
-register("turntable_resync", "device_id BIGINT, chunks BIGINT, frames BIGINT, angles DOUBLE",
-    lambda v: packets.turntable_resync(_serial(v).filter("seq % 13 <> 0").select("device_id", F.col("ts").alias("rx_ts"), F.explode(F.array(F.struct((F.col("seq") * 2).alias("chunk_seq"), F.expr("substring(frame, 1, seq % 6 + 1)").alias("data")), F.struct((F.col("seq") * 2 + 1).alias("chunk_seq"), F.expr("substring(frame, seq % 6 + 2)").alias("data")))).alias("c")).select("device_id", "rx_ts", "c.*"))
-        .groupBy("device_id").agg(F.countDistinct("chunk_seq").alias("chunks"), F.count("*").alias("frames"), F.round(F.sum("angle_deg"), 2).alias("angles")),
-    f"SELECT device_id, count(*) AS chunks, count(*) AS frames, round(sum(angle_deg), 2) AS angles FROM ({_ANGLES}) GROUP BY device_id")
+
+
+def _serial_chunks(v: Views) -> DataFrame:
+    """The serial line: every frame in two chunks, stray bytes before some, bad checksums among them."""
+    noise = F.when(F.col("seq") % 11 == 0, F.unhex(F.lit("001207"))).otherwise(F.unhex(F.lit("")))
+    # A bad frame holds no second 0xFF, so that what it does to its neighbours can be said in SQL.
+    frame = F.when(F.col("seq") % 13 == 0, F.unhex(F.lit("FF01005900005B"))).otherwise(F.col("frame"))
+    whole = _serial(v).withColumn("data", F.concat(noise, frame))
+    halves = F.array(F.struct((F.col("seq") * 2).alias("chunk_seq"), F.expr("substring(data, 1, seq % 6 + 1)").alias("data")), F.struct((F.col("seq") * 2 + 1).alias("chunk_seq"), F.expr("substring(data, seq % 6 + 2)").alias("data")))
+    return whole.select("device_id", F.col("ts").alias("rx_ts"), F.explode(halves).alias("c")).select("device_id", "rx_ts", "c.*")
+
+
+register("turntable_resync", "device_id BIGINT, chunk_seq BIGINT, nth BIGINT, cmd2 BIGINT, angle_deg DOUBLE", lambda v: packets.turntable_resync(_serial_chunks(v)),
+    f"SELECT device_id, seq * 2 + 1 AS chunk_seq, 0 AS nth, cmd2, angle_deg FROM ({_ANGLES})")
 register("turntable_command_encode", "event_id BIGINT, cmd VARCHAR, frame_hex VARCHAR",
     lambda v: packets.turntable_command_encode(v("motion_commands")),
-    """SELECT event_id, cmd, printf('FF0100%02X%02X00%02X', c2, d1, (1 + c2 + d1) & 255) AS frame_hex
+    """SELECT event_id, cmd, CASE cmd WHEN 'enableFeedback' THEN 'FF010009000610' ELSE printf('FF0100%02X%02X00%02X', c2, d1, (1 + c2 + d1) & 255) END AS frame_hex
        FROM (SELECT event_id, cmd, CASE cmd WHEN 'turnLeft' THEN 4 WHEN 'turnRight' THEN 2 ELSE 0 END AS c2, CASE cmd WHEN 'stop' THEN 0 ELSE speed END AS d1 FROM motion_commands)""")
 
 
@@ -169,7 +202,7 @@ register("tile_resize", _PIX, lambda v: rasters.tile_resize(_pixels(v), 8, 8, 12
 
 _LOG = "arrival_seq BIGINT"
 register("port_fanout", "arrival_seq BIGINT, port BIGINT", lambda v: msg.port_fanout(parse_capture_log(v("capture_log"))),
-    """SELECT arrival_seq, unnest(CASE lower(trim(split_part(payload, ';', 1))) WHEN 'bw' THEN [8001, 8002] WHEN 'rgb' THEN [8001, 8003] ELSE [8001] END) AS port
+    f"""SELECT arrival_seq, unnest(CASE lower({strip("split_part(payload, ';', 1)")}) WHEN 'bw' THEN [8001, 8002] WHEN 'rgb' THEN [8001, 8003] ELSE [8001] END) AS port
        FROM path_msgs WHERE arrival_seq % 50 <> 0""")
 register("systematic_sample", "arrival_seq BIGINT", lambda v: msg.systematic_sample(parse_capture_log(v("capture_log"))),
     "SELECT arrival_seq FROM (SELECT arrival_seq, row_number() OVER (ORDER BY arrival_seq) AS n FROM path_msgs WHERE arrival_seq % 50 <> 0) WHERE n % 20 = 1")
@@ -226,10 +259,10 @@ register("snapshot_size", "cmd_id BIGINT, need_bytes BIGINT, ok BOOLEAN",
     lambda v: frames.snapshot_size(v("commands").select("cmd_id", (F.col("cmd_id") % 65536).alias("w"), F.lit(4096).alias("h"), F.when(F.col("cmd_id") % 5 > 0, F.lit(200_000_000).cast("long")).alias("free_bytes"))),
     "SELECT cmd_id, need_bytes, cmd_id % 5 = 0 OR need_bytes <= 200000000 AS ok FROM (SELECT cmd_id, 54 + 3 * (cmd_id % 65536) * 4096 + 1078 + (cmd_id % 65536) * 4096 + 67108864 AS need_bytes FROM commands)")
 _MATCH = """SELECT c.cmd_id, c.device_id, c.cmd, min(r.ts) AS reply_ts, (epoch_us(min(r.ts)) - epoch_us(any_value(c.ts))) / 1e6::DOUBLE AS latency_s
-            FROM commands c LEFT JOIN replies r ON c.device_id = r.device_id AND r.reply = c.cmd || 'OK;' AND r.ts BETWEEN c.ts AND c.ts + INTERVAL 5 SECOND GROUP BY ALL"""
+            FROM commands c LEFT JOIN replies r ON c.device_id = r.device_id AND r.reply = c.cmd || CASE WHEN c.cmd LIKE '%;' THEN '' ELSE ';' END || 'OK;' AND r.ts BETWEEN c.ts AND c.ts + INTERVAL 5 SECOND GROUP BY ALL"""
 register("command_reply_match", "cmd_id BIGINT, device_id BIGINT, cmd VARCHAR, reply_ts MS, latency_s DOUBLE", lambda v: msg.command_reply_match(v("commands"), v("replies")), _MATCH)
 register("unanswered_commands", "cmd_id BIGINT, device_id BIGINT, cmd VARCHAR", lambda v: msg.unanswered_commands(v("commands"), v("replies")), f"SELECT * FROM ({_MATCH}) WHERE reply_ts IS NULL")
-_LAP_SQL = """WITH e AS (SELECT device_id, ts, seq AS n, angle_deg, NULL AS cmd, 1 AS kind FROM angle_feedback UNION ALL SELECT device_id, ts, event_id, NULL, cmd, 0 FROM motion_commands),
+_LAP_SQL = """WITH e AS (SELECT device_id, ts, seq AS n, angle_deg, NULL AS cmd, 1 AS kind FROM angle_feedback UNION ALL SELECT device_id, ts, event_id, NULL, cmd, 0 FROM motion_commands WHERE cmd IN ('turnLeft', 'turnRight', 'stop')),
  s AS (SELECT *, count(*) FILTER (cmd IN ('turnLeft', 'turnRight')) OVER w AS epoch, last_value(cmd IGNORE NULLS) OVER w AS state,
               last_value(angle_deg IGNORE NULLS) OVER (PARTITION BY device_id ORDER BY ts, kind, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
        FROM e WINDOW w AS (PARTITION BY device_id ORDER BY ts, kind, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -239,7 +272,7 @@ register("lap_times", "device_id BIGINT, epoch BIGINT, ts MS, lap_seconds DOUBLE
 register("nominal_lap_join", "device_id BIGINT, ts MS, speed BIGINT, nominal_lap_s DOUBLE, lap_seconds DOUBLE, diff_s DOUBLE",
     lambda v: laps.nominal_lap_join(laps.lap_times(v("angle_feedback"), v("motion_commands")), v("motion_commands"), v("speed_profile")),
     f"""SELECT l.device_id, l.ts, t.speed, p.nominal_lap_s, l.lap_seconds, l.lap_seconds - p.nominal_lap_s AS diff_s FROM ({_LAP_SQL}) l
-        LEFT JOIN (SELECT device_id, speed, row_number() OVER (PARTITION BY device_id ORDER BY ts, event_id) AS epoch FROM motion_commands WHERE cmd <> 'stop') t ON l.device_id = t.device_id AND l.epoch = t.epoch
+        LEFT JOIN (SELECT device_id, speed, row_number() OVER (PARTITION BY device_id ORDER BY ts, event_id) AS epoch FROM motion_commands WHERE cmd IN ('turnLeft', 'turnRight')) t ON l.device_id = t.device_id AND l.epoch = t.epoch
         LEFT JOIN speed_profile p ON t.speed = p.speed""")
 register("device_state", "cmd_id BIGINT, device_id BIGINT, is_open BOOLEAN", lambda v: msg.device_state(v("commands")),
     """SELECT cmd_id, device_id, coalesce(last_value(CASE cmd WHEN 'TG_OPEN_DEVICE;' THEN true WHEN 'TG_CLOSE_DEVICE;' THEN false END IGNORE NULLS)
@@ -261,20 +294,26 @@ register("clear_epoch", "device_id BIGINT, epoch BIGINT, rgb_tiles BIGINT, bw_ti
 
 
 def _outcomes(v: Views) -> DataFrame:
-    """Path messages with their load outcome: file arrival_seq % 10 of the polls view, decoding by a rule of the sequence number."""
-    p = msg.path_message_parse(v("path_msgs")).withColumn("file_id", F.col("arrival_seq") % 10)
-    tries = v("file_polls").filter("seq <= 60").select("file_id", (F.col("seq") * 30).alias("attempt_ms"), F.when((F.col("file_id") % 3 == 0) | (F.col("seq") < 20 + F.col("file_id") * 4), F.when(F.col("file_id") % 2 == 0, "convert").otherwise("truncated")).alias("error"))
-    return msg.load_outcome(p, msg.file_stable(v("file_polls"), 600), msg.decode_retry_window(tries))
+    """Path messages with their load outcome: each one's file of the polls view, decoding by a rule of the sequence number."""
+    p = msg.path_message_parse(v("path_msgs")).withColumn("file_id", F.col("arrival_seq") % 10 + 10 * F.floor(F.col("arrival_seq") / 800))
+    return msg.load_outcome(p, msg.file_stable(v("file_polls"), 600), msg.decode_retry_window(_tries(v)))
+
+
+def _tries(v: Views) -> DataFrame:
+    """60 attempts to decode each file; some fail for good, some at first."""
+    k, n = F.col("file_id") % 10, F.col("seq")
+    wrong = F.when((k % 3 == 0) | (n < 20 + k * 4), F.when(k % 2 == 0, "convert").otherwise("truncated"))
+    return v("file_polls").filter("seq <= 60").select("file_id", (n * 30).alias("attempt_ms"), wrong.alias("error"))
 
 
 _STABLE = "SELECT DISTINCT p.file_id, s.stable_ms, s.size FROM file_polls p LEFT JOIN (SELECT file_id, min(poll_ms) AS stable_ms, arg_min(size, seq) AS size FROM (SELECT *, lag(size) OVER (PARTITION BY file_id ORDER BY seq) AS b FROM file_polls WHERE poll_ms <= {}) WHERE size > 0 AND size = b GROUP BY file_id) s ON p.file_id = s.file_id"
-_TRIES = "SELECT file_id, seq * 30 AS attempt_ms, CASE WHEN file_id % 3 = 0 OR seq < 20 + file_id * 4 THEN CASE WHEN file_id % 2 = 0 THEN 'convert' ELSE 'truncated' END END AS error FROM file_polls WHERE seq <= 60"
+_TRIES = "SELECT file_id, seq * 30 AS attempt_ms, CASE WHEN file_id % 10 % 3 = 0 OR seq < 20 + file_id % 10 * 4 THEN CASE WHEN file_id % 10 % 2 = 0 THEN 'convert' ELSE 'truncated' END END AS error FROM file_polls WHERE seq <= 60"
 _DECODED = f"SELECT file_id, decoded_ms, CASE WHEN decoded_ms IS NULL THEN e END AS error FROM (SELECT file_id, min(CASE WHEN error IS NULL THEN attempt_ms END) AS decoded_ms, arg_max(error, attempt_ms) AS e FROM ({_TRIES}) WHERE attempt_ms <= 1200 GROUP BY file_id)"
 _OUTCOME = f"""SELECT p.*, CASE WHEN s.stable_ms IS NULL THEN 'not_ready' WHEN d.decoded_ms IS NOT NULL THEN 'ok' WHEN d.error = 'convert' THEN 'convert_failed' ELSE 'decode_failed' END AS outcome
-               FROM ({_PATH_SQL}) p LEFT JOIN ({_STABLE.format(600)}) s ON p.arrival_seq % 10 = s.file_id LEFT JOIN ({_DECODED}) d ON p.arrival_seq % 10 = d.file_id"""
+               FROM ({_PATH_SQL}) p LEFT JOIN ({_STABLE.format(600)}) s ON p.arrival_seq % 10 + 10 * (p.arrival_seq // 800) = s.file_id LEFT JOIN ({_DECODED}) d ON p.arrival_seq % 10 + 10 * (p.arrival_seq // 800) = d.file_id"""
 register("file_stable", "file_id BIGINT, stable_ms BIGINT, size BIGINT", lambda v: msg.file_stable(v("file_polls")), _STABLE.format(2000))
 register("decode_retry_window", "file_id BIGINT, decoded_ms BIGINT, error VARCHAR",
-    lambda v: msg.decode_retry_window(v("file_polls").filter("seq <= 60").select("file_id", (F.col("seq") * 30).alias("attempt_ms"), F.when((F.col("file_id") % 3 == 0) | (F.col("seq") < 20 + F.col("file_id") * 4), F.when(F.col("file_id") % 2 == 0, "convert").otherwise("truncated")).alias("error"))), _DECODED)
+    lambda v: msg.decode_retry_window(_tries(v)), _DECODED)
 register("load_outcome", "device_id BIGINT, arrival_seq BIGINT, outcome VARCHAR", _outcomes, _OUTCOME)
 register("arrival_index", "device_id BIGINT, channel VARCHAR, arrival_seq BIGINT, frame_no BIGINT", lambda v: msg.arrival_index(msg.channel_route(_outcomes(v))),
     f"SELECT *, row_number() OVER (PARTITION BY device_id, channel ORDER BY arrival_seq) - 1 AS frame_no FROM ({_OUTCOME}) WHERE outcome = 'ok' AND channel IS NOT NULL")
@@ -304,39 +343,59 @@ register("column_rechunk", "session VARCHAR, frame_no BIGINT, image_no BIGINT, s
 register("frame_emit_at", "session VARCHAR, frame_no BIGINT, emit_image BIGINT", lambda v: rechunk.frame_emit_at(v("source_images")), f"SELECT session, frame_no, max(image_no) AS emit_image FROM ({_CHUNK}) GROUP BY ALL")
 _blocks = lambda v, size: packets.payload_blocks(v.table("documents").select("doc_id", F.col("text").alias("payload")), size=size)
 register("payload_blocks", "doc_id BIGINT, block_index BIGINT, block_size BIGINT, offset BIGINT", lambda v: _blocks(v, 1000),
-    'SELECT doc_id, k AS block_index, least(1000, n - k * 1000) AS block_size, k * 1000 AS "offset" FROM (SELECT doc_id, length(text) AS n, unnest(range((length(text) + 999) // 1000)) AS k FROM documents)')
+    'SELECT doc_id, k AS block_index, least(1000, n - k * 1000) AS block_size, k * 1000 AS "offset" FROM (SELECT doc_id, strlen(text) AS n, unnest(range((strlen(text) + 999) // 1000)) AS k FROM documents)')
 register("blocks_roundtrip", "doc_id BIGINT, equal BOOLEAN",
     lambda v: packets.frame_reassembly_ordered(_blocks(v, 1000).select(F.lit(1).alias("image_type"), F.col("doc_id").alias("image_index"), (F.lit(0) - F.col("block_index")).alias("arrival_seq"), "block_index", "block_size", "total_size", F.col("block").alias("payload")), ["image_type"])
-        .join(v.table("documents").select(F.col("doc_id").alias("image_index"), "text"), "image_index").select(F.col("image_index").alias("doc_id"), ((F.col("payload") == F.col("text")) & F.col("complete")).alias("equal")),
+        .join(v.table("documents").select(F.col("doc_id").alias("image_index"), "text"), "image_index").select(F.col("image_index").alias("doc_id"), ((F.col("payload") == F.col("text").cast("binary")) & F.col("complete")).alias("equal")),
     "SELECT doc_id, true AS equal FROM documents WHERE length(text) > 0")
 
 # -- sequential operators ---------------------------------------------------------------------
 
+
+def pool_packets(v: Views) -> DataFrame:
+    """Packets of two devices with two channels each, payloads as bytes."""
+    return v("packets").select((F.floor(F.col("image_index") / 2) % 2).alias("device_id"), F.col("image_type").cast("string").alias("channel"), "image_index", "total_size", "arrival_seq", "rx_ms", F.col("payload").cast("binary").alias("payload"))
+
+
+
 _PACKETS = ["image_type"]
-register("frame_reassembly_ordered", "image_type BIGINT, image_index BIGINT, blocks BIGINT, bytes BIGINT, complete BOOLEAN, payload VARCHAR", lambda v: packets.frame_reassembly_ordered(v("packets"), _PACKETS),
-    """SELECT image_type, image_index, count(*) AS blocks, sum(block_size) AS bytes, sum(block_size) = max(total_size) AS complete, string_agg(payload, '' ORDER BY block_index) AS payload
-       FROM (SELECT *, row_number() OVER (PARTITION BY image_type, image_index, block_index ORDER BY arrival_seq) AS rn FROM packets) WHERE rn = 1 GROUP BY ALL""")
-register("frame_reassembly", "image_type BIGINT, image_index BIGINT, generation BIGINT, packets BIGINT, bytes BIGINT, complete BOOLEAN, payload VARCHAR", lambda v: packets.frame_reassembly(v("packets"), _PACKETS),
-    """WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY image_type, image_index ORDER BY arrival_seq) AS n FROM packets),
+
+
+def _ordered_sql(source: str) -> str:
+    return f"""SELECT image_type, image_index, count(*) AS blocks, sum(block_size) AS bytes, sum(block_size) = max(total_size) AS complete, string_agg(payload, '' ORDER BY block_index) AS payload
+       FROM (SELECT *, row_number() OVER (PARTITION BY image_type, image_index, block_index ORDER BY arrival_seq) AS rn FROM {source}) WHERE rn = 1 GROUP BY ALL"""
+
+
+def _walk_sql(source: str) -> str:
+    """The fold of a frame's packets: bytes so far, and the first total above zero, of every generation."""
+    got, total = "CASE WHEN w.done THEN 0 ELSE got END + p.block_size", "CASE WHEN w.done OR total = 0 THEN p.total_size ELSE total END"
+    return f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY image_type, image_index ORDER BY arrival_seq) AS n FROM {source}),
        walk AS (SELECT image_type, image_index, n, payload, block_size, 0 AS generation, block_size AS got, total_size AS total, total_size > 0 AND block_size >= total_size AS done FROM p WHERE n = 1
-         UNION ALL SELECT p.image_type, p.image_index, p.n, p.payload, p.block_size, CASE WHEN w.done THEN generation + 1 ELSE generation END, CASE WHEN w.done THEN 0 ELSE got END + p.block_size,
-           CASE WHEN w.done THEN p.total_size ELSE total END,
-           CASE WHEN w.done THEN p.total_size ELSE total END > 0 AND CASE WHEN w.done THEN 0 ELSE got END + p.block_size >= CASE WHEN w.done THEN p.total_size ELSE total END
+         UNION ALL SELECT p.image_type, p.image_index, p.n, p.payload, p.block_size, CASE WHEN w.done THEN generation + 1 ELSE generation END, {got}, {total}, {total} > 0 AND {got} >= {total}
            FROM walk w JOIN p ON p.image_type = w.image_type AND p.image_index = w.image_index AND p.n = w.n + 1)
-       SELECT image_type, image_index, generation, count(*) AS packets, sum(block_size) AS bytes, bool_or(done) AS complete, string_agg(payload, '' ORDER BY n) AS payload FROM walk GROUP BY ALL""")
-register("counter_epoch", "device_id BIGINT, seq BIGINT, image_index BIGINT, epoch BIGINT, max_seen BIGINT", lambda v: packets.counter_epoch(v("frame_index_stream")),
-    """WITH RECURSIVE walk AS (SELECT device_id, seq, image_index, 0 AS epoch, image_index AS max_seen FROM frame_index_stream WHERE seq = 1
+       SELECT image_type, image_index, generation, count(*) AS packets, sum(block_size) AS bytes, bool_or(done) AS complete, string_agg(payload, '' ORDER BY n) AS payload FROM walk GROUP BY ALL"""
+
+
+register("frame_reassembly_ordered", "image_type BIGINT, image_index BIGINT, blocks BIGINT, bytes BIGINT, complete BOOLEAN, payload VARCHAR", lambda v: packets.frame_reassembly_ordered(v("packets"), _PACKETS), _ordered_sql("packets"))
+register("frame_reassembly", "image_type BIGINT, image_index BIGINT, generation BIGINT, packets BIGINT, bytes BIGINT, complete BOOLEAN, payload VARCHAR", lambda v: packets.frame_reassembly(v("packets"), _PACKETS), _walk_sql("packets"))
+# The whole way of binary frames: landed datagrams, classified, decoded, put together; bytes as hexadecimal text.
+_binary = lambda v: packets.packet_header_decode(packets.packet_classify(_landed(v)).filter("kind = 'binary'").drop("kind"))
+_LANDED = f"(SELECT * FROM packets WHERE {_KIND} = 'binary')"
+_hexed = lambda frames: frames.withColumn("payload_hex", F.hex("payload"))
+register("frame_reassembly_binary", "image_type BIGINT, image_index BIGINT, generation BIGINT, packets BIGINT, bytes BIGINT, complete BOOLEAN, payload_hex VARCHAR", lambda v: _hexed(packets.frame_reassembly(_binary(v), _PACKETS)), f"SELECT *, hex(payload) AS payload_hex FROM ({_walk_sql(_LANDED)})")
+register("frame_reassembly_ordered_binary", "image_type BIGINT, image_index BIGINT, blocks BIGINT, bytes BIGINT, complete BOOLEAN, payload_hex VARCHAR", lambda v: _hexed(packets.frame_reassembly_ordered(_binary(v), _PACKETS)), f"SELECT *, hex(payload) AS payload_hex FROM ({_ordered_sql(_LANDED)})")
+_EPOCHS = """WITH RECURSIVE walk AS (SELECT device_id, seq, image_index, 0 AS epoch, image_index AS max_seen FROM frame_index_stream WHERE seq = 1
          UNION ALL SELECT s.device_id, s.seq, s.image_index, CASE WHEN max_seen <> 0 AND s.image_index + 1000 < max_seen THEN epoch + 1 ELSE epoch END,
            CASE WHEN max_seen <> 0 AND s.image_index + 1000 < max_seen THEN s.image_index ELSE greatest(max_seen, s.image_index) END
-           FROM walk w JOIN frame_index_stream s ON s.device_id = w.device_id AND s.seq = w.seq + 1) SELECT * FROM walk""")
+           FROM walk w JOIN frame_index_stream s ON s.device_id = w.device_id AND s.seq = w.seq + 1) SELECT * FROM walk"""
+_EPOCH = "device_id BIGINT, seq BIGINT, image_index BIGINT, epoch BIGINT, max_seen BIGINT"
+register("counter_epoch", _EPOCH, lambda v: packets.counter_epoch(v("frame_index_stream")), _EPOCHS)
 register("seq_watermark", "image_type BIGINT, image_index BIGINT, arrival_seq BIGINT, kept BOOLEAN", lambda v: packets.seq_watermark(v("packets").withColumn("arrival_seq", F.col("arrival_seq")), _PACKETS, 2),
     "SELECT image_type, image_index, arrival_seq, image_index >= max(image_index) OVER (PARTITION BY image_type ORDER BY arrival_seq) - 2 AS kept FROM packets")
-register("stall_timeout", "image_type BIGINT, image_index BIGINT, arrival_seq BIGINT, stalled BOOLEAN", lambda v: packets.stall_timeout(v("packets"), _PACKETS),
-    """SELECT image_type, image_index, arrival_seq, coalesce(s2 > s1 AND m2 - m1 > 1500, false) AS stalled FROM (SELECT *, lag(rx_ms) OVER f AS m1, lag(arrival_seq) OVER f AS s1, lag(rx_ms) OVER c AS m2, lag(arrival_seq) OVER c AS s2
+register("stall_timeout", "image_type BIGINT, image_index BIGINT, arrival_seq BIGINT, stalled BOOLEAN, old BOOLEAN", lambda v: packets.stall_timeout(v("packets"), _PACKETS),
+    """SELECT image_type, image_index, arrival_seq, coalesce(s2 > s1 AND m2 - m1 > 1500, false) AS stalled, coalesce(s2 > s1 AND m2 - m0 > 5000, false) AS old FROM (SELECT *, first_value(rx_ms) OVER f AS m0, lag(rx_ms) OVER f AS m1, lag(arrival_seq) OVER f AS s1, lag(rx_ms) OVER c AS m2, lag(arrival_seq) OVER c AS s2
        FROM packets WINDOW f AS (PARTITION BY image_type, image_index ORDER BY arrival_seq), c AS (PARTITION BY image_type ORDER BY arrival_seq))""")
-_pool = lambda v, **o: reassembly_batch(v("packets").withColumn("channel", F.col("image_type").cast("string")), **o)
-register("reassembly_stream", "channel VARCHAR, image_index BIGINT, generation BIGINT, epoch BIGINT, packets BIGINT, bytes BIGINT, reason VARCHAR", lambda v: _pool(v))
-register("sweep_trigger", "channel VARCHAR, image_index BIGINT, generation BIGINT, epoch BIGINT, packets BIGINT, bytes BIGINT, reason VARCHAR", lambda v: _pool(v, sweep=64))
+register("sweep_trigger", "device_id BIGINT, channel VARCHAR, image_index BIGINT, generation BIGINT, epoch BIGINT, packets BIGINT, bytes BIGINT, reason VARCHAR", lambda v: reassembly_batch(pool_packets(v), sweep=64))
 _THROTTLE = """WITH RECURSIVE f AS (SELECT device_id, channel, frame_no, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY device_id, channel ORDER BY ts, frame_no) AS n FROM frames),
    walk AS (SELECT device_id, channel, frame_no, n, ms AS last, true AS kept FROM f WHERE n = 1
      UNION ALL SELECT f.device_id, f.channel, f.frame_no, f.n, CASE WHEN f.ms - last >= 3600000 THEN f.ms ELSE last END, f.ms - last >= 3600000 FROM walk w JOIN f ON f.device_id = w.device_id AND f.channel = w.channel AND f.n = w.n + 1)
@@ -349,12 +408,12 @@ register("log_throttle", "event_id BIGINT, device_id BIGINT, important BOOLEAN",
        walk AS (SELECT event_id, device_id, n, imp, ms AS last, true AS kept FROM e WHERE n = 1
          UNION ALL SELECT e.event_id, e.device_id, e.n, e.imp, CASE WHEN e.imp OR e.ms - last >= 500 THEN e.ms ELSE last END, e.imp OR e.ms - last >= 500 FROM walk w JOIN e ON e.device_id = w.device_id AND e.n = w.n + 1)
        SELECT event_id, device_id, imp AS important FROM walk WHERE kept""")
-register("detection_stream", "device_id BIGINT, channel VARCHAR, lap_id BIGINT, target BIGINT, frame_no BIGINT", lambda v: detect.detection_batch(_timed(v), v("targets"), 60_000, 120_000),
-    """WITH RECURSIVE f AS (SELECT device_id, channel, frame_no, angle_deg, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY device_id, channel ORDER BY ts, frame_no) AS n FROM frames),
+_DETECTIONS = """WITH RECURSIVE f AS (SELECT device_id, channel, frame_no, angle_deg, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY device_id, channel ORDER BY ts, frame_no) AS n FROM frames),
        a AS (SELECT device_id, channel, frame_no, angle_deg, ms, n, ms AS last, true AS kept FROM f WHERE n = 1
          UNION ALL SELECT f.device_id, f.channel, f.frame_no, f.angle_deg, f.ms, f.n, CASE WHEN f.ms - last >= 60000 THEN f.ms ELSE last END, f.ms - last >= 60000 FROM a JOIN f ON f.device_id = a.device_id AND f.channel = a.channel AND f.n = a.n + 1),
        k AS (SELECT *, row_number() OVER (PARTITION BY device_id, channel ORDER BY n) AS m, CASE WHEN lag(angle_deg) OVER (PARTITION BY device_id, channel ORDER BY n) > 300 AND angle_deg < 60 THEN 1 ELSE 0 END AS turn FROM a WHERE kept),
        l AS (SELECT *, coalesce(sum(turn) OVER (PARTITION BY device_id, channel ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lap_id FROM k),
        b AS (SELECT device_id, channel, frame_no, angle_deg, lap_id, m, ms AS last, true AS looked FROM l WHERE m = 1
          UNION ALL SELECT l.device_id, l.channel, l.frame_no, l.angle_deg, l.lap_id, l.m, CASE WHEN l.ms - b.last >= 120000 THEN l.ms ELSE b.last END, l.ms - b.last >= 120000 FROM b JOIN l ON l.device_id = b.device_id AND l.channel = b.channel AND l.m = b.m + 1)
-       SELECT device_id, channel, lap_id, t.angle AS target, min(frame_no) AS frame_no FROM b JOIN targets t ON least(abs(angle_deg - t.angle), 360 - abs(angle_deg - t.angle)) < 2 WHERE looked GROUP BY ALL""")
+       SELECT device_id, channel, lap_id, t.angle AS target, min(frame_no) AS frame_no FROM b JOIN targets t ON least(abs(angle_deg - t.angle), 360 - abs(angle_deg - t.angle)) < 2 WHERE looked GROUP BY ALL"""
+register("detection_batch", "device_id BIGINT, channel VARCHAR, lap_id BIGINT, target BIGINT, frame_no BIGINT", lambda v: detect.detection_batch(_timed(v), v("targets"), 60_000, 120_000), _DETECTIONS)

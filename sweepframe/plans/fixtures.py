@@ -3,25 +3,42 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir).
+
+    A cluster must name one. Only on a local master, where driver and executors are one process, a
+    temporary folder is made and set instead."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sweepframe-"))
+        base = sc.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 TABLES = ("documents", "events", "embeddings")
 
 #: View name to its body. Views may use views above them.
 VIEWS: dict[str, str] = {
     "packets0": """
-SELECT CASE WHEN d.doc_id % 2 = 0 THEN 1 ELSE 2 END AS image_type,
-       d.doc_id AS image_index, length(d.text) AS total_size,
-       e.event_id AS block_index,
-       substr(d.text, CAST(e.event_id * 512 + 1 AS INT), 512) AS payload
-FROM documents d JOIN events e ON e.event_id < 256 AND e.event_id * 512 < length(d.text)""",
+SELECT CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS image_type,
+       doc_id AS image_index, CAST(bit_length(text) / 8 AS BIGINT) AS total_size, block_index,
+       substr(text, CAST(block_index * 512 + 1 AS INT), 512) AS payload
+FROM documents EACH(block_index, (length(text) + 511) / 512) WHERE length(text) > 0""",
     "packets1": """
 SELECT *, 0 AS dup FROM packets0 WHERE (image_index * 31 + block_index) % 17 <> 0
 UNION ALL
 SELECT *, 1 AS dup FROM packets0 WHERE (image_index * 7 + block_index) % 23 = 0""",
     "packets": """
-SELECT image_type, image_index, total_size, block_index, payload, length(payload) AS block_size,
+SELECT image_type, image_index, CASE WHEN block_index = 0 AND image_index % 29 = 0 THEN 0 ELSE total_size END AS total_size,
+       block_index, payload, CAST(bit_length(payload) / 8 AS BIGINT) AS block_size,
        arrival_seq, arrival_seq + 2000 * CAST(floor(arrival_seq / 500) AS BIGINT) AS rx_ms
 FROM (SELECT *, row_number() OVER (PARTITION BY image_type
              ORDER BY image_index * 4 + block_index + 3 * dup, image_index, block_index, dup) AS arrival_seq
@@ -34,8 +51,8 @@ FROM (SELECT user_id % 10 AS device_id, ts,
 SELECT event_id AS arrival_seq, user_id % 10 AS device_id, ts AS rx_ts,
        concat('192.168.4.', CAST(user_id % 10 AS STRING), ':56717') AS sender,
        CASE event_type
-         WHEN 'view'     THEN concat('RGB; /data/raw/rgb/', CAST(event_id AS STRING), '.jpg')
-         WHEN 'click'    THEN concat(' bw ;file:///data/raw/bw/', CAST(event_id AS STRING), '.jpg')
+         WHEN 'view'     THEN concat('RGB; /data/raw/rgb/', CAST(event_id AS STRING), '.jpg', chr(13), chr(10))
+         WHEN 'click'    THEN concat(' bw', chr(9), ';file:///data/raw/bw/', CAST(event_id AS STRING), '.jpg')
          WHEN 'purchase' THEN concat('GRAY; D:/x/', CAST(event_id AS STRING), '.jpg')
          WHEN 'signup'   THEN concat('IR; /data/raw/ir/', CAST(event_id AS STRING), '.jpg')
          ELSE concat('noise ', CAST(event_id AS STRING)) END AS payload
@@ -43,24 +60,24 @@ FROM events""",
     "capture_log": """
 SELECT arrival_seq, CASE WHEN arrival_seq % 50 = 0 THEN 'broken line'
   ELSE concat('[', substr(CAST(rx_ts AS STRING), 1, 19), '] 来自 (', chr(39), '192.168.4.1', chr(39),
-              ', 56717) 的数据: ', payload) END AS value
+              ', 56717) 的数据: ', replace(replace(payload, chr(13), ''), chr(10), '')) END AS value
 FROM path_msgs""",
     "angle_feedback": """
 SELECT device_id, ts, seq, ((seq * 2311) % 36000) / CAST(100 AS DOUBLE) AS angle_deg
 FROM frame_index_stream""",
     "motion_commands": """
 SELECT user_id % 10 AS device_id, ts, event_id,
-       CASE WHEN event_id % 211 = 0 THEN 'stop' WHEN event_id % 2 = 0 THEN 'turnLeft' ELSE 'turnRight' END AS cmd,
+       CASE WHEN event_id % 211 = 0 THEN 'stop' WHEN event_id % 5 = 3 THEN 'enableFeedback' WHEN event_id % 2 = 0 THEN 'turnLeft' ELSE 'turnRight' END AS cmd,
        CASE event_id % 5 WHEN 0 THEN 255 WHEN 1 THEN 170 WHEN 2 THEN 85 WHEN 3 THEN 57 ELSE 43 END AS speed
 FROM events WHERE event_id % 211 = 0 OR event_id % 97 = 0""",
     "commands": """
 SELECT event_id AS cmd_id, user_id % 10 AS device_id, ts,
        CASE event_type WHEN 'view' THEN 'TG_OPEN_DEVICE;' WHEN 'click' THEN 'TG_SAVE_PNG;'
-         WHEN 'purchase' THEN 'TG_SAVE_JPG;' WHEN 'signup' THEN 'TG_STOP_CAPTURE;'
+         WHEN 'purchase' THEN 'TG_SAVE_JPG;' WHEN 'signup' THEN 'TG_STOP_CAPTURE'
          ELSE 'TG_CLOSE_DEVICE;' END AS cmd
 FROM events""",
     "replies": """
-SELECT cmd_id, device_id, ts + INTERVAL '2' SECOND AS ts, concat(cmd, 'OK;') AS reply
+SELECT cmd_id, device_id, ts + INTERVAL '2' SECOND AS ts, concat(cmd, CASE WHEN cmd LIKE '%;' THEN '' ELSE ';' END, 'OK;') AS reply
 FROM commands WHERE cmd_id % 7 <> 0""",
     "frames": """
 SELECT device_id, channel, ts, frame_no, frame_no % 32 AS tile_index,
@@ -71,10 +88,11 @@ FROM (SELECT user_id % 10 AS device_id, CASE WHEN event_type = 'view' THEN 'RGB'
                                 ORDER BY ts, event_id) - 1 AS frame_no
       FROM events WHERE event_type IN ('view', 'click', 'purchase')) t""",
     "file_polls": """
-SELECT device_id AS file_id, seq, seq * 25 AS poll_ms,
+SELECT file_id, seq, seq * 25 AS poll_ms,
        CASE WHEN seq <= device_id THEN 0 WHEN seq <= 10 + device_id * 2 THEN seq * 1000
             ELSE (11 + device_id * 2) * 1000 END AS size
-FROM frame_index_stream WHERE seq <= 80""",
+FROM (SELECT device_id, device_id + 10 * CAST(floor((seq - 1) / CAST(80 AS DOUBLE)) AS BIGINT) AS file_id,
+             (seq - 1) % 80 + 1 AS seq FROM frame_index_stream) t""",
     "source_images": """
 SELECT source AS session, doc_id AS image_no,
        CASE WHEN doc_id % 10 = 0 THEN 6510 ELSE 4096 END AS height,
@@ -94,6 +112,16 @@ FROM (VALUES (255, 1.32), (170, 2.0), (85, 4.0), (57, 6.0), (43, 8.0)) AS t(spee
 }
 
 
+_EACH = re.compile(r"EACH\((\w+), (.+?)\)(?= WHERE|\s*$)")
+
+
+def each(sql: str, duck: bool) -> str:
+    """EACH(name, n) after a table stands for one row per number from 0 below n, in either engine's words."""
+    if duck:
+        return _EACH.sub(r", LATERAL (SELECT unnest(range(CAST(floor(\2) AS BIGINT))) AS \1)", sql)
+    return _EACH.sub(r"LATERAL VIEW explode(sequence(0L, greatest(CAST(floor(\2) AS BIGINT) - 1, 0L))) numbers AS \1", sql)
+
+
 def needed(sql: str) -> list[str]:
     """The views that a statement uses, directly or through views, in their order of definition."""
     found: set[str] = set()
@@ -108,13 +136,13 @@ def needed(sql: str) -> list[str]:
     return [n for n in VIEWS if n in found]
 
 
-def with_views(sql: str) -> str:
-    """sql with the definitions of the views it uses in front."""
+def with_views(sql: str, duck: bool = True) -> str:
+    """sql with the definitions of the views it uses in front, for DuckDB or for Spark."""
     names = needed(sql)
     body = sql.strip()
     if not names:
         return body
-    heads = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
+    heads = ",\n".join(f"{n} AS ({each(VIEWS[n].strip(), duck)})" for n in names)
     recursive = re.match(r"WITH\s+RECURSIVE\s+", body, re.I)
     plain = re.match(r"WITH\s+", body, re.I)
     if recursive:
@@ -139,7 +167,7 @@ class Views:
         return self.sql(f"SELECT * FROM {name}")
 
     def sql(self, body: str) -> DataFrame:
-        text = with_views(body).replace("{", "{{").replace("}", "}}")
+        text = with_views(body, duck=False).replace("{", "{{").replace("}", "}}")
         used = {}
         for t in TABLES:
             text, n = re.subn(rf"(?i)\b(FROM|JOIN)(\s+){t}\b", rf"\1\2{{{t}}}", text)

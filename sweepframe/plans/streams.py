@@ -4,31 +4,21 @@ Landing tables, checkpoints and results lie in the folder that the cluster share
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import messages
 from ..operators import laps
 from ..sinks import tile_snapshot_sink
 from ..streaming import processors as sp
-from .catalog import _LAP_SQL, register
-from .fixtures import Views
+from .catalog import _DETECTIONS, _EPOCH, _EPOCHS, _FRAME, _LAP_SQL, _PATH_SQL, _THROTTLE, _timed, pool_packets, register
+from .fixtures import Views, shared_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; a temporary one is set only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sweepframe-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def run_stream(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """operator over rows as a stream, until all is read; the result table.
 
@@ -36,7 +26,9 @@ def run_stream(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], mode
     spark = rows.sparkSession
     at = shared_path(spark, "stream")
     rows.write.parquet(f"{at}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, ROCKS)  # for this run; the stream keeps what it started with
     out = operator(spark.readStream.schema(rows.schema).parquet(f"{at}/in"))
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -44,7 +36,10 @@ def run_stream(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], mode
             batch = batch.withColumn("batch", F.lit(number))
         batch.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/n={number}")  # a batch that is run again replaces itself
 
-    out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    try:
+        out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
     return spark.read.parquet(f"{at}/out")
 
 
@@ -65,10 +60,27 @@ register("coverage_stream", "device_id BIGINT, channel VARCHAR, tiles BIGINT, is
     lambda v: run_stream(v("frames").select("device_id", "channel", F.col("frame_no").alias("seq"), "tile_index", F.lit(32).alias("segments"), F.lit(False).alias("clear")), sp.coverage_stream, "update")
         .groupBy("device_id", "channel").agg(F.max_by("tiles", "batch").alias("tiles"), F.max_by("full", "batch").alias("is_full")),
     "SELECT device_id, channel, count(DISTINCT tile_index) AS tiles, count(DISTINCT tile_index) = 32 AS is_full FROM frames GROUP BY ALL")
-register("rx_stats_stream", "device_id BIGINT, win_start BIGINT, packets BIGINT",
-    lambda v: run_stream(v("path_msgs").select("device_id", F.timestamp_micros(_us("rx_ts")).alias("rx_ts"), "arrival_seq", F.lit("").alias("type"), F.lit("ok").alias("outcome")), sp.rx_stats_stream),
-    """SELECT device_id, win_start, count(*) AS packets FROM (SELECT device_id, epoch_us(rx_ts) // 3000000 * 3 AS win_start FROM path_msgs)
+
+
+def _received(v: Views) -> DataFrame:
+    """Messages with their type and path; of every seven one was dropped and one failed."""
+    kind = F.when(F.col("arrival_seq") % 7 == 0, "drop").when(F.col("arrival_seq") % 7 == 1, "decode_failed").otherwise("ok")
+    m = v("path_msgs")
+    return m.select("device_id", F.timestamp_micros(_us("rx_ts")).alias("rx_ts"), "arrival_seq", messages.path_type(F.col("payload")).alias("type"), F.when(messages.path_type(F.col("payload")).isNotNull(), messages.path_of(F.col("payload"))).alias("path"), kind.alias("outcome"))
+
+
+register("rx_stats_stream", "device_id BIGINT, win_start BIGINT, packets BIGINT, ok BIGINT, drop BIGINT, fail BIGINT, last_type VARCHAR, last_path VARCHAR",
+    lambda v: run_stream(_received(v), sp.rx_stats_stream),
+    f"""SELECT device_id, win_start, count(*) AS packets, count(*) FILTER (arrival_seq % 7 > 1) AS ok, count(*) FILTER (arrival_seq % 7 = 0) AS drop, count(*) FILTER (arrival_seq % 7 = 1) AS fail,
+              arg_max(type, arrival_seq) AS last_type, arg_max(path, arrival_seq) AS last_path
+       FROM (SELECT m.device_id, m.arrival_seq, epoch_us(m.rx_ts) // 3000000 * 3 AS win_start, o.type, o.path FROM path_msgs m LEFT JOIN ({_PATH_SQL}) o ON m.arrival_seq = o.arrival_seq)
        WHERE (win_start + 3) * 1000000 <= (SELECT epoch_us(max(rx_ts)) // 1000 * 1000 - 10000000 FROM path_msgs) GROUP BY ALL""")
+register("reassembly_stream", "device_id BIGINT, channel VARCHAR, image_index BIGINT, generation BIGINT, epoch BIGINT, packets BIGINT, bytes BIGINT, reason VARCHAR",
+    lambda v: run_stream(pool_packets(v), sp.reassembly_stream))
+register("detection_stream", "device_id BIGINT, channel VARCHAR, lap_id BIGINT, target BIGINT, frame_no BIGINT",
+    lambda v: run_stream(_timed(v).select(F.col("device_id").cast("long").alias("device_id"), "channel", "ms", "frame_no", "angle_deg"), lambda s: sp.detection_stream(s, [45, 135, 240, 315], 60_000, 120_000)), _DETECTIONS)
+register("throttle_stream", _FRAME, lambda v: run_stream(_timed(v).select("device_id", "channel", "frame_no", "ms"), lambda s: sp.throttle_stream(s, ["device_id", "channel"], "ms", 3_600_000, ["ms", "frame_no"])), _THROTTLE)
+register("counter_epoch_stream", _EPOCH, lambda v: run_stream(v("frame_index_stream").select("device_id", "seq", "image_index"), sp.counter_epoch_stream), _EPOCHS)
 
 
 def _snapshot(v: Views) -> DataFrame:

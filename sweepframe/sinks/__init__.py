@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.messages import trimmed
+
 
 def capture_line(ts: Column, sender: Column, payload: Column) -> Column:
-    """A recorded line: time to the second, sender and payload."""
+    """A recorded line: time to the second, sender and payload without white space around it."""
     host, port = F.regexp_extract(sender, r"^(.*):(\d+)$", 1), F.regexp_extract(sender, r"^(.*):(\d+)$", 2)
-    return F.format_string("[%s] 来自 ('%s', %s) 的数据: %s", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), host, port, payload)
+    return F.format_string("[%s] 来自 ('%s', %s) 的数据: %s", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), host, port, trimmed(payload))
 
 
 def capture_log_sink(msgs: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery | None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.messages import trimmed
+
 #: Fixed value: the form of a recorded line.
 LINE = r"^\[([^\]]+)\][^:]*:\s*(.*)$"
 SENDER = r"\('([^']*)',\s*(\d+)\)"
@@ -14,7 +16,7 @@ def parse_capture_log(lines: DataFrame, column: str = "value") -> DataFrame:
     """log_ts, sender_ip, sender_port, payload of recorded lines, beside their other columns.
 
     Lines of another form and lines with an empty payload are skipped; a time that can't be read is null."""
-    payload = F.trim(F.regexp_extract(column, LINE, 2))
+    payload = trimmed(F.regexp_extract(column, LINE, 2))
     keep = [c for c in lines.columns if c != column]
     return lines.filter(F.col(column).rlike(LINE) & (payload != "")).select(
         *keep, F.regexp_extract(column, LINE, 1).try_cast("timestamp_ntz").alias("log_ts"),

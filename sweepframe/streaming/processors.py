@@ -55,6 +55,7 @@ class ThrottleProcessor(_OneState):
 
 
 def throttle_stream(rows: DataFrame, keys: list[str], time_ms: str, gap_ms: int, order: list[str] | None = None, passes: str | None = None) -> DataFrame:
+    """The streaming twin of detect.throttle: rows at least gap_ms after the last kept one of their key."""
     return rows.groupBy(*keys).transformWithStateInPandas(ThrottleProcessor(time_ms, gap_ms, order or [time_ms], passes), rows.schema, "Append", "None")
 
 
@@ -82,6 +83,7 @@ class CounterProcessor(_OneState):
 
 
 def counter_epoch_stream(stream: DataFrame, key: str = "device_id", order: str = "seq", index: str = "image_index", gap: int = 1000) -> DataFrame:
+    """The streaming twin of packets.counter_epoch: stream with epoch and max_seen."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema) + ", epoch bigint, max_seen bigint"
     return stream.groupBy(key).transformWithStateInPandas(CounterProcessor(gap, order, index), schema, "Append", "None")
 
@@ -102,7 +104,7 @@ class LapProcessor(_OneState):
             if r.kind == 0:
                 if r.cmd == "stop":
                     running = False
-                else:
+                elif r.cmd in ("turnLeft", "turnRight"):  # other commands leave the timer alone
                     running, crossed, epoch = True, None, epoch + 1
                 continue
             if running and prev is not None and abs(r.angle_deg - prev) > self.jump:
@@ -115,7 +117,7 @@ class LapProcessor(_OneState):
 
 
 def lap_stream(events: DataFrame, jump: float = 300.0) -> DataFrame:
-    """Laps of events(device_id, us, kind, n, angle_deg, cmd): kind 0 is a motion command, 1 an angle sample."""
+    """Laps of events(device_id, us, kind, n, angle_deg, cmd): kind 0 is a turntable command, 1 an angle sample."""
     return events.groupBy("device_id").transformWithStateInPandas(LapProcessor(jump), "device_id bigint, epoch bigint, us bigint, lap_seconds double", "Append", "None")
 
 
@@ -139,73 +141,88 @@ class ResyncProcessor(_OneState):
 
 
 def resync_stream(chunks: DataFrame, compat: bool = False) -> DataFrame:
+    """The streaming twin of packets.turntable_resync: angle frames of chunks(device_id, chunk_seq, data)."""
     return chunks.groupBy("device_id").transformWithStateInPandas(ResyncProcessor(compat), "device_id bigint, chunk_seq bigint, nth int, cmd2 int, angle_deg double", "Append", "None")
 
 
-class ReassemblyProcessor(StatefulProcessor):
-    """Open frames of a channel in a map state, with counter epochs, the sequence watermark, stalls and sweeps."""
+KEYS = ("device_id", "channel")
+_FRAME = ["image_index", "generation", "epoch", "packets", "bytes", "payload", "reason"]
+
+
+def _frame_schema(packets: DataFrame, keys: tuple[str, ...]) -> str:
+    kinds = ", ".join(f"`{k}` {packets.schema[k].dataType.simpleString()}" for k in keys)
+    return f"{kinds}, image_index bigint, generation bigint, epoch bigint, packets int, bytes bigint, payload {packets.schema['payload'].dataType.simpleString()}, reason string"
+
 
-    schema = "channel string, image_index bigint, generation bigint, epoch bigint, packets int, bytes bigint, payload string, reason string"
+def _pool_rows(pool: BufferPool, key: tuple, r: Any, text: bool) -> list[tuple]:
+    done, evicted = pool.add(int(r.image_index), int(r.total_size), r.payload, int(r.rx_ms))
+    whole = lambda parts: ("" if text else b"").join(p for p in parts if p is not None)
+    return [(*key, i, g, e, n, size, whole(parts), None) for i, g, e, n, size, parts in done] + [(*key, i, None, pool.epoch, None, None, None, why) for i, why in evicted]
+
+
+class ReassemblyProcessor(StatefulProcessor):
+    """Open frames of a device's channel in a map state, with counter epochs, the sequence watermark, stalls and sweeps."""
 
-    def __init__(self, **options: int):
-        self.options = options
+    def __init__(self, keys: tuple[str, ...], payload: str, options: dict[str, int]):
+        self.keys, self.payload, self.options = keys, payload, options
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.counters = handle.getValueState("counters", "top bigint, epoch bigint, seen bigint")
-        self.open = handle.getMapState("open", "image_index bigint", "total bigint, bytes bigint, created bigint, updated bigint, swept bigint, generation bigint, parts array<string>")
+        self.open = handle.getMapState("open", "image_index bigint", f"total bigint, bytes bigint, created bigint, updated bigint, swept bigint, generation bigint, parts array<{self.payload}>")
         self.generations = handle.getMapState("generations", "image_index bigint", "generation bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
-        pool = BufferPool(**self.options)
+        pool, text = BufferPool(**self.options), self.payload == "string"
         if self.counters.exists():
             pool.top, pool.epoch, pool.seen = self.counters.get()
         for (i,), v in self.open.iterator():
-            pool.open[i] = [v[0], v[1], list(v[6]), v[2], v[3], v[4], v[5]]
+            parts = list(v[6]) if text else [None if p is None else bytes(p) for p in v[6]]
+            pool.open[i] = [v[0], v[1], parts, v[2], v[3], v[4], v[5]]
         for (i,), v in self.generations.iterator():
             pool.generation[i] = v[0]
-        before, before_generations = set(pool.open), set(pool.generation)
+        before, known = set(pool.open), dict(pool.generation)
         out = []
         for r in pd.concat(list(rows)).sort_values("arrival_seq", kind="stable").itertuples():
-            done, evicted = pool.add(int(r.image_index), int(r.total_size), r.payload, int(r.rx_ms))
-            out += [(key[0], i, g, e, n, size, "".join(parts), None) for i, g, e, n, size, parts in done]
-            out += [(key[0], i, None, pool.epoch, None, None, None, why) for i, why in evicted]
+            out += _pool_rows(pool, key, r, text)
         self.counters.update((pool.top, pool.epoch, pool.seen))
         for i in before - set(pool.open):
             self.open.removeKey((i,))
-        for i, (total, size, parts, created, updated, swept, generation) in pool.open.items():
+        for i in pool.touched & set(pool.open):  # only what changed is written
+            total, size, parts, created, updated, swept, generation = pool.open[i]
             self.open.updateValue((i,), (total, size, created, updated, swept, generation, parts))
-        for i in before_generations - set(pool.generation):
+        for i in set(known) - set(pool.generation):
             self.generations.removeKey((i,))
         for i, g in pool.generation.items():
-            self.generations.updateValue((i,), (g,))
-        yield pd.DataFrame(out, columns=["channel", "image_index", "generation", "epoch", "packets", "bytes", "payload", "reason"])
+            if known.get(i) != g:
+                self.generations.updateValue((i,), (g,))
+        yield pd.DataFrame(out, columns=[*self.keys, *_FRAME])
 
     def close(self) -> None:
         pass
 
 
-def reassembly_stream(packets: DataFrame, channel: str = "channel", **options: int) -> DataFrame:
-    """Complete frames (reason null) and evictions (with a reason) of packets(channel, arrival_seq, rx_ms, ..)."""
-    return packets.groupBy(channel).transformWithStateInPandas(ReassemblyProcessor(**options), ReassemblyProcessor.schema, "Append", "None")
+def reassembly_stream(packets: DataFrame, keys: tuple[str, ...] = KEYS, **options: int) -> DataFrame:
+    """Complete frames (reason null) and evictions (with a reason) of packets(keys, arrival_seq, rx_ms, ..), payloads BINARY or STRING."""
+    processor = ReassemblyProcessor(keys, packets.schema["payload"].dataType.simpleString(), options)
+    return packets.groupBy(*keys).transformWithStateInPandas(processor, _frame_schema(packets, keys), "Append", "None")
 
 
-def reassembly_batch(packets: DataFrame, channel: str = "channel", **options: int) -> DataFrame:
+def reassembly_batch(packets: DataFrame, keys: tuple[str, ...] = KEYS, **options: int) -> DataFrame:
     """The batch twin of reassembly_stream: a channel's packets stream through one task, the pool is its state."""
+    text = packets.schema["payload"].dataType.simpleString() == "string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         who, pool = None, BufferPool(**options)
         for pdf in batches:
             out = []
-            for r in pdf.itertuples():
-                if r.channel != who:
-                    who, pool = r.channel, BufferPool(**options)
-                done, evicted = pool.add(int(r.image_index), int(r.total_size), r.payload, int(r.rx_ms))
-                out += [(who, i, g, e, n, size, "".join(parts), None) for i, g, e, n, size, parts in done]
-                out += [(who, i, None, pool.epoch, None, None, None, why) for i, why in evicted]
-            yield pd.DataFrame(out, columns=["channel", "image_index", "generation", "epoch", "packets", "bytes", "payload", "reason"]).astype({"generation": "Int64", "packets": "Int64", "bytes": "Int64"})
+            for key, r in zip(pdf[list(keys)].itertuples(index=False, name=None), pdf.itertuples()):
+                if key != who:
+                    who, pool = key, BufferPool(**options)
+                out += _pool_rows(pool, key, r, text)
+            yield pd.DataFrame(out, columns=[*keys, *_FRAME]).astype({"generation": "Int64", "packets": "Int64", "bytes": "Int64"})
 
-    rows = packets.select(F.col(channel).cast("string").alias("channel"), "arrival_seq", "rx_ms", "image_index", "total_size", "payload")
-    return rows.repartition("channel").sortWithinPartitions("channel", "arrival_seq").mapInPandas(run, ReassemblyProcessor.schema)
+    rows = packets.select(*keys, "arrival_seq", "rx_ms", "image_index", "total_size", "payload")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "arrival_seq").mapInPandas(run, _frame_schema(packets, keys))
 
 
 class DetectionProcessor(_OneState):
@@ -282,5 +299,5 @@ def rx_stats_stream(events: DataFrame, seconds: int = 3, late: str = "10 seconds
     ok, drop = F.col("outcome") == "ok", F.col("outcome") == "drop"
     out = timed.groupBy("device_id", F.window("rx_ts", f"{seconds} seconds").alias("w")).agg(
         F.count("*").alias("packets"), F.count_if(ok).alias("ok"), F.count_if(drop).alias("drop"), F.count_if(~ok & ~drop).alias("fail"),
-        F.max_by("type", "arrival_seq").alias("last_type"))
-    return out.select("device_id", F.unix_seconds("w.start").alias("win_start"), *RX_COLUMNS, "last_type")
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("arrival_seq"))).alias(f"last_{c}") for c in ("type", "path")])
+    return out.select("device_id", F.unix_seconds("w.start").alias("win_start"), *RX_COLUMNS, "last_type", "last_path")

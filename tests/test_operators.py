@@ -171,20 +171,102 @@ def test_rechunk_properties(spark):
 
 
 def test_reassembly_permutations(spark):
-    text = "".join(chr(97 + i % 26) for i in range(25_000))
+    text = "".join(chr(97 + i % 26) for i in range(24_998)) + "é"  # 25,000 bytes
     blocks = packets.payload_blocks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "image_index int, payload string")).collect()
     assert [b.block_size for b in sorted(blocks, key=lambda b: b.block_index)] == [8000, 8000, 8000, 1000]
     rng = random.Random(5)
     for _ in range(3):
-        order = blocks + [blocks[1]]
+        order = [*blocks, blocks[1]]
         rng.shuffle(order)
-        rows = spark.createDataFrame([(1, 1, k, b.block_index, b.block_size, 25_000, b.block) for k, b in enumerate(order)], "image_type int, image_index int, arrival_seq int, block_index int, block_size int, total_size int, payload string")
+        rows = spark.createDataFrame([(1, 1, k, b.block_index, b.block_size, 25_000, b.block) for k, b in enumerate(order)], "image_type int, image_index int, arrival_seq int, block_index int, block_size int, total_size int, payload binary")
         (out,) = packets.frame_reassembly_ordered(rows, ["image_type"]).collect()
-        assert out.complete and out.payload == text
+        assert out.complete and bytes(out.payload) == text.encode() and out.bytes == 25_000
     zero = spark.createDataFrame([(1, 1, 1, 0, 0, 0, "")], "image_type int, image_index int, arrival_seq int, block_index int, block_size int, total_size int, payload string")
     assert not packets.frame_reassembly(zero, ["image_type"]).first().complete
 
 
+PACKET = "device_id int, image_index int, arrival_seq int, block_index int, block_size int, total_size int, payload binary"
+
+
+def test_binary_frames_from_datagrams(spark):
+    """Bytes that are no text, a first total of zero, a block size that lies, two devices, repeated and truncated packets."""
+    rng = random.Random(6)
+    pictures = {(d, i): b"\xff\xd8" + rng.randbytes(rng.randint(1, 3000)) + b"\xff\xd9" for d in (1, 2) for i in (7, 8)}
+    rows = []
+    for (d, i), data in pictures.items():
+        cut = [data[k : k + 700] for k in range(0, len(data), 700)]
+        for k, part in enumerate(cut):
+            total = 0 if k == 0 and len(cut) > 1 else len(data)
+            rows.append((str(d), len(rows), struct.pack("<HHIIIHH", 0xFFFF, 1, k, i, total, k, 9) + part))
+    rows += [("1", len(rows), datagram(index=9, total=50, body=b"\x80\x81")), ("1", len(rows) + 1, b"\xff\xff\x01"), ("2", len(rows) + 2, b"RGB; /data/x\r\n"), ("2", len(rows) + 3, None)]
+    again = [(d, len(rows) + k, x) for k, (d, _, x) in enumerate(rows[:1])]
+    raw = spark.createDataFrame(rows + again, "device_id string, arrival_seq bigint, datagram binary")
+    decoded = packets.packet_header_decode(packets.packet_classify(raw).filter("kind = 'binary'").drop("kind"))
+    got = {(int(r.device_id), r.image_index, r.generation): (r.complete, bytes(r.payload), r.packets, r.bytes) for r in packets.frame_reassembly(decoded, ["device_id"]).collect()}
+    for (d, i), data in pictures.items():
+        assert got[d, i, 0] == (True, data, -(-len(data) // 700), len(data))
+    assert got[1, 9, 0] == (False, b"\x80\x81", 1, 2) and len(got) == 6  # the repeated packet opens a generation
+    ordered = {(int(r.device_id), r.image_index): (r.complete, bytes(r.payload)) for r in packets.frame_reassembly_ordered(decoded, ["device_id"]).collect()}
+    assert all(ordered[k] == (True, data) for k, data in pictures.items()) and ordered[1, 9] == (False, b"\x80\x81")
+    pool = decoded.withColumn("channel", F.lit("BW")).withColumn("rx_ms", F.col("arrival_seq"))
+    from sweepframe.streaming.processors import reassembly_batch
+
+    done = {(int(r.device_id), r.image_index): bytes(r.payload) for r in reassembly_batch(pool).collect() if r.reason is None}
+    assert done == pictures
+    none = spark.createDataFrame([], PACKET)
+    assert packets.frame_reassembly(none, ["device_id"]).count() == 0 and packets.frame_reassembly_ordered(none, ["device_id"]).count() == 0
+    odd = spark.createDataFrame([(None, 1, 1, 0, 0, None, None), (None, 1, 2, 1, 0, 2, b"ab"), (1, 1, 1, 0, 0, 0, None)], PACKET)
+    got = {r.device_id: (r.complete, r.packets, bytes(r.payload)) for r in packets.frame_reassembly(odd, ["device_id"]).collect()}
+    assert got == {None: (True, 2, b"ab"), 1: (False, 1, b"")}
+
+
+def test_pool_state_is_bounded():
+    pool = packets.BufferPool(sweep=64)
+    for i in range(5000):
+        done, _ = pool.add(i, 3, b"abc", i)
+        assert done and done[0][:2] == (i, 0)
+    assert len(pool.generation) <= 30 + 64 and not pool.open
+    assert pool.add(5000, 0, b"ab", 1) == ([], []) and pool.add(5000, 4, b"cd", 2)[0][0][4] == 4  # a total of zero waits for the next
+
+
+def test_running_values_are_those_of_plain_windows(spark):
+    from pyspark.sql import Window
+
+    from sweepframe.operators.sliced import running
+
+    rng = random.Random(7)
+    rows = [(rng.choice([1, 1, 1, None, 2]), T0 + dt.timedelta(seconds=rng.randint(0, 300)), i, rng.choice([None, rng.randint(0, 50)])) for i in range(400)]
+    data = spark.createDataFrame(rows, "k int, ts timestamp_ntz, n bigint, x int")
+    w = Window.partitionBy("k").orderBy("ts", "n")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    want = data.withColumns({"a": F.sum("x").over(upto), "b": F.max("x").over(before), "c": F.last("x", ignorenulls=True).over(before), "d": F.lag("x").over(w)})
+    for slices in (1, 2, 7, 50):
+        got = running(data, ["k"], ["ts", "n"], {"a": ("sum", F.col("x"), False), "b": ("max", F.col("x"), True), "c": ("last", F.col("x"), True), "d": ("last", F.struct("x"), True)}, slices)
+        assert sorted(map(str, got.withColumn("d", F.col("d.x")).collect())) == sorted(map(str, want.collect()))
+    assert running(data.limit(0), ["k"], ["ts", "n"], {"a": ("sum", F.col("x"), False)}).count() == 0
+
+
+def test_only_turns_and_stop_touch_the_lap_timer(spark):
+    names = ["turnLeft", "enableFeedback", "stop", "enableOrtho", "disableOrtho", "setOrthoLength", "disableFeedback"]
+    motions = spark.createDataFrame([(1, T0 - dt.timedelta(seconds=9 - i), i, c, 85) for i, c in enumerate(names)], "device_id int, ts timestamp_ntz, event_id bigint, cmd string, speed int")
+    assert laps.lap_times(samples(spark, [350, 10, 350, 10, 350]), motions).count() == 0  # stopped, and nothing since turns again
+    assert laps.lap_times(samples(spark, [350, 10, 350, 10, 350]), motions.filter("cmd <> 'stop'")).count() == 3
+    profile = spark.createDataFrame([(85, 4.0)], "speed int, nominal_lap_s double")
+    got = laps.nominal_lap_join(laps.lap_times(samples(spark, [350, 10, 350]), motions.filter("cmd <> 'stop'")), motions, profile).collect()
+    assert [(r.speed, r.diff_s) for r in got] == [(85, -3.0)]
+
+
+def test_white_space_and_missing_semicolons(spark):
+    rows = [(1, 1, T0, "192.168.4.1:5\r\n", "RGB\t;\t/data/x.jpg\r\n"), (2, 1, T0, None, "\x0bbw\r\n; file:///data/y \f"), (3, 1, T0, "", " ;x"), (4, 1, T0, "a:1", None)]
+    got = {r.arrival_seq: (r.type, r.channel, r.path, r.sender_ip) for r in msg.channel_route(msg.path_message_parse(spark.createDataFrame(rows, "arrival_seq bigint, device_id int, rx_ts timestamp_ntz, sender string, payload string"))).collect()}
+    assert got == {1: ("RGB", "RGB", "/data/x.jpg", "192.168.4.1"), 2: ("BW", "BW", "file:///data/y", None)}
+    commands = spark.createDataFrame([(1, 1, T0, "TG_X"), (2, 1, T0, "TG_Y;"), (3, 1, T0, "TG_Z;"), (4, 1, T0, None)], "cmd_id int, device_id int, ts timestamp_ntz, cmd string")
+    replies = spark.createDataFrame([(1, T0 + dt.timedelta(seconds=1), "TG_X;OK;"), (1, T0 + dt.timedelta(seconds=2), "TG_Y;OK;")], "device_id int, ts timestamp_ntz, reply string")
+    assert {r.cmd_id: r.latency_s for r in msg.command_reply_match(commands, replies).collect()} == {1: 1.0, 2: 2.0, 3: None, 4: None}
+    left = msg.unanswered_commands(commands, replies)
+    assert {r.cmd_id for r in left.collect()} == {3, 4} and left.columns == commands.columns
+
+
 def png(path, rows):
     def chunk(kind, data):
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
@@ -228,6 +310,10 @@ def test_numbering_over_ranges(spark):
     got = [r.n for r in msg.numbered(rows, "k").orderBy("k").collect()]
     assert got == list(range(1, len(got) + 1))
     assert msg.numbered(rows.limit(0), "k").count() == 0
+    names = spark.createDataFrame([(f"image {i % 40:03d}.jpg" if i % 9 else None, i) for i in range(300)], "name string, x int")
+    one, two = (sorted((r.n, r.name, r.x) for r in msg.numbered(names.repartition(k), "name").collect()) for k in (1, 5))
+    assert one == two and [n for n, *_ in one] == list(range(1, 301))  # ties have an order, too
+    assert [r[1] or "" for r in one] == sorted(r[1] or "" for r in one)
 
 
 def test_roi_and_slices(spark):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sweepframe.operators import detect, frames, packets
 from sweepframe.operators.laps import lap_times
+from sweepframe.plans.catalog import pool_packets
 from sweepframe.plans.fixtures import Views
 from sweepframe.streaming import processors as sp
 
@@ -59,7 +60,7 @@ def test_laps(spark, v, tmp_path):
 
 @pytest.mark.parametrize("options", [{}, {"sweep": 64}])
 def test_reassembly(spark, v, tmp_path, options):
-    rows = v("packets").withColumn("channel", F.col("image_type").cast("string")).select("channel", "image_index", "total_size", "payload", "arrival_seq", "rx_ms")
+    rows = pool_packets(v)
     got = streamed(spark, rows, "arrival_seq", lambda s: sp.reassembly_stream(s, **options), tmp_path, 3, f"pool{len(options)}")
     want = sp.reassembly_batch(rows, **options)
     assert want.filter("reason is null").count() > 0 and same(got, want)
@@ -83,7 +84,7 @@ def test_mosaic_and_stats(spark, v, tmp_path):
     rows = v("frames").select("device_id", "channel", "tile_index", "frame_no", "ts")
     got = streamed(spark, rows, "ts", sp.mosaic_stream, tmp_path, 2, "mosaic", "complete")
     assert same(got, frames.mosaic_latest(rows))
-    events = v("path_msgs").select("device_id", "rx_ts", "arrival_seq", F.lit("RGB").alias("type"), F.lit("ok").alias("outcome"))
+    events = v("path_msgs").select("device_id", "rx_ts", "arrival_seq", F.lit("RGB").alias("type"), F.lit("/data/x").alias("path"), F.lit("ok").alias("outcome"))
     stats = streamed(spark, events, "rx_ts", sp.rx_stats_stream, tmp_path, 2, "stats")
     assert 0 < stats.agg(F.sum("packets")).first()[0] <= events.count()
 

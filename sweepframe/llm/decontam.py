@@ -10,11 +10,13 @@ at a time is built and broadcast; what the passes found is put together before a
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,11 +61,24 @@ class Automaton:
                     self.owners.setdefault(self.gram[s], set()).add(k)
             if 0 < len(seq) < window:
                 self.short.setdefault(s, []).append((len(seq), k))
-        self.marked = [-1] * len(order)  # the nearest state, itself included, at which a short item ends
+        self._pack()
+        self.marked = array("i", [-1] * len(order))  # the nearest state, itself included, at which a short item ends
         if self.short:
             for s in order[1:]:
                 self.marked[s] = s if s in self.short else self.marked[self.link[s]]
 
+    def _pack(self) -> None:
+        """Keep the one way on that most states have in two arrays, and dictionaries for the few states with several."""
+        self.word, self.to = array("i", [-1] * len(self.next)), array("i", [-1] * len(self.next))
+        self.more: dict[int, dict[int, int]] = {}
+        for s, ways in enumerate(self.next):
+            if len(ways) > 1:
+                self.more[s] = ways
+            elif ways:
+                ((self.word[s], self.to[s]),) = ways.items()
+        del self.next
+        self.length, self.link, self.gram = array("i", self.length), array("i", self.link), array("i", self.gram)
+
     def _new(self, length: int, link: int, nxt: dict) -> int:
         self.length.append(length)
         self.link.append(link)
@@ -108,19 +123,20 @@ class Automaton:
                 spans.pop()
             spans.append((a, b))
 
-        length, link, nxt, gram, window = self.length, self.link, self.next, self.gram, self.window
+        length, link, word, to, more, gram, window = self.length, self.link, self.word, self.to, self.more, self.gram, self.window
+        none: dict[int, int] = {}
         for lo, hi in zip(change[::2].tolist(), change[1::2].tolist()):
             if hi - lo < self.least:
                 continue
             s = size = 0
             for i, w in enumerate(codes[lo:hi].tolist(), lo):
-                while s and w not in nxt[s]:
+                while True:
+                    on = to[s] if word[s] == w else more.get(s, none).get(w, -1)
+                    if on >= 0 or not s:
+                        break
                     s = link[s]
                     size = length[s]
-                if w in nxt[s]:
-                    s, size = nxt[s][w], size + 1
-                else:
-                    s = size = 0
+                s, size = (on, size + 1) if on >= 0 else (0, 0)
                 if size >= window:
                     cover(i + 1 - size, i + 1)
                     g = s
@@ -273,12 +289,11 @@ def _cut(docs: DataFrame, names: list[str], shared, least: int, max_coverage: fl
                     end = where[y - 1][1]
                 texts[k] = b"".join([*left, text[end:]]).decode("utf-8", "replace")
             columns = {c: b.column(c) for c in names}
+            changed = np.zeros(len(b), bool)
+            changed[list(texts)] = True
             for c, of in (("text", lambda t: t), ("n_chars", len)):
                 if texts and c in columns:
-                    values = columns[c].to_pylist()
-                    for k, t in texts.items():
-                        values[k] = of(t)
-                    columns[c] = pa.array(values, columns[c].type)
+                    columns[c] = pc.replace_with_mask(columns[c], pa.array(changed), pa.array([of(texts[k]) for k in sorted(texts)], columns[c].type))
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names).filter(pa.array(keep))
 
     return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in names]))

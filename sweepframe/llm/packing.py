@@ -201,7 +201,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, separator: str,
         docs, (data, offsets) = batch.column("doc_id").to_pylist(), utf8(batch.column("text"))
         lo = 0
         while lo < len(docs):
-            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 21), "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 20), "right")) - 1)
             ids, at = enc.encode(data, offsets[lo : hi + 1])
             out: list[list] = [[] for _ in names]
             for i in range(lo, hi):

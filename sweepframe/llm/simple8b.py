@@ -144,7 +144,7 @@ def _groups(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) ->
         data, offsets = utf8(batch.column("text"))
         lo = 0
         while lo < len(docs):  # a few documents at a time, whatever the batch holds
-            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 21), "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 20), "right")) - 1)
             ids, at = enc.encode(data, offsets[lo : hi + 1])
             for i in range(lo, hi):
                 if state["n"] and (shards[i] != state["shard"] or state["n"] >= GROUP_IDS):

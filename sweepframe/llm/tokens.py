@@ -24,7 +24,7 @@ _KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
 _KIND[[0, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xCE, 0xE1, 0xE2, 0xE3]] = _LEAD
 #: First bytes of UTF-8 sequences that make a text take the whole way (after _LEAD).
 _ODD = (b"\x00", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xce\xa3", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 #: What the cuts are tried on: every kind of cut beside every kind of sign.
 _TRIAL = "".join(f"{a}{b}{c}x" for a in ("word", "Z", "9", "é", "²", "'s", "\n", " ", "..") for b in (" ", "  ", "\t", "\r\n", ",", ".", "!", "?", ";", ":", "|", "$", "%", "&", "*", "(", ")") for c in ("a", "7", "ß", "-", "", " b"))
 

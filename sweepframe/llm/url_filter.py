@@ -1,7 +1,7 @@
 """URL filters by Bloom filter cascades: exact membership in rule lists without joining them.
 
-A url's keys are its host's suffixes (by label) followed by its path's prefixes of the lengths that
-rules have. Level 0 of a cascade encodes the listed keys; the keys of the whole corpus that it
+A url's keys are its host's suffixes of as many labels as rules have, followed by its path's
+prefixes of the lengths that rules have. Level 0 of a cascade encodes the listed keys; the keys of the whole corpus that it
 takes in wrongly are encoded by level 1, what that takes in wrongly of the listed ones by level 2,
 and so on until nothing is wrong. As the corpus's complete key universe was tested, the cascade
 answers for each of its keys exactly.
@@ -63,10 +63,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, UPPER, LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """array<struct<size, host_size, key>> of the keys that a rule could be, longest first."""
-    labels = F.split(host, r"\.", -1)
-    suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def keys(host: Column, path: Column, depths: list[int], lengths: list[int]) -> Column:
+    """array<struct<size, host_size, key>> of the keys that a rule could be, longest first.
+
+    depths: how many labels rules' hosts have; lengths: how many signs their paths have."""
+    suffix = F.array_distinct(F.filter(F.array(*[F.when(F.size(F.split(host, r"\.", -1)) >= n, F.substring_index(host, ".", -n)) for n in depths]), lambda h: h.isNotNull()))
 
     def with_prefix(n: int) -> Column:
         return F.transform(suffix, lambda h: F.when(F.length(path) >= n, F.struct((F.length(h) + n).alias("size"), F.length(h).alias("host_size"), F.concat(h, F.substring(path, 1, n)).alias("key"))))
@@ -137,14 +138,15 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", most_bits:
     rules(host, path, verdict): a rule fits its host and all subdomains if the path starts with its
     own; the longest (host and path together, then the host) wins. Of one rule listed twice,
     `allow` wins. Urls that no rule fits get the default, the cascades' answer for keys that are not
-    listed. Null urls, and those without `://`, have an empty host and path."""
+    listed. Null urls, and those without `://`, have an empty host and path. Columns of urls named host,
+    path, rule or verdict are replaced; repeated rows and urls of any length are judged like others."""
     listed = rules.select(F.concat(F.translate("host", UPPER, LOWER), F.col("path")).alias("key"), "verdict", F.length("path").alias("n")).filter("key is not null")
     lengths = sorted(r["n"] for r in listed.select("n").distinct().collect())
-    if not lengths:
-        lengths = [0]
+    depths = sorted(r["n"] for r in rules.filter("host is not null").select(F.size(F.split("host", r"\.", -1)).alias("n")).distinct().collect())
+    depths, lengths = depths or [1], lengths or [0]
     host, path = host_and_path(F.col("url"))
     parsed = urls.withColumn("host", host).withColumn("path", path)
-    parsed = parsed.withColumn("__keys", keys(F.col("host"), F.col("path"), lengths))
+    parsed = parsed.withColumn("__keys", keys(F.col("host"), F.col("path"), depths, lengths))
     universe = common.written(parsed.select(F.explode("__keys.key").alias("key")).union(listed.select("key")).distinct(), "key-universe")
     shards = 1 + listed.count() * 40 // most_bits
     place = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(shards))

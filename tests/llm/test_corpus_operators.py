@@ -153,6 +153,9 @@ def test_op3_edges(spark):
     assert got[3][1:] == ("example.net/en/", "allow") and got[4][1] == "org/fr/" and got[5][1] is None and got[6][1:] == (None, "allow")
     assert [got[k][0] for k in (7, 8, 9, 10)] == [""] * 4 and got[11][1] is None
     assert url_filter.judge(rows.limit(0), rules).count() == 0
+    long = "http://" + "a." * 40_000 + "NET/" + "x/" * 100_000
+    many = spark.createDataFrame([(1, long), (1, long), (1, long), (2, "http://" + "b" * 300_000)], "page_id int, url string")
+    assert sorted((r.page_id, r.rule, r.verdict) for r in url_filter.judge(many, rules).collect())[:3] == [(1, "net/", "block")] * 3
     assert {r.verdict for r in url_filter.judge(rows, rules.limit(0)).collect()} == {"allow"}
 
 

@@ -229,6 +229,50 @@ def test_pool_state_is_bounded():
     assert pool.add(5000, 0, b"ab", 1) == ([], []) and pool.add(5000, 4, b"cd", 2)[0][0][4] == 4  # a total of zero waits for the next
 
 
+def plain_pool(rows, window, stall, hard, sweep, most, gap):
+    """The buffer rules word by word: rows of (index, total, size, now); complete frames and evictions in order."""
+    frames, top, seen, out = {}, 0, 0, []
+    for index, total, size, now in rows:
+        seen += 1
+        if top and index + gap < top:
+            out += [("gone", i) for i in frames]
+            frames, top = {}, index
+        top = max(top, index)
+        f = frames.setdefault(index, {"total": 0, "got": 0, "made": now, "last": now, "swept": 0})
+        if f["total"] == 0:
+            f.update(total=total, made=now, swept=0)
+        f["got"] += size
+        f["last"] = now
+        if seen % sweep == 0 or len(frames) > most:
+            left = {}
+            for i, g in frames.items():
+                idle = g["got"] == g["swept"] and (now - g["last"] > stall or now - g["made"] > hard)
+                if i < top - window or idle:
+                    out.append(("gone", i))
+                    continue
+                g["swept"] = g["got"]
+                left[i] = g
+            frames = left
+        if index in frames and 0 < f["total"] <= f["got"]:
+            out.append(("done", index, f["got"]))
+            del frames[index]
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.sampled_from([0, 2, 5]), st.integers(0, 3), st.integers(0, 900)), max_size=120), st.sampled_from([1, 4, 64]), st.sampled_from([3, 128]))
+def test_pool_against_plain_rules(rows, sweep, most):
+    now, timed = 0, []
+    for index, total, size, gap in rows:
+        now += gap
+        timed.append((index if index < 50 else index * 50, total, size, now))
+    pool, got = packets.BufferPool(window=5, sweep=sweep, max_open=most), []
+    for index, total, size, at in timed:
+        done, gone = pool.add(index, total, b"x" * size, at)
+        got += [("gone", i) for i, _ in gone] + [("done", d[0], d[4]) for d in done]
+    assert got == plain_pool(timed, 5, 1500, 5000, sweep, most, 1000)
+
+
 def test_running_values_are_those_of_plain_windows(spark):
     from pyspark.sql import Window
 

@@ -189,6 +189,7 @@ def _pass(docs: DataFrame, shared) -> DataFrame:
                 items.append(sorted({a.ids[k] for k in found}))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_words", "spans", "items"])
 
+    common.small_batches(docs.sparkSession)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     return kept.mapInArrow(run, f"doc_id bigint, text_hash bigint, n_words bigint, spans {_SPANS}, items array<bigint>")
 
@@ -296,6 +297,7 @@ def _cut(docs: DataFrame, names: list[str], shared, least: int, max_coverage: fl
                     columns[c] = pc.replace_with_mask(columns[c], pa.array(changed), pa.array([of(texts[k]) for k in sorted(texts)], columns[c].type))
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names).filter(pa.array(keep))
 
+    common.small_batches(docs.sparkSession)
     return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in names]))
 
 

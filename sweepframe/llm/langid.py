@@ -77,6 +77,7 @@ def count(rows: DataFrame, order: int) -> DataFrame:
                 g, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
+    common.small_batches(rows.sparkSession)
     counted = rows.select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     depths = F.array(*[F.struct(F.lit(k).alias("depth"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")) for k in range(order + 1)])
     return counted.select("lang", "n", F.explode(depths).alias("d")).groupBy("lang", "d.depth", "d.gram").agg(F.sum("n").alias("n"))
@@ -227,6 +228,7 @@ def annotate(docs: DataFrame, model: Model, evidence: int = 200, pred_as: str =
 
     rate_as: a third one, the bits a byte of the whole text under the predicted language, over the
     language's limit (over 1 in fit(), where limits are yet to be found); 0 for `und`."""
+    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.drop(pred_as, score_as, *([rate_as] if rate_as else []))
     names = base.columns

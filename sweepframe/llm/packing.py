@@ -224,6 +224,7 @@ def pieces(docs: DataFrame, vocabulary: str, separator: str, end_id: int, capaci
     shard, row and piece name a piece; cls is its length class (0: a full piece) and rank its place
     among its task's pieces of that class. Null texts have the end token alone."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    common.small_batches(docs.sparkSession)
     cut = rows.mapInArrow(lambda it: _pieces(it, vocabulary, separator, end_id, capacity, grain), PIECES)
     return common.written(cut, "pieces", compression="zstd")
 

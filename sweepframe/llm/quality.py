@@ -148,6 +148,7 @@ def unit_counts(docs: DataFrame) -> DataFrame:
                     size = 0
         yield out()
 
+    common.small_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "unit binary, is_shape boolean, n bigint").groupBy("unit", "is_shape").agg(F.sum("n").alias("n"))
 
 
@@ -317,6 +318,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score (0 to 1, higher: better) of docs(doc_id, text), row by row; 0.5 without a model.
 
     Null and empty texts are scored too, as documents without words."""
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if model is None:
         return rows.select("doc_id", F.lit(0.5).alias("score"))

@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             fps = [fingerprint(bytes(raw[i:j]), shingle, seed) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
+    common.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
@@ -284,7 +285,7 @@ def _links(rows: DataFrame, distance: int, ratio: float) -> DataFrame:
         for batch in batches:
             held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names)]
             last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if last:
+            if last and len(held[0]) >= 1 << 14:
                 yield out(*[h[:last] for h in held])
                 held = [h[last:] for h in held]
         if len(held[0]):
@@ -447,6 +448,7 @@ def _prints(docs: DataFrame, words: int, shingle: int) -> DataFrame:
             columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fps)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *columns, pa.array(size, pa.int64())], ["doc_id", "row", "node", "fp", "size"])
 
+    common.small_batches(docs.sparkSession)
     return _keyed(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, row bigint, node bigint, fp bigint, size bigint")
 
 

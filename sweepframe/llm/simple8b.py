@@ -173,6 +173,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 0, shards: int | None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("shard", common.id_shards(rows, "doc_id", n).cast("int"))
     dealt = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "text")
+    common.small_batches(spark)
     files = dealt.mapInArrow(lambda it: _groups(it, vocabulary, end_id), SCHEMA)
     return common.written(files, "simple8b", compression="zstd")
 

@@ -174,5 +174,6 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n_chars / 2) code points replaced by as many (or all) from
     the start of the next document by doc_id; the last document's next is the first. Null texts are
     empty; null doc_ids come first; rows of equal doc_id follow each other by text."""
+    common.small_batches(docs.sparkSession)
     dealt, _ = with_next(docs)
     return dealt.select("doc_id", "text", "peek").mapInArrow(_compare, SCHEMA)

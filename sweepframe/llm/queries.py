@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontam, langid, packing, quality, secret_scan, simhash, simple8b, syncmers, url_filter
+from . import chat, common, completion, decontam, langid, packing, quality, ranked, secret_scan, simhash, simple8b, syncmers, url_filter, variants
 
 table = common.table
 
@@ -61,11 +61,24 @@ def op10_indexed_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_bloom_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return completion.digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), "\n")
+
+
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simple8b_tokens, op2_secret_forest, op3_bloom_cascade, op4_closed_syncmers, op5_prefix_targets, op6_cutting_stock_packing,
-        op7_simhash_components, op8_ppm_language, op9_suffix_automaton_decontamination, op10_indexed_quality,
+        op7_simhash_components, op8_ppm_language, op9_suffix_automaton_decontamination, op10_indexed_quality, op11_bloom_variants,
+        op12_bin_completion, op13_dual_tree_search,
     )
 }
 
@@ -108,4 +121,42 @@ m AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids F
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op11_bloom_variants": r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+bytes AS (
+  SELECT run, n, doc_id, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, CAST(ord(c) - 64 AS BIGINT)] END)) AS b
+  FROM runs),
+h AS (SELECT run, n, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) END AS h FROM bytes, tab),
+v AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+hole AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS z FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pair AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM hole x JOIN hole y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION SELECT hole.word, v.word, v.n FROM hole JOIN v ON hole.a || hole.z = v.word
+  UNION SELECT v.word, hole.word, hole.n FROM hole JOIN v ON hole.a || hole.z = v.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM pair GROUP BY word),
+f AS (
+  SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, min(near) FILTER (near_n = top AND top >= 5 * v.n) AS form, max(top) FILTER (top >= 5 * v.n) AS form_n
+  FROM v LEFT JOIN best USING (word) LEFT JOIN pair USING (word) GROUP BY v.word, v.n, n_near),
+way AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT way.word, f.word, f.form FROM way JOIN f ON f.word = way.next)
+SELECT f.word, f.form, way.root, f.n, f.n_near, f.form_n FROM f JOIN way ON way.word = f.word WHERE way.next IS NULL""",
+    "op13_dual_tree_search": r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+q AS (
+  SELECT item_id, term, count(*) AS c
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+p AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(ts) AS n, unnest(ts) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, n_docs),
+g AS (
+  SELECT item_id, row, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM g WHERE score > 0) WHERE rank <= 10""",
 }

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import angles
+from .folds import throttle  # noqa: F401
 from .sliced import running
 
 TOLERANCE = 2.0
@@ -57,31 +55,6 @@ def zero_angle(frames: DataFrame, feedback: DataFrame, keys: tuple[str, ...] = (
     return first.join(last, list(keys), "left").select(*keys, "first_ts", F.coalesce("zero", F.lit(0.0)).alias("zero_deg"))
 
 
-def throttle(rows: DataFrame, keys: list[str], time_ms: str, gap_ms: int, order: list[str] | None = None, passes: str | None = None) -> DataFrame:
-    """Rows at least gap_ms after the last kept one of their key; the first is kept.
-
-    passes names a boolean column whose true rows are always kept and move the clock. This is a fold, not
-    a bucket: rows are streamed in order through one task per key, with one number of state."""
-    columns = rows.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, last = None, None
-        for pdf in batches:
-            keep = []
-            free = pdf[passes].fillna(False).tolist() if passes else [False] * len(pdf)
-            for key, now, go in zip(pdf[keys].itertuples(index=False, name=None), pdf[time_ms].tolist(), free):
-                if key != who:
-                    who, last = key, None
-                ok = go or last is None or now - last >= gap_ms
-                if ok:
-                    last = now
-                keep.append(ok)
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
-
-    by = [*keys, *(order or [time_ms])]
-    return rows.select(*columns).repartition(*keys).sortWithinPartitions(*by).mapInPandas(run, rows.schema)
-
-
 def detection_batch(frames: DataFrame, targets: DataFrame, frame_ms: int = 33, detect_ms: int = 120, tolerance: float = TOLERANCE) -> DataFrame:
     """Detections in the live order: frames throttled, every detect_ms of those looked at, once per lap.
 

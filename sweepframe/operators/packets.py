@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import wire
+from . import folds
+from .folds import counter_epoch  # noqa: F401
 from .sliced import running
 
 RESET_GAP, WINDOW, STALL_MS, HARD_MS, SWEEP, MAX_OPEN = 1000, 30, 1500, 5000, 64, 128
@@ -75,52 +77,12 @@ def resync(buffer: bytes, compat: bool = False) -> tuple[list[tuple[int, float]]
         at += 7
 
 
-def turntable_resync(chunks: DataFrame, compat: bool = False) -> DataFrame:
-    """Angle frames of serial chunks(device_id, rx_ts, chunk_seq, data), device by device in order.
+def turntable_resync(chunks: DataFrame, compat: bool = False, slices: int | None = None) -> DataFrame:
+    """Angle frames of serial chunks(device_id, rx_ts, chunk_seq, data): device_id, ts, chunk_seq, nth, cmd2, angle_deg.
 
-    A device's chunks are streamed through one task; at most one incomplete frame is carried over."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: dict = {}
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                if r.device_id not in rest:
-                    rest = {r.device_id: b""}
-                found, rest[r.device_id] = resync(rest[r.device_id] + bytes(r.data or b""), compat)
-                out += [(r.device_id, r.rx_ts, r.chunk_seq, k, cmd, angle) for k, (cmd, angle) in enumerate(found)]
-            yield pd.DataFrame(out, columns=["device_id", "ts", "chunk_seq", "nth", "cmd2", "angle_deg"])
-
-    rows = chunks.select(F.col("device_id").cast("long"), "rx_ts", F.col("chunk_seq").cast("long"), "data")
-    schema = f"device_id bigint, ts {chunks.schema['rx_ts'].dataType.simpleString()}, chunk_seq bigint, nth int, cmd2 int, angle_deg double"
-    return rows.repartition("device_id").sortWithinPartitions("device_id", "chunk_seq").mapInPandas(run, schema)
-
-
-def counter_epoch(stream: DataFrame, key: str = "device_id", order: str = "seq", index: str = "image_index", gap: int = RESET_GAP) -> DataFrame:
-    """stream with epoch and max_seen: a new epoch where the index falls more than `gap` below the largest seen.
-
-    The largest so far is that of the epoch, so this is a fold along the key; rows are streamed in
-    order through one task per key with three numbers of state."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = (None, 0, 0)
-        for pdf in batches:
-            epochs, tops = [], []
-            for k, i in zip(pdf[key].tolist(), pdf[index].tolist()):
-                who, epoch, top = state
-                if k != who:
-                    epoch, top = 0, 0
-                if top != 0 and i + gap < top:
-                    epoch, top = epoch + 1, i
-                else:
-                    top = max(top, i)
-                state = (k, epoch, top)
-                epochs.append(epoch)
-                tops.append(top)
-            yield pdf.assign(epoch=pd.Series(epochs, index=pdf.index, dtype="int64"), max_seen=pd.Series(tops, index=pdf.index, dtype="int64"))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema) + ", epoch bigint, max_seen bigint"
-    return stream.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+    A device's chunks are one stream in the order of chunk_seq (nulls first), in slices that different tasks
+    scan. Null data is no bytes, rows without device are one device."""
+    return folds.turntable_resync(chunks, resync, compat, slices)
 
 
 def seq_watermark(packets: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:

@@ -19,17 +19,31 @@ def _number(rows: DataFrame, name: str) -> Column:
     return F.unix_micros(name) if kind == "timestamp" else F.col(name).cast("double")
 
 
+def slice_of(rows: DataFrame, name: str, slices: int | None = None) -> Column:
+    """The slice of each row: a number or time column cut at quantiles into about equal row counts; null is slice 0.
+
+    A row is compared with every hundredth cut, then with a hundred of them."""
+    n = slices or max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = _number(rows, name)
+    at = [i / n for i in range(1, n)]
+    cuts = sorted(set(rows.agg(F.percentile_approx(x, F.array(*map(F.lit, at)), F.lit(max(10_000, 20 * n))).alias("q")).first()["q"] or [])) if at else []
+    if not cuts:
+        return F.lit(0)
+    below = lambda points: F.size(F.filter(points, lambda c: c < x))
+    every, step = F.array(*[F.lit(c) for c in cuts]), 100
+    if len(cuts) <= step:
+        return F.coalesce(below(every), F.lit(0))
+    coarse = below(F.array(*[F.lit(c) for c in cuts[step - 1 :: step]])) * step
+    return F.coalesce(coarse + below(F.slice(every, coarse + 1, step)), F.lit(0))
+
+
 def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column, bool]], slices: int | None = None) -> DataFrame:
     """rows with a column for each of `values`: name: (kind, column, before).
 
     kind: `sum`, `max` or `last` (the last one that isn't null); before: without the row's own. Nothing so far
     is null. order must settle the order of a key's rows; its first column is a number or a time. A
     wrapped value (`F.struct(..)`) makes `last` take nulls as values. Null keys are keys."""
-    n = slices or max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    x = _number(rows, order[0])
-    at = [i / n for i in range(1, n)]
-    cuts = sorted(set(rows.agg(F.percentile_approx(x, F.array(*map(F.lit, at)), F.lit(10_000)).alias("q")).first()["q"] or [])) if at else []
-    place = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < x)), F.lit(0)) if cuts else F.lit(0)
+    place = slice_of(rows, order[0], slices)
     names = rows.columns
     dealt = rows.withColumns({"__slice": place, "__own": F.lit(1), **{f"__v_{k}": v for k, (_, v, _) in values.items()}})
     when = F.struct(*order)

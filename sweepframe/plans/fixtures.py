@@ -3,25 +3,10 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir).
-
-    A cluster must name one. Only on a local master, where driver and executors are one process, a
-    temporary folder is made and set instead."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sweepframe-"))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
+from ..shared import shared_path  # noqa: F401
 
 TABLES = ("documents", "events", "embeddings")
 

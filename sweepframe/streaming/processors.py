@@ -6,10 +6,12 @@ gives, however it is cut into micro-batches."""
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -40,22 +42,25 @@ class ThrottleProcessor(_OneState):
     state_schema = "last bigint"
 
     def __init__(self, time_ms: str, gap_ms: int, order: list[str], passes: str | None):
-        self.time_ms, self.gap, self.order, self.passes = time_ms, gap_ms, order, passes
+        self.time_ms, self.gap, self.order, self.passes = time_ms, gap_ms, list(dict.fromkeys([time_ms, *order])), passes
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable", na_position="first")
         had = self.value()
         last, keep = (had[0] if had else None), []
         for now, go in zip(pdf[self.time_ms].tolist(), pdf[self.passes].tolist() if self.passes else [False] * len(pdf)):
-            ok = bool(go) or last is None or now - last >= self.gap
-            last = now if ok else last
+            if pd.isna(now):  # kept, and the clock stays
+                keep.append(True)
+                continue
+            ok = (not pd.isna(go) and bool(go)) or last is None or now - last >= self.gap
+            last = int(now) if ok else last
             keep.append(ok)
         self.state.update((last,))
         yield pdf[keep]
 
 
 def throttle_stream(rows: DataFrame, keys: list[str], time_ms: str, gap_ms: int, order: list[str] | None = None, passes: str | None = None) -> DataFrame:
-    """The streaming twin of detect.throttle: rows at least gap_ms after the last kept one of their key."""
+    """The streaming twin of detect.throttle, null keys and times included: rows at least gap_ms after the last kept one of their key."""
     return rows.groupBy(*keys).transformWithStateInPandas(ThrottleProcessor(time_ms, gap_ms, order or [time_ms], passes), rows.schema, "Append", "None")
 
 
@@ -68,11 +73,13 @@ class CounterProcessor(_OneState):
         self.gap, self.order, self.index = gap, order, index
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable", na_position="first")
         epoch, top = self.value() or (0, 0)
         epochs, tops = [], []
         for i in pdf[self.index].tolist():
-            if top != 0 and i + self.gap < top:
+            if pd.isna(i) or i < 0:
+                pass
+            elif top != 0 and i + self.gap < top:
                 epoch, top = epoch + 1, i
             else:
                 top = max(top, i)
@@ -130,11 +137,11 @@ class ResyncProcessor(_OneState):
         self.compat = compat
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("chunk_seq", kind="stable")
+        pdf = pd.concat(list(rows)).sort_values("chunk_seq", kind="stable", na_position="first")
         had = self.value()
         rest, out = (bytes(had[0]) if had else b""), []
         for r in pdf.itertuples():
-            found, rest = resync(rest + bytes(r.data), self.compat)
+            found, rest = resync(rest + bytes(r.data or b""), self.compat)
             out += [(r.device_id, r.chunk_seq, k, cmd, angle) for k, (cmd, angle) in enumerate(found)]
         self.state.update((rest,))
         yield pd.DataFrame(out, columns=["device_id", "chunk_seq", "nth", "cmd2", "angle_deg"])
@@ -146,6 +153,8 @@ def resync_stream(chunks: DataFrame, compat: bool = False) -> DataFrame:
 
 
 KEYS = ("device_id", "channel")
+_PACKET = ["image_index", "total_size", "payload", "rx_ms"]
+_Packet = namedtuple("_Packet", _PACKET)
 _FRAME = ["image_index", "generation", "epoch", "packets", "bytes", "payload", "reason"]
 
 
@@ -201,28 +210,39 @@ class ReassemblyProcessor(StatefulProcessor):
         pass
 
 
+def whole_packets(packets: DataFrame) -> DataFrame:
+    """Packets that have an image index, a total size and a time; the others belong to no frame and are rejected."""
+    return packets.filter("image_index is not null and total_size is not null and rx_ms is not null")
+
+
 def reassembly_stream(packets: DataFrame, keys: tuple[str, ...] = KEYS, **options: int) -> DataFrame:
-    """Complete frames (reason null) and evictions (with a reason) of packets(keys, arrival_seq, rx_ms, ..), payloads BINARY or STRING."""
+    """Complete frames (reason null) and evictions (with a reason) of packets(keys, arrival_seq, rx_ms, ..), payloads BINARY or STRING.
+
+    Null keys are keys, a null payload has no bytes; see whole_packets() for what is rejected."""
+    packets = whole_packets(packets)
     processor = ReassemblyProcessor(keys, packets.schema["payload"].dataType.simpleString(), options)
     return packets.groupBy(*keys).transformWithStateInPandas(processor, _frame_schema(packets, keys), "Append", "None")
 
 
 def reassembly_batch(packets: DataFrame, keys: tuple[str, ...] = KEYS, **options: int) -> DataFrame:
     """The batch twin of reassembly_stream: a channel's packets stream through one task, the pool is its state."""
-    text = packets.schema["payload"].dataType.simpleString() == "string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, pool = None, BufferPool(**options)
-        for pdf in batches:
-            out = []
-            for key, r in zip(pdf[list(keys)].itertuples(index=False, name=None), pdf.itertuples()):
+    text, schema = packets.schema["payload"].dataType.simpleString() == "string", _frame_schema(packets, keys)
+    columns = [*keys, *_FRAME]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, pool = (), BufferPool(**options)
+        for batch in batches:
+            out, kinds = [], [batch.schema.field(k).type for k in keys] + [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), batch.schema.field("payload").type, pa.string()]
+            fields = [batch.column(c).to_pylist() for c in _PACKET]
+            for key, *fields in zip(zip(*[batch.column(k).to_pylist() for k in keys]), *fields):
                 if key != who:
                     who, pool = key, BufferPool(**options)
-                out += _pool_rows(pool, key, r, text)
-            yield pd.DataFrame(out, columns=[*keys, *_FRAME]).astype({"generation": "Int64", "packets": "Int64", "bytes": "Int64"})
+                out += _pool_rows(pool, key, _Packet(*fields), text)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], columns)
 
-    rows = packets.select(*keys, "arrival_seq", "rx_ms", "image_index", "total_size", "payload")
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "arrival_seq").mapInPandas(run, _frame_schema(packets, keys))
+    rows = whole_packets(packets).select(*keys, "arrival_seq", *_PACKET)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "arrival_seq").mapInArrow(run, schema)
 
 
 class DetectionProcessor(_OneState):

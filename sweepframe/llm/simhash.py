@@ -214,7 +214,8 @@ def _near_rows(key: np.ndarray, fp: np.ndarray, ids: np.ndarray, size: np.ndarra
     A pair counts if its bits differ in at most `distance` places and the lesser size is `ratio` of
     the other or more. A bucket with more than `most` pairs a row gives each row's two nearest
     neighbours and a forest that connects what all the pairs connect; ties go to the lesser id, so
-    a group that meets in many buckets gives much the same pairs in each."""
+    a group that meets in many buckets gives much the same pairs in each. Its rows are named as pairs of
+    a row with itself: what else they pair with is left to _across()."""
     edge = np.flatnonzero(np.diff(key)) + 1
     start = np.concatenate([[0], edge])
     rows = np.diff(np.concatenate([start, [len(key)]]))
@@ -236,6 +237,8 @@ def _near_rows(key: np.ndarray, fp: np.ndarray, ids: np.ndarray, size: np.ndarra
     for k in np.flatnonzero(dense).tolist():
         lo, hi = int(start[k]), int(start[k] + rows[k])
         order = lo + np.argsort(ids[lo:hi], kind="stable")
+        a.append(ids[order])
+        b.append(ids[order])
         for i, j in _dense_pairs(fp[order], size[order].astype(np.float32), distance, ratio):
             a.append(ids[order[i]])
             b.append(ids[order[j]])
@@ -299,7 +302,8 @@ def links(nodes: DataFrame, distance: int = 3, parts: int = 4, limit: int = 2048
     """Links a, b between distinct fingerprints nodes(fp) that connect whatever `distance` bits connect.
 
     Of nodes(fp, id, size) it gives candidate pairs of ids, some of them more than once, that
-    connect what `distance` bits and sizes within `ratio` of each other connect. limit: rows of a bucket that one task compares; larger buckets are cut on the bits left and
+    connect what `distance` bits and sizes within `ratio` of each other connect; ids of buckets with too many pairs
+    to name come as pairs of an id with itself. limit: rows of a bucket that one task compares; larger buckets are cut on the bits left and
     then compared block by block, so no case is dropped. The histograms on the driver have at most
     parts * 2**(64 / parts) entries, whatever the input."""
     if 64 % parts or 64 // parts > 16:
@@ -464,10 +468,10 @@ def _sent(rows: DataFrame, n: int, few: int) -> DataFrame:
     return F.broadcast(rows) if n <= few else rows.hint("merge")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, words: int, few: int) -> DataFrame:
-    """Those of pairs(a, b) whose texts' shingle sets have a Jaccard similarity of `similarity` or more.
+def _sets(ends: DataFrame, n: int, docs: DataFrame, rows: DataFrame, words: int, few: int) -> DataFrame:
+    """node, shingles of the texts of ends(node), about n of them; only these texts are moved.
 
-    rows(node, doc_id, row) names one row of docs for each node. Only texts in some pair are moved."""
+    rows(node, doc_id, row) names one row of docs for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -476,23 +480,115 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: fl
             values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("node"), values], ["node", "shingles"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     named = rows.join(ends, "node").select("node", F.col("doc_id").alias("__id"), "row")
-    n = pairs.count()
-    texts = _keyed(docs.select("doc_id", "text")).join(_sent(named, 2 * n, few), "row").filter(F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
-    sets = common.written(texts.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "shingles")
+    texts = _keyed(docs.select("doc_id", "text")).join(_sent(named, n, few), "row").filter(F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
+    return common.written(texts.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "shingles")
+
+
+def _alike(pairs: DataFrame, n: int, sets: DataFrame, similarity: float, few: int) -> DataFrame:
+    """Those of n pairs(a, b) whose sets have a Jaccard similarity of `similarity` or more."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(_sent(pairs, n, few), "a")
     both = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, words: int, few: int) -> DataFrame:
+    """Those of pairs(a, b) whose texts' shingle sets have a Jaccard similarity of `similarity` or more."""
+    n = pairs.count()
+    return _alike(pairs, n, _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n, docs, rows, words, few), similarity, few)
+
+
+# -- pairs across groups ----------------------------------------------------------------------
+
+#: Cells of the table of shingle counts that rare shingles are told by.
+CELLS = 1 << 18
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(node, key): each text's rarest shingles, as many as leave fewer than any alike text shares with it."""
+    for batch in batches:
+        nodes, keys = [], []
+        for node, own in zip(batch.column("node").to_numpy(), batch.column("shingles")):
+            own = np.asarray(own.values)
+            take = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+            rare = own[np.lexsort((own, counts[own & (CELLS - 1)]))[:take]]
+            nodes.append(np.full(len(rare), node))
+            keys.append(rare)
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys))], ["node", "key"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch], distance: int, ratio: float) -> Iterator[pa.RecordBatch]:
+    """a, b: rows of side 0 with rows of their group that lie in another root's set, are near by bits and alike in size."""
+    names = ["g", "side", "node", "fp", "size", "root"]
+
+    def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        g, side, node, fp, size, root = cols
+        fp, size = fp.view(np.uint64), size.astype(np.float64)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            ask = lo + int(np.searchsorted(side[lo:hi], 1))
+            for at in range(lo, ask, 128):
+                i, j = slice(at, min(at + 128, ask)), slice(ask, hi)
+                near = np.bitwise_count(fp[i, None] ^ fp[j]) <= distance
+                near &= (root[i, None] != root[j]) & (np.minimum(size[i, None], size[j]) >= ratio * np.maximum(size[i, None], size[j]))
+                x, y = np.nonzero(near)
+                if len(x):
+                    a, b = node[i][x], node[j][y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    held = [np.empty(0, np.int64) for _ in names]
+    for batch in batches:
+        held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names)]
+        last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if last and len(held[0]) >= 1 << 14:
+            yield from out([h[:last] for h in held])
+            held = [h[last:] for h in held]
+    if len(held[0]):
+        yield from out(held)
+
+
+def _across(dense: DataFrame, docs: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, words: int, distance: int, limit: int, few: int) -> DataFrame:
+    """a, b: all links between texts of dense(node) that the links so far leave in different groups roots(node, root).
+
+    Two sets alike to `similarity` share one of the rarest shingles of each (whatever counts as rare, as long as
+    it is one order for all), so texts meet by these. Of the texts that meet by one shingle, those of its largest group
+    are not compared with each other, only the others with all: what is linked costs nothing more. Large meetings
+    are cut into blocks of `limit` rows on either side."""
+    spark = docs.sparkSession
+    named = common.written(nodes.join(dense, "node").join(roots, "node", "left").select("node", "best.doc_id", "best.row", "fp", "size", F.coalesce("root", "node").alias("root")), "dense")
+    n = named.count()
+    sets = _sets(named.select("node"), n, docs, named.select("node", "doc_id", "row"), words, few)
+    counts = np.zeros(CELLS, np.int64)
+    cell = F.col("s").bitwiseAND(F.lit(CELLS - 1))
+    for r in sets.select(F.explode("shingles").alias("s")).groupBy(cell.alias("c")).count().collect():  # a row a cell
+        counts[r["c"]] = r["count"]
+    shared = spark.sparkContext.broadcast(counts)
+    keyed = sets.mapInArrow(lambda it: _prefixes(it, shared.value, similarity), "node bigint, key bigint").join(named.select("node", "fp", "size", "root"), "node")
+    keyed = common.written(keyed, "rare")
+    of_root = keyed.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "root")).alias("top"))
+    met = of_root.filter(F.col("n") > F.col("top.count")).select(
+        "key", F.col("top.root").alias("major"), F.ceil(F.col("n") / limit).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("top.count")) / limit).cast("int").alias("ask_blocks"))
+    rows = keyed.join(met, "key")
+    block = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asking = rows.filter(F.col("root") != F.col("major")).withColumn("i", block("ask_blocks")).withColumn("j", each("all_blocks")).withColumn("side", F.lit(0).cast("long"))
+    asked = rows.withColumn("j", block("all_blocks")).withColumn("i", each("ask_blocks")).withColumn("side", F.lit(1).cast("long"))
+    both = asking.unionByName(asked).select(F.xxhash64("key", "i", "j").alias("g"), "side", "node", "fp", "size", "root")
+    pairs = both.repartition(common.partitions(spark), "g").sortWithinPartitions("g", "side").mapInArrow(lambda it: _asked(it, distance, similarity), "a bigint, b bigint")
+    pairs = common.written(pairs.distinct(), "pairs-across")
+    return _alike(pairs, pairs.count(), sets, similarity, few)
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 11, shingle: int = 2, limit: int = 2048, few: int = FEW) -> DataFrame:
     """doc_id, row, copies, stays: one row for each doc_id and text of docs(doc_id, text), and whether it is the one that stays of its group.
 
     Two texts are linked if their sets of `words`-word shingles (A-Z lower-cased, words between ASCII
     white space) are alike to `similarity` or more, among the candidates whose SimHashes of
-    `shingle`-word shingles differ in at most `distance` bits; links add up to groups. Texts of equal
+    `shingle`-word shingles differ in at most `distance` bits; links add up to groups. Where too many
+    candidates meet for all pairs to be named, some are, and the links between the groups that these leave are
+    found by shared rare shingles, so no link among candidates is lost. Texts of equal
     words are one text. Of a group the row with the least doc_id stays, null ids last, then by a hash
     of the text. `copies` says how many rows of docs have this doc_id and text; `row` is
     xxhash64(doc_id, text). Null, empty and wordless texts are alike. An empty table gives no rows."""
@@ -502,8 +598,11 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, distan
     nodes = common.written(rows.groupBy("node").agg(best, F.min("fp").alias("fp"), F.min("size").alias("size")), "texts")
     found = links(nodes.select("fp", F.col("node").alias("id"), "size"), distance, limit=limit, ratio=similarity)
     pairs = common.written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    sure = common.written(_verified(pairs, docs, nodes.select("node", "best.doc_id", "best.row"), similarity, words, few), "near")
-    rooted = common.written(nodes.select("node", "best").join(connected(sure), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    sure = common.written(_verified(pairs.filter("a <> b"), docs, nodes.select("node", "best.doc_id", "best.row"), similarity, words, few), "near")
+    roots, dense = connected(sure), pairs.filter("a = b").select(F.col("a").alias("node"))
+    if not dense.isEmpty():
+        roots = connected(common.written(sure.unionByName(_across(dense, docs, nodes, roots, similarity, words, distance, limit, few)), "near-all"))
+    rooted = common.written(nodes.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     first = rooted.groupBy("root").agg(F.min("best").alias("first"))
     mine = rooted.join(first, "root").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"))
     stays = (F.col("row") == F.col("first_row")) & F.col("doc_id").eqNullSafe(F.col("first_id"))

@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import utf8
 
-_ALL = (1 << 64) - 1
 
 
 def _signed(x: int) -> int:
@@ -313,14 +312,14 @@ def links(nodes: DataFrame, distance: int = 3, parts: int = 4, limit: int = 2048
     masks = [_mask(p) for p in cut]
     more = [c for c in ("id", "size") if c in nodes.columns]
     probes = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks)])
-    hist = nodes.select(F.explode(probes).alias("p")).groupBy("p.part", "p.value").count().collect()
+    hist = nodes.select(F.explode(probes).alias("p")).groupBy("p.part", "p.value").count().toArrow()
     sizes = [np.zeros(1 << len(p), np.int64) for p in cut]
 
-    def packed(value: int, part: int) -> int:
-        return sum((value >> b & 1) << k for k, b in enumerate(cut[part]))
-
-    for r in hist:
-        sizes[r["part"]][packed(r["value"] & _ALL, r["part"])] += r["count"]
+    part, value, count = (hist.column(c).to_numpy() for c in ("part", "value", "count"))
+    for i, bits in enumerate(cut):
+        own = part == i
+        place = sum(((value[own] >> b & 1) << k for k, b in enumerate(bits)), np.zeros(int(own.sum()), np.int64))
+        np.add.at(sizes[i], place, count[own])
     t = thresholds_of(sizes, distance)
     keyed, hot = [], []
     for i, m in enumerate(masks):
@@ -502,7 +501,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: fl
 # -- pairs across groups ----------------------------------------------------------------------
 
 #: Cells of the table of shingle counts that rare shingles are told by.
-CELLS = 1 << 18
+CELLS = 1 << 16
+#: Bits of a text's map, in which every shingle turns one over.
+MAP = 1024
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -519,12 +520,20 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, similarity:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys))], ["node", "key"])
 
 
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, map): two maps differ in no more bits than their texts in shingles."""
+    for batch in batches:
+        maps = [np.packbits((np.bincount(np.asarray(own.values) >> 24 & (MAP - 1), minlength=MAP) & 1).astype(np.uint8)).tobytes() for own in batch.column("shingles")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(maps, pa.binary())], ["node", "map"])
+
+
 def _asked(batches: Iterator[pa.RecordBatch], distance: int, ratio: float) -> Iterator[pa.RecordBatch]:
-    """a, b: rows of side 0 with rows of their group that lie in another root's set, are near by bits and alike in size."""
+    """a, b: rows of side 0 with rows of their group that lie in another root's set, are near by bits, alike in
+    size, and whose maps don't say that they differ in too many shingles."""
     names = ["g", "side", "node", "fp", "size", "root"]
 
     def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        g, side, node, fp, size, root = cols
+        g, side, node, fp, size, root, maps = cols
         fp, size = fp.view(np.uint64), size.astype(np.float64)
         edges = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -534,13 +543,17 @@ def _asked(batches: Iterator[pa.RecordBatch], distance: int, ratio: float) -> It
                 near = np.bitwise_count(fp[i, None] ^ fp[j]) <= distance
                 near &= (root[i, None] != root[j]) & (np.minimum(size[i, None], size[j]) >= ratio * np.maximum(size[i, None], size[j]))
                 x, y = np.nonzero(near)
-                if len(x):
-                    a, b = node[i][x], node[j][y]
+                x, y = x + at, y + ask
+                parted = np.concatenate([np.bitwise_count(maps[x[k : k + 4096]] ^ maps[y[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(x), 4096)] or [x])
+                can = parted <= (1 - ratio) / (1 + ratio) * (size[x] + size[y]) + 1e-6
+                if can.any():
+                    a, b = node[x[can]], node[y[can]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    held = [np.empty(0, np.int64) for _ in names]
+    held = [*(np.empty(0, np.int64) for _ in names), np.empty((0, MAP // 64), np.uint64)]
     for batch in batches:
-        held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names)]
+        maps = np.frombuffer(b"".join(batch.column("map").to_pylist()), np.uint64).reshape(-1, MAP // 64)
+        held = [np.concatenate([h, c]) for h, c in zip(held, [*(batch.column(c).to_numpy() for c in names), maps])]
         last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
         if last and len(held[0]) >= 1 << 14:
             yield from out([h[:last] for h in held])
@@ -555,27 +568,28 @@ def _across(dense: DataFrame, docs: DataFrame, nodes: DataFrame, roots: DataFram
     Two sets alike to `similarity` share one of the rarest shingles of each (whatever counts as rare, as long as
     it is one order for all), so texts meet by these. Of the texts that meet by one shingle, those of its largest group
     are not compared with each other, only the others with all: what is linked costs nothing more. Large meetings
-    are cut into blocks of `limit` rows on either side."""
+    are cut into blocks of `limit` rows on either side. Pairs that the texts' maps rule out are not named."""
     spark = docs.sparkSession
     named = common.written(nodes.join(dense, "node").join(roots, "node", "left").select("node", "best.doc_id", "best.row", "fp", "size", F.coalesce("root", "node").alias("root")), "dense")
     n = named.count()
     sets = _sets(named.select("node"), n, docs, named.select("node", "doc_id", "row"), words, few)
     counts = np.zeros(CELLS, np.int64)
     cell = F.col("s").bitwiseAND(F.lit(CELLS - 1))
-    for r in sets.select(F.explode("shingles").alias("s")).groupBy(cell.alias("c")).count().collect():  # a row a cell
-        counts[r["c"]] = r["count"]
+    table = sets.select(F.explode("shingles").alias("s")).groupBy(cell.alias("c")).count().toArrow()  # a row a cell
+    counts[table.column("c").to_numpy()] = table.column("count").to_numpy()
     shared = spark.sparkContext.broadcast(counts)
-    keyed = sets.mapInArrow(lambda it: _prefixes(it, shared.value, similarity), "node bigint, key bigint").join(named.select("node", "fp", "size", "root"), "node")
+    wide = common.written(named.select("node", "fp", "size", "root").join(sets.mapInArrow(_maps, "node bigint, map binary"), "node"), "maps")
+    keyed = sets.mapInArrow(lambda it: _prefixes(it, shared.value, similarity), "node bigint, key bigint").join(wide.select("node", "root"), "node")
     keyed = common.written(keyed, "rare")
     of_root = keyed.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "root")).alias("top"))
     met = of_root.filter(F.col("n") > F.col("top.count")).select(
         "key", F.col("top.root").alias("major"), F.ceil(F.col("n") / limit).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("top.count")) / limit).cast("int").alias("ask_blocks"))
-    rows = keyed.join(met, "key")
+    rows = keyed.join(met, "key").join(wide.drop("root"), "node")
     block = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     asking = rows.filter(F.col("root") != F.col("major")).withColumn("i", block("ask_blocks")).withColumn("j", each("all_blocks")).withColumn("side", F.lit(0).cast("long"))
     asked = rows.withColumn("j", block("all_blocks")).withColumn("i", each("ask_blocks")).withColumn("side", F.lit(1).cast("long"))
-    both = asking.unionByName(asked).select(F.xxhash64("key", "i", "j").alias("g"), "side", "node", "fp", "size", "root")
+    both = asking.unionByName(asked).select(F.xxhash64("key", "i", "j").alias("g"), "side", "node", "fp", "size", "root", "map")
     pairs = both.repartition(common.partitions(spark), "g").sortWithinPartitions("g", "side").mapInArrow(lambda it: _asked(it, distance, similarity), "a bigint, b bigint")
     pairs = common.written(pairs.distinct(), "pairs-across")
     return _alike(pairs, pairs.count(), sets, similarity, few)

@@ -3,7 +3,11 @@
 A k-mer of code points is an anchor if the least hash among its inner s-mers is its first or its
 last one. Whether it is depends on the k-mer alone, so a shared passage gives the same anchors
 wherever it stands. A fingerprint holds all anchors of a text with their positions; two
-fingerprints are alike by the runs of anchors, equal in hashes and gaps, that they share anywhere."""
+fingerprints are alike by the runs of anchors, equal in hashes and gaps, that they share anywhere.
+
+Every text has anchors of 24 code points. Where a text is short these are few, so it has finer ones beside
+them, and two fingerprints are compared by the finest anchors that both have: what a text is like does not
+hang on which side of a bound its own length is."""
 
 from __future__ import annotations
 
@@ -18,8 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 K, S, RUN = 24, 8, 3
-#: Texts of fewer code points than the first number have shorter anchors: (below, k, s).
-SHORT = ((12, 4, 2), (48, 8, 4))
+#: k, s and the code points below which a text has such anchors, the coarsest first.
+SCALES = ((K, S, None), (8, 4, 256), (2, 1, 64))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -28,19 +32,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(text: str, k: int | None = None, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of the closed syncmers of a text, whole; a text shorter than k is one anchor.
+def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of the closed syncmers of a text, whole; none of a text shorter than k.
 
-    s must be a power of two and divide k. Without k, both follow from the text's length (SHORT, else
-    K and S), so that a changed short text still has anchors of its old part."""
+    s must be a power of two and divide k."""
     c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    if k is None:
-        k, s = next(((a, b) for below, a, b in SHORT if len(c) < below), (K, S))
-    if not len(c):
-        return np.empty(0, np.uint32), np.empty(0, np.uint32)
     if len(c) < k:
-        h = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=4).digest(), "big")
-        return np.array([h], np.uint32), np.zeros(1, np.uint32)
+        return np.empty(0, np.uint32), np.empty(0, np.uint32)
     h, step, by = (c + _C) * _A, 1, int(_B)
     while step < s:  # hashes of 2, 4, .. s code points
         h = h[:-step] * np.uint64(by) + h[step:]
@@ -59,13 +57,17 @@ def anchors(text: str, k: int | None = None, s: int = S) -> tuple[np.ndarray, np
     return (_mixed(whole) >> np.uint64(32)).astype(np.uint32), at.astype(np.uint32)
 
 
-def sketch(text: str) -> np.ndarray:
-    """Rows (hash, position) of all anchors, by position."""
-    return np.stack(anchors(text), 1)
+def sketch(text: str) -> list[np.ndarray]:
+    """Rows (hash, position) of all anchors, by position, of each scale that the text has; one code point alone is an anchor."""
+    out = [np.stack(anchors(text, k, s), 1) for k, s, below in SCALES if below is None or len(text) < below]
+    if len(text) == 1:
+        out[-1] = np.array([[int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=4).digest(), "big"), 0]], np.uint32)
+    return out
 
 
-def to_hex(rows: np.ndarray) -> str:
-    return rows.astype(">u4").tobytes().hex()
+def to_hex(scales: list[np.ndarray]) -> str:
+    """Hash and position of each anchor as 16 hexadecimal digits, scales parted by a slash; an empty text has none."""
+    return "/".join(rows.astype(">u4").tobytes().hex() for rows in scales) if any(map(len, scales)) else ""
 
 
 def _grams(rows: np.ndarray, run: int) -> np.ndarray:
@@ -91,16 +93,21 @@ def _covered(place: np.ndarray, limit: np.ndarray, run: int) -> int:
     return int(cover.sum())
 
 
-def likeness(a: np.ndarray, b: np.ndarray, run: int = RUN) -> float:
-    """0 to 1: the share of anchors of both in common runs of at least `run` anchors, on any diagonal.
-
-    A run that one side repeats counts there as often as the other side has it. Where a side's last
-    anchor begins before SHORT's last bound, single anchors count. Empty texts are alike."""
-    if not len(a) and not len(b):
+def likeness(a: list[np.ndarray], b: list[np.ndarray], run: int = RUN) -> float:
+    """0 to 1: how alike two sketches are by the finest anchors that both have; see alike()."""
+    if not any(map(len, a)) and not any(map(len, b)):
         return 1.0
+    at = min(len(a), len(b)) - 1
+    return alike(a[at], b[at], run)
+
+
+def alike(a: np.ndarray, b: np.ndarray, run: int = RUN) -> float:
+    """The share of anchors of both in common runs of at least `run` anchors (or all that one side has), on any diagonal.
+
+    A run that one side repeats counts there as often as the other side has it."""
     if not len(a) or not len(b):
         return 0.0
-    run = 1 if min(a[-1, 1], b[-1, 1]) < SHORT[-1][0] else min(run, len(a), len(b))
+    run = min(run, len(a), len(b))
     x, y = _grams(a, run), _grams(b, run)
     values, place = np.unique(np.concatenate([x, y]), return_inverse=True)
     x, y = place[: len(x)], place[len(x) :]

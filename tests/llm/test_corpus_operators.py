@@ -197,12 +197,11 @@ def test_anchors_and_likeness_by_their_definition():
     """Anchors: k-mers whose least inner hash is at an edge. Likeness: anchors in common runs, counted one by one."""
     rng = random.Random(8)
     make = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
-    for n in (0, 2, 3, 4, 9, 11, 12, 30, 47, 48, 49, 90, 400):
+    for n, (k, s, _) in [(n, scale) for n in (0, 1, 2, 3, 8, 9, 12, 24, 30, 63, 64, 90, 400) for scale in syncmers.SCALES]:
         text = make(n)
-        k, s = next(((a, b) for below, a, b in syncmers.SHORT if n < below), (syncmers.K, syncmers.S))
-        h, at = syncmers.anchors(text)
+        h, at = syncmers.anchors(text, k, s)
         if n < k:
-            assert len(h) == (n > 0)
+            assert not len(h)
             continue
         inner = {text[i : i + s]: None for i in range(n - s + 1)}
         for piece in inner:  # the operator's own hash of one s-mer, from the least text that holds it alone
@@ -219,8 +218,9 @@ def test_anchors_and_likeness_by_their_definition():
         assert at.tolist() == want and len({(text[i : i + k], int(x)) for i, x in zip(at, h)}) == len({text[i : i + k] for i in want})
     for _ in range(30):
         base = make(200)
-        a, b = syncmers.sketch(base), syncmers.sketch(base[: rng.randint(0, 200)] + make(rng.randint(60, 90)))
-        run = 1 if min(a[-1, 1], b[-1, 1]) < 48 else min(3, len(a), len(b))
+        scales = syncmers.sketch(base), syncmers.sketch(base[: rng.randint(0, 200)] + make(rng.randint(20, 90)))
+        a, b = (x[min(map(len, scales)) - 1] for x in scales)
+        run = min(3, len(a), len(b))
         grams = [[tuple(x[j, 0] for j in range(i, i + run)) + tuple(x[j, 1] - x[j - 1, 1] for j in range(i + 1, i + run)) for i in range(len(x) - run + 1)] for x in (a, b)]
         total = 0
         for own, other, rows in ((grams[0], grams[1], a), (grams[1], grams[0], b)):
@@ -230,23 +230,44 @@ def test_anchors_and_likeness_by_their_definition():
                 if used[g] <= min(own.count(g), other.count(g)):
                     cover |= set(range(i, i + run))
             total += len(cover)
-        assert abs(syncmers.likeness(a, b) - total / (len(a) + len(b))) < 1e-9
+        assert abs(syncmers.likeness(*scales) - total / (len(a) + len(b))) < 1e-9
     for n in (8, 20, 60):  # half of a short text leaves something alike
         texts = [(t, t[: n - n // 2] + make(n // 2)) for t in (make(n) for _ in range(40))]
         assert np.mean([syncmers.likeness(syncmers.sketch(x), syncmers.sketch(y)) for x, y in texts]) > 0.1
 
 
+def test_short_texts_are_like_what_little_was_done_to():
+    """One more code point leaves any text of 12 or more alike to over 0.9, on both sides of every bound, and halves stay alike."""
+    rng = random.Random(6)
+    for make in (lambda n: "".join(rng.choice("etaoin shrdlu") for _ in range(n)), lambda n: "".join(rng.choice("ab") for _ in range(n))):
+        for n in [*range(12, 300), 400, 999]:
+            text = make(n)
+            own = syncmers.sketch(text)
+            assert syncmers.likeness(own, own) == 1.0
+            assert syncmers.likeness(own, syncmers.sketch(text + "x")) > 0.9 and syncmers.likeness(syncmers.sketch("x" + text), own) > 0.9
+    make = lambda n: "".join(rng.choice("etaoin shrdlu") for _ in range(n))
+    for n in (40, 60, 100, 150):
+        pairs = [(t, t[: n - n // 2] + make(n // 2), make(n)) for t in (make(n) for _ in range(200))]
+        half = [syncmers.likeness(syncmers.sketch(a), syncmers.sketch(b)) for a, b, _ in pairs]
+        assert min(half) > 0 and np.mean(half) > 0.35 and np.mean([syncmers.likeness(syncmers.sketch(a), syncmers.sketch(c)) for a, _, c in pairs]) < 0.1
+    for size in (100, 200, 260, 3000):
+        for _ in range(50):
+            short, long = make(40), make(size)
+            at = rng.randint(0, size)
+            assert syncmers.likeness(syncmers.sketch(short), syncmers.sketch(long[:at] + short + long[at:])) > 0
+
+
 def test_fingerprints_hold_every_passage():
     rng = random.Random(4)
     make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     for size in (20_000, 120_000):
         passage, other = make(500), make(size)
         a, b = make(size // 2) + passage + make(size // 2), other[: size // 3] + passage + other[size // 3 :]
-        x, y = syncmers.sketch(a), syncmers.sketch(b)
+        (x,), (y,) = syncmers.sketch(a), syncmers.sketch(b)
         h, at = syncmers.anchors(a)
         assert np.array_equal(x, np.stack([h, at], 1))  # all anchors, all positions
-        want = len(syncmers.sketch(passage))
-        assert 0.9 * want <= syncmers.likeness(x, y) * (len(x) + len(y)) / 2 <= 1.2 * want
+        want = len(syncmers.sketch(passage)[0])
+        assert 0.9 * want <= syncmers.alike(x, y) * (len(x) + len(y)) / 2 <= 1.2 * want
         moved = other[: size // 2] + make(300) + other[size // 2 :]  # anchors behind an insertion count
         assert syncmers.likeness(syncmers.sketch(other), syncmers.sketch(moved)) > 0.95
     once = syncmers.sketch(make(1) + passage)

@@ -527,9 +527,9 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(maps, pa.binary())], ["node", "map"])
 
 
-def _asked(batches: Iterator[pa.RecordBatch], distance: int, ratio: float) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterator[pa.RecordBatch], distance: int, ratio: float, nearest: bool) -> Iterator[pa.RecordBatch]:
     """a, b: rows of side 0 with rows of their group that lie in another root's set, are near by bits, alike in
-    size, and whose maps don't say that they differ in too many shingles."""
+    size, and whose maps don't say that they differ in too many shingles; of each such set all, or the one nearest by its map."""
     names = ["g", "side", "node", "fp", "size", "root"]
 
     def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -546,8 +546,14 @@ def _asked(batches: Iterator[pa.RecordBatch], distance: int, ratio: float) -> It
                 x, y = x + at, y + ask
                 parted = np.concatenate([np.bitwise_count(maps[x[k : k + 4096]] ^ maps[y[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(x), 4096)] or [x])
                 can = parted <= (1 - ratio) / (1 + ratio) * (size[x] + size[y]) + 1e-6
-                if can.any():
-                    a, b = node[x[can]], node[y[can]]
+                x, y, parted = x[can], y[can], parted[can]
+                if nearest and len(x):
+                    by = np.lexsort((node[y], parted, root[y], x))
+                    x, y = x[by], y[by]
+                    first = np.append(True, (x[1:] != x[:-1]) | (root[y[1:]] != root[y[:-1]]))
+                    x, y = x[first], y[first]
+                if len(x):
+                    a, b = node[x], node[y]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     held = [*(np.empty(0, np.int64) for _ in names), np.empty((0, MAP // 64), np.uint64)]
@@ -563,36 +569,42 @@ def _asked(batches: Iterator[pa.RecordBatch], distance: int, ratio: float) -> It
 
 
 def _across(dense: DataFrame, docs: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, words: int, distance: int, limit: int, few: int) -> DataFrame:
-    """a, b: all links between texts of dense(node) that the links so far leave in different groups roots(node, root).
+    """roots(node, root) after all links between texts of dense(node) that lie in different groups so far.
 
     Two sets alike to `similarity` share one of the rarest shingles of each (whatever counts as rare, as long as
     it is one order for all), so texts meet by these. Of the texts that meet by one shingle, those of its largest group
     are not compared with each other, only the others with all: what is linked costs nothing more. Large meetings
-    are cut into blocks of `limit` rows on either side. Pairs that the texts' maps rule out are not named."""
+    are cut into blocks of `limit` rows on either side. Pairs that the texts' maps rule out are not named. A first
+    round names the nearest text of every other group alone, which joins most of what is linked; the second one
+    names all pairs between the groups that are left."""
     spark = docs.sparkSession
-    named = common.written(nodes.join(dense, "node").join(roots, "node", "left").select("node", "best.doc_id", "best.row", "fp", "size", F.coalesce("root", "node").alias("root")), "dense")
-    n = named.count()
-    sets = _sets(named.select("node"), n, docs, named.select("node", "doc_id", "row"), words, few)
+    named = common.written(nodes.join(dense, "node").select("node", "best.doc_id", "best.row", "fp", "size"), "dense")
+    sets = _sets(named.select("node"), named.count(), docs, named.select("node", "doc_id", "row"), words, few)
     counts = np.zeros(CELLS, np.int64)
     cell = F.col("s").bitwiseAND(F.lit(CELLS - 1))
     table = sets.select(F.explode("shingles").alias("s")).groupBy(cell.alias("c")).count().toArrow()  # a row a cell
     counts[table.column("c").to_numpy()] = table.column("count").to_numpy()
     shared = spark.sparkContext.broadcast(counts)
-    wide = common.written(named.select("node", "fp", "size", "root").join(sets.mapInArrow(_maps, "node bigint, map binary"), "node"), "maps")
-    keyed = sets.mapInArrow(lambda it: _prefixes(it, shared.value, similarity), "node bigint, key bigint").join(wide.select("node", "root"), "node")
-    keyed = common.written(keyed, "rare")
-    of_root = keyed.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "root")).alias("top"))
-    met = of_root.filter(F.col("n") > F.col("top.count")).select(
-        "key", F.col("top.root").alias("major"), F.ceil(F.col("n") / limit).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("top.count")) / limit).cast("int").alias("ask_blocks"))
-    rows = keyed.join(met, "key").join(wide.drop("root"), "node")
+    keyed = common.written(sets.mapInArrow(lambda it: _prefixes(it, shared.value, similarity), "node bigint, key bigint"), "rare")
+    maps = common.written(named.select("node", "fp", "size").join(sets.mapInArrow(_maps, "node bigint, map binary"), "node"), "maps")
     block = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    asking = rows.filter(F.col("root") != F.col("major")).withColumn("i", block("ask_blocks")).withColumn("j", each("all_blocks")).withColumn("side", F.lit(0).cast("long"))
-    asked = rows.withColumn("j", block("all_blocks")).withColumn("i", each("ask_blocks")).withColumn("side", F.lit(1).cast("long"))
-    both = asking.unionByName(asked).select(F.xxhash64("key", "i", "j").alias("g"), "side", "node", "fp", "size", "root", "map")
-    pairs = both.repartition(common.partitions(spark), "g").sortWithinPartitions("g", "side").mapInArrow(lambda it: _asked(it, distance, similarity), "a bigint, b bigint")
-    pairs = common.written(pairs.distinct(), "pairs-across")
-    return _alike(pairs, pairs.count(), sets, similarity, few)
+    for nearest in (True, False):
+        wide = common.written(maps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "maps-of-roots")
+        known = keyed.join(wide.select("node", "root"), "node")
+        of_root = known.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "root")).alias("top"))
+        met = of_root.filter(F.col("n") > F.col("top.count")).select(
+            "key", F.col("top.root").alias("major"), F.ceil(F.col("n") / limit).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("top.count")) / limit).cast("int").alias("ask_blocks"))
+        rows = keyed.join(common.written(met, "met"), "key").join(wide, "node")
+        asking = rows.filter(F.col("root") != F.col("major")).withColumn("i", block("ask_blocks")).withColumn("j", each("all_blocks")).withColumn("side", F.lit(0).cast("long"))
+        asked = rows.withColumn("j", block("all_blocks")).withColumn("i", each("ask_blocks")).withColumn("side", F.lit(1).cast("long"))
+        both = asking.unionByName(asked).select(F.xxhash64("key", "i", "j").alias("g"), "side", "node", "fp", "size", "root", "map")
+        found = both.repartition(common.partitions(spark), "g").sortWithinPartitions("g", "side").mapInArrow(lambda it, own=nearest: _asked(it, distance, similarity, own), "a bigint, b bigint")
+        pairs = common.written(found.distinct(), "pairs-across")
+        links = common.written(_alike(pairs, pairs.count(), sets, similarity, few), "near-across")
+        if not links.isEmpty():
+            roots = connected(links.unionByName(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return roots
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 11, shingle: int = 2, limit: int = 2048, few: int = FEW) -> DataFrame:
@@ -615,7 +627,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, distan
     sure = common.written(_verified(pairs.filter("a <> b"), docs, nodes.select("node", "best.doc_id", "best.row"), similarity, words, few), "near")
     roots, dense = connected(sure), pairs.filter("a = b").select(F.col("a").alias("node"))
     if not dense.isEmpty():
-        roots = connected(common.written(sure.unionByName(_across(dense, docs, nodes, roots, similarity, words, distance, limit, few)), "near-all"))
+        roots = _across(dense, docs, nodes, roots, similarity, words, distance, limit, few)
     rooted = common.written(nodes.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     first = rooted.groupBy("root").agg(F.min("best").alias("first"))
     mine = rooted.join(first, "root").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"))

@@ -250,3 +250,14 @@ class BufferPool:
             del self.open[index]
             self.generation[index] = f[6] + 1
         return done, evicted
+
+    def expire(self, now: int) -> list[tuple[int, str]]:
+        """Frames that are idle or old at a time at which no packet came: (index, reason)."""
+        gone = [(i, "stalled" if now - o[4] > self.stall else "old") for i, o in self.open.items() if now - o[4] > self.stall or now - o[3] > self.hard]
+        for i, _ in gone:
+            del self.open[i]
+        return gone
+
+    def due(self) -> int | None:
+        """The first time at which expire() finds one of the open frames."""
+        return min((min(o[4] + self.stall, o[3] + self.hard) + 1 for o in self.open.values()), default=None)

@@ -253,8 +253,8 @@ register("circular_range_slice", "request_id BIGINT, tile_index BIGINT, src_from
 register("tile_pixel_span", f"{_FRAME}, start_x BIGINT, end_x BIGINT, right_w BIGINT, left_w BIGINT", lambda v: frames.tile_pixel_span(v("frames"), 2000, 63000),
     "SELECT device_id, channel, frame_no, s AS start_x, s + 2000 AS end_x, least(2000, 63000 - s) AS right_w, 2000 - least(2000, 63000 - s) AS left_w FROM (SELECT *, tile_index * 2000 % 63000 AS s FROM frames)")
 _snaps = lambda v: v("frames").select((F.col("device_id") * 1000 + F.floor(F.col("frame_no") / 32)).alias("request_id"), "channel", "ts", "frame_no")
-register("snapshot_pair", "request_id BIGINT, rgb_frame BIGINT, bw_frame BIGINT", lambda v: frames.snapshot_pair(_snaps(v)),
-    "SELECT * FROM (SELECT device_id * 1000 + frame_no // 32 AS request_id, min(frame_no) FILTER (channel = 'RGB') AS rgb_frame, min(frame_no) FILTER (channel = 'BW') AS bw_frame FROM frames GROUP BY 1) WHERE rgb_frame IS NOT NULL AND bw_frame IS NOT NULL")
+_PAIRS = "SELECT * FROM (SELECT device_id * 1000 + frame_no // 32 AS request_id, min(frame_no) FILTER (channel = 'RGB') AS rgb_frame, min(frame_no) FILTER (channel = 'BW') AS bw_frame FROM frames GROUP BY 1) WHERE rgb_frame IS NOT NULL AND bw_frame IS NOT NULL"
+register("snapshot_pair", "request_id BIGINT, rgb_frame BIGINT, bw_frame BIGINT", lambda v: frames.snapshot_pair(_snaps(v)), _PAIRS)
 register("snapshot_size", "cmd_id BIGINT, need_bytes BIGINT, ok BOOLEAN",
     lambda v: frames.snapshot_size(v("commands").select("cmd_id", (F.col("cmd_id") % 65536).alias("w"), F.lit(4096).alias("h"), F.when(F.col("cmd_id") % 5 > 0, F.lit(200_000_000).cast("long")).alias("free_bytes"))),
     "SELECT cmd_id, need_bytes, cmd_id % 5 = 0 OR need_bytes <= 200000000 AS ok FROM (SELECT cmd_id, 54 + 3 * (cmd_id % 65536) * 4096 + 1078 + (cmd_id % 65536) * 4096 + 67108864 AS need_bytes FROM commands)")

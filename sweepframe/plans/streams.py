@@ -11,38 +11,48 @@ from pyspark.sql import functions as F
 
 from ..functions import messages
 from ..operators import laps
-from ..sinks import tile_snapshot_sink
+from ..operators.sliced import slice_of
+from ..sinks import mosaic_table, tile_snapshot_sink
 from ..streaming import processors as sp
-from .catalog import _DETECTIONS, _EPOCH, _EPOCHS, _FRAME, _LAP_SQL, _PATH_SQL, _THROTTLE, _timed, pool_packets, register
+from .catalog import _DETECTIONS, _MATCH, _PAIRS, _snaps, _EPOCH, _EPOCHS, _FRAME, _LAP_SQL, _PATH_SQL, _THROTTLE, _timed, pool_packets, register
 from .fixtures import Views, shared_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_stream(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """operator over rows as a stream, until all is read; the result table.
+def run_streams(inputs: list[tuple[DataFrame, str]], operator: Callable[..., DataFrame], mode: str = "append", cuts: int = 3) -> DataFrame:
+    """operator over (rows, order) pairs as streams, until all is read; the result table.
 
-    append: every batch's rows. complete: the last batch's. update: every batch's, with its number in `batch`."""
-    spark = rows.sparkSession
+    Every input is cut into `cuts` parts of its order, and the query is started anew for each part from its checkpoint,
+    so the parts come in order and all state passes through the checkpoint.
+    append: every batch's rows. update: every batch's, with its number in `batch`."""
+    spark = inputs[0][0].sparkSession
     at = shared_path(spark, "stream")
-    rows.write.parquet(f"{at}/in")
+    dealt = [rows.withColumn("__part", slice_of(rows, order, cuts)) for rows, order in inputs]
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting, None)
     spark.conf.set(setting, ROCKS)  # for this run; the stream keeps what it started with
-    out = operator(spark.readStream.schema(rows.schema).parquet(f"{at}/in"))
 
     def keep(batch: DataFrame, number: int) -> None:
         if mode == "update":
             batch = batch.withColumn("batch", F.lit(number))
-        batch.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/n={number}")  # a batch that is run again replaces itself
+        batch.write.mode("overwrite").parquet(f"{at}/out/n={number}")  # a batch that is run again replaces itself
 
     try:
-        out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        for part in range(cuts):
+            for i, rows in enumerate(dealt):
+                rows.filter(F.col("__part") == part).drop("__part").write.mode("append").parquet(f"{at}/in{i}")
+            out = operator(*[spark.readStream.schema(rows.schema).parquet(f"{at}/in{i}") for i, (rows, _) in enumerate(inputs)])
+            out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(setting, before) if before else spark.conf.unset(setting)
     return spark.read.parquet(f"{at}/out")
 
 
+def run_stream(rows: DataFrame, order: str, operator: Callable[[DataFrame], DataFrame], mode: str = "append", cuts: int = 3) -> DataFrame:
+    return run_streams([(rows, order)], operator, mode, cuts)
+
+
 _us = lambda c: F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col(c))
 
 
@@ -52,12 +62,12 @@ def _lap_events(v: Views) -> DataFrame:
     return a.unionByName(m)
 
 
-register("lap_stream", "device_id BIGINT, epoch BIGINT, us BIGINT, lap_seconds DOUBLE", lambda v: run_stream(_lap_events(v), lambda s: sp.lap_stream(s, laps.JUMP)),
+register("lap_stream", "device_id BIGINT, epoch BIGINT, us BIGINT, lap_seconds DOUBLE", lambda v: run_stream(_lap_events(v), "us", lambda s: sp.lap_stream(s, laps.JUMP)),
     f"SELECT device_id, epoch, epoch_us(ts) AS us, lap_seconds FROM ({_LAP_SQL})")
-register("mosaic_stream", "device_id BIGINT, channel VARCHAR, tile_index BIGINT, frame_no BIGINT", lambda v: run_stream(v("frames"), sp.mosaic_stream, "complete"),
+register("mosaic_stream", "device_id BIGINT, channel VARCHAR, tile_index BIGINT, frame_no BIGINT", lambda v: mosaic_table(run_stream(v("frames"), "ts", sp.mosaic_stream, "update")).select("device_id", "channel", "tile_index", "frame_no"),
     "SELECT device_id, channel, CASE channel WHEN 'BW' THEN (tile_index + 16) % 32 ELSE tile_index END AS tile_index, max(frame_no) AS frame_no FROM frames GROUP BY ALL")
 register("coverage_stream", "device_id BIGINT, channel VARCHAR, tiles BIGINT, is_full BOOLEAN",
-    lambda v: run_stream(v("frames").select("device_id", "channel", F.col("frame_no").alias("seq"), "tile_index", F.lit(32).alias("segments"), F.lit(False).alias("clear")), sp.coverage_stream, "update")
+    lambda v: run_stream(v("frames").select("device_id", "channel", F.col("frame_no").alias("seq"), "tile_index", F.lit(32).alias("segments"), F.lit(False).alias("clear")), "seq", sp.coverage_stream, "update")
         .groupBy("device_id", "channel").agg(F.max_by("tiles", "batch").alias("tiles"), F.max_by("full", "batch").alias("is_full")),
     "SELECT device_id, channel, count(DISTINCT tile_index) AS tiles, count(DISTINCT tile_index) = 32 AS is_full FROM frames GROUP BY ALL")
 
@@ -70,24 +80,44 @@ def _received(v: Views) -> DataFrame:
 
 
 register("rx_stats_stream", "device_id BIGINT, win_start BIGINT, packets BIGINT, ok BIGINT, drop BIGINT, fail BIGINT, last_type VARCHAR, last_path VARCHAR",
-    lambda v: run_stream(_received(v), sp.rx_stats_stream),
+    lambda v: run_stream(_received(v), "rx_ts", sp.rx_stats_stream),
     f"""SELECT device_id, win_start, count(*) AS packets, count(*) FILTER (arrival_seq % 7 > 1) AS ok, count(*) FILTER (arrival_seq % 7 = 0) AS drop, count(*) FILTER (arrival_seq % 7 = 1) AS fail,
               arg_max(type, arrival_seq) AS last_type, arg_max(path, arrival_seq) AS last_path
        FROM (SELECT m.device_id, m.arrival_seq, epoch_us(m.rx_ts) // 3000000 * 3 AS win_start, o.type, o.path FROM path_msgs m LEFT JOIN ({_PATH_SQL}) o ON m.arrival_seq = o.arrival_seq)
        WHERE (win_start + 3) * 1000000 <= (SELECT epoch_us(max(rx_ts)) // 1000 * 1000 - 10000000 FROM path_msgs) GROUP BY ALL""")
 register("reassembly_stream", "device_id BIGINT, channel VARCHAR, image_index BIGINT, generation BIGINT, epoch BIGINT, packets BIGINT, bytes BIGINT, reason VARCHAR",
-    lambda v: run_stream(pool_packets(v), sp.reassembly_stream))
+    lambda v: run_stream(pool_packets(v), "arrival_seq", sp.reassembly_stream))
 register("detection_stream", "device_id BIGINT, channel VARCHAR, lap_id BIGINT, target BIGINT, frame_no BIGINT",
-    lambda v: run_stream(_timed(v).select(F.col("device_id").cast("long").alias("device_id"), "channel", "ms", "frame_no", "angle_deg"), lambda s: sp.detection_stream(s, [45, 135, 240, 315], 60_000, 120_000)), _DETECTIONS)
-register("throttle_stream", _FRAME, lambda v: run_stream(_timed(v).select("device_id", "channel", "frame_no", "ms"), lambda s: sp.throttle_stream(s, ["device_id", "channel"], "ms", 3_600_000, ["ms", "frame_no"])), _THROTTLE)
-register("counter_epoch_stream", _EPOCH, lambda v: run_stream(v("frame_index_stream").select("device_id", "seq", "image_index"), sp.counter_epoch_stream), _EPOCHS)
+    lambda v: run_stream(_timed(v).select(F.col("device_id").cast("long").alias("device_id"), "channel", "ms", "frame_no", "angle_deg"), "ms", lambda s: sp.detection_stream(s, [45, 135, 240, 315], 60_000, 120_000)), _DETECTIONS)
+register("throttle_stream", _FRAME, lambda v: run_stream(_timed(v).select("device_id", "channel", "frame_no", "ms"), "ms", lambda s: sp.throttle_stream(s, ["device_id", "channel"], "ms", 3_600_000, ["ms", "frame_no"])), _THROTTLE)
+register("counter_epoch_stream", _EPOCH, lambda v: run_stream(v("frame_index_stream").select("device_id", "seq", "image_index"), "seq", sp.counter_epoch_stream), _EPOCHS)
+
+
+register("snapshot_pair_stream", "request_id BIGINT, rgb_frame BIGINT, bw_frame BIGINT", lambda v: run_stream(_snaps(v), "ts", lambda s: sp.snapshot_pair_stream(s, keep_ms=400 * 86_400_000)), _PAIRS)
+
+
+def _closed(rows: DataFrame) -> DataFrame:
+    """rows and, a day behind the last of them, one of device -1 that lets the watermark pass all the others.
+
+    It has no nulls: a join's conditions would drop it before the watermark sees it."""
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).filter("ts is not null")
+    return rows.unionByName(end.select(*["ts" if c == "ts" else F.lit("-1").cast(rows.schema[c].dataType).alias(c) for c in rows.columns]))
+
+
+def _matched(v: Views) -> DataFrame:
+    out = run_streams([(_closed(v("commands")), "ts"), (_closed(v("replies").select("device_id", "ts", "reply")), "ts")], sp.command_reply_stream)
+    return out.filter("device_id <> -1").select("cmd_id", "device_id", "cmd", F.col("reply_ts").cast("timestamp_ntz").alias("reply_ts"), "latency_s")
+
+
+register("command_reply_stream", "cmd_id BIGINT, device_id BIGINT, cmd VARCHAR, reply_ts MS, latency_s DOUBLE", _matched, _MATCH)
 
 
 def _snapshot(v: Views) -> DataFrame:
     from ..operators.frames import mosaic_latest
 
     path = shared_path(v.spark, "snapshot")
-    tile_snapshot_sink(mosaic_latest(v("frames")).drop("ts"), path, "2026-03-15 10:00:00")
+    for _ in range(2):  # the second takes the first one's place
+        tile_snapshot_sink(mosaic_latest(v("frames")).drop("ts"), path, "2026-03-15 10:00:00")
     return v.spark.read.parquet(path)
 
 

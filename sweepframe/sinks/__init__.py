@@ -25,6 +25,30 @@ def capture_log_sink(msgs: DataFrame, path: str, checkpoint: str | None = None)
 
 
 def tile_snapshot_sink(mosaic: DataFrame, path: str, ts: str) -> None:
-    """Write a mosaic's tiles under snapshot_ts=yyyy_MM_dd_HH_mm_ss / channel, one file set per channel."""
+    """Write a mosaic's tiles under snapshot_ts=yyyy_MM_dd_HH_mm_ss / channel, one file set per channel.
+
+    A snapshot that is written again takes its own place; other snapshots stay."""
     name = F.date_format(F.lit(ts).cast("timestamp"), "yyyy_MM_dd_HH_mm_ss")
-    mosaic.withColumn("snapshot_ts", name).repartition("channel", "tile_index").write.mode("append").partitionBy("snapshot_ts", "channel").parquet(path)
+    dealt = mosaic.withColumn("snapshot_ts", name).repartition("channel", "tile_index")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_ts", "channel").parquet(path)
+
+
+TILE = ("device_id", "channel", "tile_index")
+
+
+def mosaic_sink(frames: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the latest frame of each tile of a stream of mosaic rows (update mode) up to date under path.
+
+    A micro-batch writes the tiles that it changed to a folder of its own number, so one that is run twice replaces
+    itself, and no batch rewrites the mosaic. Read it with mosaic_table()."""
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return frames.writeStream.foreachBatch(upsert).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def mosaic_table(rows: DataFrame) -> DataFrame:
+    """The mosaic that the rows of mosaic_sink's path amount to: of each tile what its last batch wrote."""
+    values = [c for c in rows.columns if c not in (*TILE, "batch")]
+    return rows.groupBy(*TILE).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*TILE, "v.*")

@@ -170,17 +170,20 @@ def _pool_rows(pool: BufferPool, key: tuple, r: Any, text: bool) -> list[tuple]:
 
 
 class ReassemblyProcessor(StatefulProcessor):
-    """Open frames of a device's channel in a map state, with counter epochs, the sequence watermark, stalls and sweeps."""
+    """Open frames of a device's channel in a map state, with counter epochs, the sequence watermark, stalls and sweeps.
 
-    def __init__(self, keys: tuple[str, ...], payload: str, options: dict[str, int]):
-        self.keys, self.payload, self.options = keys, payload, options
+    timers: a frame that is idle or old when the watermark passes its limit goes even if its channel has fallen silent."""
+
+    def __init__(self, keys: tuple[str, ...], payload: str, options: dict[str, int], timers: bool = False):
+        self.keys, self.payload, self.options, self.timers = keys, payload, options, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.counters = handle.getValueState("counters", "top bigint, epoch bigint, seen bigint")
         self.open = handle.getMapState("open", "image_index bigint", f"total bigint, bytes bigint, created bigint, updated bigint, swept bigint, generation bigint, parts array<{self.payload}>")
         self.generations = handle.getMapState("generations", "image_index bigint", "generation bigint")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
+    def _pool(self) -> BufferPool:
         pool, text = BufferPool(**self.options), self.payload == "string"
         if self.counters.exists():
             pool.top, pool.epoch, pool.seen = self.counters.get()
@@ -189,6 +192,16 @@ class ReassemblyProcessor(StatefulProcessor):
             pool.open[i] = [v[0], v[1], parts, v[2], v[3], v[4], v[5]]
         for (i,), v in self.generations.iterator():
             pool.generation[i] = v[0]
+        return pool
+
+    def _set_timer(self, pool: BufferPool) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if (due := pool.due()) is not None:
+            self.handle.registerTimer(due)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
+        pool, text = self._pool(), self.payload == "string"
         before, known = set(pool.open), dict(pool.generation)
         out = []
         for r in pd.concat(list(rows)).sort_values("arrival_seq", kind="stable").itertuples():
@@ -204,8 +217,19 @@ class ReassemblyProcessor(StatefulProcessor):
         for i, g in pool.generation.items():
             if known.get(i) != g:
                 self.generations.updateValue((i,), (g,))
+        if self.timers:
+            self._set_timer(pool)
         yield pd.DataFrame(out, columns=[*self.keys, *_FRAME])
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        pool = self._pool()
+        gone = pool.expire(int(expiredTimerInfo.getExpiryTimeInMs()))
+        for i, _ in gone:
+            self.open.removeKey((i,))
+        if (due := pool.due()) is not None:
+            self.handle.registerTimer(due)
+        yield pd.DataFrame([(*key, i, None, pool.epoch, None, None, None, why) for i, why in gone], columns=[*self.keys, *_FRAME])
+
     def close(self) -> None:
         pass
 
@@ -215,13 +239,76 @@ def whole_packets(packets: DataFrame) -> DataFrame:
     return packets.filter("image_index is not null and total_size is not null and rx_ms is not null")
 
 
-def reassembly_stream(packets: DataFrame, keys: tuple[str, ...] = KEYS, **options: int) -> DataFrame:
+def reassembly_stream(packets: DataFrame, keys: tuple[str, ...] = KEYS, late: str | None = None, **options: int) -> DataFrame:
     """Complete frames (reason null) and evictions (with a reason) of packets(keys, arrival_seq, rx_ms, ..), payloads BINARY or STRING.
 
-    Null keys are keys, a null payload has no bytes; see whole_packets() for what is rejected."""
+    Null keys are keys, a null payload has no bytes; see whole_packets() for what is rejected. late: how far rx_ms may lie
+    behind the largest one; with it a frame also goes when the largest, less `late`, passes its stall or age limit
+    while its channel is silent; packets that come behind that are dropped."""
     packets = whole_packets(packets)
-    processor = ReassemblyProcessor(keys, packets.schema["payload"].dataType.simpleString(), options)
-    return packets.groupBy(*keys).transformWithStateInPandas(processor, _frame_schema(packets, keys), "Append", "None")
+    processor = ReassemblyProcessor(keys, packets.schema["payload"].dataType.simpleString(), options, late is not None)
+    schema = _frame_schema(packets, keys)
+    if late is None:
+        return packets.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None")
+    timed = packets.withColumn("__at", F.timestamp_millis("rx_ms")).withWatermark("__at", late)
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+class PairProcessor(StatefulProcessor):
+    """The first frame of each channel of a request; kept until `keep_ms` after its first snapshot, whether paired or not."""
+
+    def __init__(self, keep_ms: int):
+        self.keep = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "rgb bigint, bw bigint, done boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
+        pdf, had = pd.concat(list(rows)).sort_values(["ts", "frame_no"], kind="stable"), self.state.exists()
+        rgb, bw, done = self.state.get() if had else (None, None, False)
+        for channel, frame in zip(pdf["channel"].tolist(), pdf["frame_no"].tolist()):
+            if channel == "RGB" and rgb is None:
+                rgb = int(frame)
+            elif channel == "BW" and bw is None:
+                bw = int(frame)
+        whole = rgb is not None and bw is not None
+        self.state.update((rgb, bw, whole))
+        if not had:
+            self.handle.registerTimer(int(pdf["ts"].iloc[0].timestamp() * 1000) + self.keep)
+        yield pd.DataFrame([(key[0], rgb, bw)] if whole and not done else [], columns=["request_id", "rgb_frame", "bw_frame"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame([], columns=["request_id", "rgb_frame", "bw_frame"])
+
+    def close(self) -> None:
+        pass
+
+
+def snapshot_pair_stream(snapshots: DataFrame, late: str = "10 seconds", keep_ms: int = 60_000) -> DataFrame:
+    """The streaming twin of frames.snapshot_pair: a request's pair in the batch that completes it, once.
+
+    snapshots(request_id, channel, ts, frame_no). A request is remembered until the watermark (the largest ts less
+    `late`) is keep_ms behind its first snapshot; times without zone are cast. Rows without ts or frame are left out."""
+    kind = snapshots.schema["request_id"].dataType.simpleString()
+    timed = snapshots.filter("ts is not null and frame_no is not null").select("request_id", "channel", F.col("ts").cast("timestamp").alias("ts"), F.col("frame_no").cast("long").alias("frame_no")).withWatermark("ts", late)
+    return timed.groupBy("request_id").transformWithStateInPandas(PairProcessor(keep_ms), f"request_id {kind}, rgb_frame bigint, bw_frame bigint", "Append", "EventTime")
+
+
+def command_reply_stream(commands: DataFrame, replies: DataFrame, limit_s: int = 5, late: str = "10 seconds") -> DataFrame:
+    """The streaming twin of messages.command_reply_match: cmd_id, device_id, cmd, ts, reply_ts, latency_s.
+
+    An outer stream join bounded in time, then the first reply of each command. A command comes out, answered or not,
+    when the watermarks of both streams have passed its limit; state behind that is dropped. Times are cast to TIMESTAMP."""
+    from ..functions import messages as m
+
+    asked = commands.select("cmd_id", "device_id", "cmd", F.col("ts").cast("timestamp").alias("ts"), m.command_text(F.col("cmd")).alias("__cmd")).withWatermark("ts", late)
+    answers = replies.select(F.col("device_id").alias("__device"), m.reply_command(F.col("reply")).alias("__said"), F.col("ts").cast("timestamp").alias("reply_ts")).withWatermark("reply_ts", late)
+    near = F.col("reply_ts").between(F.col("ts"), F.col("ts") + F.expr(f"INTERVAL {limit_s} SECONDS"))
+    pairs = asked.join(answers, (F.col("device_id") == F.col("__device")) & (F.col("__cmd") == F.col("__said")) & near, "leftOuter")
+    first = pairs.groupBy("cmd_id", "device_id", "cmd", "ts").agg(F.min("reply_ts").alias("reply_ts"))
+    return first.withColumn("latency_s", (F.unix_micros("reply_ts") - F.unix_micros("ts")) / F.lit(1e6))
 
 
 def reassembly_batch(packets: DataFrame, keys: tuple[str, ...] = KEYS, **options: int) -> DataFrame:

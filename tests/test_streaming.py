@@ -100,3 +100,44 @@ def test_resync(spark, tmp_path):
     got = streamed(spark, chunks, "chunk_seq", sp.resync_stream, tmp_path, 3, "resync")
     want = packets.turntable_resync(chunks.withColumn("rx_ts", F.lit(0))).select("device_id", "chunk_seq", "nth", "cmd2", "angle_deg")
     assert want.count() == len(range(0, 36000, 700)) and same(got, want)
+
+
+def test_a_silent_channel_evicts_its_frames(spark, tmp_path):
+    """Frame 1 of channel A is never whole and nothing more comes on A; B's packets move the clock."""
+    rows = [(1, "A", 1, 5000, 1, 100, "x"), (1, "A", 2, 5010, 2, 1, "y")] + [(1, "B", 3 + i, 5000 + 400 * i, i, 1, "z") for i in range(1, 12)]
+    df = spark.createDataFrame(rows, "device_id bigint, channel string, arrival_seq bigint, rx_ms bigint, image_index bigint, total_size bigint, payload string")
+    got = streamed(spark, df, "arrival_seq", lambda s: sp.reassembly_stream(s, late="0 seconds"), tmp_path, 4, "silent").collect()
+    assert [(r.channel, r.image_index, r.reason) for r in got if r.reason] == [("A", 1, "stalled")]
+    assert sum(r.reason is None for r in got) == 12
+    kept = streamed(spark, df, "arrival_seq", lambda s: sp.reassembly_stream(s, late="1 hour"), tmp_path, 4, "patient").collect()
+    assert all(r.reason is None for r in kept) and len(kept) == 12
+
+
+def test_snapshot_pairs(spark, v, tmp_path):
+    rows = v("frames").select((F.col("device_id") * 1000 + F.floor(F.col("frame_no") / 8)).alias("request_id"), "channel", "ts", "frame_no")
+    got = streamed(spark, rows, "ts", lambda s: sp.snapshot_pair_stream(s, keep_ms=400 * 86_400_000), tmp_path, 3, "pairs")
+    assert frames.snapshot_pair(rows).count() > 0 and same(got, frames.snapshot_pair(rows))
+
+
+def test_a_request_is_forgotten_behind_the_watermark(spark, tmp_path):
+    at = "timestamp_seconds"
+    rows = spark.createDataFrame([(1, "RGB", 0, 10), (2, "RGB", 1, 11), (2, "BW", 2, 12), (3, "RGB", 500, 13), (1, "BW", 501, 14), (3, "BW", 502, 15), (3, "BW", 503, 16)], "request_id bigint, channel string, s bigint, frame_no bigint")
+    rows = rows.select("request_id", "channel", F.expr(f"{at}(s)").alias("ts"), "frame_no")
+    got = streamed(spark, rows, "ts", lambda s: sp.snapshot_pair_stream(s, "0 seconds", 60_000), tmp_path, 7, "forgotten").collect()
+    assert sorted(tuple(r) for r in got) == [(2, 11, 12), (3, 13, 15)]  # request 1's first half was dropped
+
+
+def test_a_batch_or_snapshot_that_is_written_twice_counts_once(spark, v, tmp_path):
+    from sweepframe.sinks import mosaic_sink, mosaic_table, tile_snapshot_sink
+
+    mosaic = frames.mosaic_latest(v("frames")).drop("ts")
+    for _ in range(2):
+        for ts in ("2026-03-15 10:00:00", "2026-03-15 11:00:00"):
+            tile_snapshot_sink(mosaic, str(tmp_path / "shots"), ts)
+    assert spark.read.parquet(str(tmp_path / "shots")).count() == 2 * mosaic.count()
+    v("frames").write.parquet(str(tmp_path / "landed"))
+    stream = lambda: sp.mosaic_stream(spark.readStream.schema(v("frames").schema).parquet(str(tmp_path / "landed")))
+    for checkpoint in ("c1", "c2"):  # from the start again: batch 0 replaces batch 0
+        mosaic_sink(stream(), str(tmp_path / "mosaic"), str(tmp_path / checkpoint)).awaitTermination()
+    got = mosaic_table(spark.read.parquet(str(tmp_path / "mosaic"))).select("device_id", "channel", "tile_index", "frame_no")
+    assert same(got, mosaic.select("device_id", "channel", "tile_index", "frame_no"))

@@ -81,16 +81,18 @@ def roi_lookup(frames: DataFrame, requests: DataFrame, segments: int = SEGMENTS)
 def circular_range_slice(requests: DataFrame, ring: int = PANORAMA_WIDTH, slice_w: int = SLICE_WIDTH) -> DataFrame:
     """Tiles under [start, start + width) of a ring, for requests(request_id, start, width).
 
-    Rows: tile_index, src_from, src_to within the tile, and dst_from in the output. A request is cut at
-    tile borders by arithmetic, with no join."""
+    Rows: tile_index, src_from, src_to within the tile, and dst_from in the output. A request is cut at the ring's
+    end and then at tile borders by arithmetic, with no join; a width beyond the ring goes round again. Where
+    the ring is no multiple of slice_w, its last tile is the narrower rest. Requests of null or no width give no rows."""
     start = F.pmod(F.col("start"), F.lit(ring)).cast("long")
-    n = F.expr(f"cast((s + width - 1) div {slice_w} - s div {slice_w} as int)")
-    out = requests.withColumn("s", start).filter("width > 0").withColumn("k", F.explode(F.sequence(F.lit(0), n)))
-    first = F.expr(f"(s div {slice_w} + k) * {slice_w}")
-    lo, hi = F.greatest("s", first), F.least(F.col("s") + F.col("width"), first + slice_w)
-    return out.select(
-        "request_id", ((first / slice_w).cast("long") % (ring // slice_w)).alias("tile_index"),
-        (lo - first).alias("src_from"), (hi - first).alias("src_to"), (lo - F.col("s")).alias("dst_from"))
+    own = requests.select("request_id", start.alias("__s"), F.col("width").cast("long").alias("__w")).filter("__w > 0 and __s is not null")
+    turn = own.withColumn("__turn", F.explode(F.expr(f"sequence(0L, (__s + __w - 1) div {ring})")))
+    turn = turn.withColumn("__lo", F.greatest("__s", F.col("__turn") * ring)).withColumn("__hi", F.least(F.col("__s") + F.col("__w"), (F.col("__turn") + 1) * ring))
+    here = turn.withColumn("__from", F.col("__lo") - F.col("__turn") * ring).withColumn("__to", F.col("__hi") - F.col("__turn") * ring)
+    tile = here.withColumn("tile_index", F.explode(F.expr(f"sequence(__from div {slice_w}, (__to - 1) div {slice_w})")))
+    first = F.col("tile_index") * slice_w
+    lo, hi = F.greatest("__from", first), F.least("__to", first + slice_w)
+    return tile.select("request_id", "tile_index", (lo - first).alias("src_from"), (hi - first).alias("src_to"), (F.col("__turn") * ring + lo - F.col("__s")).alias("dst_from"))
 
 
 def snapshot_pair(snapshots: DataFrame) -> DataFrame:

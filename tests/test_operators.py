@@ -374,3 +374,18 @@ def test_clear_epochs(spark, conflict):
     f = spark.createDataFrame([(1, "RGB", 0, T0 + dt.timedelta(seconds=s)) for s in (0, 2, 4)], "device_id int, channel string, tile_index bigint, ts timestamp_ntz")
     c = spark.createDataFrame([(1, T0 + dt.timedelta(seconds=2 if conflict else 3))], "device_id int, ts timestamp_ntz")
     assert [r.epoch for r in frames.clear_epoch(f, c).orderBy("ts").collect()] == ([0, 1, 1] if conflict else [0, 0, 1])
+
+
+@pytest.mark.parametrize("ring,width", [(64, 16), (65, 16), (70, 20), (7, 9), (1, 1)])
+def test_circular_range_slice_of_any_ring(spark, ring, width):
+    """Every output pixel comes from the ring's pixel it stands for, whatever the tile width."""
+    asked = [(i, s, w) for i, (s, w) in enumerate((s, w) for s in (-3, 0, 1, ring - 1, ring, 5 * ring + 2, None) for w in (0, 1, 5, ring, 2 * ring + 3, None))]
+    got = frames.circular_range_slice(spark.createDataFrame(asked, "request_id int, start bigint, width bigint"), ring, width).collect()
+    out = {}
+    for r in got:
+        assert 0 <= r.src_from < r.src_to <= min(width, ring - r.tile_index * width)
+        for k in range(r.src_to - r.src_from):
+            at = (r.request_id, r.dst_from + k)
+            assert at not in out
+            out[at] = r.tile_index * width + r.src_from + k
+    assert out == {(i, k): (s + k) % ring for i, s, w in asked if s is not None for k in range(w or 0)}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import angles
+from .clearing import clear_epoch
 from .folds import throttle  # noqa: F401
 from .sliced import running
 
@@ -37,30 +38,46 @@ def lap_id(frames: DataFrame, keys: tuple[str, ...] = ("device_id", "channel"),
     return laps.withColumn("lap_id", F.coalesce("lap_id", F.lit(0))).drop("__prev")
 
 
-def detect_once_per_lap(frames: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """The first match of every (device, channel, lap, target)."""
-    found = target_detect(lap_id(frames), targets, tolerance)
-    return found.groupBy("device_id", "channel", "lap_id", "target").agg(
+def detect_once_per_lap(frames: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, clears: DataFrame | None = None) -> DataFrame:
+    """The first match of every (device, channel, lap, target).
+
+    With clears the column epoch counts a device's clear events, and each lets its targets be found anew within the lap."""
+    laps, keys = lap_id(frames), ["device_id", "channel", "lap_id", "target"]
+    if clears is not None:
+        laps, keys = clear_epoch(laps, clears), [*keys, "epoch"]
+    found = target_detect(laps, targets, tolerance)
+    return found.groupBy(*keys).agg(
         F.min("frame_no").alias("frame_no"), F.min_by("distance", "frame_no").alias("distance"), F.min_by("ts", "frame_no").alias("ts"))
 
 
-def zero_angle(frames: DataFrame, feedback: DataFrame, keys: tuple[str, ...] = ("device_id",)) -> DataFrame:
+def zero_angle(frames: DataFrame, feedback: DataFrame, keys: tuple[str, ...] = ("device_id",), clears: DataFrame | None = None) -> DataFrame:
     """The angle known at the device's first frame: first_ts, zero_deg (0.0 where no sample came before).
 
     The first time per key is aggregated first, so the join has one row per key on that side and the
-    answer is a max_by with a partial step; no as-of window over all samples is needed."""
+    answer is a max_by with a partial step; no as-of window over all samples is needed. With clears(keys, ts) there is
+    such a row per epoch, of its first frame; samples from before a clear stay known. Then the first times are put among
+    the samples, cut into slices of time."""
+    if clears is not None:
+        first = clear_epoch(frames, clears, keys).groupBy(*keys, "epoch").agg(F.min("ts").alias("ts")).filter("ts is not null")
+        known = feedback.select(*keys, "ts", F.col("seq").alias("__n"), F.struct("angle_deg").alias("__a"), F.lit(0).alias("__ask"))
+        both = known.unionByName(first.withColumn("__ask", F.lit(1)), allowMissingColumns=True)
+        got = running(both, list(keys), ["ts", "__ask", "__n"], {"__zero": ("last", F.col("__a"), False)})
+        return got.filter("__ask = 1").select(*keys, "epoch", F.col("ts").alias("first_ts"), F.coalesce("__zero.angle_deg", F.lit(0.0)).alias("zero_deg"))
     first = frames.groupBy(*keys).agg(F.min("ts").alias("first_ts"))
     known = feedback.join(first, list(keys)).filter(F.col("ts") <= F.col("first_ts"))
     last = known.groupBy(*keys).agg(F.max_by("angle_deg", F.struct("ts", "seq")).alias("zero"))
     return first.join(last, list(keys), "left").select(*keys, "first_ts", F.coalesce("zero", F.lit(0.0)).alias("zero_deg"))
 
 
-def detection_batch(frames: DataFrame, targets: DataFrame, frame_ms: int = 33, detect_ms: int = 120, tolerance: float = TOLERANCE) -> DataFrame:
+def detection_batch(frames: DataFrame, targets: DataFrame, frame_ms: int = 33, detect_ms: int = 120, tolerance: float = TOLERANCE, clears: DataFrame | None = None) -> DataFrame:
     """Detections in the live order: frames throttled, every detect_ms of those looked at, once per lap.
 
-    frames need ms, the time in milliseconds; laps are counted over the throttled frames."""
+    frames need ms, the time in milliseconds; laps are counted over the throttled frames. With clears(device_id, ms), once per lap
+    and epoch."""
     keys = ["device_id", "channel"]
     seen = lap_id(throttle(frames, keys, "ms", frame_ms, ["ms", "frame_no"]))
-    looked = throttle(seen, keys, "ms", detect_ms, ["ms", "frame_no"])
+    looked, once = throttle(seen, keys, "ms", detect_ms, ["ms", "frame_no"]), [*keys, "lap_id", "target"]
+    if clears is not None:
+        looked, once = clear_epoch(looked, clears, time="ms"), [*once, "epoch"]
     found = target_detect(looked, targets, tolerance)
-    return found.groupBy(*keys, "lap_id", "target").agg(F.min("frame_no").alias("frame_no"))
+    return found.groupBy(*once).agg(F.min("frame_no").alias("frame_no"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import angles
+from .clearing import clear_epoch, since_clear  # noqa: F401
 from .sliced import running
 
 SEGMENTS, SLICE_WIDTH, PANORAMA_WIDTH = angles.SEGMENTS, angles.SLICE_WIDTH, angles.PANORAMA_WIDTH
@@ -32,10 +33,13 @@ def segment_count(images: DataFrame, pano_w: int = PANORAMA_WIDTH, key: str = "s
     return images.groupBy(key).agg(F.min_by("width", order).alias("w")).select(key, F.greatest(F.lit(1), F.expr(f"cast({pano_w} div w as int)")).alias("segments"))
 
 
-def mosaic_latest(frames: DataFrame, segments: int = SEGMENTS, half_turn: bool = True) -> DataFrame:
-    """The latest frame on every tile of a (device, channel); grey tiles lie half a turn on.
+def mosaic_latest(frames: DataFrame, segments: int = SEGMENTS, half_turn: bool = True, clears: DataFrame | None = None) -> DataFrame:
+    """The latest frame on every tile of a (device, channel); grey tiles lie half a turn on. With clears, what came before
+    a device's last clear event is gone.
 
     One partial and one final aggregation: a hot device's rows are combined before the shuffle."""
+    if clears is not None:
+        frames = since_clear(frames, clears)
     tile = F.col("tile_index")
     if half_turn:
         tile = F.when(F.col("channel") == "BW", angles.half_turn_shift(tile, segments)).otherwise(tile)
@@ -58,24 +62,23 @@ def coverage_ready_edge(frames: DataFrame, segments: int = SEGMENTS, keys: tuple
     return out.select(*keys, F.when((F.col("r") >= segments) & (F.col("b") >= segments), F.col("t")).alias("ready_ts"))
 
 
-def clear_epoch(rows: DataFrame, clears: DataFrame, key: str = "device_id") -> DataFrame:
-    """rows(ts, ..) with epoch: how many clear events of the key came before or at the same time."""
-    marks = clears.select(F.col(key), F.col("ts"), F.lit(0).alias("__row"))
-    both = rows.withColumn("__row", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    counted = running(both, [key], ["ts", "__row"], {"epoch": ("sum", (1 - F.col("__row")).cast("long"), False)})
-    return counted.filter("__row = 1").drop("__row")
+def as_of(frames: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(device_id, channel, tile_index, ts, ..) with frame_no: the latest frame on that tile by then, null if none.
+
+    Frames and questions of a tile are one line in time, cut into slices (running), so a hot device or tile is many
+    tasks. Frames come before questions of the same time; a null device or channel is one."""
+    line = ["device_id", "channel", "tile_index"]
+    placed = frames.select("device_id", "channel", F.col("tile_index").cast("long").alias("tile_index"), "ts", F.col("frame_no").cast("long").alias("__f"), F.lit(0).alias("__ask"))
+    both = asked.withColumn("__ask", F.lit(1)).unionByName(placed, allowMissingColumns=True)
+    found = running(both, line, ["ts", "__ask", "__f"], {"frame_no": ("last", F.col("__f"), False)})
+    return found.filter("__ask = 1").drop("__ask", "__f")
 
 
 def roi_lookup(frames: DataFrame, requests: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """For each request(request_id, device_id, channel, tag, angle, ts) the latest frame on its tile by then.
-
-    Tile and time are one as-of union per (device, channel, tile), so a hot device spreads over its tiles."""
-    asked = requests.withColumn("tile_index", angles.angle_to_tile(F.col("angle"), segments).cast("long")).select(
-        "device_id", "channel", "tile_index", "ts", F.lit(None).cast("long").alias("frame_no"), F.lit(1).alias("__ask"), F.col("request_id"), F.col("tag"))
-    placed = frames.select("device_id", "channel", F.col("tile_index").cast("long"), "ts", F.col("frame_no").cast("long"), F.lit(0).alias("__ask"), F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), F.lit(None).cast(requests.schema["tag"].dataType).alias("tag"))
-    w = Window.partitionBy("device_id", "channel", "tile_index").orderBy("ts", "__ask", "frame_no").rowsBetween(Window.unboundedPreceding, 0)
-    found = placed.unionByName(asked).withColumn("frame_no", F.last("frame_no", ignorenulls=True).over(w))
-    return found.filter("__ask = 1").select("request_id", "tag", "device_id", "channel", "tile_index", "frame_no")
+    """For each request(request_id, device_id, channel, tag, angle, ts) the latest frame on its tile by then (as_of)."""
+    asked = requests.withColumn("tile_index", angles.angle_to_tile(F.col("angle"), segments).cast("long"))
+    found = as_of(frames, asked.select("request_id", "tag", "device_id", "channel", "tile_index", "ts"))
+    return found.select("request_id", "tag", "device_id", "channel", "tile_index", "frame_no")
 
 
 def circular_range_slice(requests: DataFrame, ring: int = PANORAMA_WIDTH, slice_w: int = SLICE_WIDTH) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import messages as m
+from .clearing import since_clear
 from .sliced import running
 
 
@@ -183,8 +184,12 @@ def device_state(commands: DataFrame) -> DataFrame:
 # -- logs -------------------------------------------------------------------------------------
 
 
-def log_tail(events: DataFrame, keep: int = 1200) -> DataFrame:
-    """The last `keep` entries of each device with rn, 1 for the latest (Spark limits ranks before the shuffle)."""
+def log_tail(events: DataFrame, keep: int = 1200, clears: DataFrame | None = None) -> DataFrame:
+    """The last `keep` entries of each device with rn, 1 for the latest (Spark limits ranks before the shuffle).
+
+    With clears, only entries since the device's last clear event."""
+    if clears is not None:
+        events = since_clear(events, clears)
     w = Window.partitionBy("device_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return events.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import angles, messages, wire
-from ..operators import detect, frames, laps, packets, rasters, rechunk
+from ..operators import detect, frames, laps, packets, pixels, rasters, rechunk
 from ..operators import messages as msg
 from ..sinks import capture_log_sink
 from ..sources.captures import capture_log_scan, packet_scan, parse_capture_log
@@ -417,3 +417,51 @@ _DETECTIONS = """WITH RECURSIVE f AS (SELECT device_id, channel, frame_no, angle
          UNION ALL SELECT l.device_id, l.channel, l.frame_no, l.angle_deg, l.lap_id, l.m, CASE WHEN l.ms - b.last >= 120000 THEN l.ms ELSE b.last END, l.ms - b.last >= 120000 FROM b JOIN l ON l.device_id = b.device_id AND l.channel = b.channel AND l.m = b.m + 1)
        SELECT device_id, channel, lap_id, t.angle AS target, min(frame_no) AS frame_no FROM b JOIN targets t ON least(abs(angle_deg - t.angle), 360 - abs(angle_deg - t.angle)) < 2 WHERE looked GROUP BY ALL"""
 register("detection_batch", "device_id BIGINT, channel VARCHAR, lap_id BIGINT, target BIGINT, frame_no BIGINT", lambda v: detect.detection_batch(_timed(v), v("targets"), 60_000, 120_000), _DETECTIONS)
+
+# -- clear events -----------------------------------------------------------------------------
+
+_CLEARS = "SELECT device_id, ts FROM commands WHERE cmd = 'TG_CLOSE_DEVICE;' AND cmd_id % 20 = 0"
+_EPOCH_OF = f"(SELECT count(*) FROM ({_CLEARS}) c WHERE c.device_id = {{0}}.device_id AND c.ts <= {{0}}.ts)"
+_AFTER = f"NOT EXISTS (SELECT 1 FROM ({_CLEARS}) c WHERE c.device_id = {{0}}.device_id AND c.ts > {{0}}.ts)"
+register("zero_angle_cleared", "device_id BIGINT, epoch BIGINT, first_ts MS, zero_deg DOUBLE", lambda v: detect.zero_angle(v("frames"), v("angle_feedback"), clears=_clears(v)),
+    f"""SELECT device_id, epoch, first_ts, coalesce((SELECT arg_max(angle_deg, seq) FROM angle_feedback a WHERE a.device_id = f.device_id AND a.ts <= f.first_ts), 0) AS zero_deg
+       FROM (SELECT device_id, {_EPOCH_OF.format('g')} AS epoch, min(ts) AS first_ts FROM frames g GROUP BY ALL) f""")
+register("detect_once_per_lap_cleared", f"{_FRAME}, lap_id BIGINT, epoch BIGINT, target BIGINT, distance DOUBLE", lambda v: detect.detect_once_per_lap(v("frames"), v("targets"), clears=_clears(v)),
+    f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id, channel, lap_id, epoch, target ORDER BY frame_no) AS rn FROM (SELECT n.*, {_EPOCH_OF.format('n')} AS epoch FROM ({_NEAR.format(_LAPS, 2)}) n)) WHERE rn = 1")
+register("log_tail_cleared", "event_id BIGINT, device_id BIGINT, rn BIGINT", lambda v: msg.log_tail(v("log_events"), 100, _clears(v)),
+    f"SELECT * FROM (SELECT event_id, device_id, row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, event_id DESC) AS rn FROM log_events l WHERE {_AFTER.format('l')}) WHERE rn <= 100")
+_MOSAIC_CLEARED = f"""SELECT device_id, channel, CASE channel WHEN 'BW' THEN (tile_index + 16) % 32 ELSE tile_index END AS tile_index, max(frame_no) AS frame_no
+    FROM (SELECT * FROM frames f WHERE {_AFTER.format('f')}) GROUP BY ALL"""
+register("mosaic_cleared", "device_id BIGINT, channel VARCHAR, tile_index BIGINT, frame_no BIGINT", lambda v: frames.mosaic_latest(v("frames"), clears=_clears(v)), _MOSAIC_CLEARED)
+_DETECTIONS_CLEARED = _DETECTIONS.replace("SELECT device_id, channel, lap_id, t.angle", f"SELECT device_id, channel, lap_id, (SELECT count(*) FROM ({_CLEARS}) c WHERE c.device_id = b.device_id AND epoch_us(c.ts) // 1000 <= b.now) AS epoch, t.angle").replace(
+    "m, ms AS last, true AS looked FROM l", "m, ms AS last, true AS looked, ms AS now FROM l").replace("l.ms - b.last >= 120000 FROM b", "l.ms - b.last >= 120000, l.ms FROM b")
+_DETECTED = "device_id BIGINT, channel VARCHAR, lap_id BIGINT, epoch BIGINT, target BIGINT, frame_no BIGINT"
+_clears_ms = lambda v: _clears(v).select("device_id", _ms("ts").alias("ms"))
+register("detection_batch_cleared", _DETECTED, lambda v: detect.detection_batch(_timed(v), v("targets"), 60_000, 120_000, clears=_clears_ms(v)), _DETECTIONS_CLEARED)
+
+# -- pixels -----------------------------------------------------------------------------------
+
+_raster = lambda v, name: v(name).withColumn("data", F.unhex("digits")).drop("digits")
+_digest = lambda rows: rows.withColumn("digest", F.sha2(F.hex("data"), 256))
+_RASTERS = "SELECT *, sum(width) OVER (PARTITION BY session ORDER BY image_no) - width AS s, sum(width) OVER (PARTITION BY session ORDER BY image_no) AS e, sum(width) OVER (PARTITION BY session) // 500 AS full_frames FROM rasters WHERE width > 0"
+_REFRAMED = f"""SELECT session, f AS frame_no, 4 AS height, 500 AS width,
+       sha256(string_agg(substr(digits, CAST((y * width + greatest(s, f * 500) - s) * 2 + 1 AS INT), CAST((least(e, (f + 1) * 500) - greatest(s, f * 500)) * 2 AS INT)), '' ORDER BY y, s)) AS digest
+    FROM (SELECT *, unnest(range(CAST(s // 500 AS BIGINT), CAST((e - 1) // 500 + 1 AS BIGINT))) AS f FROM ({_RASTERS})) p JOIN (SELECT unnest(range(4)) AS y) r ON true WHERE f < full_frames GROUP BY session, f"""
+_REFRAME = "session VARCHAR, frame_no BIGINT, height BIGINT, width BIGINT, digest VARCHAR"
+register("rechunk_pixels", _REFRAME, lambda v: _digest(pixels.rechunk_pixels(_raster(v, "rasters"), 500)), _REFRAMED)
+
+
+def _regions(v: Views) -> DataFrame:
+    """Regions of 20 columns of a ring of 250, whose last tile has two of the tiles' eight columns."""
+    tiles = _raster(v, "frame_rasters").withColumns({"height": F.lit(2), "width": F.lit(8)})
+    asked = _requests(v).withColumns({"start": F.col("request_id") * 37 - 500, "width": F.lit(20)})
+    return _digest(pixels.region_pixels(tiles, asked, 250, 8))
+
+
+register("region_pixels", "request_id BIGINT, height BIGINT, width BIGINT, digest VARCHAR", _regions,
+    f"""SELECT request_id, CASE WHEN count(digits) > 0 THEN 2 END AS height, 20 AS width,
+          CASE WHEN count(digits) > 0 THEN sha256(string_agg(coalesce(substr(digits, CAST((y * 8 + x % 8) * 2 + 1 AS INT), 2), '00'), '' ORDER BY y, k)) END AS digest
+        FROM (SELECT r.request_id, r.k, r.x, f.digits FROM (SELECT request_id, device_id, channel, ts, k, ((request_id * 37 - 500 + k) % 250 + 250) % 250 AS x, ((request_id * 37 - 500 + k) % 250 + 250) % 250 // 8 AS tile
+                FROM ({_REQUESTS}) q JOIN (SELECT unnest(range(20)) AS k) n ON true) r
+              ASOF LEFT JOIN frame_rasters f ON r.device_id = f.device_id AND r.channel = f.channel AND r.tile = f.tile_index AND r.ts >= f.ts) p
+        JOIN (SELECT unnest(range(2)) AS y) l ON true GROUP BY request_id""")

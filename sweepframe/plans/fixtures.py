@@ -83,6 +83,13 @@ SELECT source AS session, doc_id AS image_no,
        CASE WHEN doc_id % 10 = 0 THEN 6510 ELSE 4096 END AS height,
        CASE WHEN doc_id % 10 = 0 THEN 4096 ELSE 100 + n_chars END AS width
 FROM documents""",
+    "rasters": """
+SELECT source AS session, doc_id AS image_no, 4 AS height, CAST(floor(bit_length(text) / 32) AS BIGINT) AS width,
+       substr(hex(text), 1, CAST(floor(bit_length(text) / 32) AS INT) * 8) AS digits
+FROM documents""",
+    "frame_rasters": """
+SELECT device_id, channel, ts, frame_no, tile_index, upper(md5(concat(CAST(device_id AS STRING), channel, CAST(frame_no AS STRING)))) AS digits
+FROM frames""",
     "log_events": """
 SELECT event_id, device_id, ts, ms,
        CASE ms % 6 WHEN 0 THEN '系统' WHEN 1 THEN 'ROI' WHEN 2 THEN 'RX(8001)' ELSE '指令下发 (5001)' END AS type,

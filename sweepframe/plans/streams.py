@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import messages
 from ..operators import laps
+from ..operators.clearing import with_clears
 from ..operators.sliced import slice_of
 from ..sinks import mosaic_table, tile_snapshot_sink
 from ..streaming import processors as sp
-from .catalog import _DETECTIONS, _MATCH, _PAIRS, _snaps, _EPOCH, _EPOCHS, _FRAME, _LAP_SQL, _PATH_SQL, _THROTTLE, _timed, pool_packets, register
+from .catalog import _DETECTED, _DETECTIONS, _DETECTIONS_CLEARED, _MATCH, _MOSAIC_CLEARED, _REFRAME, _REFRAMED, _clears, _clears_ms, _digest, _raster, _PAIRS, _snaps, _EPOCH, _EPOCHS, _FRAME, _LAP_SQL, _PATH_SQL, _THROTTLE, _timed, pool_packets, register
 from .fixtures import Views, shared_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -123,3 +124,20 @@ def _snapshot(v: Views) -> DataFrame:
 
 register("tile_snapshot_sink", "snapshot_ts VARCHAR, channel VARCHAR, device_id BIGINT, tile_index BIGINT, frame_no BIGINT", _snapshot,
     "SELECT '2026_03_15_10_00_00' AS snapshot_ts, channel, device_id, CASE channel WHEN 'BW' THEN (tile_index + 16) % 32 ELSE tile_index END AS tile_index, max(frame_no) AS frame_no FROM frames GROUP BY ALL")
+
+
+def _cleared_mosaic(v: Views) -> DataFrame:
+    rows = with_clears(v("frames").select("device_id", "channel", "ts", "frame_no", "tile_index"), _clears(v))
+    return mosaic_table(run_stream(rows, "ts", sp.mosaic_stream, "update")).select("device_id", "channel", "tile_index", "frame_no")
+
+
+register("mosaic_cleared_stream", "device_id BIGINT, channel VARCHAR, tile_index BIGINT, frame_no BIGINT", _cleared_mosaic, _MOSAIC_CLEARED)
+
+
+def _cleared_detections(v: Views) -> DataFrame:
+    frames = _timed(v).select(F.col("device_id").cast("long").alias("device_id"), "channel", "ms", "frame_no", "angle_deg")
+    return run_stream(with_clears(frames, _clears_ms(v), "ms"), "ms", lambda s: sp.detection_stream(s, [45, 135, 240, 315], 60_000, 120_000))
+
+
+register("detection_cleared_stream", _DETECTED, _cleared_detections, _DETECTIONS_CLEARED)
+register("rechunk_stream", _REFRAME, lambda v: _digest(run_stream(_raster(v, "rasters"), "image_no", lambda s: sp.rechunk_stream(s, 500))), _REFRAMED)

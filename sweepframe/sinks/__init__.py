@@ -49,6 +49,14 @@ def mosaic_sink(frames: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 
 def mosaic_table(rows: DataFrame) -> DataFrame:
-    """The mosaic that the rows of mosaic_sink's path amount to: of each tile what its last batch wrote."""
+    """The mosaic that the rows of mosaic_sink's path amount to: of each tile what its last batch wrote.
+
+    Where the stream had clear events (a column cleared), without the tiles from before a channel's last one."""
     values = [c for c in rows.columns if c not in (*TILE, "batch")]
-    return rows.groupBy(*TILE).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*TILE, "v.*")
+    latest = rows.groupBy(*TILE).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*TILE, "v.*")
+    if "cleared" not in values:
+        return latest
+    last = latest.groupBy(F.col("device_id").alias("__d"), F.col("channel").alias("__c")).agg(F.max("cleared").alias("__clear"))
+    on = F.col("device_id").eqNullSafe(F.col("__d")) & F.col("channel").eqNullSafe(F.col("__c"))
+    kept = latest.filter("tile_index is not null").join(last, on, "left").filter("__clear is null or ts >= __clear")
+    return kept.drop("cleared", "__d", "__c", "__clear")

@@ -10,13 +10,17 @@ from collections import namedtuple
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions import angles
 from ..operators.packets import BufferPool, resync
+from ..operators.pixels import whole_rasters
+from ..operators.rechunk import WIDTH
 
 RX_COLUMNS = ("packets", "ok", "drop", "fail")
 
@@ -333,18 +337,23 @@ def reassembly_batch(packets: DataFrame, keys: tuple[str, ...] = KEYS, **options
 
 
 class DetectionProcessor(_OneState):
-    """throttle, then detection throttle, then one flag per target, then the lap reset."""
+    """throttle, then detection throttle, then one flag per target, then the lap reset; a clear event lowers the flags."""
 
-    state_schema = "seen bigint, looked bigint, prev double, lap bigint, found array<int>"
+    state_schema = "seen bigint, looked bigint, prev double, lap bigint, found array<int>, epoch bigint"
 
-    def __init__(self, targets: list[int], frame_ms: int, detect_ms: int, tolerance: float):
-        self.targets, self.frame_ms, self.detect_ms, self.tolerance = targets, frame_ms, detect_ms, tolerance
+    def __init__(self, targets: list[int], frame_ms: int, detect_ms: int, tolerance: float, clears: bool = False):
+        self.targets, self.frame_ms, self.detect_ms, self.tolerance, self.clears = targets, frame_ms, detect_ms, tolerance, clears
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ms", "frame_no"], kind="stable")
-        seen, looked, prev, lap, found = self.value() or (None, None, None, 0, [])
+        pdf = pd.concat(list(rows))
+        pdf["clear"] = pdf["clear"].astype(bool) if self.clears else False
+        pdf = pdf.sort_values(["ms", "clear", "frame_no"], ascending=[True, False, True], kind="stable")
+        seen, looked, prev, lap, found, epoch = self.value() or (None, None, None, 0, [], 0)
         found, out = set(found), []
         for r in pdf.itertuples():
+            if r.clear:
+                found, epoch = set(), epoch + 1
+                continue
             if seen is not None and r.ms - seen < self.frame_ms:
                 continue
             seen = int(r.ms)
@@ -354,18 +363,23 @@ class DetectionProcessor(_OneState):
                     d = abs(r.angle_deg - t)
                     if t not in found and min(d, 360 - d) < self.tolerance:
                         found.add(t)
-                        out.append((*key, lap, t, r.frame_no))
+                        out.append((*key, lap, t, int(r.frame_no), epoch))
             if prev is not None and prev > 300 and r.angle_deg < 60:
                 lap, found = lap + 1, set()
             prev = float(r.angle_deg)
-        self.state.update((seen, looked, prev, int(lap), sorted(found)))
-        yield pd.DataFrame(out, columns=["device_id", "channel", "lap_id", "target", "frame_no"])
+        self.state.update((seen, looked, prev, int(lap), sorted(found), int(epoch)))
+        got = pd.DataFrame(out, columns=["device_id", "channel", "lap_id", "target", "frame_no", "epoch"])
+        yield got if self.clears else got.drop(columns="epoch")
 
 
 def detection_stream(frames: DataFrame, targets: list[int], frame_ms: int = 33, detect_ms: int = 120, tolerance: float = 2.0) -> DataFrame:
-    """Detections of frames(device_id, channel, ms, frame_no, angle_deg) for a short list of targets."""
-    schema = "device_id bigint, channel string, lap_id bigint, target int, frame_no bigint"
-    return frames.groupBy("device_id", "channel").transformWithStateInPandas(DetectionProcessor(targets, frame_ms, detect_ms, tolerance), schema, "Append", "None")
+    """Detections of frames(device_id, channel, ms, frame_no, angle_deg) for a short list of targets.
+
+    Frames with a column clear (see clearing.with_clears) hold clear events among them: each lets the targets be found anew, and
+    the column epoch counts them."""
+    clears = "clear" in frames.columns
+    schema = "device_id bigint, channel string, lap_id bigint, target int, frame_no bigint" + (", epoch bigint" if clears else "")
+    return frames.groupBy("device_id", "channel").transformWithStateInPandas(DetectionProcessor(targets, frame_ms, detect_ms, tolerance, clears), schema, "Append", "None")
 
 
 class CoverageProcessor(_OneState):
@@ -392,10 +406,66 @@ def coverage_stream(events: DataFrame) -> DataFrame:
 
 
 def mosaic_stream(frames: DataFrame, segments: int = 32, half_turn: bool = True) -> DataFrame:
-    """The latest frame per tile, in update mode: write it with foreachBatch as an upsert."""
+    """The latest frame per tile, in update mode: write it with foreachBatch as an upsert.
+
+    Frames with a column clear (see clearing.with_clears) hold clear events among them: a (device, channel) then has one more row,
+    of null tile, whose cleared is the time of its last one, and mosaic_table leaves out the tiles before it. Frame numbers
+    must rise with time there."""
     from ..operators.frames import mosaic_latest
 
-    return mosaic_latest(frames, segments, half_turn)
+    if "clear" not in frames.columns:
+        return mosaic_latest(frames, segments, half_turn)
+    marked = frames.withColumn("__cleared", F.when(F.col("clear"), F.col("ts")))
+    tile = F.col("tile_index")
+    if half_turn:
+        tile = F.when(F.col("channel") == "BW", angles.half_turn_shift(tile, segments)).otherwise(tile)
+    return marked.withColumn("tile_index", tile).groupBy("device_id", "channel", "tile_index").agg(
+        F.max("frame_no").alias("frame_no"), F.max_by("ts", "frame_no").alias("ts"), F.max("__cleared").alias("cleared"))
+
+
+class RechunkProcessor(StatefulProcessor):
+    """Images of a session laid side by side; state is the columns that wait for more, and the next frame's number."""
+
+    def __init__(self, width: int, depth: int):
+        self.width, self.depth = width, depth
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "next bigint, height int, rest binary")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values("image_no", kind="stable")
+        number, height, rest = self.state.get() if self.state.exists() else (0, 0, b"")
+        left, line = np.frombuffer(rest, np.uint8).reshape(height, -1) if height else np.zeros((0, 0), np.uint8), self.width * self.depth
+
+        def beside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """a and b side by side, the lower one filled with zeros."""
+            out = np.zeros((max(len(a), len(b)), a.shape[1] + b.shape[1]), np.uint8)
+            out[: len(a), : a.shape[1]], out[: len(b), a.shape[1] :] = a, b
+            return out
+
+        for h, w, data in zip(pdf["height"].tolist(), pdf["width"].tolist(), pdf["data"].tolist()):
+            image, at = np.frombuffer(data, np.uint8).reshape(int(h), int(w) * self.depth), 0
+            while left.shape[1] + image.shape[1] - at >= line:
+                take = line - left.shape[1]
+                frame, left, at = beside(left, image[:, at : at + take]), np.zeros((0, 0), np.uint8), at + take
+                yield pd.DataFrame([(key[0], number, len(frame), self.width, frame.tobytes())], columns=["session", "frame_no", "height", "width", "data"])
+                number += 1
+            if at < image.shape[1]:
+                left = beside(left, image[:, at:])
+        self.state.update((int(number), len(left), left.tobytes()))
+
+    def close(self) -> None:
+        pass
+
+
+def rechunk_stream(images: DataFrame, width: int = WIDTH, depth: int = 1) -> DataFrame:
+    """The streaming twin of pixels.rechunk_pixels: a frame comes out with the image that completes it.
+
+    images(session, image_no, height, width, data) in the order of image_no; those without a session or number, and what
+    whole_rasters() rejects, are left out. State is less than one frame a session."""
+    kind = images.schema["session"].dataType.simpleString()
+    own = whole_rasters(images, depth).filter("session is not null and image_no is not null").select("session", "image_no", "height", "width", "data")
+    return own.groupBy("session").transformWithStateInPandas(RechunkProcessor(width, depth), f"session {kind}, frame_no bigint, height int, width bigint, data binary", "Append", "None")
 
 
 def rx_stats_stream(events: DataFrame, seconds: int = 3, late: str = "10 seconds") -> DataFrame:

@@ -14,10 +14,10 @@ DIR = "/root/testdata/sf0.001"
 
 def streamed(spark, rows, order, operator, tmp_path, cuts, name, mode="append"):
     """rows in `order`, written as `cuts` files and run through operator one file at a time."""
-    data = rows.orderBy(order).toPandas()
+    data = rows.orderBy(order).collect()
     path, n = tmp_path / name, -(-len(data) // cuts)
     for k in range(cuts):
-        part = spark.createDataFrame(data.iloc[k * n : (k + 1) * n], rows.schema)
+        part = spark.createDataFrame(data[k * n : (k + 1) * n], rows.schema)
         part.coalesce(1).write.mode("append").parquet(str(path))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
     q = operator(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()

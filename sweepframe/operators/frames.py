@@ -48,11 +48,17 @@ def mosaic_latest(frames: DataFrame, segments: int = SEGMENTS, half_turn: bool =
 
 
 def coverage_ready(frames: DataFrame, segments: int = SEGMENTS, keys: tuple[str, ...] = ("device_id",)) -> DataFrame:
-    """Filled tiles of both channels, and whether all are; keys may add an epoch (clear_epoch)."""
-    one = frames.select(*keys, "channel", "tile_index").distinct()
-    return one.groupBy(*keys).agg(
-        F.count_if(F.col("channel") == "RGB").alias("rgb_tiles"), F.count_if(F.col("channel") == "BW").alias("bw_tiles")
-    ).withColumn("ready", (F.col("rgb_tiles") >= segments) & (F.col("bw_tiles") >= segments) & F.lit(segments > 0))
+    """Filled tiles of both channels, and whether all are; keys may add an epoch (clear_epoch).
+
+    Tiles are bits of 64-bit words, combined by bit_or before the shuffle: a task sends a row per key and 64 tiles,
+    however many frames it saw. Null tiles and those outside of the segments fill nothing."""
+    tile = F.col("tile_index").cast("long")
+    inside = tile.between(0, segments - 1)
+    bit = lambda channel: F.bit_or(F.when(inside & (F.col("channel") == channel), F.expr("shiftleft(1L, cast(tile_index % 64 as int))")))
+    words = frames.groupBy(*keys, F.when(inside, F.floor(tile / 64)).alias("__word")).agg(bit("RGB").alias("__r"), bit("BW").alias("__b"))
+    filled = lambda c: F.coalesce(F.sum(F.bit_count(c)), F.lit(0))
+    return words.groupBy(*keys).agg(filled("__r").alias("rgb_tiles"), filled("__b").alias("bw_tiles")).withColumn(
+        "ready", (F.col("rgb_tiles") >= segments) & (F.col("bw_tiles") >= segments) & F.lit(segments > 0))
 
 
 def coverage_ready_edge(frames: DataFrame, segments: int = SEGMENTS, keys: tuple[str, ...] = ("device_id",)) -> DataFrame:

@@ -62,24 +62,42 @@ def bucket_start(ts: Column, seconds: int) -> Column:
     return s.cast("long")
 
 
+def rx_aggregates(events: DataFrame, times: int = 1, order: str = "arrival_seq") -> list[Column]:
+    """What rx_stats and rx_stats_stream aggregate: packets, ok, drop, fail, last_type, last_path, and, of the columns that
+    events have, last_sender (sender), last_length (length) and wakes (wake: a read call began with this datagram).
+
+    An event whose `evicted` is true is no packet but a frame that was given up: it counts as a drop."""
+    gone = F.coalesce(F.col("evicted"), F.lit(False)) if "evicted" in events.columns else F.lit(False)
+    at, outcome = F.struct(order, "rx_ts"), F.col("outcome")
+    latest = lambda c: F.max_by(c, F.when(~gone & F.col(c).isNotNull(), at))
+    out = [(F.count_if(~gone) * times).alias("packets"), F.count_if(~gone & (outcome == "ok")).alias("ok"), F.count_if(gone | (outcome == "drop")).alias("drop"),
+           F.count_if(~gone & ~outcome.isin("ok", "drop")).alias("fail"), latest("type").alias("last_type"), latest("path").alias("last_path")]
+    out += [latest(c).alias(f"last_{c}") for c in ("sender", "length") if c in events.columns]
+    return out + ([F.count_if(~gone & F.col("wake")).alias("wakes")] if "wake" in events.columns else [])
+
+
+def with_evictions(events: DataFrame, evictions: DataFrame) -> DataFrame:
+    """events and, among them, evictions(device_id, rx_ts) of frames that were given up, told apart by the column evicted."""
+    marks = evictions.select("device_id", "rx_ts", F.lit(True).alias("evicted"))
+    return events.withColumn("evicted", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+
+
 def rx_stats(events: DataFrame, seconds: int = 3, compat_double_count: bool = False) -> DataFrame:
-    """Per device and window: packets, ok, drop, fail, and the last type and path by arrival_seq.
+    """Per device and window: packets, ok, drop, fail, the last type and path by arrival_seq, and what else rx_aggregates lists.
 
-    events(device_id, rx_ts, arrival_seq, type, path, outcome): outcome ok, drop, anything else but null is a failure. A partial aggregation
-    runs before the shuffle, so a hot device costs one row per task and window."""
-    n = F.count("*") * (2 if compat_double_count else 1)
-    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("arrival_seq")))
-    return events.withColumn("win_start", bucket_start(F.col("rx_ts"), seconds)).groupBy("device_id", "win_start").agg(
-        n.alias("packets"), F.count_if(F.col("outcome") == "ok").alias("ok"), F.count_if(F.col("outcome") == "drop").alias("drop"),
-        F.count_if(~F.col("outcome").isin("ok", "drop")).alias("fail"), latest("type").alias("last_type"), latest("path").alias("last_path"))
+    events(device_id, rx_ts, arrival_seq, type, path, outcome): outcome ok, drop, anything else but null is a failure; see with_evictions
+    for drops by eviction. A partial aggregation runs before the shuffle, so a hot device costs one row per task and window."""
+    return events.withColumn("win_start", bucket_start(F.col("rx_ts"), seconds)).groupBy("device_id", "win_start").agg(*rx_aggregates(events, 2 if compat_double_count else 1))
 
 
 def running_totals(stats: DataFrame) -> DataFrame:
-    """stats with total_packets so far and the change against the window before."""
-    w = Window.partitionBy("device_id").orderBy("win_start")
-    return stats.withColumns({
-        "total_packets": F.sum("packets").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "delta_packets": F.col("packets") - F.coalesce(F.lag("packets").over(w), F.lit(0))})
+    """stats with total_packets so far and the change against the window before; total_wakes where stats have wakes.
+
+    A device's windows are cut into slices of time (running), so its whole history is many tasks."""
+    values = {"total_packets": ("sum", F.col("packets"), False), "__prev": ("last", F.col("packets"), True)}
+    if "wakes" in stats.columns:
+        values["total_wakes"] = ("sum", F.col("wakes"), False)
+    return running(stats, ["device_id"], ["win_start"], values).withColumn("delta_packets", F.col("packets") - F.coalesce("__prev", F.lit(0))).drop("__prev")
 
 
 # -- replay -----------------------------------------------------------------------------------

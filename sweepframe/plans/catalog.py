@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import angles, messages, wire
 from ..operators import detect, frames, laps, packets, pixels, rasters, rechunk
 from ..operators import messages as msg
+from ..operators.sliced import running
 from ..sinks import capture_log_sink
 from ..sources.captures import capture_log_scan, packet_scan, parse_capture_log
 from ..streaming.processors import reassembly_batch
@@ -331,6 +332,27 @@ _STAT = "device_id BIGINT, win_start BIGINT, packets BIGINT, ok BIGINT, drop BIG
 register("rx_stats", _STAT, _stats, _STATS)
 register("running_totals", "device_id BIGINT, win_start BIGINT, packets BIGINT, total_packets BIGINT, delta_packets BIGINT", lambda v: msg.running_totals(_stats(v)),
     f"SELECT device_id, win_start, packets, sum(packets) OVER w AS total_packets, packets - coalesce(lag(packets) OVER (PARTITION BY device_id ORDER BY win_start), 0) AS delta_packets FROM ({_STATS}) WINDOW w AS (PARTITION BY device_id ORDER BY win_start)")
+
+
+def _received_all(v: Views) -> DataFrame:
+    """Messages with outcome, sender and length; a read call begins at every third; resets of the frame counter give up a frame."""
+    got = _outcomes(v).select("arrival_seq", "type", "path", "outcome")
+    rows = v("path_msgs").withColumns({"length": F.octet_length("payload"), "wake": F.col("arrival_seq") % 3 == 0}).join(got, "arrival_seq", "left")
+    epochs = running(packets.counter_epoch(v("frame_index_stream")), ["device_id"], ["seq"], {"__before": ("last", F.col("epoch"), True)})
+    resets = epochs.filter("epoch > __before")
+    return msg.with_evictions(rows, resets.select("device_id", F.col("ts").alias("rx_ts")))
+
+
+_STAT_ALL = f"{_STAT}, last_sender VARCHAR, last_length BIGINT, wakes BIGINT"
+_STATS_ALL = f"""SELECT device_id, CAST(floor(epoch(rx_ts) / 3600) * 3600 AS BIGINT) AS win_start, count(arrival_seq) AS packets, count(*) FILTER (outcome = 'ok') AS ok, count(*) FILTER (arrival_seq IS NULL) AS drop,
+             count(*) FILTER (outcome <> 'ok') AS fail, arg_max(type, arrival_seq) AS last_type, arg_max(path, arrival_seq) AS last_path, arg_max(sender, arrival_seq) AS last_sender, arg_max(length, arrival_seq) AS last_length,
+             count(*) FILTER (arrival_seq % 3 = 0) AS wakes
+             FROM (SELECT m.device_id, m.rx_ts, m.arrival_seq, m.sender, octet_length(encode(m.payload)) AS length, o.type, o.path, o.outcome FROM path_msgs m LEFT JOIN ({_OUTCOME}) o ON m.arrival_seq = o.arrival_seq
+                   UNION ALL SELECT device_id, ts, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT *, lag(image_index) OVER (PARTITION BY device_id ORDER BY seq) AS before FROM frame_index_stream) WHERE image_index + 1000 < before) GROUP BY 1, 2"""
+register("rx_stats_full", _STAT_ALL, lambda v: msg.rx_stats(_received_all(v), 3600), _STATS_ALL)
+_TOTALS = "SELECT *, sum(packets) OVER w AS total_packets, packets - coalesce(lag(packets) OVER (PARTITION BY device_id ORDER BY win_start), 0) AS delta_packets, sum(wakes) OVER w AS total_wakes FROM ({}) WINDOW w AS (PARTITION BY device_id ORDER BY win_start)"
+_TOTAL_ALL = f"{_STAT_ALL}, total_packets BIGINT, delta_packets BIGINT, total_wakes BIGINT"
+register("running_totals_full", _TOTAL_ALL, lambda v: msg.running_totals(msg.rx_stats(_received_all(v), 3600)), _TOTALS.format(_STATS_ALL))
 register("log_tail", "event_id BIGINT, device_id BIGINT, rn BIGINT", lambda v: msg.log_tail(v("log_events"), 100),
     "SELECT * FROM (SELECT event_id, device_id, row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, event_id DESC) AS rn FROM log_events) WHERE rn <= 100")
 

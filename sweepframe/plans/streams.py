@@ -15,7 +15,7 @@ from ..operators.clearing import with_clears
 from ..operators.sliced import slice_of
 from ..sinks import mosaic_table, tile_snapshot_sink
 from ..streaming import processors as sp
-from .catalog import _DETECTED, _DETECTIONS, _DETECTIONS_CLEARED, _MATCH, _MOSAIC_CLEARED, _REFRAME, _REFRAMED, _clears, _clears_ms, _digest, _raster, _PAIRS, _snaps, _EPOCH, _EPOCHS, _FRAME, _LAP_SQL, _PATH_SQL, _THROTTLE, _timed, pool_packets, register
+from .catalog import _DETECTED, _DETECTIONS, _DETECTIONS_CLEARED, _MATCH, _MOSAIC_CLEARED, _REFRAME, _REFRAMED, _STATS_ALL, _TOTAL_ALL, _TOTALS, _clears, _clears_ms, _digest, _raster, _received_all, _PAIRS, _snaps, _EPOCH, _EPOCHS, _FRAME, _LAP_SQL, _PATH_SQL, _THROTTLE, _timed, pool_packets, register
 from .fixtures import Views, shared_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -141,3 +141,12 @@ def _cleared_detections(v: Views) -> DataFrame:
 
 register("detection_cleared_stream", _DETECTED, _cleared_detections, _DETECTIONS_CLEARED)
 register("rechunk_stream", _REFRAME, lambda v: _digest(run_stream(_raster(v, "rasters"), "image_no", lambda s: sp.rechunk_stream(s, 500))), _REFRAMED)
+
+
+def _totals(v: Views) -> DataFrame:
+    """An hour's statistics and their totals, by two stateful operators; times are those of the messages."""
+    rows = _received_all(v).withColumn("rx_ts", F.timestamp_micros(_us("rx_ts")))
+    return run_stream(rows, "rx_ts", lambda s: sp.running_totals_stream(sp.rx_stats_stream(s, 3600)))
+
+
+register("running_totals_stream", _TOTAL_ALL, _totals, _TOTALS.format(f"SELECT * FROM ({_STATS_ALL}) WHERE (win_start + 3600) * 1000000 <= (SELECT epoch_us(max(rx_ts)) // 1000 * 1000 - 10000000 FROM path_msgs)"))

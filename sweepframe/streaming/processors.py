@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import angles
+from ..operators.messages import rx_aggregates
 from ..operators.packets import BufferPool, resync
 from ..operators.pixels import whole_rasters
 from ..operators.rechunk import WIDTH
 
-RX_COLUMNS = ("packets", "ok", "drop", "fail")
-
 
 class _OneState(StatefulProcessor):
     """A processor with one value of state."""
@@ -469,12 +468,35 @@ def rechunk_stream(images: DataFrame, width: int = WIDTH, depth: int = 1) -> Dat
 
 
 def rx_stats_stream(events: DataFrame, seconds: int = 3, late: str = "10 seconds") -> DataFrame:
-    """Tumbling receive statistics by event time; rows come out once the watermark passes their window.
+    """Tumbling receive statistics by event time (messages.rx_aggregates); rows come out once the watermark passes their window.
 
     Times without zone are cast, as a watermark needs a TIMESTAMP."""
     timed = events.withColumn("rx_ts", F.col("rx_ts").cast("timestamp")).withWatermark("rx_ts", late)
-    ok, drop = F.col("outcome") == "ok", F.col("outcome") == "drop"
-    out = timed.groupBy("device_id", F.window("rx_ts", f"{seconds} seconds").alias("w")).agg(
-        F.count("*").alias("packets"), F.count_if(ok).alias("ok"), F.count_if(drop).alias("drop"), F.count_if(~ok & ~drop).alias("fail"),
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("arrival_seq"))).alias(f"last_{c}") for c in ("type", "path")])
-    return out.select("device_id", F.unix_seconds("w.start").alias("win_start"), *RX_COLUMNS, "last_type", "last_path")
+    out = timed.groupBy("device_id", F.window("rx_ts", f"{seconds} seconds").alias("w")).agg(*rx_aggregates(events))
+    return out.select("device_id", F.unix_seconds("w.start").alias("win_start"), *[c for c in out.columns if c not in ("device_id", "w")])
+
+
+class TotalsProcessor(_OneState):
+    """Totals over a device's windows in their order; state is the totals and the last window's packets."""
+
+    state_schema = "packets bigint, wakes bigint, last bigint"
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values("win_start", kind="stable")
+        packets, wakes, last = self.value() or (0, 0, 0)
+        n = pdf["packets"].astype("int64")
+        out = pdf.assign(total_packets=packets + n.cumsum(), delta_packets=n.diff().fillna(n - last).astype("int64"))
+        if "wakes" in pdf:
+            out["total_wakes"] = wakes + pdf["wakes"].astype("int64").cumsum()
+            wakes = int(out["total_wakes"].iloc[-1])
+        self.state.update((int(out["total_packets"].iloc[-1]), wakes, int(n.iloc[-1])))
+        yield out
+
+
+def running_totals_stream(stats: DataFrame) -> DataFrame:
+    """The streaming twin of messages.running_totals, over rx_stats_stream's rows: a second stateful operator behind the windows.
+
+    Windows come out in the order of the watermark, so their totals are final."""
+    extra = ", total_packets bigint, delta_packets bigint" + (", total_wakes bigint" if "wakes" in stats.columns else "")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema) + extra
+    return stats.groupBy("device_id").transformWithStateInPandas(TotalsProcessor(), schema, "Append", "None")

@@ -84,7 +84,9 @@ def count(rows: DataFrame, order: int) -> DataFrame:
 
 
 def _pruned(counts: DataFrame, nodes: int) -> DataFrame:
-    """counts without what came once below two bytes of context, and at most about `nodes` grams of a depth."""
+    """counts without what came once below two bytes of context, and at most about `nodes` grams of a depth.
+
+    A depth's least count is no lower than that of the depth above, and a gram comes no oftener than its suffix; so what stays has its suffix."""
     kept = counts.filter((F.col("depth") < 2) | (F.col("n") > 1))
     least: dict[tuple, int] = {}
     sums: dict[tuple, int] = {}
@@ -93,7 +95,10 @@ def _pruned(counts: DataFrame, nodes: int) -> DataFrame:
         sums[key] = sums.get(key, 0) + r["count"]
         if sums[key] <= nodes:
             least[key] = r["n"]
-    rows = [(lang, depth, least.get((lang, depth), 1001)) for lang, depth in sums]
+    rows, most = [], dict.fromkeys((lang for lang, _ in sums), 0)
+    for lang, depth in sorted(sums):
+        most[lang] = max(most[lang], least.get((lang, depth), 1001))
+        rows.append((lang, depth, most[lang]))
     if not rows:
         return kept
     bound = F.broadcast(kept.sparkSession.createDataFrame(rows, "lang string, depth int, least bigint"))

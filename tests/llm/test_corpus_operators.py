@@ -666,3 +666,13 @@ def test_pipeline_edges(spark, awkward, empty):
     assert {r.doc_id for r in cp.language(spark, docs, "").collect()} == {*range(80), 102}
     assert cp.packed(spark, empty, "").count() == 0
     assert cp.language(spark, awkward, "").count() == 0  # no language is known there
+
+
+@pytest.mark.parametrize("nodes", [20, 100, 300, 150_000])
+def test_pruned_trees_keep_the_suffix_of_every_gram(spark, nodes):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("lang is not null and text is not null")
+    kept = langid._pruned(langid.count(docs, 3), nodes).collect()
+    grams = {(r["lang"], r["depth"], r["gram"] & (2**64 - 1)) for r in kept}
+    assert len(grams) == len(kept) > 0
+    lost = [g for g in grams if g[1] > 0 and (g[0], g[1] - 1, g[2] & ((1 << 8 * g[1]) - 1)) not in grams]
+    assert not lost

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as m
 from .clearing import since_clear
-from .sliced import running
+from .sliced import cuts_below, running
 
 
 def path_message_parse(msgs: DataFrame, strict: bool = False, default_ip: str = m.DEFAULT_IP) -> DataFrame:
@@ -108,22 +108,28 @@ def port_fanout(log: DataFrame, only_port: int | None = None) -> DataFrame:
     return log.withColumn("port", F.explode(m.ports_of(F.col("payload"), only_port)))
 
 
+#: Types of an order by which a session is cut into slices.
+NUMBERED = ("byte", "short", "integer", "long", "float", "double", "decimal", "timestamp", "timestamp_ntz")
+
+
 def numbered(rows: DataFrame, order: str, session: str | None = None) -> DataFrame:
     """rows with n, their 1-based place in a session, or over all rows without one.
 
     order: a column of any sortable type (numbers, names, times); ties go by a hash of the whole row. Over all
     rows, places are found in two steps: rows are dealt to ranges of `order`, whose bounds come from a random
     sample of 10,000 values, counted and numbered within a range, and the ranges' running total (a row
-    per range) is added. No task sees all rows."""
+    per range) is added. No task sees all rows. In sessions, numbers and times go in slices, so a session is
+    many tasks; one ordered by names is a single task."""
     tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema if f.dataType.typeName() not in ("map", "variant")])
+    if session is not None and rows.schema[order].dataType.typeName() in NUMBERED:
+        return running(rows.withColumn("__tie", tie), [session], [order, "__tie"], {"n": ("sum", F.lit(1).cast("long"), False)}).drop("__tie")
     if session is not None:
         return rows.withColumn("n", F.row_number().over(Window.partitionBy(session).orderBy(order, tie)).cast("long"))
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     seen = sorted(r[0] for r in rows.select(order).filter(F.col(order).isNotNull()).orderBy(F.rand(7)).limit(10_000).collect())
     cuts = sorted({seen[i * len(seen) // parts] for i in range(1, parts)}) if seen else []
-    place = F.size(F.filter(F.array(*[F.lit(c).cast(rows.schema[order].dataType) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    dealt = rows.withColumn("__part", F.coalesce(place, F.lit(0)))
+    dealt = rows.withColumn("__part", cuts_below([F.lit(c).cast(rows.schema[order].dataType) for c in cuts], F.col(order)))
     counts = {r["__part"]: r["count"] for r in dealt.groupBy("__part").count().collect()}  # a row per range
     before, run = [], 0
     for k in range(len(cuts) + 1):

@@ -19,24 +19,27 @@ def _number(rows: DataFrame, name: str) -> Column:
     return F.unix_micros(name) if kind == "timestamp" else F.col(name).cast("double")
 
 
-def slice_of(rows: DataFrame, name: str, slices: int | None = None) -> Column:
-    """The slice of each row: a number or time column cut at quantiles into about equal row counts; null is slice 0.
-
-    A row is compared with every hundredth cut, then with a hundred of them."""
-    n = slices or max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    x = _number(rows, name)
-    at = [i / n for i in range(1, n)]
-    cuts = sorted(set(rows.agg(F.percentile_approx(x, F.array(*map(F.lit, at)), F.lit(max(10_000, 20 * n))).alias("q")).first()["q"] or [])) if at else []
+def cuts_below(cuts: list, x: Column, step: int = 100) -> Column:
+    """How many of the ascending cuts lie below x, 0 for null: every hundredth cut first, then a hundred of them."""
     if not cuts:
         return F.lit(0)
     below = lambda points: F.size(F.filter(points, lambda c: c < x))
-    every, step = F.array(*[F.lit(c) for c in cuts]), 100
+    every = F.array(*[c if isinstance(c, Column) else F.lit(c) for c in cuts])
     if len(cuts) <= step:
         return F.coalesce(below(every), F.lit(0))
-    coarse = below(F.array(*[F.lit(c) for c in cuts[step - 1 :: step]])) * step
+    coarse = below(F.array(*[c if isinstance(c, Column) else F.lit(c) for c in cuts[step - 1 :: step]])) * step
     return F.coalesce(coarse + below(F.slice(every, coarse + 1, step)), F.lit(0))
 
 
+def slice_of(rows: DataFrame, name: str, slices: int | None = None) -> Column:
+    """The slice of each row: a number or time column cut at quantiles into about equal row counts; null is slice 0."""
+    n = slices or max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = _number(rows, name)
+    at = [i / n for i in range(1, n)]
+    cuts = sorted(set(rows.agg(F.percentile_approx(x, F.array(*map(F.lit, at)), F.lit(max(10_000, 20 * n))).alias("q")).first()["q"] or [])) if at else []
+    return cuts_below(cuts, x)
+
+
 def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column, bool]], slices: int | None = None) -> DataFrame:
     """rows with a column for each of `values`: name: (kind, column, before).
 

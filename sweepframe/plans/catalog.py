@@ -379,7 +379,7 @@ def pool_packets(v: Views) -> DataFrame:
     return v("packets").select((F.floor(F.col("image_index") / 2) % 2).alias("device_id"), F.col("image_type").cast("string").alias("channel"), "image_index", "total_size", "arrival_seq", "rx_ms", F.col("payload").cast("binary").alias("payload"))
 
 
-
+_POOL_PACKETS = "SELECT image_index // 2 % 2 AS device_id, CAST(image_type AS VARCHAR) AS channel, image_index, total_size, arrival_seq, rx_ms, block_size FROM packets"
 _PACKETS = ["image_type"]
 
 
@@ -417,7 +417,34 @@ register("seq_watermark", "image_type BIGINT, image_index BIGINT, arrival_seq BI
 register("stall_timeout", "image_type BIGINT, image_index BIGINT, arrival_seq BIGINT, stalled BOOLEAN, old BOOLEAN", lambda v: packets.stall_timeout(v("packets"), _PACKETS),
     """SELECT image_type, image_index, arrival_seq, coalesce(s2 > s1 AND m2 - m1 > 1500, false) AS stalled, coalesce(s2 > s1 AND m2 - m0 > 5000, false) AS old FROM (SELECT *, first_value(rx_ms) OVER f AS m0, lag(rx_ms) OVER f AS m1, lag(arrival_seq) OVER f AS s1, lag(rx_ms) OVER c AS m2, lag(arrival_seq) OVER c AS s2
        FROM packets WINDOW f AS (PARTITION BY image_type, image_index ORDER BY arrival_seq), c AS (PARTITION BY image_type ORDER BY arrival_seq))""")
-register("sweep_trigger", "device_id BIGINT, channel VARCHAR, image_index BIGINT, generation BIGINT, epoch BIGINT, packets BIGINT, bytes BIGINT, reason VARCHAR", lambda v: reassembly_batch(pool_packets(v), sweep=64))
+_POOLED = "device_id BIGINT, channel VARCHAR, image_index BIGINT, generation BIGINT, epoch BIGINT, packets BIGINT, bytes BIGINT, reason VARCHAR"
+
+
+def _pool_sql(sweep: int) -> str:
+    """The fold of a channel's packets over a list of open frames: a row a packet, with what it completes and evicts."""
+    frame = "STRUCT(i BIGINT, total BIGINT, bytes BIGINT, n BIGINT, created BIGINT, updated BIGINT, swept BIGINT, generation BIGINT, reason VARCHAR)[]"
+    return f"""WITH RECURSIVE p AS (SELECT device_id, channel, image_index AS idx, total_size, block_size AS size, rx_ms AS now, row_number() OVER (PARTITION BY device_id, channel ORDER BY arrival_seq) AS n FROM ({_POOL_PACKETS})),
+       walk AS (SELECT device_id, channel, 0::BIGINT AS n, 0::BIGINT AS idx, 0::BIGINT AS top, 0::BIGINT AS epoch, []::{frame} AS opened, []::STRUCT(i BIGINT, g BIGINT)[] AS gens, []::STRUCT(i BIGINT, reason VARCHAR)[] AS gone, false AS done, []::{frame} AS own FROM p WHERE n = 1
+         UNION ALL SELECT device_id, channel, n, idx, top, epoch, list_filter(judged, lambda x: x.reason IS NULL AND NOT (done AND x.i = idx))::{frame},
+           CASE WHEN done THEN list_append(list_filter(gens, lambda x: x.i <> idx), struct_pack(i := idx, g := own[1].generation + 1)) ELSE gens END,
+           list_concat(gone, list_transform(list_filter(judged, lambda x: x.reason IS NOT NULL), lambda x: struct_pack(i := x.i, reason := x.reason))), done, own::{frame}
+         FROM (SELECT *, own[1].reason IS NULL AND own[1].total > 0 AND own[1].bytes >= own[1].total AS done
+           FROM (SELECT *, list_filter(judged, lambda x: x.i = idx) AS own
+             FROM (SELECT * REPLACE (CASE WHEN due THEN list_filter(gens, lambda x: x.i >= top - 30) ELSE gens END AS gens), list_transform(opened, lambda x: struct_pack(i := x.i, total := x.total, bytes := x.bytes, n := x.n, created := x.created, updated := x.updated,
+                 swept := CASE WHEN due THEN x.bytes ELSE x.swept END, generation := x.generation,
+                 reason := CASE WHEN NOT due THEN NULL WHEN x.i < top - 30 THEN CASE WHEN x.i = idx THEN 'late' ELSE 'behind' END WHEN x.bytes <> x.swept THEN NULL WHEN now - x.updated > 1500 THEN 'stalled' WHEN now - x.created > 5000 THEN 'old' END)) AS judged
+               FROM (SELECT *, n % {sweep} = 0 OR len(opened) > 128 AS due
+                 FROM (SELECT * REPLACE (list_append(list_filter(opened, lambda x: x.i <> idx), struct_pack(i := idx, total := CASE WHEN coalesce(had.total, 0) = 0 THEN total_size ELSE had.total END, bytes := coalesce(had.bytes, 0) + size, n := coalesce(had.n, 0) + 1,
+                     created := CASE WHEN coalesce(had.total, 0) = 0 THEN now ELSE had.created END, updated := now, swept := CASE WHEN coalesce(had.total, 0) = 0 THEN 0 ELSE had.swept END, generation := coalesce(had.generation, list_filter(gens, lambda x: x.i = idx)[1].g, 0), reason := NULL))::{frame} AS opened)
+                   FROM (SELECT *, list_filter(opened, lambda x: x.i = idx)[1] AS had
+                     FROM (SELECT p.device_id, p.channel, p.n, p.idx, p.total_size, p.size, p.now, CASE WHEN reset THEN p.idx ELSE greatest(top, p.idx) END AS top, epoch + reset::INT AS epoch, CASE WHEN reset THEN []::{frame} ELSE opened END AS opened, CASE WHEN reset THEN [] ELSE gens END AS gens,
+                         CASE WHEN reset THEN list_transform(opened, lambda x: struct_pack(i := x.i, reason := 'reset')) ELSE [] END AS gone
+                       FROM (SELECT w.*, w.top <> 0 AND p.idx + 1000 < w.top AS reset, p FROM walk w JOIN p ON p.device_id = w.device_id AND p.channel = w.channel AND p.n = w.n + 1)))))))))
+       SELECT device_id, channel, idx AS image_index, own[1].generation AS generation, epoch, own[1].n AS packets, own[1].bytes AS bytes, NULL AS reason FROM walk WHERE done
+       UNION ALL SELECT device_id, channel, g.i, NULL, epoch, NULL, NULL, g.reason FROM (SELECT device_id, channel, epoch, unnest(gone) AS g FROM walk)"""
+
+
+register("sweep_trigger", _POOLED, lambda v: reassembly_batch(pool_packets(v), sweep=64), _pool_sql(64))
 _THROTTLE = """WITH RECURSIVE f AS (SELECT device_id, channel, frame_no, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY device_id, channel ORDER BY ts, frame_no) AS n FROM frames),
    walk AS (SELECT device_id, channel, frame_no, n, ms AS last, true AS kept FROM f WHERE n = 1
      UNION ALL SELECT f.device_id, f.channel, f.frame_no, f.n, CASE WHEN f.ms - last >= 3600000 THEN f.ms ELSE last END, f.ms - last >= 3600000 FROM walk w JOIN f ON f.device_id = w.device_id AND f.channel = w.channel AND f.n = w.n + 1)

@@ -15,7 +15,7 @@ from ..operators.clearing import with_clears
 from ..operators.sliced import slice_of
 from ..sinks import mosaic_table, tile_snapshot_sink
 from ..streaming import processors as sp
-from .catalog import _DETECTED, _DETECTIONS, _DETECTIONS_CLEARED, _MATCH, _MOSAIC_CLEARED, _REFRAME, _REFRAMED, _STATS_ALL, _TOTAL_ALL, _TOTALS, _clears, _clears_ms, _digest, _raster, _received_all, _PAIRS, _snaps, _EPOCH, _EPOCHS, _FRAME, _LAP_SQL, _PATH_SQL, _THROTTLE, _timed, pool_packets, register
+from .catalog import _DETECTED, _DETECTIONS, _DETECTIONS_CLEARED, _MATCH, _MOSAIC_CLEARED, _REFRAME, _REFRAMED, _STATS_ALL, _TOTAL_ALL, _TOTALS, _clears, _clears_ms, _digest, _raster, _received_all, _PAIRS, _snaps, _EPOCH, _EPOCHS, _FRAME, _LAP_SQL, _PATH_SQL, _POOLED, _THROTTLE, _pool_sql, _timed, pool_packets, register
 from .fixtures import Views, shared_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -86,8 +86,7 @@ register("rx_stats_stream", "device_id BIGINT, win_start BIGINT, packets BIGINT,
               arg_max(type, arrival_seq) AS last_type, arg_max(path, arrival_seq) AS last_path
        FROM (SELECT m.device_id, m.arrival_seq, epoch_us(m.rx_ts) // 3000000 * 3 AS win_start, o.type, o.path FROM path_msgs m LEFT JOIN ({_PATH_SQL}) o ON m.arrival_seq = o.arrival_seq)
        WHERE (win_start + 3) * 1000000 <= (SELECT epoch_us(max(rx_ts)) // 1000 * 1000 - 10000000 FROM path_msgs) GROUP BY ALL""")
-register("reassembly_stream", "device_id BIGINT, channel VARCHAR, image_index BIGINT, generation BIGINT, epoch BIGINT, packets BIGINT, bytes BIGINT, reason VARCHAR",
-    lambda v: run_stream(pool_packets(v), "arrival_seq", sp.reassembly_stream))
+register("reassembly_stream", _POOLED, lambda v: run_stream(pool_packets(v), "arrival_seq", sp.reassembly_stream), _pool_sql(1))
 register("detection_stream", "device_id BIGINT, channel VARCHAR, lap_id BIGINT, target BIGINT, frame_no BIGINT",
     lambda v: run_stream(_timed(v).select(F.col("device_id").cast("long").alias("device_id"), "channel", "ms", "frame_no", "angle_deg"), "ms", lambda s: sp.detection_stream(s, [45, 135, 240, 315], 60_000, 120_000)), _DETECTIONS)
 register("throttle_stream", _FRAME, lambda v: run_stream(_timed(v).select("device_id", "channel", "frame_no", "ms"), "ms", lambda s: sp.throttle_stream(s, ["device_id", "channel"], "ms", 3_600_000, ["ms", "frame_no"])), _THROTTLE)

@@ -349,6 +349,22 @@ def test_landing_and_snapshots(spark, tmp_path):
     assert (tmp_path / "out" / "snapshot_ts=2026_03_15_10_00_00" / "channel=RGB").is_dir()
 
 
+def test_numbers_over_many_ranges_and_in_sessions(spark):
+    rows = spark.range(0, 3000).select((F.col("id") * 7 % 1000).alias("k"), F.when(F.col("id") % 3 > 0, 1).alias("s"), F.when(F.col("id") % 5 > 0, F.col("id") % 40).alias("at"), "id")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "260")  # more than a hundred bounds are looked up in two steps
+    try:
+        got = sorted((r.n, r.k) for r in msg.numbered(rows, "k").coalesce(4).collect())
+        assert [n for n, _ in got] == list(range(1, 3001)) and [k for _, k in got] == sorted(k for _, k in got)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for order in ("k", "at"):  # null sessions are a session, null places come first
+        got = msg.numbered(rows, order, "s").collect()
+        for s in (None, 1):
+            own = sorted((r.n, -1 if r[order] is None else r[order]) for r in got if r.s == s)
+            assert [n for n, _ in own] == list(range(1, len(own) + 1)) and [x for _, x in own] == sorted(x for _, x in own)
+
+
 def test_numbering_over_ranges(spark):
     rows = spark.range(0, 1000, 7).select((F.col("id") * 37 % 1009).alias("k")).distinct()
     got = [r.n for r in msg.numbered(rows, "k").orderBy("k").collect()]

@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Names of credentials (as the end of a name), and names that announce other things.
-CREDENTIAL = "password|passwd|pwd|passphrase|secret|token|key|auth|bearer|credential|credentials"
+CREDENTIAL = "password|passwd|pwd|passphrase|secret|token|key|auth|authorization|bearer|credential|credentials"
 OTHERS = "sha|md5|hash|digest|checksum|commit|revision|etag|uuid|guid|id|version|release|build|isbn|phone|tel|fax|order|invoice|ticket|url|uri|path|file|host|mail|email|date|time|page"
 #: Token-like strings: 12 signs or more with a digit. The look-behind makes them start where a token starts, so a long run is read once.
 SIGN = r"A-Za-z0-9+/_.@\-"
 TOKEN = rf"(?<![{SIGN}])(?=[A-Za-z+/_.@\-]*+[0-9])[{SIGN}]{{12,}}"
-#: Values that a credential's name is given, keys of known forms (no digit needed), and private keys.
-VALUE = r"\"[^\"\n]{6,200}\"|'[^'\n]{6,200}'|[^\s\"'<>,;()\[\]{}]{6,}"
-ASSIGNED = rf"(?i:passw(?:or)?d|pwd|passphrase|secret|token|key|auth|bearer|credentials?)[\"']?\s{{0,2}}[:=]\s{{0,2}}({VALUE})"
-KNOWN = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,24}PRIVATE KEY-----|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
+#: Values of any length that a credential's name is given or that follow the word bearer, keys of known forms (no digit
+#: needed), and private keys with whatever headers they have. Every run of signs is possessive, so texts are read in linear time.
+VALUE = r"\"[^\"\n]{4,}+\"|'[^'\n]{4,}+'|[^\s\"'<>,;()\[\]{}]{4,}+"
+NAMED = r"(?i:passw(?:or)?d|pwd|passphrase|secret|token|key|auth|authorization|bearer|credentials?)[\"']?\s{0,2}[:=]\s{0,2}(?:(?i:bearer|basic|token)\s{1,2})?"
+ASSIGNED = rf"(?:{NAMED}|(?<![A-Za-z])(?i:bearer)\s{{1,2}}(?=[A-Za-z0-9._~+/\-]{{12}}))({VALUE})"
+BLOCK = r"PRIVATE KEY(?: BLOCK)?-----"
+KNOWN = rf"-----BEGIN [A-Z0-9 ]{{0,24}}{BLOCK}[^\-]*+(?:-(?!----)[^\-]*+)*+-----END [A-Z0-9 ]{{0,24}}{BLOCK}|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![A-Za-z0-9])"
 FEATURES = [
     "length", "digits", "uppers", "lowers", "marks", "runs", "switches", "cases", "kinds", "hexes", "likely", "coverage", "path", "dots", "named", "other", "assigned",
     "nearby", "between",
@@ -33,15 +36,13 @@ def _share(column: str, letters: str) -> Column:
     return F.length(F.regexp_replace(column, f"[^{letters}]", "")) / F.length(column)
 
 
-def _hits(rows: DataFrame, pattern: str) -> DataFrame:
-    """row, key, doc_id, hit, end (code points), and the text on both sides, of every match of a pattern in rows(row, key, doc_id, text)."""
+def _hits(rows: DataFrame, pattern: str, kind: int) -> DataFrame:
+    """key, doc_id, kind, nth, hit, gap (signs before it since the last one), and the text on both sides, of every match of a pattern in rows(key, doc_id, text)."""
     gaps = F.transform(F.split("text", pattern, -1), lambda s: F.struct(F.length(s).alias("n"), F.substring(s, 1, 40).alias("head"), F.substring(s, -60, 60).alias("tail")))
-    found = rows.select("row", "key", "doc_id", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hits"), gaps.alias("gaps")).filter(F.size("hits") > 0)
+    found = rows.select("key", "doc_id", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hits"), gaps.alias("gaps")).filter(F.size("hits") > 0)
     zipped = F.arrays_zip("hits", "gaps", F.slice("gaps", 2, F.size("hits")).alias("after"))
-    each = found.select("row", "key", "doc_id", F.posexplode(F.slice(zipped, 1, F.size("hits"))).alias("nth", "f"))
-    each = each.select("row", "key", "doc_id", "nth", F.col("f.hits").alias("hit"), F.col("f.gaps.n").alias("gap"), F.col("f.gaps.tail").alias("tail"), F.col("f.after.head").alias("head"))
-    run = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    return each.withColumn("end", F.sum(F.col("gap") + F.length("hit")).over(run))
+    each = found.select("key", "doc_id", F.lit(kind).alias("kind"), F.posexplode(F.slice(zipped, 1, F.size("hits"))).alias("nth", "f"))
+    return each.select("key", "doc_id", "kind", "nth", F.col("f.hits").alias("hit"), F.col("f.gaps.n").alias("gap"), F.col("f.gaps.tail").alias("tail"), F.col("f.after.head").alias("head"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -49,28 +50,31 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     start counts code points from 0; repeated strings are findings of their own; one inside another
     is left out. before is the word in front (a name, if assigned), earlier the one before that, after
-    the next one, all lower case. Rows of equal doc_id are kept apart by `row`; key is xxhash64(doc_id,
-    text). Null and empty texts have none."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.xxhash64("doc_id", "text"))
-    tokens = _hits(rows.filter(F.col("text").rlike("[0-9]")), TOKEN).filter(F.col("hit").rlike("[A-Za-z]")).withColumn("secret", F.col("hit")).withColumn("lead", F.col("tail"))
-    values = _hits(rows, f"{KNOWN}|{ASSIGNED}")
-    known = F.col("hit").rlike(f"^(?:{KNOWN})$")
+    the next one, all lower case. key is xxhash64(doc_id, text); rows of equal doc_id and text have the same
+    findings, each row with its own `row`, a hash of key and the copy's number, so a task that is run again gives
+    the same rows. Null and empty texts have none."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").withColumn("key", F.xxhash64("doc_id", "text"))
+    every = _hits(rows.filter(F.col("text").rlike("[0-9]")), TOKEN, 0).unionByName(_hits(rows, f"{KNOWN}|{ASSIGNED}", 1))
+    met = every.repartition(common.partitions(docs.sparkSession), "key").groupBy("key", "doc_id", "kind", "nth")
+    once = met.agg(F.count("*").alias("copies"), F.first("hit").alias("hit"), F.first("gap").alias("gap"), F.first("tail").alias("tail"), F.first("head").alias("head"))
+    run = Window.partitionBy("key", "doc_id", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    ended = once.withColumn("end", F.sum(F.col("gap") + F.length("hit")).over(run)).filter((F.col("kind") == 1) | F.col("hit").rlike("[A-Za-z]"))
+    known = F.col("hit").rlike(f"^(?:{KNOWN})$") & (F.col("kind") == 1)
     value = F.regexp_extract("hit", f"^{ASSIGNED}$", 1)
-    quoted = value.rlike("^[\"']") & ~known
-    bare = F.when(known, F.col("hit")).when(quoted, value.substr(F.lit(2), F.length(value) - 2)).otherwise(value)
-    values = values.withColumn("secret", bare).withColumn("end", F.col("end") - quoted.cast("int"))
-    values = values.withColumn("lead", F.concat("tail", F.expr("substring(hit, 1, length(hit) - length(secret))")))
-    columns = ["row", "key", "doc_id", "secret", "end", "lead", "head"]
-    both = tokens.select(*columns).unionByName(values.select(*columns)).withColumn("start", (F.col("end") - F.length("secret")).cast("long"))
-    order = Window.partitionBy("row").orderBy("start", F.desc("end"))
+    quoted = (F.col("kind") == 1) & ~known & value.rlike("^[\"']")
+    bare = F.when((F.col("kind") == 0) | known, F.col("hit")).when(quoted, value.substr(F.lit(2), F.length(value) - 2)).otherwise(value)
+    both = ended.withColumn("secret", bare).withColumn("quoted", quoted.cast("int")).withColumn("end", F.col("end") - F.col("quoted"))
+    lead = F.concat("tail", F.when(F.col("kind") == 1, F.expr("substring(hit, 1, length(hit) - length(secret) - quoted)")).otherwise(""))
+    both = both.withColumn("lead", lead).withColumn("start", (F.col("end") - F.length("secret")).cast("long"))
+    order = Window.partitionBy("key", "doc_id").orderBy("start", F.desc("end"), "kind")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = both.withColumn("reach", F.coalesce(reach, F.lit(0))).filter(F.col("start") >= F.col("reach")).withColumn("nth", F.row_number().over(order) - 1)
+    each = apart.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).withColumn("row", F.xxhash64("key", "copy"))
     lead = F.col("lead")
     name = F.lower(F.regexp_extract(lead, r"([A-Za-z_][A-Za-z0-9_\-]*)[^A-Za-z0-9]{0,6}$", 1))
     assigned = lead.rlike(r"[A-Za-z0-9_\-][\"']?\s{0,2}[:=]\s{0,2}[\"']?$")
     earlier = F.lower(F.regexp_extract(lead, r"([A-Za-z_]+)[^A-Za-z_]+[A-Za-z_][A-Za-z0-9_\-]*[^A-Za-z0-9]{0,6}$", 1))
-    return apart.select("doc_id", "row", "key", "nth", "start", "secret", name.alias("before"), assigned.alias("assigned"), earlier.alias("earlier"), F.lower(F.regexp_extract("head", r"^[^A-Za-z]{0,4}([A-Za-z]+)", 1)).alias("after"))
+    return each.select("doc_id", "row", "key", "nth", "start", "secret", name.alias("before"), assigned.alias("assigned"), earlier.alias("earlier"), F.lower(F.regexp_extract("head", r"^[^A-Za-z]{0,4}([A-Za-z]+)", 1)).alias("after"))
 
 
 def dictionary(docs: DataFrame, share: float = 0.98) -> DataFrame:
@@ -109,7 +113,7 @@ def features(found: DataFrame, words: DataFrame, pairs: dict[str, float]) -> Dat
     credential, other = rf"(?:{CREDENTIAL})s?$", rf"(?:^|[_\-])(?:{OTHERS})[0-9]*$"
     per = F.length("secret")
     numbers = {
-        "length": F.least(per, F.lit(200)), "digits": _share("secret", "0-9"), "uppers": _share("secret", "A-Z"), "lowers": _share("secret", "a-z"),
+        "length": per, "digits": _share("secret", "0-9"), "uppers": _share("secret", "A-Z"), "lowers": _share("secret", "a-z"),
         "marks": 1 - _share("secret", "A-Za-z0-9"),
         "runs": F.regexp_count("secret", F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")) / per,
         "switches": F.regexp_count("secret", F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")) / per,
@@ -127,6 +131,7 @@ def features(found: DataFrame, words: DataFrame, pairs: dict[str, float]) -> Dat
 
 #: Words in made findings.
 WORDS = ("house", "water", "system", "light", "report", "little", "market", "number", "school", "window", "garden", "paper", "letter", "music", "river", "stone", "table", "summer", "winter", "forest")
+_VOWELS = "aaaaeeeeeiiiooou"
 
 
 def made_findings(spark: SparkSession, n: int = 5000, seed: str = "train") -> DataFrame:
@@ -144,6 +149,7 @@ def made_findings(spark: SparkSession, n: int = 5000, seed: str = "train") -> Da
     number = lambda k, size: F.substring(F.conv(F.substring("a", k, 12), 16, 10), 1, size)
     mixed = F.concat(*[F.base64(F.unhex(F.sha2(F.concat(c, F.lit(x)), 256))) for c, x in (("a", "1"), ("b", "2"))])
     plain = F.regexp_replace(mixed, "[+/=]", "")
+    letters = F.regexp_replace(mixed, "[^A-Za-z]", "")
     upper = F.translate(F.substring("a", 1, 40), "0123456789abcdef", "K7QZ2XWM5HTRJ3PV")
     size = (dice(5) * 32).cast("int") + 16
     word, word2, word3 = pick(WORDS, 9), pick(WORDS, 13), pick(WORDS, 17)
@@ -153,6 +159,9 @@ def made_findings(spark: SparkSession, n: int = 5000, seed: str = "train") -> Da
         F.concat(F.lit("eyJ"), plain.substr(F.lit(1), size), F.lit("."), plain.substr(F.lit(30), size), F.lit("."), plain.substr(F.lit(9), size)),
         F.concat(plain.substr(F.lit(1), (dice(25) * 6).cast("int") + 5), pick(("!", "#", "$", "%", "&", "*"), 21), plain.substr(F.lit(20), (dice(29) * 6).cast("int") + 2)),
         upper.substr(F.lit(1), size), F.concat(word, pick(("-", "_", "!", "."), 21), number(1, 4), plain.substr(F.lit(1), (dice(25) * 8).cast("int") + 8)),
+        letters.substr(F.lit(1), size), F.concat(letters.substr(F.lit(1), (dice(25) * 3).cast("int") + 2), number(1, 3), letters.substr(F.lit(9), (dice(29) * 3).cast("int"))),
+        F.concat(F.lit("-----BEGIN "), pick(("", "RSA ", "EC ", "ENCRYPTED "), 21), F.lit("PRIVATE KEY-----\n"), F.when(dice(25) < 0.4, F.concat(F.lit("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,"), F.upper(F.substring("a", 1, 32)), F.lit("\n\n"))).otherwise(""),
+                 F.array_join(F.transform(F.sequence(F.lit(1), (dice(29) * 20).cast("int") + 1), lambda i: F.base64(F.unhex(F.sha2(F.concat("a", i.cast("string")), 384)))), "\n"), F.lit("\n-----END PRIVATE KEY-----")),
     ]
     others = [
         F.concat("a", "b").substr(F.lit(1), pick((32, 40, 64), 21)),
@@ -164,18 +173,20 @@ def made_findings(spark: SparkSession, n: int = 5000, seed: str = "train") -> Da
         F.concat(F.lit("20"), number(1, 2), F.lit("-0"), number(3, 1), F.lit("-1"), number(5, 1), F.lit("T0"), number(7, 1)),
         F.concat(word, F.lit("_"), word2, F.lit("_"), number(1, 3)), F.concat(F.initcap(word), F.initcap(word2), F.initcap(word3), number(1, 2)),
         F.concat(word, pick(("", " ", "-"), 21), word2), F.concat(F.upper(F.substring(word, 1, 3)), F.lit("-"), number(1, 5), F.lit("-"), F.upper(F.substring(word2, 1, 2)), F.lit("-"), number(7, 2)),
-        F.concat(F.lit("+1-555-"), number(1, 3), F.lit("-"), number(5, 4), F.lit("x"), number(9, 2)),
+        F.concat(F.lit("+1-555-"), number(1, 3), F.lit("-"), number(5, 4), F.lit("x"), number(9, 2)), word,
+        F.concat(*[F.translate(F.substring(c, k, 1), "0123456789abcdef", x) for c, k, x in (("a", 1, "bdfgklmnprstvzhc"), ("a", 2, _VOWELS), ("a", 3, "lmnrstdkpbgvfczh"), ("a", 4, _VOWELS), ("b", 61, "nnnrrrssstttllmd"))],
+                 F.when(dice(25) < 0.5, F.concat(F.translate(F.substring("b", 62, 1), "0123456789abcdef", _VOWELS), F.translate(F.substring("b", 63, 1), "0123456789abcdef", "nnnrrrssstttllmd"))).otherwise("")),
     ]
     form = lambda forms: F.element_at(F.array(*forms), (F.floor(F.col("id") / 2) % len(forms) + 1).cast("int"))
     label = (F.col("id") % 2).cast("double")
-    names = pick(("password", "db_password", "passwd", "api_key", "aws_secret_access_key", "client_secret", "token", "access_token", "secret", "auth", "bearer", "key", "credentials"), 33)
+    names = pick(("password", "db_password", "passwd", "api_key", "aws_secret_access_key", "client_secret", "token", "access_token", "secret", "auth", "authorization", "bearer", "key", "credentials"), 33)
     beside = pick(("sha256", "md5", "commit", "checksum", "id", "uuid", "request_id", "version", "url", "path", "file", "mail", "order", "date"), 33)
     form_of_other = F.floor(F.col("id") / 2) % len(others)
-    named = F.when(label == 1, dice(37) < 0.75).otherwise(F.when(form_of_other == 9, True).when(form_of_other < 2, False).otherwise(dice(37) < 0.15))
+    named = F.when(label == 1, dice(37) < 0.75).otherwise(F.when(form_of_other.isin(9, 12, 13), True).when(form_of_other < 2, False).otherwise(dice(37) < 0.15))
     about = F.when(label == 1, False).otherwise(dice(41) < F.when(form_of_other < 2, 0.9).otherwise(0.4))
     assigned = F.when(named | about, dice(45) < 0.9).otherwise(dice(45) < 0.05)
     # A key that nothing announces shows itself by its form only if it isn't a bare run of hex digits.
-    secret = F.when(label == 1, F.when(named, form(secrets)).otherwise(form([s for i, s in enumerate(secrets) if i not in (1, 2, 7)]))).otherwise(form(others))
+    secret = F.when(label == 1, F.when(named, form(secrets)).otherwise(form([s for i, s in enumerate(secrets) if i not in (1, 2, 7, 10, 11)]))).otherwise(form(others))
     return base.select(
         F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("row"), F.col("id").alias("key"), F.lit(0).alias("nth"), F.lit(0).cast("long").alias("start"), secret.alias("secret"),
         F.when(named, names).when(about, beside).otherwise(F.when(dice(49) < 0.85, word2).otherwise("")).alias("before"), assigned.alias("assigned"),

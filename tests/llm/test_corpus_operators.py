@@ -109,6 +109,22 @@ def test_op2_edges(spark, awkward, empty):
     assert sorted(r.text for r in got if r.doc_id is None and r.text) == ["no id", "no id [SECRET]"]
 
 
+def test_op2_finds_what_has_headers_no_digits_or_few_signs(spark):
+    """Encrypted keys, long quoted values, letters behind `bearer`, short passwords; equal rows each have their findings."""
+    rng = random.Random(5)
+    some = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D4E5F60718293A4B5C6D7E8F9\n\n" + "\n".join(some(64, letters + digits + "+/") for _ in range(6)) + "\n-----END RSA PRIVATE KEY-----"
+    long, bearer = some(270, letters + digits + "!#%"), some(28, letters)
+    texts = [f"see {pem} here", f'the password = "{long}" is long', f"Authorization: Bearer {bearer} ok", "then password=abc12 was set", "the house and the water of the system, password: garden or token: winter", "the key: notes of the bearer of the report"]
+    docs = table(spark, [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])])
+    found = secret_scan.scan(docs).select("doc_id", "row", "nth", "secret", "before", "is_secret").collect()
+    assert {(r.doc_id, r.secret) for r in found if r.is_secret} == {(0, pem), (1, long), (2, bearer), (3, "abc12")}
+    assert {r.before for r in found if r.doc_id == 1} == {"password"}
+    twice = [r for r in found if r.doc_id == 3]
+    assert len(twice) == 2 and len({r.row for r in twice}) == 2
+
+
 def test_candidates_are_all_there_is(spark):
     """Candidates and their neighbours against Python's own scan by the same patterns."""
     import regex

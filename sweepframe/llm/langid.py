@@ -3,9 +3,8 @@
 For every language a byte context tree up to `order` bytes deep is counted on labelled rows. A
 symbol's probability in a context is its share there; a symbol not seen there escapes, with
 method C's escape probability, to the context one byte shorter, where the symbols already seen are
-excluded; below the empty context all symbols are alike. A tree is deep only where it was fed: a
-context of two bytes or more has the symbols that came there twice at least. With the statistics
-frozen, every symbol's code length in every context of a tree is worked out once, so a text is
+excluded; below the empty context all symbols are alike. A tree has all that the sample has, so every
+gram's suffix is in it. With the statistics frozen, every symbol's code length in every context of a tree is worked out once, so a text is
 scored whole and exactly by looking up each of its bytes.
 
 Bytes are folded first: A-Z to a-z, other ASCII but letters to a blank. All other bytes are symbols
@@ -83,26 +82,18 @@ def count(rows: DataFrame, order: int) -> DataFrame:
     return counted.select("lang", "n", F.explode(depths).alias("d")).groupBy("lang", "d.depth", "d.gram").agg(F.sum("n").alias("n"))
 
 
-def _pruned(counts: DataFrame, nodes: int) -> DataFrame:
-    """counts without what came once below two bytes of context, and at most about `nodes` grams of a depth.
-
-    A depth's least count is no lower than that of the depth above, and a gram comes no oftener than its suffix; so what stays has its suffix."""
-    kept = counts.filter((F.col("depth") < 2) | (F.col("n") > 1))
-    least: dict[tuple, int] = {}
-    sums: dict[tuple, int] = {}
-    for r in kept.filter("depth > 1").groupBy("lang", "depth", F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect():
-        key = (r["lang"], r["depth"])
-        sums[key] = sums.get(key, 0) + r["count"]
-        if sums[key] <= nodes:
-            least[key] = r["n"]
-    rows, most = [], dict.fromkeys((lang for lang, _ in sums), 0)
-    for lang, depth in sorted(sums):
-        most[lang] = max(most[lang], least.get((lang, depth), 1001))
-        rows.append((lang, depth, most[lang]))
-    if not rows:
-        return kept
-    bound = F.broadcast(kept.sparkSession.createDataFrame(rows, "lang string, depth int, least bigint"))
-    return kept.join(bound, ["lang", "depth"], "left").filter(F.col("n") >= F.coalesce("least", F.lit(0))).drop("least")
+def _counts(counts: DataFrame, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sorted grams and their counts, by depth, of one language's counts(depth, gram, n)."""
+    table = counts.select("depth", "gram", "n").toArrow()
+    depth, gram, n = (table.column(c).to_numpy() for c in ("depth", "gram", "n"))
+    gram = gram.view(np.uint64)
+    grams, numbers = [], []
+    for k in range(order + 1):
+        own = np.flatnonzero(depth == k)
+        own = own[np.argsort(gram[own])]
+        grams.append(gram[own])
+        numbers.append(n[own].astype(np.float64))
+    return grams, numbers
 
 
 def _own(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
@@ -151,13 +142,13 @@ def trees_of(languages: list[str], found: dict[str, tuple[list[np.ndarray], list
     return out
 
 
-def fit(labelled: DataFrame, order: int = 3, per_language: int = 400, nodes: int = 150_000, margin: float = 1.25, apart: float = 0.25) -> Model:
+def fit(labelled: DataFrame, order: int = 3, per_language: int = 400, margin: float = 1.25, apart: float = 0.25) -> Model:
     """Context trees from labelled(doc_id, text, lang), null texts and languages left out.
 
     per_language: the bound of the sample; about so many whole rows of each language are taken by a
     hash of doc_id, and `apart` times as many others to see how many bits a byte the language's own texts
     take; `margin` times the most that 99 of 100 take is the language's limit (infinite if there are no such
-    rows). nodes: the bound of a tree's grams of a depth."""
+    rows). The trees' counts reach the driver as Arrow columns, one language at a time."""
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(rows)
@@ -165,15 +156,11 @@ def fit(labelled: DataFrame, order: int = 3, per_language: int = 400, nodes: int
         return Model([], order, [], np.empty(0))
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(per_language / rows[lang], 1 / (1 + apart)))])
     place = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20) / share[F.col("lang")]
-    counts = common.written(_pruned(common.written(count(known.filter(place < 1), order), "contexts"), nodes), "trees")
+    counts = common.written(count(known.filter(place < 1), order), "contexts")
     trees = []
     for lo in range(0, len(languages), TOGETHER):
         some = languages[lo : lo + TOGETHER]
-        table = counts.filter(F.col("lang").isin(some)).toPandas().sort_values("gram", ignore_index=True)
-        found = {}
-        for lang in some:
-            own = [table[(table["lang"] == lang) & (table["depth"] == k)] for k in range(order + 1)]
-            found[lang] = ([x["gram"].to_numpy(np.uint64) for x in own], [x["n"].to_numpy(np.float64) for x in own])
+        found = {lang: _counts(counts.filter(F.col("lang") == lang), order) for lang in some}
         trees.append(trees_of(some, found, order))
     model = Model(languages, order, trees, np.full(len(languages), np.inf))
     others = known.filter((place >= 1) & (place < 1 + apart)).select(F.col("lang").alias("__own"), "text")

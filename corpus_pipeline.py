@@ -12,8 +12,8 @@ from sweepframe.llm import common, decontam, langid, packing, secret_scan, simha
 
 #: Least share of the best language among the likelihoods of all.
 LEAST_LANGUAGE_SCORE = 0.5
-#: How many times the bits a byte of a language's own texts a text may take, and from how many bytes on that counts.
-MOST_LANGUAGE_RATE, RATE_BYTES = 2.0, 64
+#: How many times the bits a byte of a language's own texts a text may take, and how many bytes' worth of such bits beyond that, whatever its length.
+MOST_LANGUAGE_RATE, SPARE_BYTES = 2.0, 8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The language model learns from all of docs' labelled rows."""
     model = langid.fit(docs.select("doc_id", "text", "lang"))
     judged = langid.annotate(docs, model, pred_as="__lang", score_as="__score", rate_as="__rate")
-    own = (F.col("__rate") <= MOST_LANGUAGE_RATE) | (F.octet_length("text") < RATE_BYTES)
+    own = (F.col("__rate") - MOST_LANGUAGE_RATE) * F.octet_length("text") <= SPARE_BYTES
     kept = judged.filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE_SCORE) & own)
     return kept.select(*docs.columns)
 

@@ -11,7 +11,8 @@ They come in the order of the room they waste, and end where the waste would exc
 solution so far allows. A filling is used as often as the lengths last, and, as a second branch, once.
 Below a node no solution can have fewer sequences than its waste bound says. The first incumbent is
 best-fit decreasing; the search ends when it meets the bound of all rests (the packing is optimal
-then), when nothing is left to try, or after `most_nodes` nodes with the best packing found.
+then), when nothing is left to try, or with the best packing found after `most_nodes` nodes or `LOOKS` times as many
+fillings looked at: a node may refuse any number of dominated ones, so its nodes alone do not bound a search's time.
 
 The histogram has at most `capacity` entries, whatever the input, and so has what comes back: a table of
 which ranks of a length go where. Ranks come from counts per task and length, so no task sees all rests
@@ -20,6 +21,7 @@ of one length."""
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ from .tokens import encoder, utf8
 #: (times used, ((length, how many), ...)), the longest first.
 Pattern = tuple[int, tuple[tuple[int, int], ...]]
 
+LOOKS = 10
+
 
 # -- bounds and incumbents --------------------------------------------------------------------
 
@@ -94,12 +98,8 @@ def _sums(reach: int, size: int, count: int, mask: int) -> int:
     return reach
 
 
-def _dominated(filling: list[tuple[int, int]], left: dict[int, int], waste: int) -> bool:
-    """Whether a rest that is left out could take the place of some of the filling, more tightly or as one for several."""
-    out = 0
-    for size, n in left.items():
-        if n:
-            out |= 1 << size
+def _dominated(filling: list[tuple[int, int]], out: int, waste: int) -> bool:
+    """Whether a rest that is left out (a set of bits by size) could take the place of some of the filling, more tightly or as one for several."""
     none, one, many = 1, 0, 0
     for size, n in filling:
         for _ in range(n):
@@ -115,8 +115,11 @@ def _dominated(filling: list[tuple[int, int]], left: dict[int, int], waste: int)
     return False
 
 
-def fillings(have: np.ndarray, room: int, most_waste: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(waste, filling) of the fillings of a room that none dominates, the tightest first; [] if nothing fits."""
+def fillings(have: np.ndarray, room: int, most_waste: int, looks: list[int] | None = None) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(waste, filling) of the fillings of a room that none dominates, the tightest first; [] if nothing fits.
+
+    looks holds how many fillings may still be looked at, dominated or not, and is counted down."""
+    looks = [1 << 62] if looks is None else looks
     if room == 0:
         yield 0, []
         return
@@ -124,20 +127,21 @@ def fillings(have: np.ndarray, room: int, most_waste: int) -> Iterator[tuple[int
         yield 0, [(room, 1)]
         return
     sizes = [int(s) for s in np.flatnonzero(have[: room + 1]) if s]
-    mask = (1 << (room + 1)) - 1
+    number = {s: int(have[s]) for s in sizes}
+    mask, all_sizes = (1 << (room + 1)) - 1, sum(1 << s for s in sizes)
     reach = [1]  # by the smallest sizes so far
     for s in sizes:
-        reach.append(_sums(reach[-1], s, min(int(have[s]), room // s), mask))
+        reach.append(_sums(reach[-1], s, min(number[s], room // s), mask))
 
     def exact(target: int, upto: int) -> Iterator[list[tuple[int, int]]]:
         if target == 0:
             yield []
             return
-        for j in range(int(np.searchsorted(sizes[:upto], target, "right")), 0, -1):
+        for j in range(bisect_right(sizes, target, 0, upto), 0, -1):
             if not reach[j] >> target & 1:
                 return  # fewer sizes reach no more
             s = sizes[j - 1]
-            for k in range(min(int(have[s]), target // s), 0, -1):
+            for k in range(min(number[s], target // s), 0, -1):
                 if reach[j - 1] >> (target - k * s) & 1:
                     for rest in exact(target - k * s, j - 1):
                         yield [(s, k), *rest]
@@ -145,23 +149,24 @@ def fillings(have: np.ndarray, room: int, most_waste: int) -> Iterator[tuple[int
     for waste in range(min(room, most_waste) + 1):
         if reach[-1] >> (room - waste) & 1:
             for filling in exact(room - waste, len(sizes)):
-                left = {s: int(have[s]) for s in sizes}
-                for s, k in filling:
-                    left[s] -= k
-                if not _dominated(filling, left, waste):
+                if looks[0] <= 0:
+                    return
+                looks[0] -= 1
+                used_up = sum(1 << s for s, k in filling if number[s] == k)
+                if not _dominated(filling, all_sizes ^ used_up, waste):
                     yield waste, filling
 
 
 # -- the search -------------------------------------------------------------------------------
 
 
-def _branches(have: np.ndarray, most_waste: int) -> Iterator[Pattern]:
+def _branches(have: np.ndarray, most_waste: int, looks: list[int]) -> Iterator[Pattern]:
     """The ways to complete the longest rest's sequence, each as often as it can be used and then once."""
     cap, longest = len(have) - 1, int(np.flatnonzero(have)[-1])
     have = have.copy()
     have[longest] -= 1
     once = []
-    for _, filling in fillings(have, cap - longest, most_waste):
+    for _, filling in fillings(have, cap - longest, most_waste, looks):
         count = {longest: 1}
         for s, k in filling:
             count[s] = count.get(s, 0) + k
@@ -179,15 +184,15 @@ def complete(have: np.ndarray, most_nodes: int = 20_000) -> tuple[list[Pattern],
     have[0] = 0
     cap, size = len(have) - 1, np.arange(len(have))
     least, (best, found), nodes = waste_bound(have), best_fit(have), 0
-    used, path, stack = 0, [], []  # stack: (what is left, branches)
+    used, path, stack, looks = 0, [], [], [LOOKS * most_nodes]  # stack: (what is left, branches)
 
     def opened(left: np.ndarray) -> None:
         slack = (best - 1 - used) * cap - int((left * size).sum())
-        stack.append((left, _branches(left, slack) if slack >= 0 else iter(())))
+        stack.append((left, _branches(left, slack, looks) if slack >= 0 else iter(())))
 
     if best > least:
         opened(have)
-    while stack and best > least and nodes < most_nodes:
+    while stack and best > least and nodes < most_nodes and looks[0] > 0:
         left, branches = stack[-1]
         step = next(branches, None)
         if step is None:

@@ -59,3 +59,11 @@ def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str
     got = dealt.unionByName(came, allowMissingColumns=True).withColumns(
         {k: along[kind](f"__v_{k}").over(line.rowsBetween(Window.unboundedPreceding, -1 if before else 0)) for k, (kind, _, before) in values.items()})
     return got.filter("__own = 1").select(*[c for c in names if c not in values], *values)
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, slices: int | None = None) -> DataFrame:
+    """rows with their number in their key's order, from 1: row_number() without one task per key.
+
+    A few keys with many slices each (256 at least) deal evenly over any number of tasks."""
+    n = slices or max(256, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return running(rows, keys, order, {name: ("sum", F.lit(1).cast("long"), False)}, n)

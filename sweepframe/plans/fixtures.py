@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.sliced import numbered
 from ..shared import shared_path  # noqa: F401
 
 TABLES = ("documents", "events", "embeddings")
@@ -103,6 +104,20 @@ SELECT speed, CAST(nominal_lap_s AS DOUBLE) AS nominal_lap_s
 FROM (VALUES (255, 1.32), (170, 2.0), (85, 4.0), (57, 6.0), (43, 8.0)) AS t(speed, nominal_lap_s)""",
 }
 
+#: How Spark makes the views that number all rows of a few keys, with the same rows as their SQL above: the rows, their keys, their
+#: order, the number's name (from 1), and the view over {rows}. A key is numbered in slices, so it is no single task.
+NUMBERED: dict[str, tuple[str, list[str], list[str], str, str]] = {
+    "packets": ("SELECT *, image_index * 4 + block_index + 3 * dup AS place FROM packets1", ["image_type"], ["place", "image_index", "block_index", "dup"], "arrival_seq", """
+SELECT image_type, image_index, CASE WHEN block_index = 0 AND image_index % 29 = 0 THEN 0 ELSE total_size END AS total_size,
+       block_index, payload, CAST(bit_length(payload) / 8 AS BIGINT) AS block_size,
+       arrival_seq, arrival_seq + 2000 * CAST(floor(arrival_seq / 500) AS BIGINT) AS rx_ms FROM {rows}"""),
+    "frame_index_stream": ("SELECT user_id % 10 AS device_id, ts, event_id FROM events", ["device_id"], ["ts", "event_id"], "seq",
+        "SELECT device_id, seq, ts, (seq * 7) % 2500 AS image_index FROM {rows}"),
+    "frames": ("""SELECT user_id % 10 AS device_id, CASE WHEN event_type = 'view' THEN 'RGB' ELSE 'BW' END AS channel, ts, event_id, value AS image_bytes
+FROM events WHERE event_type IN ('view', 'click', 'purchase')""", ["device_id", "channel"], ["ts", "event_id"], "nth", """
+SELECT device_id, channel, ts, nth - 1 AS frame_no, (nth - 1) % 32 AS tile_index,
+       ((nth - 1) % 32) * 360 / CAST(32 AS DOUBLE) AS angle_deg, image_bytes FROM {rows}"""),
+}
 
 _EACH = re.compile(r"EACH\((\w+), (.+?)\)(?= WHERE|\s*$)")
 
@@ -114,13 +129,13 @@ def each(sql: str, duck: bool) -> str:
     return _EACH.sub(r"LATERAL VIEW explode(sequence(0L, greatest(CAST(floor(\2) AS BIGINT) - 1, 0L))) numbers AS \1", sql)
 
 
-def needed(sql: str) -> list[str]:
-    """The views that a statement uses, directly or through views, in their order of definition."""
+def needed(sql: str, given: tuple[str, ...] = ()) -> list[str]:
+    """The views that a statement uses, directly or through views, in their order of definition; not those that are given."""
     found: set[str] = set()
 
     def look(text: str) -> None:
         for name in VIEWS:
-            if name not in found and re.search(rf"\b(FROM|JOIN)\s+{name}\b|,\s*{name}\s+\w", text, re.I):
+            if name not in found and name not in given and re.search(rf"\b(FROM|JOIN)\s+{name}\b|,\s*{name}\s+\w", text, re.I):
                 found.add(name)
                 look(VIEWS[name])
 
@@ -129,8 +144,8 @@ def needed(sql: str) -> list[str]:
 
 
 def with_views(sql: str, duck: bool = True) -> str:
-    """sql with the definitions of the views it uses in front, for DuckDB or for Spark."""
-    names = needed(sql)
+    """sql with the definitions of the views it uses in front, for DuckDB or for Spark (without those that NUMBERED makes)."""
+    names = needed(sql, () if duck else tuple(NUMBERED))
     body = sql.strip()
     if not names:
         return body
@@ -149,6 +164,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self.made: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -165,4 +181,15 @@ class Views:
             text, n = re.subn(rf"(?i)\b(FROM|JOIN)(\s+){t}\b", rf"\1\2{{{t}}}", text)
             if n:
                 used[t] = self.table(t)
+        for name in NUMBERED:
+            text, n = re.subn(rf"(?i)\b(FROM|JOIN)(\s+){name}\b", rf"\1\2{{{name}}}", text)
+            if n:
+                used[name] = self.numbered(name)
         return self.spark.sql(text, **used)
+
+    def numbered(self, name: str) -> DataFrame:
+        """A view of NUMBERED; the quantiles that cut it are looked up once."""
+        if name not in self.made:
+            rows, keys, order, number, rest = NUMBERED[name]
+            self.made[name] = self.spark.sql(rest, rows=numbered(self.sql(rows), keys, order, number))
+        return self.made[name]

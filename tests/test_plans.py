@@ -32,3 +32,20 @@ def test_log_tail_limits_ranks_before_the_shuffle(spark):
     from sweepframe.operators.messages import log_tail
 
     assert "WindowGroupLimit" in plan(log_tail(Views(spark, DIR)("log_events"), 10))
+
+
+def test_views_number_their_rows_in_slices(spark):
+    for name in ("packets", "frame_index_stream", "frames"):
+        text = plan(Views(spark, DIR)(name))
+        assert "__slice" in text and "row_number" not in text, name
+
+
+def test_numbers_in_slices_are_row_numbers(spark):
+    from pyspark.sql import Window
+
+    from sweepframe.operators.sliced import numbered
+
+    rows = spark.range(2000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 97).alias("t"), F.col("id").alias("n"))
+    want = rows.withColumn("number", F.row_number().over(Window.partitionBy("k").orderBy("t", "n")).cast("long"))
+    for slices in (None, 1, 7):
+        assert sorted(numbered(rows, ["k"], ["t", "n"], "number", slices).select(*want.columns).collect(), key=str) == sorted(want.collect(), key=str)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import angles
+from ..shared import written
 from .clearing import clear_epoch
 from .folds import throttle  # noqa: F401
 from .sliced import running
@@ -32,7 +33,7 @@ def target_detect(frames: DataFrame, targets: DataFrame, tolerance: float = TOLE
 
 def lap_id(frames: DataFrame, keys: tuple[str, ...] = ("device_id", "channel"), high: float = 300.0, low: float = 60.0) -> DataFrame:
     """frames with lap_id: a lap ends with the frame at which the angle falls from above `high` to below `low`."""
-    known = running(frames, list(keys), ["frame_no"], {"__prev": ("last", F.struct("angle_deg"), True)})
+    known = written(running(frames, list(keys), ["frame_no"], {"__prev": ("last", F.struct("angle_deg"), True)}), "angles")
     turn = ((F.col("__prev.angle_deg") > high) & (F.col("angle_deg") < low)).cast("long")
     laps = running(known, list(keys), ["frame_no"], {"lap_id": ("sum", F.coalesce(turn, F.lit(0)), True)})
     return laps.withColumn("lap_id", F.coalesce("lap_id", F.lit(0))).drop("__prev")
@@ -75,9 +76,10 @@ def detection_batch(frames: DataFrame, targets: DataFrame, frame_ms: int = 33, d
     frames need ms, the time in milliseconds; laps are counted over the throttled frames. With clears(device_id, ms), once per lap
     and epoch."""
     keys = ["device_id", "channel"]
-    seen = lap_id(throttle(frames, keys, "ms", frame_ms, ["ms", "frame_no"]))
+    kept = written(throttle(frames, keys, "ms", frame_ms, ["ms", "frame_no"]), "kept")  # each step reads its rows several times
+    seen = lap_id(kept)
     looked, once = throttle(seen, keys, "ms", detect_ms, ["ms", "frame_no"]), [*keys, "lap_id", "target"]
     if clears is not None:
-        looked, once = clear_epoch(looked, clears, time="ms"), [*once, "epoch"]
+        looked, once = clear_epoch(written(looked, "looked"), clears, time="ms"), [*once, "epoch"]
     found = target_detect(looked, targets, tolerance)
     return found.groupBy(*once).agg(F.min("frame_no").alias("frame_no"))

@@ -42,7 +42,8 @@ def _sliced_fold(
     """rows folded along keys. effect: a slice's function of the state; compose: the state that enters each slice, of
     the effects in order; apply: the output of a stretch of rows and the state after it, from the state before.
 
-    Three passes: the quantiles of the order, the columns `needed` for the effects, and the rows."""
+    Three passes: the quantiles of the order, the columns `needed` for the effects, and the rows, which are made once for them."""
+    rows = written(rows, "fold")
     dealt = rows.withColumn("__slice", slice_of(rows, order[0], slices))
     listed = lambda kinds: ", ".join(f"__{n} {k}" for n, k in kinds.items())
     head = f"{_schema(rows, keys)}{', ' * bool(keys)}__slice int"

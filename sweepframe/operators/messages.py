@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as m
 from .clearing import since_clear
+from ..shared import written
 from .sliced import cuts_below, running
 
 
@@ -97,7 +98,7 @@ def running_totals(stats: DataFrame) -> DataFrame:
     values = {"total_packets": ("sum", F.col("packets"), False), "__prev": ("last", F.col("packets"), True)}
     if "wakes" in stats.columns:
         values["total_wakes"] = ("sum", F.col("wakes"), False)
-    return running(stats, ["device_id"], ["win_start"], values).withColumn("delta_packets", F.col("packets") - F.coalesce("__prev", F.lit(0))).drop("__prev")
+    return running(written(stats, "stats"), ["device_id"], ["win_start"], values).withColumn("delta_packets", F.col("packets") - F.coalesce("__prev", F.lit(0))).drop("__prev")
 
 
 # -- replay -----------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from ..functions import angles, messages, wire
 from ..operators import detect, frames, laps, packets, pixels, rasters, rechunk
 from ..operators import messages as msg
 from ..operators.sliced import running
+from ..shared import written
 from ..sinks import capture_log_sink
 from ..sources.captures import capture_log_scan, packet_scan, parse_capture_log
 from ..streaming.processors import reassembly_batch
@@ -338,7 +339,7 @@ def _received_all(v: Views) -> DataFrame:
     """Messages with outcome, sender and length; a read call begins at every third; resets of the frame counter give up a frame."""
     got = _outcomes(v).select("arrival_seq", "type", "path", "outcome")
     rows = v("path_msgs").withColumns({"length": F.octet_length("payload"), "wake": F.col("arrival_seq") % 3 == 0}).join(got, "arrival_seq", "left")
-    epochs = running(packets.counter_epoch(v("frame_index_stream")), ["device_id"], ["seq"], {"__before": ("last", F.col("epoch"), True)})
+    epochs = running(written(packets.counter_epoch(v("frame_index_stream")), "epochs"), ["device_id"], ["seq"], {"__before": ("last", F.col("epoch"), True)})
     resets = epochs.filter("epoch > __before")
     return msg.with_evictions(rows, resets.select("device_id", F.col("ts").alias("rx_ts")))
 

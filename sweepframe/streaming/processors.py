@@ -302,18 +302,34 @@ def snapshot_pair_stream(snapshots: DataFrame, late: str = "10 seconds", keep_ms
 def command_reply_stream(commands: DataFrame, replies: DataFrame, limit_s: int = 5, late: str = "10 seconds") -> DataFrame:
     """The streaming twin of messages.command_reply_match: cmd_id, device_id, cmd, ts, reply_ts, latency_s.
 
-    An outer stream join bounded in time, then the first reply of each command. A command comes out, answered or not,
+    An outer stream join bounded in time, then the first reply of each command. The join's keys hold a slot of limit_s seconds, so that a
+    reply meets the commands of its time and not all of its device that state still holds. A command comes out, answered or not,
     when the watermarks of both streams have passed its limit; state behind that is dropped. Times are cast to TIMESTAMP."""
     from ..functions import messages as m
 
     asked = commands.select("cmd_id", "device_id", "cmd", F.col("ts").cast("timestamp").alias("ts"), m.command_text(F.col("cmd")).alias("__cmd")).withWatermark("ts", late)
     answers = replies.select(F.col("device_id").alias("__device"), m.reply_command(F.col("reply")).alias("__said"), F.col("ts").cast("timestamp").alias("reply_ts")).withWatermark("reply_ts", late)
     near = F.col("reply_ts").between(F.col("ts"), F.col("ts") + F.expr(f"INTERVAL {limit_s} SECONDS"))
-    pairs = asked.join(answers, (F.col("device_id") == F.col("__device")) & (F.col("__cmd") == F.col("__said")) & near, "leftOuter")
+    slot = lambda c: F.floor(F.unix_micros(c) / F.lit(max(1, limit_s) * 1_000_000)).cast("long")
+    asked = asked.withColumn("__slot", F.explode(F.array(slot("ts"), slot("ts") + 1)))  # a reply in time lies in one of the two
+    answers = answers.withColumn("__at", slot("reply_ts"))
+    pairs = asked.join(answers, (F.col("device_id") == F.col("__device")) & (F.col("__cmd") == F.col("__said")) & (F.col("__slot") == F.col("__at")) & near, "leftOuter")
     first = pairs.groupBy("cmd_id", "device_id", "cmd", "ts").agg(F.min("reply_ts").alias("reply_ts"))
     return first.withColumn("latency_s", (F.unix_micros("reply_ts") - F.unix_micros("ts")) / F.lit(1e6))
 
 
+class _Part:
+    """A packet's payload for a BufferPool: its length, and where it is found."""
+
+    __slots__ = ("at", "size")
+
+    def __init__(self, at: tuple, size: int | None):
+        self.at, self.size = at, size or 0
+
+    def __len__(self) -> int:
+        return self.size
+
+
 def reassembly_batch(packets: DataFrame, keys: tuple[str, ...] = KEYS, **options: int) -> DataFrame:
     """The batch twin of reassembly_stream: a channel's packets stream through one task, the pool is its state."""
     text, schema = packets.schema["payload"].dataType.simpleString() == "string", _frame_schema(packets, keys)

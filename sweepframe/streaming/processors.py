@@ -458,16 +458,22 @@ class RechunkProcessor(StatefulProcessor):
             out[: len(a), : a.shape[1]], out[: len(b), a.shape[1] :] = a, b
             return out
 
+        out, held, names = [], 0, ["session", "frame_no", "height", "width", "data"]
         for h, w, data in zip(pdf["height"].tolist(), pdf["width"].tolist(), pdf["data"].tolist()):
             image, at = np.frombuffer(data, np.uint8).reshape(int(h), int(w) * self.depth), 0
             while left.shape[1] + image.shape[1] - at >= line:
                 take = line - left.shape[1]
                 frame, left, at = beside(left, image[:, at : at + take]), np.zeros((0, 0), np.uint8), at + take
-                yield pd.DataFrame([(key[0], number, len(frame), self.width, frame.tobytes())], columns=["session", "frame_no", "height", "width", "data"])
-                number += 1
+                out.append((key[0], number, len(frame), self.width, frame.tobytes()))
+                number, held = number + 1, held + frame.size
+                if held > 1 << 22 or len(out) >= 5000:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
             if at < image.shape[1]:
                 left = beside(left, image[:, at:])
         self.state.update((int(number), len(left), left.tobytes()))
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     def close(self) -> None:
         pass

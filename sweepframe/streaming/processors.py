@@ -6,8 +6,8 @@ gives, however it is cut into micro-batches."""
 
 from __future__ import annotations
 
-from collections import namedtuple
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -22,6 +22,7 @@ from ..operators.messages import rx_aggregates
 from ..operators.packets import BufferPool, resync
 from ..operators.pixels import whole_rasters
 from ..operators.rechunk import WIDTH
+from ..shared import written
 
 
 class _OneState(StatefulProcessor):
@@ -156,8 +157,6 @@ def resync_stream(chunks: DataFrame, compat: bool = False) -> DataFrame:
 
 
 KEYS = ("device_id", "channel")
-_PACKET = ["image_index", "total_size", "payload", "rx_ms"]
-_Packet = namedtuple("_Packet", _PACKET)
 _FRAME = ["image_index", "generation", "epoch", "packets", "bytes", "payload", "reason"]
 
 
@@ -331,24 +330,39 @@ class _Part:
 
 
 def reassembly_batch(packets: DataFrame, keys: tuple[str, ...] = KEYS, **options: int) -> DataFrame:
-    """The batch twin of reassembly_stream: a channel's packets stream through one task, the pool is its state."""
-    text, schema = packets.schema["payload"].dataType.simpleString() == "string", _frame_schema(packets, keys)
-    columns = [*keys, *_FRAME]
+    """The batch twin of reassembly_stream: a channel's packets stream through one task, the pool is its state.
+
+    That task reads the packets' numbers and sizes alone and names each frame's packets by arrival_seq and a hash; payloads
+    are joined to them frame by frame."""
+    kind = packets.schema["payload"].dataType.simpleString()
+    numbers = ["image_index", "total_size", "rx_ms"]
+    rows = whole_packets(packets).select(*keys, "arrival_seq", *numbers, "payload", F.xxhash64(*numbers, "payload").alias("__hash"))
+    columns = [*keys, *(c for c in _FRAME if c != "payload"), "parts"]
+    schema = _frame_schema(packets, keys).replace(f" payload {kind},", "") + ", parts array<struct<seq:bigint,hash:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        who, pool = (), BufferPool(**options)
+        who, pool, named = (), BufferPool(**options), pa.list_(pa.struct([("seq", pa.int64()), ("hash", pa.int64())]))
         for batch in batches:
-            out, kinds = [], [batch.schema.field(k).type for k in keys] + [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), batch.schema.field("payload").type, pa.string()]
-            fields = [batch.column(c).to_pylist() for c in _PACKET]
-            for key, *fields in zip(zip(*[batch.column(k).to_pylist() for k in keys]), *fields):
+            out, kinds = [], [batch.schema.field(k).type for k in keys] + [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), named]
+            fields = [batch.column(c).to_pylist() for c in (*numbers, "arrival_seq", "__hash", "__size")]
+            for key, index, total, now, seq, digest, size in zip(zip(*[batch.column(k).to_pylist() for k in keys]), *fields):
                 if key != who:
                     who, pool = key, BufferPool(**options)
-                out += _pool_rows(pool, key, _Packet(*fields), text)
+                done, evicted = pool.add(int(index), int(total), _Part((seq, digest), size), int(now))
+                out += [(*key, i, g, e, n, held, None, [{"seq": p.at[0], "hash": p.at[1]} for p in parts]) for i, g, e, n, held, parts in done]
+                out += [(*key, i, None, pool.epoch, None, None, why, None) for i, why in evicted]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], columns)
 
-    rows = whole_packets(packets).select(*keys, "arrival_seq", *_PACKET)
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "arrival_seq").mapInArrow(run, schema)
+    order = [*keys, "arrival_seq", "__hash"]
+    sizes = rows.select(*order[:-1], *numbers, "__hash", F.octet_length("payload").alias("__size"))
+    found = written(sizes.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, schema).withColumn("__frame", F.monotonically_increasing_id()), "frames")
+    each = rows.groupBy(*order).agg(F.first("payload").alias("payload")).select(*[F.col(c).alias(f"__of_{c}") for c in order], "payload")  # alike packets once
+    parts = found.select("__frame", *keys, F.posexplode("parts").alias("__nth", "p")).select("__frame", "__nth", *keys, F.col("p.seq").alias("arrival_seq"), F.col("p.hash").alias("__hash"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in order])
+    whole = parts.join(each, same).groupBy("__frame").agg(F.expr("listagg(payload) within group (order by __nth)").alias("payload"))
+    payload = F.when(F.col("reason").isNull(), F.coalesce("payload", F.lit("").cast(kind)))
+    return found.drop("parts").join(whole, "__frame", "left").withColumn("payload", payload).select(*keys, *_FRAME)
 
 
 class DetectionProcessor(_OneState):

@@ -44,14 +44,27 @@ class Model:
 
 def name(word: bytes) -> bytes:
     """A word as a unit: itself, or a hash of the whole of a very long one."""
+    if len(word) <= 64:
+        return word
     import xxhash
 
-    return word if len(word) <= 64 else b"\x03" + xxhash.xxh3_128_digest(word)
+    return b"\x03" + xxhash.xxh3_128_digest(word)
+
+
+_squeezed: dict[bytes, bytes] = {}
 
 
 def shape(word: bytes) -> bytes:
-    """Letters as a or A, digits as 9, repeats squeezed: `ERUNG!!` gives `A!`."""
-    return name(b"\x02" + _TWICE.sub(rb"\1", word.translate(_SHAPE)))
+    """Letters as a or A, digits as 9, repeats squeezed: `ERUNG!!` gives `A!`. Many words share what is squeezed; it is remembered, within bounds."""
+    wide = word.translate(_SHAPE)
+    found = _squeezed.get(wide)
+    if found is None:
+        found = name(b"\x02" + _TWICE.sub(rb"\1", wide))
+        if len(wide) <= 64:
+            if len(_squeezed) > 100_000:
+                _squeezed.clear()
+            _squeezed[wide] = found
+    return found
 
 
 def index_vectors(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,9 +119,8 @@ def pooled(text: bytes, units: dict[bytes, int], vectors: np.ndarray, shapes: di
         return out
     total = np.zeros(DIMENSIONS)
     for lo in range(0, len(words), 1 << 15):
-        n = np.bincount(_codes(words[lo : lo + (1 << 15)], units, shapes))
-        k = np.flatnonzero(n)
-        total += n[k].astype(np.float32) @ vectors[k]
+        k, n = np.unique(_codes(words[lo : lo + (1 << 15)], units, shapes), return_counts=True)
+        total += n.astype(np.float32) @ vectors[k]
     again, seen = _repeats(words)
     total = total / len(words) + again * vectors[units[AGAIN]] + seen * vectors[units[SEEN]]
     out[:DIMENSIONS] = total
@@ -175,12 +187,14 @@ def neighbour_sums(docs: DataFrame, names: list[bytes]) -> np.ndarray:
         gap = np.full(REACH, -1, np.int64)
 
         def add() -> None:
-            c = np.concatenate(held)
+            c, pairs = np.concatenate(held), []
             for d in range(1, REACH + 1):
                 left, right = c[:-d], c[d:]
                 both = np.flatnonzero((left >= 0) & (right >= 0))
-                for of, near in ((left[both], right[both]), (right[both], left[both])):
-                    np.add.at(sums, (of[:, None] * DIMENSIONS + places[near]).ravel(), signs[near].ravel())
+                pairs += [left[both] * width + right[both], right[both] * width + left[both]]
+            pair, n = np.unique(np.concatenate(pairs), return_counts=True)  # each pair of units once
+            of, near = np.divmod(pair, width)
+            np.add.at(sums, (of[:, None] * DIMENSIONS + places[near]).ravel(), (signs[near] * n[:, None]).ravel())
 
         for b in batches:
             for t in _texts(b):

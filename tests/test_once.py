@@ -81,3 +81,19 @@ def test_a_channel_is_folded_without_payloads(spark, monkeypatch):
     fold = held[0]._jdf.queryExecution().analyzed().toString()
     repartition = [line for line in fold.splitlines() if "Project" in line and "__size" in line][-1]
     assert "payload#" not in repartition.split("octet_length")[0]
+
+
+def test_a_form_of_words_is_squeezed_once(monkeypatch):
+    from sweepframe.llm import quality
+
+    calls, real = [0], quality._TWICE
+
+    class Counted:
+        def sub(self, *args):
+            calls[0] += 1
+            return real.sub(*args)
+
+    monkeypatch.setattr(quality, "_TWICE", Counted())
+    words = [b"%s%03d" % (w, i) for i in range(1000) for w in (b"qzxv", b"QZXV")]
+    assert {quality.shape(w) for w in words} == {b"\x02a9", b"\x02A9"} and calls[0] <= 2
+    assert quality.shape(b"ERUNG!!") == b"\x02A!" and len(quality.shape(b"ab!" * 40)) == 17

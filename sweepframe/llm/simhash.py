@@ -207,14 +207,15 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray, distance: int, small: int = 1
     return np.concatenate(a or [fp[:0]]), np.concatenate(b or [fp[:0]])
 
 
-def _near_rows(key: np.ndarray, fp: np.ndarray, ids: np.ndarray, size: np.ndarray, distance: int, ratio: float, most: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of ids in buckets of rows sorted by key and size.
+def _near_rows(key: np.ndarray, fp: np.ndarray, ids: np.ndarray, size: np.ndarray, distance: int, ratio: float, most: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs a, b of ids in buckets of rows sorted by key and size, and which of them are left open.
 
     A pair counts if its bits differ in at most `distance` places and the lesser size is `ratio` of
     the other or more. A bucket with more than `most` pairs a row gives each row's two nearest
     neighbours and a forest that connects what all the pairs connect; ties go to the lesser id, so
-    a group that meets in many buckets gives much the same pairs in each. Its rows are named as pairs of
-    a row with itself: what else they pair with is left to _across()."""
+    a group that meets in many buckets gives much the same pairs in each. A pair that is not among these has two
+    rows of one tree with more than two neighbours each: such rows come as open pairs of the tree's
+    least id with their own, and what else they pair with is left to _across()."""
     edge = np.flatnonzero(np.diff(key)) + 1
     start = np.concatenate([[0], edge])
     rows = np.diff(np.concatenate([start, [len(key)]]))
@@ -232,22 +233,22 @@ def _near_rows(key: np.ndarray, fp: np.ndarray, ids: np.ndarray, size: np.ndarra
     x, y = np.concatenate(a), np.concatenate(b)
     dense = pairs > most * rows
     keep = ~dense[bucket[x]]
-    a, b = [ids[x[keep]]], [ids[y[keep]]]
+    a, b, unnamed = [ids[x[keep]]], [ids[y[keep]]], [np.zeros(int(keep.sum()), bool)]
     for k in np.flatnonzero(dense).tolist():
         lo, hi = int(start[k]), int(start[k] + rows[k])
         order = lo + np.argsort(ids[lo:hi], kind="stable")
-        a.append(ids[order])
-        b.append(ids[order])
-        for i, j in _dense_pairs(fp[order], size[order].astype(np.float32), distance, ratio):
-            a.append(ids[order[i]])
-            b.append(ids[order[j]])
-    return np.concatenate(a), np.concatenate(b)
+        i, j, first, many = _dense_pairs(fp[order], size[order].astype(np.float32), distance, ratio)
+        a += [ids[order[i]], ids[order[first[many]]]]
+        b += [ids[order[j]], ids[order[many]]]
+        unnamed.append(np.repeat([False, True], [len(i), int(many.sum())]))
+    return np.concatenate(a), np.concatenate(b), np.concatenate(unnamed)
 
 
-def _dense_pairs(fp: np.ndarray, size: np.ndarray, distance: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A forest over the rows of one bucket, and the two nearest neighbours of each, by row numbers."""
+def _dense_pairs(fp: np.ndarray, size: np.ndarray, distance: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A forest over the rows of one bucket, and the two nearest neighbours of each, by row numbers; the first row of each row's tree, and whether it has more than two neighbours."""
     n = len(fp)
-    free, queue = np.arange(n), []
+    free, queue, a, b = np.arange(n), [], [], []
+    first, many = np.arange(n), np.zeros(n, bool)
     while len(free):
         if not queue:
             queue, free = [int(free[0])], free[1:]
@@ -255,32 +256,37 @@ def _dense_pairs(fp: np.ndarray, size: np.ndarray, distance: int, ratio: float)
         near = (np.bitwise_count(fp[free] ^ fp[i]) <= distance) & (np.minimum(size[free], size[i]) >= ratio * np.maximum(size[free], size[i]))
         got, free = free[near], free[~near]
         queue.extend(got.tolist())
-        yield np.full(len(got), i), got
+        first[got] = first[i]
+        a.append(np.full(len(got), i))
+        b.append(got)
     for lo in range(0, n, 256):
         far = np.bitwise_count(fp[lo : lo + 256, None] ^ fp)
         w = size[lo : lo + 256, None]
         far[(np.minimum(w, size) < ratio * np.maximum(w, size))] = 99
         mine = np.arange(len(far))
         far[mine, lo + mine] = 99
+        many[lo : lo + 256] = (far <= distance).sum(1) > 2
         for _ in range(2):
             nearest = far.argmin(1)
             ok = np.flatnonzero(far[mine, nearest] <= distance)
-            yield lo + ok, nearest[ok]
+            a.append(lo + ok)
+            b.append(nearest[ok])
             far[mine, nearest] = 99
+    return np.concatenate(a), np.concatenate(b), first, many
 
 
 def _links(rows: DataFrame, distance: int, ratio: float) -> DataFrame:
-    """a, b: links of rows(key, fp) or candidate pairs of rows(key, fp, id, size), bucket by bucket.
+    """a, b: links of rows(key, fp), or a, b, open: candidate pairs of rows(key, fp, id, size), bucket by bucket.
 
     A task keeps one bucket and one batch in memory."""
     names = [c for c in ("key", "fp", "id", "size") if c in rows.columns]
 
     def out(key, fp, *more):
         if more:
-            a, b = _near_rows(key, fp.view(np.uint64), *more, distance, ratio)
+            columns = _near_rows(key, fp.view(np.uint64), *more, distance, ratio)
         else:
-            a, b = (v.view(np.int64) for v in _bucket_links(key, fp.view(np.uint64), distance))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            columns = [v.view(np.int64) for v in _bucket_links(key, fp.view(np.uint64), distance)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "open"][: len(columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64) for _ in names]
@@ -294,15 +300,15 @@ def _links(rows: DataFrame, distance: int, ratio: float) -> DataFrame:
             yield out(*held)
 
     n = common.partitions(rows.sparkSession)
-    return rows.select(*names).repartition(n, "key").sortWithinPartitions("key", names[-1]).mapInArrow(run, "a bigint, b bigint")
+    return rows.select(*names).repartition(n, "key").sortWithinPartitions("key", names[-1]).mapInArrow(run, "a bigint, b bigint" + (", open boolean" if "id" in names else ""))
 
 
 def links(nodes: DataFrame, distance: int = 3, parts: int = 4, limit: int = 2048, ratio: float = 0.0) -> DataFrame:
     """Links a, b between distinct fingerprints nodes(fp) that connect whatever `distance` bits connect.
 
-    Of nodes(fp, id, size) it gives candidate pairs of ids, some of them more than once, that
-    connect what `distance` bits and sizes within `ratio` of each other connect; ids of buckets with too many pairs
-    to name come as pairs of an id with itself. limit: rows of a bucket that one task compares; larger buckets are cut on the bits left and
+    Of nodes(fp, id, size) it gives candidate pairs a, b of ids, some of them more than once, that
+    connect what `distance` bits and sizes within `ratio` of each other connect. Where a bucket has too many pairs
+    to name, those not named are between ids b that come with the same a in `open` rows. limit: rows of a bucket that one task compares; larger buckets are cut on the bits left and
     then compared block by block, so no case is dropped. The histograms on the driver have at most
     parts * 2**(64 / parts) entries, whatever the input."""
     if 64 % parts or 64 // parts > 16:
@@ -568,6 +574,13 @@ def _asked(batches: Iterator[pa.RecordBatch], distance: int, ratio: float, neare
         yield from out(held)
 
 
+def _open(trees: DataFrame, roots: DataFrame) -> DataFrame:
+    """node: the texts of trees(tree, node) whose tree is not all in one group of roots(node, root) yet."""
+    rooted = trees.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.groupBy("tree").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("tree")
+    return trees.join(apart, "tree").select("node").distinct()
+
+
 def _across(dense: DataFrame, docs: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, words: int, distance: int, limit: int, few: int) -> DataFrame:
     """roots(node, root) after all links between texts of dense(node) that lie in different groups so far.
 
@@ -614,7 +627,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, distan
     white space) are alike to `similarity` or more, among the candidates whose SimHashes of
     `shingle`-word shingles differ in at most `distance` bits; links add up to groups. Where too many
     candidates meet for all pairs to be named, some are, and the links between the groups that these leave are
-    found by shared rare shingles, so no link among candidates is lost. Texts of equal
+    found by rare shingles that the texts of unnamed pairs share, so no link among candidates is lost. Texts of equal
     words are one text. Of a group the row with the least doc_id stays, null ids last, then by a hash
     of the text. `copies` says how many rows of docs have this doc_id and text; `row` is
     xxhash64(doc_id, text). Null, empty and wordless texts are alike. An empty table gives no rows."""
@@ -623,9 +636,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, distan
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     nodes = common.written(rows.groupBy("node").agg(best, F.min("fp").alias("fp"), F.min("size").alias("size")), "texts")
     found = links(nodes.select("fp", F.col("node").alias("id"), "size"), distance, limit=limit, ratio=similarity)
-    pairs = common.written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    sure = common.written(_verified(pairs.filter("a <> b"), docs, nodes.select("node", "best.doc_id", "best.row"), similarity, words, few), "near")
-    roots, dense = connected(sure), pairs.filter("a = b").select(F.col("a").alias("node"))
+    pairs = common.written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "open").distinct(), "pairs")
+    sure = common.written(_verified(pairs.filter("not open").select("a", "b"), docs, nodes.select("node", "best.doc_id", "best.row"), similarity, words, few), "near")
+    roots = connected(sure)
+    dense = common.written(_open(pairs.filter("open").select(F.col("a").alias("tree"), F.col("b").alias("node")), roots), "open")
     if not dense.isEmpty():
         roots = _across(dense, docs, nodes, roots, similarity, words, distance, limit, few)
     rooted = common.written(nodes.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")

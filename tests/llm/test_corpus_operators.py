@@ -439,6 +439,59 @@ def test_near_copies_among_templated_texts(spark, limit):
     assert len(far) <= 4 and kept == [*range(1000), *far]
 
 
+def test_open_rows_of_dense_buckets_cover_every_unnamed_pair():
+    """Two groups and lonely rows in one dense bucket: what is not named lies between open rows of one tree, and lonely rows are not open."""
+    rng = np.random.default_rng(9)
+    fps = [int(x) for x in rng.integers(0, 1 << 63, 60, dtype=np.uint64)]  # far from all
+    for centre in rng.integers(0, 1 << 63, 2, dtype=np.uint64):
+        for _ in range(50):
+            x = int(centre)
+            for b in rng.choice(64, rng.integers(1, 9), replace=False):
+                x ^= 1 << int(b)
+            fps.append(x)
+    n = len(fps)
+    ids, size = rng.permutation(n).astype(np.int64), np.sort(rng.integers(100, 140, n))
+    fp = np.array(fps, np.uint64)[rng.permutation(n)]
+    a, b, unnamed = simhash._near_rows(np.zeros(n, np.int64), fp, ids, size, 11, 0.8)
+    at = np.argsort(ids)
+    near = {(i, j) for i in range(n) for j in range(i) if (int(fp[at[i]]) ^ int(fp[at[j]])).bit_count() <= 11 and min(size[at[i]], size[at[j]]) >= 0.8 * max(size[at[i]], size[at[j]])}
+    named = {(max(p), min(p)) for p in zip(a[~unnamed].tolist(), b[~unnamed].tolist())}
+    trees = {}
+    for tree, row in zip(a[unnamed].tolist(), b[unnamed].tolist()):
+        trees.setdefault(tree, set()).add(row)
+    assert named < near and len(near) > 8 * n
+    assert all(any({i, j} <= rows for rows in trees.values()) for i, j in near - named)
+    assert set().union(*trees.values()) <= {i for p in near for i in p}
+
+
+def test_rare_shingles_are_asked_only_of_texts_with_unnamed_pairs(spark, monkeypatch):
+    """A linked group, texts of one template that are not alike, and lonely texts of the same size: only the template's have pairs left to look for."""
+    rng = random.Random(5)
+    group = [f"g{i}" for i in range(60)]
+    texts = [[*group[:-1], f"end{i}"] for i in range(60)]
+    base = [f"t{i}" for i in range(60)]
+    for i in range(60):
+        own = list(base)
+        for at in rng.sample(range(2, 58, 6), 5):
+            own[at] = f"own{i}x{at}"
+        texts.append(own)
+    texts += [[f"lonely{i}x{k}" for k in range(60)] for i in range(300)]
+    docs = table(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    asked, across = [], simhash._across
+
+    def seen(dense, *more):
+        asked.extend(r.node for r in dense.collect())
+        return across(dense, *more)
+
+    monkeypatch.setattr(simhash, "_across", seen)
+    kept = sorted(r.doc_id for r in simhash.deduplicate(docs).collect())
+    import xxhash
+
+    node = lambda t: int(np.uint64(xxhash.xxh3_64_intdigest(" ".join(t).encode())).astype(np.int64))
+    assert kept == [0, *range(60, 420)]
+    assert asked and set(asked) <= {node(t) for t in texts[60:120]}
+
+
 @pytest.mark.parametrize("limit", [2048, 6])
 def test_near_copies_against_brute_force(spark, limit):
     """Groups of near variants, of exact copies and clean texts; limit 6 makes hot buckets."""
